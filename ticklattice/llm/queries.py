@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import mixing, packing, token_files
+from . import language_crf, mixing, packing, quality_nbsvm, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +21,17 @@ def op2_packing(spark, sf_dir):
     return packing.op_query(spark, _docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_language(spark, sf_dir):
+    return language_crf.op_query(spark, _docs(spark, sf_dir))
+
+
 def op5_mixing(spark, sf_dir):
     return mixing.op_query(spark, _docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_packing, op5_mixing)}
+def op7_quality(spark, sf_dir):
+    return quality_nbsvm.op_query(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_packing, op3_language, op5_mixing, op7_quality)}
 ORACLE = {"op5_mixing": mixing.SQL}
