@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import language_crf, mixing, packing, quality_nbsvm, token_files
+from . import language_crf, minhash, mixing, packing, quality_nbsvm, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,5 +33,9 @@ def op7_quality(spark, sf_dir):
     return quality_nbsvm.op_query(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_packing, op3_language, op5_mixing, op7_quality)}
+def op8_minhash(spark, sf_dir):
+    return minhash.op_query(spark, _docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_packing, op3_language, op5_mixing, op7_quality, op8_minhash)}
 ORACLE = {"op5_mixing": mixing.SQL}
