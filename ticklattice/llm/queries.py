@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import language_crf, minhash, mixing, packing, quality_nbsvm, token_files
+from . import ann, language_crf, minhash, mixing, packing, quality_nbsvm, token_files, vector_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,5 +37,13 @@ def op8_minhash(spark, sf_dir):
     return minhash.op_query(spark, _docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_packing, op3_language, op5_mixing, op7_quality, op8_minhash)}
+def op4_vector_dedup(spark, sf_dir):
+    return vector_dedup.op_query(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op10_ann(spark, sf_dir):
+    return ann.op_query(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_packing, op3_language, op4_vector_dedup, op5_mixing, op7_quality, op8_minhash, op10_ann)}
 ORACLE = {"op5_mixing": mixing.SQL}
