@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import ann, language_crf, minhash, mixing, packing, quality_nbsvm, token_files, vector_dedup
+from . import ann, language_crf, minhash, mixing, packing, quality_nbsvm, substring_dedup, token_files, vector_dedup, wordpiece_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,5 +45,13 @@ def op10_ann(spark, sf_dir):
     return ann.op_query(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_packing, op3_language, op4_vector_dedup, op5_mixing, op7_quality, op8_minhash, op10_ann)}
+def op6_substrings(spark, sf_dir):
+    return substring_dedup.op_query(spark, _docs(spark, sf_dir))
+
+
+def op9_token_counts(spark, sf_dir):
+    return wordpiece_counts.op_query(spark, _docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_packing, op3_language, op4_vector_dedup, op5_mixing, op6_substrings, op7_quality, op8_minhash, op9_token_counts, op10_ann)}
 ORACLE = {"op5_mixing": mixing.SQL}
