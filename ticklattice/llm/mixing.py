@@ -35,7 +35,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
     Sources reach their limit in the order of limit / weight. With the first k at
     their limits, the others get `level` times their weight; k is the smallest for
-    which no other is above its limit.
+    which no other is above its limit (the level falls if more are put there, so it is the largest that fits).
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     place = (F.row_number().over(by_name) - 1) % len(weights)
@@ -47,7 +47,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     everything = Window.partitionBy()
     s = s.withColumn("total", F.sum("source_size").over(everything) * F.lit(share))
     s = s.withColumn("level", (F.col("total") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
+    s = s.withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
     return s.select("source", "source_size", F.least("limit", F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
@@ -101,7 +101,7 @@ w as (select *, cast(case (row_number() over (order by source asc nulls last) -
 r as (select *, lim / weight as ratio, cast(sum(source_size) over () as double) * cast(1.5 as double) as total from w),
 v as (select *, (total - coalesce(sum(lim) over (order by ratio, source asc nulls last rows between unbounded preceding and 1 preceding), 0.0))
              / (sum(weight) over () - coalesce(sum(weight) over (order by ratio, source asc nulls last rows between unbounded preceding and 1 preceding), 0.0)) as lev from r),
-g as (select source, source_size, least(lim, coalesce(min(case when lev <= ratio then lev end) over () * weight, lim)) as target from v),
+g as (select source, source_size, least(lim, coalesce(max(case when lev <= ratio then lev end) over () * weight, lim)) as target from v),
 p as (select d.doc_id, d.size, g.source_size, g.target,
              coalesce(sum(d.size) over (partition by d.source order by d.k, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as start,
              case when g.source_size > 0 then cast(floor(g.target / g.source_size) as bigint) else 0 end as whole
