@@ -4,6 +4,9 @@ Both vocabularies split a text before a lone space that stands between two
 characters, so a text's ids are its chunks' ids in a row. Texts for which that is
 not certain (runs of spaces, control characters, characters past Latin Extended-B,
 the special tokens' own strings) go to the library whole; the ids are the same.
+New chunks go to the library many at a time, as one text from which their ids can be
+told apart: by the space that each starts with, or by a control character as a word
+of its own between them.
 """
 
 from __future__ import annotations
@@ -14,15 +17,28 @@ import re
 import numpy as np
 
 #: Anything but tab, newline, printable ASCII and U+00A1..U+024F.
-_ODD = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\u0250-\U0010ffff]")
+_ODD = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0ɐ-\U0010ffff]")
 #: Chunks remembered by a Python worker (some 200 MB); beyond that it starts anew.
 _MOST_CHUNKS = 800_000
+_MARK = "\x01"
 
 
 def _goes_whole(text: str) -> bool:
     return "  " in text or "<|" in text or bool(_ODD.search(text))
 
 
+class _Index(dict):
+    """Numbers chunks as they are first looked up; new ones are listed."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = at = len(self)
+        self.new.append(chunk)
+        return at
+
+
 class TextEncoder:
     """encode(texts) gives (ids, counts): all ids in a row, and how many each text has. Null counts as empty.
 
@@ -36,10 +52,16 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_spaces = keeps_spaces
+        if keeps_spaces:
+            names = self.tokenizer.get_vocab()
+            self.starts = np.zeros(max(names.values()) + 1, bool)
+            self.starts[[i for x, i in names.items() if x.startswith("Ġ")]] = True
+        else:
+            (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.flat = np.zeros(0, np.uint32)
         self.begin = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
@@ -47,37 +69,60 @@ class TextEncoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each chunk begin and how many they are. A chunk that begins with _MARK stands
+        without a space, the empty one is a space alone."""
+        if not self.keeps_spaces:
+            ids = np.array(self._library([f" {_MARK} ".join([*chunks, ""])])[0], np.uint32)
+            ends = np.flatnonzero(ids == self.mark)
+            begin = np.append(0, ends[:-1] + 1)
+            return ids, begin, ends - begin
+        begin, length = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        odd = [i for i, x in enumerate(chunks) if not x or x[0] == _MARK]
+        plain = np.ones(len(chunks), bool)
+        plain[odd] = False
+        joined = " ".join(["", *(x for x, p in zip(chunks, plain.tolist(), strict=True) if p)])
+        ids = np.array(self._library([joined])[0], np.uint32)
+        begin[plain] = np.flatnonzero(self.starts[ids])
+        length[plain] = np.diff(begin[plain], append=len(ids))
+        more = self._library([chunks[i][1:] or " " for i in odd])
+        length[odd] = [len(x) for x in more]
+        begin[odd] = len(ids) + np.cumsum(length[odd]) - length[odd]
+        return np.concatenate([ids, np.array([i for x in more for i in x], np.uint32)]), begin, length
+
     def _learn(self, chunks: list[str]) -> None:
-        got = self._library(chunks)
-        length = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(length.sum()))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(length) - length])
-        self.flat = np.concatenate([self.flat, flat])
-        self.length = np.concatenate([self.length, length])
+        size = len(self.flat)
+        flat, begin, length = [self.flat], [self.begin], [self.length]
+        for k in range(0, len(chunks), 20_000):
+            f, b, n = self._ids_of(chunks[k : k + 20_000])
+            flat.append(f)
+            begin.append(b + size)
+            length.append(n)
+            size += len(f)
+        self.flat, self.begin, self.length = (np.concatenate(x) for x in (flat, begin, length))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         whole = [i for i, x in enumerate(texts) if x and _goes_whole(x)]
         odd = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True)) if whole else {}
-        index, places, new, per_text = self.index, [], [], np.zeros(len(texts), np.int64)
-        if len(index) > _MOST_CHUNKS:
+        if len(self.index) > _MOST_CHUNKS:
             self.clear()
-            index = self.index
+        places, per_text, number = [], np.zeros(len(texts), np.int64), self.index.__getitem__
         for i, text in enumerate(texts):
             if not text or i in odd:
                 continue
             if self.keeps_spaces:
-                first, *chunks = text.split(" ")
-                if first:
-                    chunks.insert(0, "\x01" + first)  # the others are kept without their leading space
+                chunks = text.split(" ")  # known without their leading space
+                if chunks[0]:
+                    chunks[0] = _MARK + chunks[0]
+                else:
+                    del chunks[0]
             else:
                 chunks = text.split()
-            for x in set(chunks).difference(index):
-                index[x] = len(index)
-                new.append(x)
-            places.append(np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks)))
+            places.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
             per_text[i] = len(chunks)
-        if new:
-            self._learn([x[1:] if x[:1] == "\x01" else " " + x for x in new] if self.keeps_spaces else new)
+        if self.index.new:
+            self._learn(self.index.new)
+            self.index.new = []
         place = np.concatenate(places) if places else np.zeros(0, np.int64)
         length = self.length[place]
         total = np.concatenate([[0], np.cumsum(length)])
