@@ -30,7 +30,7 @@ SCALE = 18  # frequencies add up to 2**SCALE
 LOW = np.uint64(1 << 31)
 _32, _S = np.uint64(32), np.uint64(SCALE)
 
-_RAW = "part int, block long, first_doc long, continued boolean, doc_ids array<long>, begins array<int>, n int, ids binary"
+_RAW = "part int, block long, first_doc long, continued boolean, doc_ids array<long>, begins array<int>, n int, ids binary, tally binary"
 _CODED = "part int, block long, first_doc long, continued boolean, doc_ids array<long>, begins array<int>, n int, states binary, places binary, payload binary, payload_crc32 long, ids_crc32 long"
 
 
@@ -54,7 +54,9 @@ def encoder(path: str, keeps_spaces: bool) -> TextEncoder:
 
 
 def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Documents in doc_id order as blocks of uint32 ids; a row for each block."""
+    """Documents in doc_id order as blocks of ids (16 bits each where the vocabulary allows, else 32); a row for each block.
+
+    tally, in the last row of a partition, has how often each id occurs in the partition: pairs of 64-bit integers."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = (
@@ -64,21 +66,22 @@ def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def blocks(batches):
         enc = encoder(tokenizer, True)
-        held, size, part, block, docs_seen = [], 0, None, 0, 0  # ids not yet in a block
+        held, size, part, block = [], 0, None, 0  # ids not yet in a block
         open_ids, open_begins, first_doc = [], [], 0
+        kind, seen = enc.kind, np.zeros(0, np.int64)
 
         def block_of(count):
             nonlocal held, size, block, open_ids, open_begins, first_doc
             flat = np.concatenate(held)
             row = [part, block, first_doc, not open_begins or open_begins[0] > 0]
             now = sum(b < count for b in open_begins)
-            row += [open_ids[:now], open_begins[:now], count, flat[:count].tobytes()]
+            row += [open_ids[:now], open_begins[:now], count, flat[:count].tobytes(), None]
             open_ids, open_begins = open_ids[now:], [b - count for b in open_begins[now:]]
             held, size, block, first_doc = [flat[count:]], size - count, block + 1, first_doc + now
             return row
 
         def as_batch(rows):
-            schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("first_doc", pa.int64()), ("continued", pa.bool_()), ("doc_ids", pa.list_(pa.int64())), ("begins", pa.list_(pa.int32())), ("n", pa.int32()), ("ids", pa.binary())])
+            schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("first_doc", pa.int64()), ("continued", pa.bool_()), ("doc_ids", pa.list_(pa.int64())), ("begins", pa.list_(pa.int32())), ("n", pa.int32()), ("ids", pa.binary()), ("tally", pa.binary())])
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
         for whole in batches:
@@ -91,16 +94,20 @@ def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 counts = counts + 1
                 open_begins += (size + np.cumsum(counts) - counts).tolist()
                 open_ids += batch.column("doc_id").to_pylist()
-                docs_seen += len(counts)
-                held.append(ids.astype("<u4"))
+                got = np.bincount(ids)
+                seen = got + np.pad(seen, (0, len(got) - len(seen))) if len(got) > len(seen) else seen + np.pad(got, (0, len(seen) - len(got)))
+                held.append(ids.astype(kind))
                 size += len(ids)
                 rows = []
                 while size >= BLOCK:
                     rows.append(block_of(BLOCK))
                 if rows:
                     yield as_batch(rows)
-        if size:
-            yield as_batch([block_of(size)])
+        if part is not None:
+            last = block_of(size)
+            found = np.flatnonzero(seen)
+            last[-1] = np.stack([found, seen[found]], axis=1).astype("<i8").tobytes()
+            yield as_batch([last])
 
     return dealt.mapInArrow(blocks, _RAW)
 
@@ -109,17 +116,12 @@ def frequencies(raw: DataFrame) -> DataFrame:
     """How often each id occurs in all blocks: (token_id, n); as many rows as the vocabulary has ids at most."""
 
     def count(batches):
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                got = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
-                if len(got) > len(total):
-                    total, got = got, total
-                total[: len(got)] += got
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["token_id", "n"])
+            for x in batch.column("tally").drop_null():
+                pairs = np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["token_id", "n"])
 
-    return raw.select("ids").mapInArrow(count, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
+    return raw.where("tally is not null").select("tally").mapInArrow(count, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
@@ -137,28 +139,24 @@ def quantised(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _segments(n: np.ndarray) -> int:
-    return -(-int(n.max()) // (LANES * CHECKPOINT))
-
-
 def encode_blocks(ids: list[np.ndarray], freq: np.ndarray) -> list[tuple[bytes, bytes, bytes]]:
     """(states, places, payload) of each block; states and places have an entry for each checkpoint."""
     f_of = np.append(freq, 1 << SCALE).astype(np.uint64)  # the last stands for no symbol: coding it changes nothing
     c_of = np.append(np.cumsum(freq) - freq, 0).astype(np.uint64)
     n = np.array([len(x) for x in ids])
     rows = -(-int(n.max()) // LANES)
-    sym = np.full((len(ids), rows * LANES), len(freq), np.int64)
+    sym = np.full((len(ids), rows * LANES), len(freq), np.int32)
     for i, x in enumerate(ids):
         sym[i, : len(x)] = x
-    sym = sym.reshape(len(ids), rows, LANES)
+    sym = np.ascontiguousarray(sym.reshape(len(ids), rows, LANES).transpose(1, 0, 2))  # by row
     x = np.full((len(ids), LANES), LOW)
     words, written = np.zeros(sym.shape, np.uint32), np.zeros(sym.shape, bool)
-    states = {}
+    states = {0: x}
     top = np.uint64(63 - SCALE)
     for r in range(rows - 1, -1, -1):
-        f, c = f_of[sym[:, r]], c_of[sym[:, r]]
+        f, c = f_of[sym[r]], c_of[sym[r]]
         out = x >= f << top
-        words[:, r], written[:, r] = x, out  # the low 32 bits
+        words[r], written[r] = x, out  # the low 32 bits
         x = np.where(out, x >> _32, x)
         q = x // f
         x = (q << _S) + (x - q * f) + c
@@ -167,14 +165,14 @@ def encode_blocks(ids: list[np.ndarray], freq: np.ndarray) -> list[tuple[bytes,
     result = []
     for i in range(len(ids)):
         marks = range(0, max(1, -(-int(n[i]) // LANES)), CHECKPOINT)
-        per_row = np.concatenate([[0], np.cumsum(written[i].sum(axis=1))])
-        result.append((np.concatenate([states[r][i] for r in marks]).astype("<u8").tobytes(), per_row[list(marks)].astype("<u4").tobytes(), words[i][written[i]].astype("<u4").tobytes()))
+        per_row = np.concatenate([[0], np.cumsum(written[:, i].sum(axis=1))])
+        result.append((np.concatenate([states[r][i] for r in marks]).astype("<u8").tobytes(), per_row[list(marks)].astype("<u4").tobytes(), words[:, i][written[:, i]].astype("<u4").tobytes()))
     return result
 
 
 def decode_blocks(n: list[int], states: list[bytes], places: list[bytes], payload: list[bytes], freq: np.ndarray) -> list[np.ndarray]:
     """The ids of each block; all stretches between checkpoints are decoded side by side."""
-    symbol_at = np.repeat(np.arange(len(freq), dtype=np.int64), freq)
+    symbol_at = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
     f_of, c_of = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
     words = np.frombuffer(b"".join(payload) + bytes(4), "<u4")
     base = np.cumsum([0] + [len(x) // 4 for x in payload[:-1]])
@@ -183,20 +181,20 @@ def decode_blocks(n: list[int], states: list[bytes], places: list[bytes], payloa
     at = np.concatenate([np.frombuffer(p, "<u4").astype(np.int64) + b for p, b in zip(places, base, strict=True)])
     left = np.concatenate([np.minimum(k - np.arange(m) * LANES * CHECKPOINT, LANES * CHECKPOINT) for k, m in zip(n, per, strict=True)])
     rows = -(-int(left.max()) // LANES)
-    out = np.zeros((len(left), rows, LANES), np.uint32)
+    out = np.zeros((rows, len(left), LANES), np.uint32)
     lane, low = np.arange(LANES), np.uint64((1 << SCALE) - 1)
     for r in range(rows):
         live = r * LANES + lane < left[:, None]
         slot = x & low
         s = symbol_at[slot.astype(np.int64)]
-        out[:, r] = s
+        out[r] = s
         y = f_of[s] * (x >> _S) + slot - c_of[s]
         more = live & (y < LOW)
         place = at[:, None] + np.cumsum(more, axis=1) - 1
         y = np.where(more, (y << _32) | words[np.where(more, place, 0)], y)
         at += more.sum(axis=1)
         x = np.where(live, y, x)
-    flat, result, k = out.reshape(len(left), -1), [], 0
+    flat, result, k = np.ascontiguousarray(out.transpose(1, 0, 2)).reshape(len(left), -1), [], 0
     for count, m in zip(n, per, strict=True):
         result.append(np.concatenate([flat[k + j, : left[k + j]] for j in range(m)])[:count])
         k += m
@@ -218,15 +216,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
 
     def code(batches):
         for whole in batches:
-            for k in range(0, whole.num_rows, 48):
-                batch = whole.slice(k, 48)
-                ids = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("ids")]
+            for k in range(0, whole.num_rows, 96):
+                batch = whole.slice(k, 96)
+                ids = [np.frombuffer(x.as_buffer(), "<u2" if len(x.as_buffer()) == 2 * n else "<u4") for x, n in zip(batch.column("ids"), batch.column("n").to_pylist(), strict=True)]
                 coded = encode_blocks(ids, freq)
                 more = [pa.array([x[j] for x in coded], pa.binary()) for j in range(3)]
-                crcs = [pa.array([zlib.crc32(x[2]) for x in coded], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+                crcs = [pa.array([zlib.crc32(x[2]) for x in coded], pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more, *crcs], names=[*batch.schema.names[:-1], "states", "places", "payload", "payload_crc32", "ids_crc32"])
 
-    raw.mapInArrow(code, _CODED).write.parquet(files.blocks)
+    raw.drop("tally").mapInArrow(code, _CODED).write.parquet(files.blocks)
     return files
 
 
@@ -238,32 +236,37 @@ def _frequency_array(spark: SparkSession, files: TokenFiles) -> np.ndarray:
     return freq
 
 
-def read_token_files(spark: SparkSession, files: TokenFiles) -> DataFrame:
+def read_token_files(spark: SparkSession, files: TokenFiles, digests: bool = False) -> DataFrame:
     """Pieces of documents as the files have them: part, ordinal (of the document in its part), doc_id, block, begin (ids
-    of its part before the piece), ids (binary, uint32). A checksum that does not hold raises an error."""
+    of its part before the piece), ids (binary, uint32), or with digests n and crc (of these bytes) in their place. A
+    checksum that does not hold raises an error."""
     freq = _frequency_array(spark, files)
 
     def pieces(batches):
         for whole in batches:
-            for k in range(0, whole.num_rows, 48):
-                b = whole.slice(k, 48).to_pydict()
+            for k in range(0, whole.num_rows, 96):
+                b = whole.slice(k, 96).to_pydict()
                 bad = [i for i, x in enumerate(b["payload"]) if zlib.crc32(x) != b["payload_crc32"][i]]
                 got = [] if bad else decode_blocks(b["n"], b["states"], b["places"], b["payload"], freq)
                 bad += [i for i, x in enumerate(got) if zlib.crc32(x.astype("<u4").tobytes()) != b["ids_crc32"][i]]
                 if bad:
                     raise ValueError(f"checksum of block {b['block'][bad[0]]} of part {b['part'][bad[0]]} does not hold")
-                rows = {x: [] for x in ("part", "ordinal", "doc_id", "block", "begin", "ids")}
+                rows = {x: [] for x in names_of}
                 for i, ids in enumerate(got):
                     begins, names = list(b["begins"][i]), list(b["doc_ids"][i])
                     cuts = ([0] if b["continued"][i] else []) + begins
                     names = ([None] if b["continued"][i] else []) + names
                     first = b["first_doc"][i] - b["continued"][i]
                     for j, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(ids)], strict=True)):
-                        for key, v in zip(rows, (b["part"][i], first + j, names[j], b["block"][i], b["block"][i] * BLOCK + lo, ids[lo:hi].astype("<u4").tobytes()), strict=True):
+                        piece = ids[lo:hi].astype("<u4").tobytes()
+                        content = (hi - lo, zlib.crc32(piece)) if digests else (piece,)
+                        for key, v in zip(rows, (b["part"][i], first + j, names[j], b["block"][i], b["block"][i] * BLOCK + lo, *content), strict=True):
                             rows[key].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=list(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], names=names_of)
 
-    return spark.read.schema(_CODED).parquet(files.blocks).mapInArrow(pieces, "part int, ordinal long, doc_id long, block long, begin long, ids binary")
+    names_of = ["part", "ordinal", "doc_id", "block", "begin", *(["n", "crc"] if digests else ["ids"])]
+    kinds = [pa.int32(), *[pa.int64()] * 4, *([pa.int64()] * 2 if digests else [pa.binary()])]
+    return spark.read.schema(_CODED).parquet(files.blocks).mapInArrow(pieces, "part int, ordinal long, doc_id long, block long, begin long, " + ("n long, crc long" if digests else "ids binary"))
 
 
 #: The reversed CRC-32 polynomial (fixed value).
@@ -303,7 +306,7 @@ def document_digests(spark: SparkSession, files: TokenFiles) -> DataFrame:
     def joined(pieces):
         return crc32_joined([(p.crc, p.n * 4) for p in pieces])
 
-    pieces = read_token_files(spark, files).select("part", "ordinal", "doc_id", "block", "begin", (F.length("ids") / 4).cast("long").alias("n"), F.crc32("ids").alias("crc"))
+    pieces = read_token_files(spark, files, digests=True)
     docs = pieces.groupBy("part", "ordinal").agg(F.max("doc_id").alias("doc_id"), F.min("begin").alias("begin"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("block", "n", "crc"))).alias("pieces"))
     one = docs.withColumn("ids_crc32", F.when(F.size("pieces") == 1, F.col("pieces")[0]["crc"]).otherwise(joined("pieces")))
     return one.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")

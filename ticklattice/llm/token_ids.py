@@ -52,6 +52,7 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_spaces = keeps_spaces
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         if keeps_spaces:
             names = self.tokenizer.get_vocab()
             self.starts = np.zeros(max(names.values()) + 1, bool)
