@@ -94,8 +94,8 @@ class TextEncoder:
     def _learn(self, chunks: list[str]) -> None:
         size = len(self.flat)
         flat, begin, length = [self.flat], [self.begin], [self.length]
-        for k in range(0, len(chunks), 20_000):
-            f, b, n = self._ids_of(chunks[k : k + 20_000])
+        for k in range(0, len(chunks), 1000):
+            f, b, n = self._ids_of(chunks[k : k + 1000])
             flat.append(f)
             begin.append(b + size)
             length.append(n)
