@@ -23,7 +23,8 @@ An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from math import comb
+from functools import lru_cache
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -43,26 +44,30 @@ MISS = 1e-4
 BLOCK = 1024
 FIRST_TRIES = 8
 
+#: Further hashes, of which one byte is kept; only nodes that share a bucket get them.
+MORE, MORE_BATCH = 1024, 256
+
 _rng = np.random.default_rng(7)
-_MUL = (_rng.integers(0, 2**31, HASHES) * 2 + 1).astype(np.uint32)
-_ADD = _rng.integers(0, 2**32, HASHES).astype(np.uint32)
+_MUL = (_rng.integers(0, 2**31, HASHES + MORE) * 2 + 1).astype(np.uint32)
+_ADD = _rng.integers(0, 2**32, HASHES + MORE).astype(np.uint32)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of HASHES minima for each set; sets must not be empty."""
+def signatures(sets: list[np.ndarray], first: int = 0, count: int = HASHES) -> np.ndarray:
+    """A row of `count` minima for each set, from the hash functions from `first` on; sets must not be empty."""
     start = np.cumsum([0, *(len(x) for x in sets[:-1])])
     x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(sets), HASHES), np.uint32)
-    for k in range(HASHES):
-        out[:, k] = np.minimum.reduceat(x * _MUL[k] + _ADD[k], start)
+    out = np.empty((len(sets), count), np.uint32)
+    for k in range(count):
+        out[:, k] = np.minimum.reduceat(x * _MUL[first + k] + _ADD[first + k], start)
     return out
 
 
+@lru_cache(None)
 def least_matches(threshold: float, hashes: int, miss: float = MISS) -> int:
     """Fewest matches of so many hashes for which the posterior of similarity >= threshold (uniform prior) is `miss` at least."""
     total = 0.0
     for m in range(hashes + 1):
-        total += comb(hashes + 1, m) * threshold**m * (1 - threshold) ** (hashes + 1 - m)
+        total += exp(lgamma(hashes + 2) - lgamma(m + 1) - lgamma(hashes + 2 - m) + m * log(threshold) + (hashes + 1 - m) * log(1 - threshold))
         if total >= miss:
             return m
     return hashes
@@ -78,6 +83,17 @@ def surviving(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarra
     return alive, matches
 
 
+def surviving_more(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same on rows of single bytes, of which unequal minima share one in 256."""
+    same = threshold + (1 - threshold) / 256
+    alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
+    for k in range(0, MORE, MORE_BATCH):
+        matches = matches + (a[alive, k : k + MORE_BATCH] == b[alive, k : k + MORE_BATCH]).sum(axis=1)
+        go = matches >= least_matches(same, k + MORE_BATCH)
+        alive, matches = alive[go], matches[go]
+    return alive, matches
+
+
 def _signed(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n (set size), node (the set's fingerprint; null if empty), signature."""
 
@@ -102,7 +118,7 @@ def fingerprint(x: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node and its sorted set (binary) for the nodes in wanted (node, rep)."""
+    """node, its sorted set and its further hashes (both binary) for the nodes in wanted (node, rep)."""
 
     def run(batches):
         for whole in batches:
@@ -110,10 +126,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(text_bytes(batch, "text"), words)
                 node = batch.column("node").to_pylist()
                 own = [i for i, x in enumerate(sets) if len(x) and fingerprint(x) == node[i]]  # a doc_id may stand for several texts
-                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in own], pa.int64()), pa.array([sets[i].astype("<u8").tobytes() for i in own], pa.binary())], names=["node", "items"])
+                more = signatures([sets[i] for i in own], HASHES, MORE).astype(np.uint8) if own else []
+                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in own], pa.int64()), pa.array([sets[i].astype("<u8").tobytes() for i in own], pa.binary()), pa.array([x.tobytes() for x in more], pa.binary())], names=["node", "items", "more"])
 
     found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    return found.mapInArrow(run, "node long, items binary").dropDuplicates(["node"])
+    return found.mapInArrow(run, "node long, items binary, more binary").dropDuplicates(["node"])
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -152,11 +169,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sa, "lo").join(sb, "hi").select("lo", "hi", "ia", "ib").mapInArrow(run, "a long, b long")
 
 
-def _candidates(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, threshold: float, percent: int) -> DataFrame:
+def _candidates(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame, threshold: float, percent: int) -> DataFrame:
     """Pairs (lo, hi, matches) of different components that share a bucket and survive; each pair once."""
     now = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_keys = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rows = now.join(open_keys, "key").join(nodes.select("node", "signature"), "node")
+    rows = now.join(open_keys, "key").join(nodes.select("node", "signature"), "node").join(sets.select("node", "more"), "node")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.withColumn("_c", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.withColumn("_group", F.xxhash64("key", F.least("_c", "_o"), F.greatest("_c", "_o"))).withColumn("_cross", F.col("_c") != F.col("_o"))
@@ -166,8 +183,9 @@ def _candidates(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, thresho
     def run(table: pa.Table) -> pa.Table:
         g, node, label, n, band, c, cross = (table.column(x).to_numpy() for x in ("_group", "node", "label", "n", "band", "_c", "_cross"))
         sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(-1, HASHES)
+        more = np.frombuffer(b"".join(table.column("more").to_pylist()), np.uint8).reshape(-1, MORE)
         order = np.lexsort((node, g))
-        g, node, label, n, band, c, cross, sig = (x[order] for x in (g, node, label, n, band, c, cross, sig))
+        g, node, label, n, band, c, cross, sig, more = (x[order] for x in (g, node, label, n, band, c, cross, sig, more))
         lo, hi, found = [], [], []
         for d in range(1, len(g)):
             i = np.flatnonzero(g[d:] == g[:-d])
@@ -178,17 +196,19 @@ def _candidates(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, thresho
             i, j = i[ok], j[ok]
             if not len(i):
                 continue
-            alive, matches = surviving(sig[i], sig[j], threshold)
+            alive, _ = surviving(sig[i], sig[j], threshold)
+            i, j = i[alive], j[alive]
+            first = (sig[i] == sig[j]).reshape(len(i), BANDS, ROWS).all(axis=2).argmax(axis=1) == band[i]
+            i, j = i[first], j[first]
+            alive, matches = surviving_more(more[i], more[j], threshold)
             i, j = i[alive], j[alive]
-            same = (sig[i] == sig[j]).reshape(len(i), BANDS, ROWS).all(axis=2)
-            first = same.argmax(axis=1) == band[i]
-            lo.append(np.minimum(node[i], node[j])[first])
-            hi.append(np.maximum(node[i], node[j])[first])
-            found.append(matches[first])
+            lo.append(np.minimum(node[i], node[j]))
+            hi.append(np.maximum(node[i], node[j]))
+            found.append(matches)
         cat = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
         return pa.table({"lo": pa.array(cat(lo), pa.int64()), "hi": pa.array(cat(hi), pa.int64()), "matches": pa.array(cat(found), pa.int64())})
 
-    picked = rows.select("_task", "_group", "node", "label", "n", "band", "_c", "_cross", "signature")
+    picked = rows.select("_task", "_group", "node", "label", "n", "band", "_c", "_cross", "signature", "more")
     return picked.groupBy("_task").applyInArrow(run, "lo long, hi long, matches long")
 
 
@@ -217,7 +237,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = stored(_verified(_close(star, nodes, threshold), sets, percent), "links")
     labels = components(links)
 
-    open_pairs = stored(_candidates(buckets, nodes, labels, threshold, percent), "candidates")
+    open_pairs = stored(_candidates(buckets, nodes, sets, labels, threshold, percent), "candidates")
     ends = open_pairs.select(F.col("lo").alias("x"), "lo", "hi", "matches").unionByName(open_pairs.select(F.col("hi").alias("x"), "lo", "hi", "matches"))
     order = Window.partitionBy("x").orderBy(F.desc("matches"), "lo", "hi")
     first = ends.withColumn("r", F.row_number().over(order)).where(F.col("r") <= FIRST_TRIES).select("lo", "hi").distinct()
