@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,7 +42,7 @@ def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 def slices(batch: pa.RecordBatch, column: str, most: int):
     """Cuts a batch into runs of rows whose texts in column have about `most` bytes together, one row at least."""
-    size = [len(x) if x is not None else 0 for x in batch.column(column).cast(pa.binary()).to_pylist()]
+    size = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     begin, total = 0, 0
     for i, n in enumerate(size):
         if i > begin and total + n > most:

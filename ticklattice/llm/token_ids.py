@@ -18,8 +18,8 @@ import numpy as np
 
 #: Anything but tab, newline, printable ASCII and U+00A1..U+024F.
 _ODD = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0ɐ-\U0010ffff]")
-#: Chunks remembered by a Python worker (some 200 MB); beyond that it starts anew.
-_MOST_CHUNKS = 800_000
+#: Chunks remembered by a Python worker (some 100 to 200 MB), with and without spaces; beyond that it starts anew.
+_MOST_CHUNKS = {True: 800_000, False: 300_000}
 _MARK = "\x01"
 
 
@@ -105,7 +105,7 @@ class TextEncoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         whole = [i for i, x in enumerate(texts) if x and _goes_whole(x)]
         odd = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True)) if whole else {}
-        if len(self.index) > _MOST_CHUNKS:
+        if len(self.index) > _MOST_CHUNKS[self.keeps_spaces]:
             self.clear()
         places, per_text, number = [], np.zeros(len(texts), np.int64), self.index.__getitem__
         for i, text in enumerate(texts):
