@@ -5,7 +5,7 @@ vocabulary. The vocabulary's trie has, for each node, a failure link and a numbe
 popped tokens: when no child fits, the tokens of the longest matches from there are
 counted and matching goes on in the node of what is left of them. Each character is
 read once and links are followed no more often than characters are read. A character
-that no token starts with counts as one token.
+that no token starts with counts as one token, and so does an end mark left alone.
 
 Words are the pieces between white space of the lower-cased text. The distinct words
 of a batch go through the automaton side by side. Null counts as empty (0 tokens);
