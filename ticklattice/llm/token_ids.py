@@ -18,8 +18,8 @@ import numpy as np
 
 #: Anything but tab, newline, printable ASCII and U+00A1..U+024F.
 _ODD = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0ɐ-\U0010ffff]")
-#: Chunks remembered by a Python worker (some 100 to 200 MB), with and without spaces; beyond that it starts anew.
-_MOST_CHUNKS = {True: 800_000, False: 300_000}
+#: Chunks remembered by a Python worker (some 100 to 200 MB); beyond that those met again stay, a third at most.
+_MOST_CHUNKS = 800_000
 _MARK = "\x01"
 
 
@@ -43,7 +43,7 @@ class TextEncoder:
     """encode(texts) gives (ids, counts): all ids in a row, and how many each text has. Null counts as empty.
 
     keeps_spaces: a chunk after the first starts with its space (byte-level
-    vocabularies); otherwise white space is dropped.
+    vocabularies); otherwise white space and case are dropped.
     """
 
     def __init__(self, path: str, keeps_spaces: bool):
@@ -59,13 +59,22 @@ class TextEncoder:
             self.starts[[i for x, i in names.items() if x.startswith("Ġ")]] = True
         else:
             (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-        self.clear()
-
-    def clear(self) -> None:
         self.index = _Index()
         self.flat = np.zeros(0, np.uint32)
         self.begin = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
+        self.hits = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Leaves the chunks met most often, none that was met once."""
+        order = np.argsort(-self.hits, kind="stable")[: _MOST_CHUNKS // 3]
+        kept = np.sort(order[self.hits[order] > 1])
+        chunks, index = list(self.index), _Index()
+        index.update((chunks[k], i) for i, k in enumerate(kept.tolist()))
+        length = self.length[kept]
+        begin = np.cumsum(length) - length
+        self.flat = self.flat[np.repeat(self.begin[kept] - begin, length) + np.arange(int(length.sum()))]
+        self.index, self.begin, self.length, self.hits = index, begin, length, self.hits[kept] // 2
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -101,12 +110,13 @@ class TextEncoder:
             length.append(n)
             size += len(f)
         self.flat, self.begin, self.length = (np.concatenate(x) for x in (flat, begin, length))
+        self.hits = np.append(self.hits, np.zeros(len(chunks), np.int64))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         whole = [i for i, x in enumerate(texts) if x and _goes_whole(x)]
         odd = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True)) if whole else {}
-        if len(self.index) > _MOST_CHUNKS[self.keeps_spaces]:
-            self.clear()
+        if len(self.index) > _MOST_CHUNKS:
+            self._forget()
         places, per_text, number = [], np.zeros(len(texts), np.int64), self.index.__getitem__
         for i, text in enumerate(texts):
             if not text or i in odd:
@@ -118,13 +128,14 @@ class TextEncoder:
                 else:
                     del chunks[0]
             else:
-                chunks = text.split()
+                chunks = text.lower().split()
             places.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
             per_text[i] = len(chunks)
         if self.index.new:
             self._learn(self.index.new)
             self.index.new = []
         place = np.concatenate(places) if places else np.zeros(0, np.int64)
+        self.hits += np.bincount(place, minlength=len(self.hits))
         length = self.length[place]
         total = np.concatenate([[0], np.cumsum(length)])
         ids = self.flat[np.repeat(self.begin[place] - total[:-1], length) + np.arange(total[-1])]
