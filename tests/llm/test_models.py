@@ -88,6 +88,28 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert all(np.isclose(s, exact[q][i], rtol=1e-12) for q in exact for i, s in got[q])
 
 
+def test_neighbours_in_hot_groups_of_copies(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    spread, centre, copied = unit(rng.normal(size=(1500, 32))), unit(rng.normal(size=32)), unit(rng.normal(size=32))
+    near = unit(centre + 0.2 / np.sqrt(32) * rng.normal(size=(1500, 32)))
+    x = np.concatenate([spread, near, np.tile(copied, (1500, 1))])[rng.permutation(4500)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[21].tolist())] * 25 + [(21, x[21].tolist())] * 3 + [(None, x[40].tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(ann.op_query(spark, vectors).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(-1 if r.vec_id is None else r.vec_id)
+    ids, every, recall = np.array([-1 if i is None else i for i, _ in rows]), np.array([v for _, v in rows]), {}
+    for q in (q for q in range(0, 4500, 20) if q != 20):  # vec_id 20 has two vectors
+        score = np.round(every @ x[q], 12)
+        order = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:20]
+        kind = "copies" if np.allclose(x[q], copied) else "near" if x[q] @ centre > 0.8 else "spread"
+        want, found = ids[order].tolist(), got[q]
+        recall.setdefault(kind, []).append(sum(min(want.count(i), found.count(i)) for i in set(want)) / 20)
+        assert len(found) == 20 and q not in found
+    assert min(recall["copies"]) == 1 and np.mean(recall["near"]) >= 0.95 and np.mean(recall["spread"]) >= 0.9
+
+
 def test_neighbours_edges(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [float("nan"), 1.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [None, 1.0]), (80, [2.0, 0.0])]
     v = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")

@@ -1,14 +1,19 @@
 """Nearest neighbours by inner product: inverted file, product quantisation, exact reranking.
 
 Coarse centroids and the codebooks of residuals' sub-vectors are fitted on about
-SAMPLE vectors chosen by a hash; every vector is then indexed: its list is that of
-the nearest centroid, its code names the nearest codeword of each sub-vector of its
-residual. A query probes the PROBES lists with the largest inner products to their
-centroids. In these, inner products are estimated from the query's table of
-sub-vectors against codewords (the query itself is not quantised), the SHORT best of
-each chunk are computed exactly in double precision, and the k best of all are
-returned. Cells of lists are cut into chunks of bounded size, queries too, so a list
-with a third of all vectors is spread.
+SAMPLE distinct vectors chosen by a hash; every distinct vector is then indexed once:
+its list is that of the nearest centroid, its code names the nearest codeword of each
+sub-vector of its residual, and the length of what the code leaves over is kept. A
+query probes the PROBES lists with the largest inner products to their centroids. In
+these, inner products are estimated from the query's table of sub-vectors against
+codewords (the query itself is not quantised). The SHORT best of each chunk, computed
+exactly in double precision, give a score that k vectors reach; every vector whose
+estimate plus the largest possible error (the query's length times that left over)
+reaches it is computed exactly too, so within the probed lists nothing is lost, copies
+and near copies included. The k best of all are returned. A vector brings its k + 1
+smallest vec_ids (the query's own is left out), of which no more are needed. Cells of
+lists are cut into chunks of bounded size, queries too, so a list with a third of all
+vectors is spread.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor
 do those of another length than the most frequent. Ties go to the smaller vec_id; of
@@ -73,6 +78,18 @@ class Index:
         np.put_along_axis(out, np.argsort(-score, axis=1, kind="stable")[:, :n], True, axis=1)
         return out
 
+    def left_over(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The distance of each vector to what its list and code stand for."""
+        rest = x - self.centroids[lists]
+        for j, (a, b) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
+            rest[:, a:b] -= self.books[j][codes[:, j]]
+        return np.sqrt((rest * rest).sum(axis=1))
+
+    def rounding(self) -> float:
+        """Bound of an estimate's rounding error in single precision, for a query of length 1."""
+        longest = [np.sqrt((w * w).sum(axis=1)).max() for w in (self.centroids, *self.books)]
+        return 2e-7 * (len(longest) + 1) * sum(longest)
+
     def estimates(self, q: np.ndarray, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
         out = (q @ self.centroids.T).astype(np.float32)[:, lists]
         for j, (a, b) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
@@ -98,18 +115,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = dims["dim"]
     good = good.where(F.col("dim") == dim)
-    index = fit(good, dim, dims["n"])
+    # a query leaves out one vec_id and needs k rows: k + 1 different vec_ids, each with k rows at most, are enough
+    rows = good.groupBy("v", F.coalesce("vec_id", F.lit(-(1 << 63))).alias("id")).agg(F.least(F.count("*"), F.lit(k)).alias("times"))
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= k + 1)
+    distinct = stored(rows.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "times"))).alias("x")).select("v", "x.id", "x.times"), "distinct")
+    index = fit(distinct, dim, distinct.count())
     if index is None:  # too few rows for a sample by hash: all of them
-        index = fit(good, dim, 1)
+        index = fit(distinct, dim, 1)
 
     def assign(batches):
         for b in batches:
             if b.num_rows:
                 x = unpacked(b.column("v"), dim)
                 lists = index.lists(x)
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(lists, pa.int32()), pa.array([c.tobytes() for c in index.codes(x, lists)], pa.binary())], names=["vec_id", "v", "list", "code"])
+                codes = index.codes(x, lists)
+                more = [pa.array(lists, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(index.left_over(x, lists, codes))]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("v", "id", "times")), *more], names=["v", "id", "times", "list", "code", "over"])
 
-    indexed = stored(good.select("vec_id", "v").mapInArrow(assign, "vec_id long, v binary, list int, code binary"), "indexed")
+    indexed = stored(distinct.mapInArrow(assign, "v binary, id array<long>, times array<long>, list int, code binary, over double"), "indexed")
     cell_sizes = {r["c"]: r["n"] for r in indexed.groupBy((F.col("list") % CELLS).alias("c")).agg(F.count("*").alias("n")).collect()}  # CELLS rows
     queries = good.where(is_query & F.col("vec_id").isNotNull()).select("vec_id", "v").groupBy("vec_id").agg(F.min("v").alias("v"))
     n_query_chunks = max(1, -(-queries.count() // QUERIES))
@@ -117,29 +140,53 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     cells = F.array(*(F.lit(c) for c in sorted(cell_sizes)))
     left = queries.withColumn("_q", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_chunks))).withColumn("_cell", F.explode(cells))
     left = left.withColumn("_chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    right = indexed.withColumn("_cell", F.col("list") % CELLS).withColumn("_chunk", F.pmod(F.xxhash64("vec_id", "v"), chunks).cast("int"))
+    right = indexed.withColumn("_cell", F.col("list") % CELLS).withColumn("_chunk", F.pmod(F.xxhash64("v"), chunks).cast("int"))
     right = right.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query_chunks - 1).cast("long"))))
+    rounding = index.rounding()
 
     def run(qs: pa.Table, xs: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
         if qs.num_rows and xs.num_rows:
             q_id = qs.column("vec_id").to_numpy()
-            x_id = xs.column("vec_id").fill_null(-(1 << 63)).to_numpy()
+            ids, times = xs.column("id").combine_chunks(), xs.column("times").combine_chunks()
+            n_ids = ids.value_lengths().to_numpy()
+            begin = np.cumsum(n_ids) - n_ids
+            ids, times = ids.flatten().to_numpy(), times.flatten().to_numpy()
+            only = np.where(n_ids == 1, ids[begin], 0)
             q, x = unpacked(qs.column("v"), dim), unpacked(xs.column("v"), dim)
-            lists = xs.column("list").to_numpy()
+            lists, over = xs.column("list").to_numpy(), xs.column("over").to_numpy()
             codes = np.frombuffer(b"".join(xs.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
+            longest = np.sqrt((x * x).sum(axis=1).max())
             for lo in range(0, len(q), 256):
-                some, ids = q[lo : lo + 256], q_id[lo : lo + 256]
+                some, own = q[lo : lo + 256], q_id[lo : lo + 256]
+                size = np.sqrt((some * some).sum(axis=1))[:, None]
+                may = index.probed(some)[:, lists] & ((n_ids != 1) | (own[:, None] != only))
                 near = index.estimates(some, codes, lists)
-                near[~index.probed(some)[:, lists] | (ids[:, None] == x_id[None, :])] = -np.inf
-                short = np.argpartition(-near, min(SHORT, len(x)) - 1, axis=1)[:, :SHORT]
-                exact = np.where(np.isfinite(np.take_along_axis(near, short, 1)), np.einsum("qd,qsd->qs", some, x[short]), -np.inf)
+                short = np.argpartition(-np.where(may, near, -np.inf), min(SHORT, len(x)) - 1, axis=1)[:, :SHORT]
+                exact = np.where(np.take_along_axis(may, short, 1), np.einsum("qd,qsd->qs", some, x[short]), -np.inf)
+                slack = 1e-12 * size * longest
+                reached = (np.sort(exact, axis=1)[:, -k, None] if exact.shape[1] >= k else -np.inf) - slack
+                may &= ~(near + size * (over + rounding) < reached)  # what is not a number stays
+                at = np.flatnonzero(may.any(axis=0))
+                if not len(at):
+                    continue
+                score = np.where(may[:, at], some @ x[at].T, -np.inf)
+                reached = (np.partition(score, -k, axis=1)[:, -k, None] if len(at) >= k else -np.inf) - slack
+                best = may[:, at] & ~(score < reached)
                 for i in range(len(some)):
-                    best = np.lexsort((x_id[short[i]], -exact[i]))[:k]
-                    best = best[np.isfinite(exact[i][best])]
-                    out["query_id"].append(np.full(len(best), ids[i]))
-                    out["vec_id"].append(x_id[short[i]][best])
-                    out["score"].append(exact[i][best])
+                    c = at[best[i]]
+                    e = np.einsum("sd,d->s", x[c], some[i])
+                    # rows of these vectors, the query's own left out
+                    n = n_ids[c]
+                    place = np.repeat(begin[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    e = np.repeat(e, n)
+                    other = ids[place] != own[i]
+                    e, place = e[other], place[other]
+                    first = np.lexsort((ids[place], -e))[:k]
+                    first = np.repeat(first, times[place[first]])[:k]
+                    out["query_id"].append(np.full(len(first), own[i]))
+                    out["vec_id"].append(ids[place[first]])
+                    out["score"].append(e[first])
         return pa.table({c: pa.array(np.concatenate([np.zeros(0), *v]) if c == "score" else np.concatenate([np.zeros(0, np.int64), *v]), t) for (c, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
     keys = ("_cell", "_chunk", "_q")
