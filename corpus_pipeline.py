@@ -4,13 +4,14 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns
 documents, the last the places of pieces in sequences. Stages work on whatever rows
 they are given: null or empty texts, repeated rows and empty tables included. Columns
 past those of documents are carried along, whatever their names.
-doc_id names a document: rows that share one stay or go together in stage 2.
+doc_id names a document: rows that share one stay or go together in stage 2, but of
+rows with the same doc_id and text it keeps one.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticklattice.llm import language_crf, minhash, mixing, packing, storage, substring_dedup
@@ -37,10 +38,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group linked at similarity 0.8 of five-word shingles."""
+    """Keeps the document with the smallest doc_id of each group linked at similarity 0.8 of five-word shingles; of rows with
+    equal doc_id and text the one whose other own columns are smallest."""
     columns, docs = docs.columns, _plain(docs)
     kept = minhash.near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").toDF(*columns)
+    names = docs.columns
+    docs = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    docs = docs.withColumn("_same", F.xxhash64(F.col("text").isNull(), "text"))
+    one = Window.partitionBy("doc_id", "_same").orderBy(*(c for c in _OWN[2:] if c in names), F.lit(0))
+    return docs.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(*names).toDF(*columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,6 +94,17 @@ def test_substrings_on_planted_rows(spark):
     assert sorted(map(tuple, substring_dedup.op_query(spark, docs).collect())) == sorted(removed(rows))
 
 
+def test_substrings_of_equal_rows_stay(spark):
+    rng = np.random.default_rng(8)
+    line = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    a, b = line(300), line(130)
+    rows = [(1, a), (2, line(60) + b + line(40)), (3, line(20) + b), (4, a[30:200] + b + line(90))]
+    want = {r[0]: r for r in removed(rows)}
+    twice = rows * 2 + rows[1:2]
+    docs = spark.createDataFrame(twice, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, substring_dedup.op_query(spark, docs).collect())) == sorted(want[i] for i, _ in twice)
+
+
 def test_substrings_edges(spark, edges, no_rows):
     rows = substring_dedup.op_query(spark, edges).collect()
     by = {r.doc_id: r for r in rows}

@@ -33,6 +33,18 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, small):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, small).collect()} == {i for i in ids if label[i] == i}
 
 
+def test_a_document_listed_twice_stays_once(spark, small):
+    text = " ".join(f"clean{i}" for i in range(60))
+    rows = [(1, text, "en", "a", len(text))] * 2 + [(2, "some other words", "en", "a", 16), (None, "no id but words", "en", "b", 15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.repeated_passages):
+        kept = stage(spark, docs, small)
+        assert {r.doc_id: r.text for r in kept.collect()}[1] == text
+    once = corpus_pipeline.near_duplicates(spark, docs, small)
+    assert sorted(r.doc_id or 0 for r in once.collect()) == [0, 1, 2]
+    assert {r.text for r in corpus_pipeline.repeated_passages(spark, once, small).collect()} == {text, "some other words", "no id but words"}
+
+
 def test_whole_pipeline_packs_what_is_left(spark, small):
     rows = corpus_pipeline.run(spark, small).collect()
     assert rows and {r.piece for r in rows} >= {0}

@@ -151,10 +151,17 @@ def _refined(rows: DataFrame, n: int) -> DataFrame:
     def run(batches):
         bucket = part = None  # of the row before
         first, told = (0, 0), True  # the bucket's first row, and whether it was handed on
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g, r, d, p = (batch.column(c).to_numpy() for c in ("bucket", "run", "d", "p"))
+            columns = [batch.column(c).to_numpy() for c in ("bucket", "run", "d", "p")]
+            # equal rows of docs give equal positions, of which one counts
+            own = np.append(last is None or any(c[0] != x for c, x in zip(columns, last or (), strict=False)), np.any([c[1:] != c[:-1] for c in columns], axis=0))
+            last = [c[-1] for c in columns]
+            if not own.any():
+                continue
+            g, r, d, p = (c[own] for c in columns)
             new = np.append(bucket is None or g[0] != bucket, g[1:] != g[:-1])
             other = new | np.append(part is None or r[0] != part, r[1:] != r[:-1])
             owner = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
@@ -247,7 +254,10 @@ def _repeated_windows(slices: DataFrame, n: int) -> DataFrame:
         key, left, right, d, p = (table.column(c).to_numpy() for c in ("key", "left", "right", "d", "p"))
         _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
         some = np.flatnonzero(count[inverse] > 1)
-        some = some[np.lexsort((p[some], d[some]))]
+        some = some[np.lexsort((key[some], p[some], d[some]))]
+        own = np.ones(len(some), bool)  # equal rows of docs give equal slices, of which one counts
+        own[1:] = np.any([x[some[1:]] != x[some[:-1]] for x in (key, p, d)], axis=0)
+        some = some[own]
         key, left, right, d, p = key[some].view(np.uint64), left[some].view(np.uint64), right[some].view(np.uint64), d[some], p[some]
         c, j0, j1 = (p >> 16) & 0xFFFFFFFF, (p >> 8) & 0xFF, p & 0xFF
         dd, pp = [], []
