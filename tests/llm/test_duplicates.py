@@ -105,6 +105,24 @@ def test_substrings_of_equal_rows_stay(spark):
     assert sorted(map(tuple, substring_dedup.op_query(spark, docs).collect())) == sorted(want[i] for i, _ in twice)
 
 
+def test_substrings_of_many_texts_with_one_id(spark):
+    rng = np.random.default_rng(9)
+    line = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    texts = [line(300) for _ in range(1500)] + [x + line(5 + i % 40) + x for i, x in enumerate(line(120) for _ in range(1500))]
+    rows = [(None if i % 2 else 7, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup.op_query(spark, docs).collect()), key=str) == sorted(removed(rows), key=str)
+
+
+def test_minhash_joins_no_row_without_id_to_all_others(spark):
+    docs = spark.createDataFrame([(None, f"a{i} b{i} c{i} d{i} " * (1 + i % 2)) for i in range(40)], "doc_id long, text string")
+    nodes = minhash._signed(docs, 3).select("node", minhash.F.col("doc_id").alias("rep"), "hash")
+    sets = minhash._sets(docs, nodes, 3)
+    assert sets.count() == 40
+    assert "hash" in next(x for x in sets._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
+    assert len({r.component_id for r in minhash.near_duplicates(docs, 3, 85).collect()}) == 1
+
+
 def test_substrings_edges(spark, edges, no_rows):
     rows = substring_dedup.op_query(spark, edges).collect()
     by = {r.doc_id: r for r in rows}

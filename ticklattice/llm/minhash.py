@@ -95,7 +95,7 @@ def surviving_more(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.n
 
 
 def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (set size), node (the set's fingerprint; null if empty), signature."""
+    """doc_id, hash (of the text), n (set size), node (the set's fingerprint; null if empty), signature."""
 
     def run(batches):
         for whole in batches:
@@ -107,9 +107,9 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
                     for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
                         sig[i] = row.astype("<u4").tobytes()
                         node[i] = fingerprint(sets[i])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "node", "signature"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array([len(x) for x in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "hash", "n", "node", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, signature binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, hash long, n long, node long, signature binary")
 
 
 def fingerprint(x: np.ndarray) -> int:
@@ -118,18 +118,19 @@ def fingerprint(x: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, its sorted set and its further hashes (both binary) for the nodes in wanted (node, rep)."""
+    """node, its sorted set and its further hashes (both binary) for the nodes in wanted (node, rep, hash of rep's text)."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", 4_000_000):
                 sets = shingle_sets(text_bytes(batch, "text"), words)
                 node = batch.column("node").to_pylist()
-                own = [i for i, x in enumerate(sets) if len(x) and fingerprint(x) == node[i]]  # a doc_id may stand for several texts
+                own = [i for i, x in enumerate(sets) if len(x) and fingerprint(x) == node[i]]
                 more = signatures([sets[i] for i in own], HASHES, MORE).astype(np.uint8) if own else []
                 yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in own], pa.int64()), pa.array([sets[i].astype("<u8").tobytes() for i in own], pa.binary()), pa.array([x.tobytes() for x in more], pa.binary())], names=["node", "items", "more"])
 
-    found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    # a doc_id, null above all, may stand for several texts: the hash tells which is meant
+    found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("hash"))).select("node", "text")
     return found.mapInArrow(run, "node long, items binary, more binary").dropDuplicates(["node"])
 
 
@@ -223,13 +224,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
     threshold = percent / 100
     signed = stored(_signed(docs, words), "signed")
-    nodes = stored(signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
+    nodes = stored(signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")).select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.hash").alias("hash"), "n", "signature"), "nodes")
     bands = F.array(*(F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("signature", 1 + 4 * ROWS * i, 4 * ROWS)).alias("key")) for i in range(BANDS)))
     rows = nodes.select("node", "n", F.explode(bands).alias("b")).select("node", "n", "b.band", "b.key")
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = stored(rows.join(sizes, "key"), "buckets")
     degrees = buckets.groupBy("node").agg(F.sum("size").alias("degree"))
-    sets = stored(_sets(docs, degrees.join(nodes, "node").select("node", "rep"), words), "sets")
+    sets = stored(_sets(docs, degrees.join(nodes, "node").select("node", "rep", "hash"), words), "sets")
 
     pivots = buckets.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "n")).alias("p")).select("key", "p.node", "p.n").toDF("key", "pivot", "pn")
     star = buckets.join(pivots, "key").where((F.col("node") != F.col("pivot")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")))

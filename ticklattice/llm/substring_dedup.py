@@ -22,8 +22,8 @@ some 37 is carried along:
 
 Identifiers are 64-bit hashes (steps 2 and 4 compare two together), so no string is
 cut off, sampled away or capped. A null text counts as empty, a null doc_id comes
-before all others. Rows with equal doc_id are told apart by a 15-bit hash of their
-text, in the order of which they stand; equal rows count as one document. Long
+before all others. Rows with equal or null doc_id are told apart by a 64-bit hash of
+their text, in the order of which they stand; equal rows count as one document. Long
 documents are read in overlapping stretches. An empty table gives no rows; other
 columns are ignored.
 """
@@ -126,11 +126,11 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 def _identified(docs: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     more = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
-    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFF)).alias("h"), text.alias("text"), *more)
+    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.col("doc_id").isNull(), text).alias("h"), text.alias("text"), *more)
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """bucket, run, d, p for every anchor; p packs the hash of the text, first window, run length and place of the anchor."""
+    """bucket, run, d, h, p for every anchor; p packs first window, run length and place of the anchor."""
 
     def run(batches):
         ids = Identifiers()
@@ -139,56 +139,56 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
             for data, pieces in stretches(_texts(b)):
                 piece, a, lo, hi, gram, whole = anchors(ids, data, pieces)
                 doc = pieces[piece, 0]
-                p = (h[doc] << 48) | ((lo - pieces[piece, 2] + pieces[piece, 1]) << 16) | ((hi - lo) << 8) | (a - lo)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(d[doc]), pa.array(p)], names=["bucket", "run", "d", "p"])
+                p = ((lo - pieces[piece, 2] + pieces[piece, 1]) << 16) | ((hi - lo) << 8) | (a - lo)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(d[doc]), pa.array(h[doc]), pa.array(p)], names=["bucket", "run", "d", "h", "p"])
 
-    return docs.mapInArrow(run, "bucket long, run long, d long, p long")
+    return docs.mapInArrow(run, "bucket long, run long, d long, h long, p long")
 
 
 def _refined(rows: DataFrame, n: int) -> DataFrame:
-    """d, p, whole: positions whose whole run is repeated (whole), and those that go on."""
+    """d, h, p, whole: positions whose whole run is repeated (whole), and those that go on."""
 
     def run(batches):
         bucket = part = None  # of the row before
-        first, told = (0, 0), True  # the bucket's first row, and whether it was handed on
+        first, told = (0, 0, 0), True  # the bucket's first row, and whether it was handed on
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(c).to_numpy() for c in ("bucket", "run", "d", "p")]
+            columns = [batch.column(c).to_numpy() for c in ("bucket", "run", "d", "h", "p")]
             # equal rows of docs give equal positions, of which one counts
             own = np.append(last is None or any(c[0] != x for c, x in zip(columns, last or (), strict=False)), np.any([c[1:] != c[:-1] for c in columns], axis=0))
             last = [c[-1] for c in columns]
             if not own.any():
                 continue
-            g, r, d, p = (c[own] for c in columns)
+            g, r, *place = (c[own] for c in columns)
             new = np.append(bucket is None or g[0] != bucket, g[1:] != g[:-1])
             other = new | np.append(part is None or r[0] != part, r[1:] != r[:-1])
             owner = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
             parted = other & ~new
             heads = np.unique(owner[parted])
-            dd, pp = [d[~other], d[parted], d[heads[heads >= 0]]], [p[~other], p[parted], p[heads[heads >= 0]]]
+            out = [[x[~other], x[parted], x[heads[heads >= 0]]] for x in place]
             if len(heads) and heads[0] < 0 and not told:
-                dd.append(np.array([first[0]]))
-                pp.append(np.array([first[1]]))
+                for x, y in zip(out, first, strict=True):
+                    x.append(np.array([y]))
                 told = True
             if owner[-1] >= 0:
-                first, told = (d[owner[-1]], p[owner[-1]]), bool(len(heads)) and heads[-1] == owner[-1]
+                first, told = [x[owner[-1]] for x in place], bool(len(heads)) and heads[-1] == owner[-1]
             bucket, part = g[-1], r[-1]
-            whole = np.arange(sum(map(len, dd))) < len(dd[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(dd)), pa.array(np.concatenate(pp)), pa.array(whole)], names=["d", "p", "whole"])
+            whole = np.arange(sum(map(len, out[0]))) < len(out[0][0])
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in out), pa.array(whole)], names=["d", "h", "p", "whole"])
 
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "run", "d", "p").mapInArrow(run, "d long, p long, whole boolean")
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "run", "d", "h", "p").mapInArrow(run, "d long, h long, p long, whole boolean")
 
 
 def _with_text(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
     """docs with ps: all p of places for the document (as many as it has windows at most)."""
-    own = places.groupBy("d").agg(F.collect_list("p").alias("ps"))
-    return docs.join(own, "d", how)
+    own = places.groupBy("d", "h").agg(F.collect_list("p").alias("ps"))
+    return docs.join(own, ["d", "h"], how)
 
 
 def _slices(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """key (of the bytes shared), left and right (the eight bytes beside them), d, p (hash, place of the shared bytes, first
+    """key (of the bytes shared), left and right (the eight bytes beside them), d, h, p (place of the shared bytes, first
     and last window counted back from there) for each slice of the runs that go on."""
 
     def run(batches):
@@ -197,11 +197,7 @@ def _slices(docs: DataFrame, places: DataFrame) -> DataFrame:
         scale = np.array([1 << 8 * i for i in range(8)], np.uint64)
         for b in batches:
             for i, text in enumerate(_texts(b)):
-                h = b.column("h")[i].as_py()
                 p = np.array(b.column("ps")[i].as_py(), np.int64)
-                p = p[p >> 48 == h]
-                if not len(p):
-                    continue
                 data = np.frombuffer(text, np.uint8)
                 lo = (p >> 16) & 0xFFFFFFFF
                 hi, a = lo + ((p >> 8) & 0xFF), lo + (p & 0xFF)
@@ -224,10 +220,10 @@ def _slices(docs: DataFrame, places: DataFrame) -> DataFrame:
                 near = np.arange(8)
                 left = (wide[(at + 7)[:, None] - near].astype(np.uint64) * scale).sum(axis=1, dtype=np.uint64)
                 right = (wide[(end + 8)[:, None] + near].astype(np.uint64) * scale).sum(axis=1, dtype=np.uint64)
-                q = (np.int64(h) << 48) | (c << 16) | (j0 << 8) | j1
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(np.full(len(q), b.column("d")[i].as_py())), pa.array(q)], names=["key", "left", "right", "d", "p"])
+                q = (c << 16) | (j0 << 8) | j1
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), *(pa.array(np.full(len(q), b.column(x)[i].as_py(), np.int64)) for x in ("d", "h")), pa.array(q)], names=["key", "left", "right", "d", "h", "p"])
 
-    return _with_text(docs, places, "inner").select("d", "h", "text", "ps").mapInArrow(_gathered(run), "key long, left long, right long, d long, p long")
+    return _with_text(docs, places, "inner").select("d", "h", "text", "ps").mapInArrow(_gathered(run), "key long, left long, right long, d long, h long, p long")
 
 
 def _gathered(run, rows: int = 100_000):
@@ -248,44 +244,44 @@ def _gathered(run, rows: int = 100_000):
 
 
 def _repeated_windows(slices: DataFrame, n: int) -> DataFrame:
-    """d, p (packed as a run of one window) for each window of a slice that also starts earlier."""
+    """d, h, p (packed as a run of one window) for each window of a slice that also starts earlier."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, left, right, d, p = (table.column(c).to_numpy() for c in ("key", "left", "right", "d", "p"))
+        key, left, right, d, h, p = (table.column(c).to_numpy() for c in ("key", "left", "right", "d", "h", "p"))
         _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
         some = np.flatnonzero(count[inverse] > 1)
-        some = some[np.lexsort((key[some], p[some], d[some]))]
+        some = some[np.lexsort((key[some], p[some], h[some], d[some]))]
         own = np.ones(len(some), bool)  # equal rows of docs give equal slices, of which one counts
-        own[1:] = np.any([x[some[1:]] != x[some[:-1]] for x in (key, p, d)], axis=0)
+        own[1:] = np.any([x[some[1:]] != x[some[:-1]] for x in (key, p, h, d)], axis=0)
         some = some[own]
-        key, left, right, d, p = key[some].view(np.uint64), left[some].view(np.uint64), right[some].view(np.uint64), d[some], p[some]
+        key, left, right, d, h, p = key[some].view(np.uint64), left[some].view(np.uint64), right[some].view(np.uint64), d[some], h[some], p[some]
         c, j0, j1 = (p >> 16) & 0xFFFFFFFF, (p >> 8) & 0xFF, p & 0xFF
-        dd, pp = [], []
+        dd, hh, pp = [], [], []
         for j in range(SLICE):
             i = np.flatnonzero((j0 <= j) & (j <= j1))
             x = mixed(key[i] + mixed((left[i] & _MASK[j]) + mixed(right[i] & _MASK[SLICE - 1 - j])))
             order = np.argsort(x, kind="stable")
             later = i[order[1:][x[order[1:]] == x[order[:-1]]]]
             dd.append(d[later])
-            pp.append((p[later] >> 48 << 48) | (c[later] - j << 16))
-        return pa.table({"d": pa.array(np.concatenate(dd), pa.int64()), "p": pa.array(np.concatenate(pp), pa.int64())})
+            hh.append(h[later])
+            pp.append(c[later] - j << 16)
+        return pa.table({"d": pa.array(np.concatenate(dd), pa.int64()), "h": pa.array(np.concatenate(hh), pa.int64()), "p": pa.array(np.concatenate(pp), pa.int64())})
 
-    return slices.withColumn("_task", F.pmod("key", F.lit(4 * n))).groupBy("_task").applyInArrow(run, "d long, p long")
+    return slices.withColumn("_task", F.pmod("key", F.lit(4 * n))).groupBy("_task").applyInArrow(run, "d long, h long, p long")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """d and p (packed) of all windows that also start earlier, in runs."""
+    """d, h and p (packed) of all windows that also start earlier, in runs."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = _identified(docs)
     places = stored(_refined(_anchor_rows(own), n), "places")
-    windows = _repeated_windows(_slices(own, places.where("not whole").select("d", "p")), n)
-    return stored(places.where("whole").select("d", "p").unionByName(windows), "windows")
+    windows = _repeated_windows(_slices(own, places.where("not whole").select("d", "h", "p")), n)
+    return stored(places.where("whole").select("d", "h", "p").unionByName(windows), "windows")
 
 
-def spans_of(p: list[int] | None, h: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+def spans_of(p: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
     """Beginnings and ends of the maximal runs of bytes under the windows in p."""
     p = np.array(p or [], np.int64)
-    p = p[p >> 48 == h]
     lo = (p >> 16) & 0xFFFFFFFF
     end = lo + ((p >> 8) & 0xFF) + WINDOW
     order = np.argsort(lo)
@@ -295,8 +291,8 @@ def spans_of(p: list[int] | None, h: int, size: int) -> tuple[np.ndarray, np.nda
     return lo[first], np.append(end[first[1:] - 1], end[-1:])
 
 
-def _cut(text: bytes, p: list[int] | None, h: int) -> tuple[bytes, list[int], list[int]]:
-    begin, end = (x.tolist() for x in spans_of(p, h, len(text)))
+def _cut(text: bytes, p: list[int] | None) -> tuple[bytes, list[int], list[int]]:
+    begin, end = (x.tolist() for x in spans_of(p))
     return b"".join(text[x:y] for x, y in zip([0, *end], [*begin, len(text)], strict=True)), begin, end
 
 
@@ -309,22 +305,22 @@ def deduplicated(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     def digests(batches):
         for b in batches:
             rows = []
-            for d, h, text, p in zip(*(b.column(c).to_pylist() for c in ("d", "h", "text", "ps")), strict=True):
-                kept, begin, _ = _cut(text, p, h)
+            for d, text, p in zip(*(b.column(c).to_pylist() for c in ("d", "text", "ps")), strict=True):
+                kept, begin, _ = _cut(text, p)
                 rows.append((None if d == -(1 << 63) else d, len(text), len(text) - len(kept), len(begin), hashlib.sha256(kept).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     def texts(batches):
         for b in batches:
-            rows = [_cut(text, p, h) for h, text, p in zip(*(b.column(c).to_pylist() for c in ("h", "text", "ps")), strict=True)]
+            rows = [_cut(text, p) for text, p in zip(*(b.column(c).to_pylist() for c in ("text", "ps")), strict=True)]
             more = [pa.array([r[i] for r in rows], k) for i, k in ((1, pa.list_(pa.int64())), (2, pa.list_(pa.int64())), (0, pa.binary()))]
             more.append(pa.array([r[0].decode("utf-8", "ignore") for r in rows], pa.string()))
             yield pa.RecordBatch.from_arrays([*(b.column(f"_keep{i}") for i in range(len(keep))), *more], names=[*keep, "begins", "ends", "kept", "kept_text"])
 
     rows = _with_text(_identified(docs, keep or []), places, "left")
     if keep is None:
-        return rows.select("d", "h", "text", "ps").mapInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return rows.select("d", "text", "ps").mapInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     kinds = dict(docs.dtypes)
     return rows.mapInArrow(texts, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "begins array<long>, ends array<long>, kept binary, kept_text string"]))
 
