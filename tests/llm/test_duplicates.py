@@ -157,6 +157,25 @@ def test_vectors_equal_brute_force(spark, small):
     assert got == want
 
 
+def test_vectors_in_a_dense_region(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "WINDOW", 32)
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(rng.normal(size=64))
+    hot = unit(centre + 0.5 * unit(rng.normal(size=(1800, 64))))  # mean cosine 0.8
+    side = rng.normal(size=(300, 64))
+    side = unit(side - (side * hot[:300]).sum(axis=1, keepdims=True) * hot[:300])
+    x = np.concatenate([unit(rng.normal(size=(1500, 64))), hot, 0.905 * hot[:300] + np.sqrt(1 - 0.905**2) * side])
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    label = components(range(len(x)), np.argwhere(near).tolist())
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.op_query(spark, docs).collect()}
+    want = {i: (int(near[i].sum()), label[i], label[i] == i) for i in label}
+    wrong = [i for i in want if got[i] != want[i]]
+    assert near.any() and len(wrong) <= 2, len(wrong)  # 300 pairs, each lost with probability 0.001
+
+
 def test_vectors_edges(spark):
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=8), rng.normal(size=8)

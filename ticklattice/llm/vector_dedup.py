@@ -5,9 +5,11 @@ a row; vectors are sorted by key over the cluster, numbered, and cut into blocks
 WINDOW. Each vector is compared with its block and the next one or the one before,
 in double precision, so all within WINDOW places of each other are. Of the verified
 pairs a block hands on a spanning forest; components come from all passes together.
-The number of passes follows from the input: a pair right at the threshold is lost
-with probability MISS at most (a closer one far less), where window and bits are
-taken as independent.
+Where more than WINDOW vectors share the first bits of a key (a dense region), all of
+them that are in different components are then compared too, in blocks of bounded
+size. So in every pass all that share these bits are compared, and the number of
+passes follows: a pair right at the threshold is lost with probability MISS at most
+(a closer one far less), however the vectors lie.
 
 Links are then counted exactly: within a component all vectors are compared, in
 blocks of bounded size that hand on counts, not pairs. Equal vectors are one node
@@ -33,11 +35,18 @@ from .vectors import packed, unpacked, usable
 WINDOW, BITS, MISS = 512, 63, 1e-3
 #: Vectors of a component compared in one block.
 BLOCK = 1024
+#: Vectors of a dense region dealt to one task at a time.
+DEALT = 4096
 
 
-def passes(n: int, threshold: float, window: int = WINDOW, miss: float = MISS) -> int:
+def shared_bits(n: int) -> int:
+    """First bits of a key that about WINDOW / 2 of n vectors spread out share."""
+    return min(BITS, ceil(max(0.0, log2(max(1, n) / WINDOW) + 1)))
+
+
+def passes(n: int, threshold: float, miss: float = MISS) -> int:
     same_bit = 1 - acos(threshold) / pi
-    near = same_bit ** max(0.0, log2(max(1, n) / window) + 1)
+    near = same_bit ** shared_bits(n)
     return 1 if near >= 1 - miss else ceil(log(miss) / log(1 - near))
 
 
@@ -107,6 +116,41 @@ def _pass_links(nodes: DataFrame, n_passes: int, threshold: float, seed: int) ->
     return rows.groupBy("_block").applyInArrow(run, "a long, b long").distinct()
 
 
+def _dense_links(nodes: DataFrame, labels: DataFrame, n_passes: int, bits: int, threshold: float, seed: int) -> DataFrame:
+    """Edges (a, b) between components with linked vectors in one of the regions, more than WINDOW vectors with the same first bits."""
+    keys = _keys(nodes, n_passes, seed).select("pass", F.shiftright("key", BITS - bits).alias("_prefix"), "node")
+    rows = stored(keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "regions")
+    dense = rows.groupBy("pass", "_prefix").agg(F.count("*").alias("_size"), F.min("label").alias("_x"), F.max("label").alias("_y"))
+    dense = dense.where((F.col("_size") > WINDOW) & (F.col("_x") != F.col("_y"))).select("pass", "_prefix", "_size")
+    rows = rows.join(dense, ["pass", "_prefix"]).join(nodes.select("node", "dim", "v"), "node")
+    parts = F.ceil(F.col("_size") / DEALT).cast("int")
+    rows = rows.withColumn("_c", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.withColumn("_i", F.least("_c", "_o")).withColumn("_j", F.greatest("_c", "_o"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        label, c, i, j = (table.column(x).to_numpy() for x in ("label", "_c", "_i", "_j"))
+        found = [np.zeros((0, 2), np.int64)]
+        if (label != label[0]).any():
+            for at, x in _unit(table.column("v"), table.column("dim").to_numpy()):
+                own, own_c = label[at], c[at]
+                left, right = np.flatnonzero(own_c == i[0]), np.flatnonzero(own_c == j[0])
+                for lo in range(0, len(left), BLOCK):
+                    for other in range(0, len(right), BLOCK):
+                        a, b = left[lo : lo + BLOCK], right[other : other + BLOCK]
+                        near = (x[a] @ x[b].T >= threshold) & (own[a][:, None] != own[b][None, :])
+                        u, v = np.nonzero(near)
+                        if len(u):
+                            pairs = np.stack([own[a[u]], own[b[v]]], axis=1)
+                            pairs.sort(axis=1)
+                            found.append(np.unique(pairs, axis=0))
+        pairs = np.concatenate(found)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    picked = rows.select("pass", "_prefix", "_i", "_j", "_c", "label", "dim", "v")
+    return picked.groupBy("pass", "_prefix", "_i", "_j").applyInArrow(run, "a long, b long").distinct()
+
+
 def _counted(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """node and links: the summed multiplicities of the other nodes of its component that it links to."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("_size"))
@@ -142,8 +186,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, seed: int = 0) -
     named = vectors.select("vec_id", F.when(usable("embedding"), F.col("embedding")).alias("e")).withColumn("node", F.when(F.col("e").isNotNull(), F.xxhash64("e")))
     nodes = named.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("e").alias("e"))
     nodes = stored(packed(nodes, "e", "node", "rep", "mult"), "vectors")
-    n_passes = passes(nodes.count(), threshold)
-    labels = stored(components(_pass_links(nodes, n_passes, threshold, seed)), "labels")
+    n = nodes.count()
+    n_passes = passes(n, threshold)
+    near = stored(_pass_links(nodes, n_passes, threshold, seed), "links")
+    labels = stored(components(near), "labels")
+    if n > WINDOW:
+        dense = stored(_dense_links(nodes, labels, n_passes, shared_bits(n), threshold, seed), "links")
+        if not dense.isEmpty():
+            labels = stored(components(near.unionByName(dense)), "labels")
     links = _counted(nodes, labels, threshold)
     all_nodes = nodes.select("node", "rep", "mult").join(labels, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = all_nodes.groupBy("label").agg(F.min("rep").alias("component_id"))
