@@ -12,8 +12,8 @@ passes follows: a pair right at the threshold is lost with probability MISS at m
 (a closer one far less), however the vectors lie.
 
 Links are then counted exactly: within a component all vectors are compared, in
-blocks of bounded size that hand on counts, not pairs. Equal vectors are one node
-with a multiplicity. Vectors that are null, zero or hold null or non-finite
+blocks of bounded size that hand on counts, not pairs. Vectors with the same bytes
+are one node with a multiplicity. Vectors that are null, zero or hold null or non-finite
 components link with nothing, nor do vectors of different lengths. Rows with equal
 vec_id stay separate; a null vec_id is never a component's id unless it is alone. An
 empty table gives no rows; labels and other columns are ignored.
@@ -35,7 +35,7 @@ from .vectors import packed, unpacked, usable
 WINDOW, BITS, MISS = 512, 63, 1e-3
 #: Vectors of a component compared in one block.
 BLOCK = 1024
-#: Vectors of a dense region dealt to one task at a time.
+#: Vectors of a dense region, and rows of blocks, dealt to one task at a time.
 DEALT = 4096
 
 
@@ -153,12 +153,13 @@ def _dense_links(nodes: DataFrame, labels: DataFrame, n_passes: int, bits: int,
 
 def _counted(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """node and links: the summed multiplicities of the other nodes of its component that it links to."""
+    parts = F.ceil(F.col("_size") / BLOCK).cast("int")
     sizes = labels.groupBy("label").agg(F.count("*").alias("_size"))
+    n_rows = sizes.agg(F.sum(F.col("_size") * parts).alias("n")).first()["n"] or 0
     rows = labels.join(sizes, "label").join(nodes.select("node", "mult", "dim", "v"), "node")
-    parts = F.ceil(F.col("_size") / BLOCK).cast("int")
     rows = rows.withColumn("_c", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.withColumn("_i", F.least("_c", "_o")).withColumn("_j", F.greatest("_c", "_o"))
-    n_tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 8
+    n_tasks = max(1, -(-n_rows // DEALT))
     rows = rows.withColumn("_group", F.xxhash64("label", "_i", "_j")).withColumn("_task", F.pmod("_group", F.lit(n_tasks)))
 
     def run(table: pa.Table) -> pa.Table:
@@ -183,25 +184,24 @@ def _counted(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, seed: int = 0) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of vectors (vec_id, embedding)."""
-    named = vectors.select("vec_id", F.when(usable("embedding"), F.col("embedding")).alias("e")).withColumn("node", F.when(F.col("e").isNotNull(), F.xxhash64("e")))
-    nodes = named.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("e").alias("e"))
-    nodes = stored(packed(nodes, "e", "node", "rep", "mult"), "vectors")
+    good = usable("embedding")
+    named = stored(packed(vectors.where(good).select("vec_id", "embedding"), "embedding", "vec_id"), "packed")
+    nodes = named.groupBy("dim", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "rep", "mult", "dim", "v"), "vectors")
     n = nodes.count()
     n_passes = passes(n, threshold)
     near = stored(_pass_links(nodes, n_passes, threshold, seed), "links")
     labels = stored(components(near), "labels")
     if n > WINDOW:
         dense = stored(_dense_links(nodes, labels, n_passes, shared_bits(n), threshold, seed), "links")
-        if not dense.isEmpty():
-            labels = stored(components(near.unionByName(dense)), "labels")
+        labels = stored(components(dense, labels), "labels")
     links = _counted(nodes, labels, threshold)
-    all_nodes = nodes.select("node", "rep", "mult").join(labels, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    all_nodes = nodes.select("node", "rep", "mult", "dim", "v").join(labels, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = all_nodes.groupBy("label").agg(F.min("rep").alias("component_id"))
-    known = all_nodes.join(ids, "label").select("node", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
-    out = named.select("vec_id", "node").join(known, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
+    known = all_nodes.join(ids, "label").select("dim", "v", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).cast("long").alias("n_links"), "component_id")
+    out = named.join(known, ["dim", "v"]).select("vec_id", "n_links", "component_id")
+    alone = vectors.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def op_query(spark: SparkSession, vectors: DataFrame) -> DataFrame:
