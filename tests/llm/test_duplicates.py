@@ -116,7 +116,7 @@ def test_substrings_of_many_texts_with_one_id(spark):
 
 def test_minhash_joins_no_row_without_id_to_all_others(spark):
     docs = spark.createDataFrame([(None, f"a{i} b{i} c{i} d{i} " * (1 + i % 2)) for i in range(40)], "doc_id long, text string")
-    nodes = minhash._signed(docs, 3).select("node", minhash.F.col("doc_id").alias("rep"), "hash")
+    nodes = minhash._nodes(minhash._signed(docs, 3)).select("node", "f1", "f2", "rep", "hash")
     sets = minhash._sets(docs, nodes, 3)
     assert sets.count() == 40
     assert "hash" in next(x for x in sets._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
@@ -184,3 +184,19 @@ def test_vectors_edges(spark):
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, node string, label int")
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.op_query(spark, docs).collect()} == brute_vectors(rows)
     assert vector_dedup.op_query(spark, docs.limit(0)).count() == 0
+
+
+def test_substrings_combined_before_the_shuffle_or_not(spark, monkeypatch):
+    """A passage in many documents, in different surroundings, with equal rows: tasks that hold few rows give the same."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 9)))
+    passage = " ".join(word() for _ in range(40))
+    texts = [" ".join(word() for _ in range(rng.randrange(30))) + passage[rng.randrange(30) :] + " ".join(word() for _ in range(rng.randrange(30))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (61, texts[5] * 2)], "doc_id long, text string")
+    want = sorted(removed([*enumerate(texts), (61, texts[5] * 2)]))
+    want.insert(3, want[3])
+    for held in (1, 300_000):
+        monkeypatch.setattr(substring_dedup, "HELD", held)
+        assert sorted(map(tuple, substring_dedup.op_query(spark, docs.repartition(4)).collect())) == want

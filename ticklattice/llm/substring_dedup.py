@@ -20,8 +20,10 @@ some 37 is carried along:
    integers; identifiers of the shared bytes with these are the windows themselves,
    and all but the first of each are repeated.
 
-Identifiers are 64-bit hashes (steps 2 and 4 compare two together), so no string is
-cut off, sampled away or capped. A null text counts as empty, a null doc_id comes
+Identifiers are 64-bit hashes (step 2 compares two together, step 4 one with the
+bytes at both ends), so no string is cut off, sampled away or capped. Before rows are
+shuffled, tasks drop what they can tell to be repeated from the rows they hold, so of
+a passage in very many documents only a few rows for each task reach its bucket. A null text counts as empty, a null doc_id comes
 before all others. Rows with equal or null doc_id are told apart by a 64-bit hash of
 their text, in the order of which they stand; equal rows count as one document. Long
 documents are read in overlapping stretches. An empty table gives no rows; other
@@ -34,6 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,8 @@ from .storage import stored
 WINDOW, Q, SLICE = 100, 28, 9
 SPAN = WINDOW - Q + 1  # q-grams of a window
 SHARED = WINDOW - SLICE + 1  # bytes that all windows of a slice share
+#: Rows that a task looks through before the shuffle, and slices dealt to a task after it, about.
+HELD, DEALT = 300_000, 200_000
 STRETCH = 1 << 20
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _BYTE = np.random.default_rng(20240602).integers(0, 2**64, 256, dtype=np.uint64)
@@ -130,9 +135,10 @@ def _identified(docs: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B0
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """bucket, run, d, h, p for every anchor; p packs first window, run length and place of the anchor."""
+    """bucket, run, d, h, p, whole for every anchor; p packs first window, run length and place of the anchor. whole: a task
+    has found that the run is repeated; such a row is dealt by its document."""
 
-    def run(batches):
+    def anchors_of(batches):
         ids = Identifiers()
         for b in batches:
             d, h = b.column("d").to_numpy(), b.column("h").to_numpy()
@@ -140,9 +146,45 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 piece, a, lo, hi, gram, whole = anchors(ids, data, pieces)
                 doc = pieces[piece, 0]
                 p = ((lo - pieces[piece, 2] + pieces[piece, 1]) << 16) | ((hi - lo) << 8) | (a - lo)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(d[doc]), pa.array(h[doc]), pa.array(p)], names=["bucket", "run", "d", "h", "p"])
+                yield gram.view(np.int64), whole.view(np.int64), d[doc], h[doc], p
+
+    most = HELD
+
+    def run(batches):
+        held, n = [], 0
+        for x in anchors_of(batches):
+            held.append(x)
+            n += len(x[0])
+            if n >= most:
+                yield _combined_anchors(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield _combined_anchors(*map(np.concatenate, zip(*held, strict=True)))
+
+    return docs.mapInArrow(run, "bucket long, run long, d long, h long, p long, whole boolean")
 
-    return docs.mapInArrow(run, "bucket long, run long, d long, h long, p long")
+
+def _same_as_before(*columns: np.ndarray) -> np.ndarray:
+    """True where a row equals the one before it in all columns."""
+    out = np.ones(len(columns[0]), bool)
+    out[:1] = False
+    for c in columns:
+        out[1:] &= c[1:] == c[:-1]
+    return out
+
+
+def _combined_anchors(bucket, run, d, h, p) -> pa.RecordBatch:
+    order = np.argsort(run, kind="stable")
+    twin = _same_as_before(run[order])
+    twin[:-1] |= twin[1:]  # all rows whose run another row shares
+    some = order[twin]
+    some = some[np.lexsort((p[some], h[some], d[some], run[some], bucket[some]))]
+    equal = _same_as_before(bucket[some], run[some], d[some], h[some], p[some])  # equal rows of docs: one counts
+    whole, keep = np.zeros(len(bucket), bool), np.ones(len(bucket), bool)
+    whole[some[_same_as_before(bucket[some], run[some])]] = True
+    keep[some[equal]] = False
+    bucket = np.where(whole, mixed(d.view(np.uint64)).view(np.int64), bucket)
+    return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (bucket, run, d, h, p, whole)], names=["bucket", "run", "d", "h", "p", "whole"])
 
 
 def _refined(rows: DataFrame, n: int) -> DataFrame:
@@ -153,11 +195,16 @@ def _refined(rows: DataFrame, n: int) -> DataFrame:
         first, told = (0, 0, 0), True  # the bucket's first row, and whether it was handed on
         last = None
         for batch in batches:
+            done = batch.filter(batch.column("whole"))
+            if done.num_rows:
+                yield done.select(["d", "h", "p", "whole"])
+            batch = batch.filter(pc.invert(batch.column("whole")))
             if not batch.num_rows:
                 continue
             columns = [batch.column(c).to_numpy() for c in ("bucket", "run", "d", "h", "p")]
             # equal rows of docs give equal positions, of which one counts
-            own = np.append(last is None or any(c[0] != x for c, x in zip(columns, last or (), strict=False)), np.any([c[1:] != c[:-1] for c in columns], axis=0))
+            own = ~_same_as_before(*columns)
+            own[0] = last is None or any(c[0] != x for c, x in zip(columns, last, strict=True))
             last = [c[-1] for c in columns]
             if not own.any():
                 continue
@@ -188,8 +235,9 @@ def _with_text(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
 
 
 def _slices(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """key (of the bytes shared), left and right (the eight bytes beside them), d, h, p (place of the shared bytes, first
-    and last window counted back from there) for each slice of the runs that go on."""
+    """key (of the bytes shared), left and right (the eight bytes beside them), d, h, p (place of the shared bytes, and a bit
+    for each window counted back from there), done for each slice of the runs that go on. done: a task has found the
+    window to be repeated; then p is as spans_of() takes it and key deals by document."""
 
     def run(batches):
         ids = Identifiers()
@@ -220,54 +268,73 @@ def _slices(docs: DataFrame, places: DataFrame) -> DataFrame:
                 near = np.arange(8)
                 left = (wide[(at + 7)[:, None] - near].astype(np.uint64) * scale).sum(axis=1, dtype=np.uint64)
                 right = (wide[(end + 8)[:, None] + near].astype(np.uint64) * scale).sum(axis=1, dtype=np.uint64)
-                q = (c << 16) | (j0 << 8) | j1
+                q = (c << 16) | ((2 << j1) - (1 << j0))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), *(pa.array(np.full(len(q), b.column(x)[i].as_py(), np.int64)) for x in ("d", "h")), pa.array(q)], names=["key", "left", "right", "d", "h", "p"])
 
-    return _with_text(docs, places, "inner").select("d", "h", "text", "ps").mapInArrow(_gathered(run), "key long, left long, right long, d long, h long, p long")
-
+    most = HELD
 
-def _gathered(run, rows: int = 100_000):
-    """Joins small batches of run's into larger ones."""
-
-    def inner(batches):
+    def combined(batches):
         held, n = [], 0
         for x in run(batches):
             held.append(x)
             n += x.num_rows
-            if n >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            if n >= most:
+                yield from _combined_slices(held)
                 held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return inner
+        if n:
+            yield from _combined_slices(held)
+
+    return _with_text(docs, places, "inner").select("d", "h", "text", "ps").mapInArrow(combined, "key long, left long, right long, d long, h long, p long, done boolean")
+
+
+def _combined_slices(held: list[pa.RecordBatch]):
+    t = pa.Table.from_batches(held)
+    columns = [t.column(c).to_numpy() for c in ("key", "left", "right", "d", "h", "p")]
+    d, h, p, rest = _repeats(*columns)
+    key, left, right, dd, hh, pp = columns
+    keep = rest > 0
+    pp = (pp & ~0xFFFF) | rest
+    zero = np.zeros(len(d), np.int64)
+    spread = mixed(d.view(np.uint64)).view(np.int64)
+    out = [np.concatenate([a[keep], b]) for a, b in ((key, spread), (left, zero), (right, zero), (dd, d), (hh, h), (pp, p))]
+    done = np.arange(len(out[0])) >= int(keep.sum())
+    yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(done)], names=["key", "left", "right", "d", "h", "p", "done"])
+
+
+def _repeats(key, left, right, d, h, p) -> tuple[np.ndarray, ...]:
+    """d, h, p (packed as a run of one window) for each window of these slices that also starts earlier in them, and for each
+    slice the bits of its other windows."""
+    bits = (p & 0xFFFF).copy()
+    _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(count[inverse] > 1)
+    some = some[np.lexsort((p[some], h[some], d[some]))]
+    k, lo, hi, c = key[some], left[some].view(np.uint64), right[some].view(np.uint64), (p[some] >> 16) & 0xFFFFFFFF
+    out = []
+    for j in range(SLICE):
+        i = np.flatnonzero(bits[some] >> j & 1)
+        a, b = lo[i] & _MASK[j], hi[i] & _MASK[SLICE - 1 - j]
+        order = np.argsort(mixed(k[i].view(np.uint64) + mixed(a + mixed(b))), kind="stable")
+        i = i[order]
+        same = _same_as_before(k[i], a[order], b[order])
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(i))))
+        # equal rows of docs give the same place, which is no repetition of itself
+        own = np.all([x[i] == x[i[first]] for x in (d[some], h[some], c)], axis=0)
+        again = i[same & ~own]
+        out.append((d[some[again]], h[some[again]], c[again] - j << 16))
+        bits[some[i[same]]] &= ~(1 << j)
+    return *(np.concatenate(x) for x in zip(*out, strict=True)), bits
 
 
 def _repeated_windows(slices: DataFrame, n: int) -> DataFrame:
     """d, h, p (packed as a run of one window) for each window of a slice that also starts earlier."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, left, right, d, h, p = (table.column(c).to_numpy() for c in ("key", "left", "right", "d", "h", "p"))
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        some = np.flatnonzero(count[inverse] > 1)
-        some = some[np.lexsort((key[some], p[some], h[some], d[some]))]
-        own = np.ones(len(some), bool)  # equal rows of docs give equal slices, of which one counts
-        own[1:] = np.any([x[some[1:]] != x[some[:-1]] for x in (key, p, h, d)], axis=0)
-        some = some[own]
-        key, left, right, d, h, p = key[some].view(np.uint64), left[some].view(np.uint64), right[some].view(np.uint64), d[some], h[some], p[some]
-        c, j0, j1 = (p >> 16) & 0xFFFFFFFF, (p >> 8) & 0xFF, p & 0xFF
-        dd, hh, pp = [], [], []
-        for j in range(SLICE):
-            i = np.flatnonzero((j0 <= j) & (j <= j1))
-            x = mixed(key[i] + mixed((left[i] & _MASK[j]) + mixed(right[i] & _MASK[SLICE - 1 - j])))
-            order = np.argsort(x, kind="stable")
-            later = i[order[1:][x[order[1:]] == x[order[:-1]]]]
-            dd.append(d[later])
-            hh.append(h[later])
-            pp.append(c[later] - j << 16)
-        return pa.table({"d": pa.array(np.concatenate(dd), pa.int64()), "h": pa.array(np.concatenate(hh), pa.int64()), "p": pa.array(np.concatenate(pp), pa.int64())})
-
-    return slices.withColumn("_task", F.pmod("key", F.lit(4 * n))).groupBy("_task").applyInArrow(run, "d long, h long, p long")
+        done = table.column("done").to_numpy()
+        columns = [table.column(c).to_numpy() for c in ("key", "left", "right", "d", "h", "p")]
+        found = _repeats(*(c[~done] for c in columns))
+        return pa.table({c: pa.array(np.concatenate([x[done], y])) for c, x, y in zip(("d", "h", "p"), columns[3:], found[:3], strict=True)})
+
+    return slices.withColumn("_task", F.pmod("key", F.lit(n))).groupBy("_task").applyInArrow(run, "d long, h long, p long")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -275,7 +342,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = _identified(docs)
     places = stored(_refined(_anchor_rows(own), n), "places")
-    windows = _repeated_windows(_slices(own, places.where("not whole").select("d", "h", "p")), n)
+    open_places = places.where("not whole").select("d", "h", "p")
+    most = open_places.agg(F.sum(F.expr("shiftright(p, 8) & 255") / SLICE + 2).alias("n")).first()["n"] or 0  # slices, at most
+    windows = _repeated_windows(_slices(own, open_places), max(n, -(-int(most) // DEALT)))
     return stored(places.where("whole").select("d", "h", "p").unionByName(windows), "windows")
 
 
