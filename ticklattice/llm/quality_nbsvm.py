@@ -5,8 +5,9 @@ log ratio of how often the two classes have it. A linear hinge-loss model on the
 scaled indicators is fitted by dual coordinate descent, and its margins are turned
 into probabilities of label 1 by a logistic curve fitted to held-out margins.
 
-The model is fitted on about SAMPLE labelled rows, chosen by a hash; conflicting
-labels of a doc_id count as 1. Null counts as empty; an empty text has no indicator
+The model is fitted on about SAMPLE labelled rows, chosen by a hash. Executors turn
+their texts into indicators (4 bytes each, 1 MB a row at most, however long the text
+is), from which the driver fits it; conflicting labels of a doc_id count as 1. Null counts as empty; an empty text has no indicator
 and gets the score of the model's bias. With no labels, or of one class only, every
 score is the share of label 1 (0.5 without labels). Rows are kept one to one; other
 columns are ignored.
@@ -44,7 +45,7 @@ class Indicators:
             self.flags[((h * _M) >> np.uint64(64 - BITS)).astype(np.int64)] = True
         found = np.flatnonzero(self.flags)
         self.flags[found] = False
-        return found
+        return found.astype(np.int32)
 
 
 def log_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
@@ -56,19 +57,18 @@ def log_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return sums[0] - sums[1]
 
 
-def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Weights and bias of the L2-regularised hinge-loss model on unit-length rows."""
+def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, seed: int = 0, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights and bias of the hinge-loss model on unit-length rows: |w|^2 / 2 + bias^2 / 2 + PENALTY * losses is least."""
     rng = np.random.default_rng(seed)
     y = np.where(labels == 1, 1.0, -1.0)
-    cost = np.where(y > 0, 1.0, 1.0) * PENALTY
     norm = [max(1e-12, float(np.sqrt((ratio[x] ** 2).sum()))) for x in rows]
-    value = [ratio[x] / n for x, n in zip(rows, norm, strict=True)]
     alpha, w, bias = np.zeros(len(rows)), np.zeros(len(ratio)), 0.0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            x, v = rows[i], value[i]
+            x = rows[i]
+            v = ratio[x] / norm[i]
             gradient = y[i] * (w[x] @ v + bias) - 1
-            new = min(max(alpha[i] - gradient / (v @ v + 1), 0.0), cost[i])
+            new = min(max(alpha[i] - gradient / (v @ v + 1), 0.0), PENALTY)
             step = (new - alpha[i]) * y[i]
             if step:
                 w[x] += step * v
@@ -87,15 +87,14 @@ class Model:
         r = self.ratio[x]
         return float(self.weights[x] @ r / max(1e-12, np.sqrt(r @ r))) + self.bias
 
-    def fit(self, texts: list[bytes], labels: list[int]) -> Model:
+    def fit(self, rows: list[np.ndarray], labels: list[int]) -> Model:
+        """rows: the indicators of each text."""
         y = np.array(labels)
         if not len(y):
             return self
         self.prior = float(y.mean())
         if self.prior in (0.0, 1.0):
             return self
-        get = Indicators()
-        rows = [get(t) for t in texts]
         fold, margins = np.arange(len(y)) % FOLDS, np.zeros(len(y))
         for k in range(FOLDS):
             part = np.flatnonzero(fold != k)
@@ -137,10 +136,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = known.count()
     u = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.where(u < min(1.0, sample / max(1, n)))  # about `sample` rows: small whatever the tables' size
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").collect()
-    rows = sorted((r["doc_id"], r["text"], int(r["quality"])) for r in rows)
-    return Model().fit([r[1].encode() for r in rows], [r[2] for r in rows])
+    chosen = known.where(u < min(1.0, sample / max(1, n))).withColumn("quality", F.col("quality").cast("int"))  # about `sample` rows: small whatever the tables' size
+
+    def run(batches):
+        get = Indicators()
+        for whole in batches:
+            for b in slices(whole, "text", 8_000_000):
+                own = pa.array([get(t).tobytes() for t in text_bytes(b, "text")], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality").cast(pa.int32()), own], names=["doc_id", "quality", "own"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    rows = sorted(map(tuple, rows.mapInArrow(run, "doc_id long, quality int, own binary").collect()))
+    return Model().fit([np.frombuffer(r[2], np.int32) for r in rows], [r[1] for r in rows])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
