@@ -138,3 +138,88 @@ def test_mixing_meets_targets_with_one_huge_source(spark):
         sizes[r.target] = r.source_size
     assert all(abs(t - n) < 1.001 for t, n in by.items()) and all(t <= 2 * n for t, n in sizes.items())
     assert abs(sum(by) - 1.5 * sum(r.size for r in got)) < 1e-6 * len(got)
+
+
+def test_word_spans_of_switched_text(spark):
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    model = language_crf.fit(docs.select("doc_id", "text", "lang"))
+    by = {}
+    for r in docs.where("lang is not null and length(text) between 300 and 3000").orderBy("doc_id").collect():
+        by.setdefault(r.lang, []).append(" ".join(r.text.split()[:30]))
+    names, right, total = sorted(by), 0, 0
+    mixed = [[(lang, by[lang][i]) for lang in names[:3]] for i in range(10)]
+    rows = [(i, " ".join(t for _, t in parts), "x") for i, parts in enumerate(mixed)] + [(90, None, "x"), (91, " 12 ", "x")]
+    t = spark.createDataFrame(rows, "doc_id long, text string, spans string").drop("spans")
+    got = {r.doc_id: r.spans for r in language_crf.spans(t, model, "doc_id").collect()}
+    assert got[90] == got[91] == []
+    for i, parts in enumerate(mixed):
+        text, at = rows[i][1], 0
+        assert all(0 <= s.begin < s.end <= len(text) for s in got[i]) and all(a.end <= b.begin and a.lang != b.lang for a, b in zip(got[i], got[i][1:]))
+        for lang, part in parts:
+            for k in range(at, at + len(part)):
+                if text[k].isalpha():
+                    total += 1
+                    right += any(s.begin <= k < s.end and s.lang == lang for s in got[i])
+            at += len(part) + 1
+    assert right / total > 0.9
+    sure = {r.doc_id: (r.score, r.certainty) for r in language_crf.identify(t, model, "doc_id").collect()}
+    assert all(sure[i][0] < 0.6 and sure[i][1] > 0.8 for i in range(10)) and sure[90] == sure[91] == (0.0, 0.0)
+
+
+def test_log_ratios_equal_counts():
+    rows = [np.array(x, np.int32) for x in ([1, 2], [2, 3], [2], [3])]
+    got = quality_nbsvm.log_ratios(rows, np.array([1, 1, 0, 0]))
+    for j, (p, n) in {1: (1, 0), 2: (2, 1), 3: (1, 1), 9: (0, 0)}.items():
+        assert np.isclose(got[j], np.log((1 + p) / 4) - np.log((1 + n) / 4))
+
+
+def test_dual_descent_solves_its_problem():
+    rng = np.random.default_rng(5)
+    rows = [np.sort(rng.choice(12, rng.integers(1, 8), replace=False)).astype(np.int32) for _ in range(40)]
+    y, ratio = rng.integers(0, 2, 40), rng.normal(size=12)
+    w, bias = quality_nbsvm.dual_descent(rows, y, ratio, epochs=400)
+    x = np.zeros((40, 13))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt((ratio[r] ** 2).sum())
+    x[:, 12] = 1
+    s = np.where(y == 1, 1.0, -1.0)
+    value = lambda v: v @ v / 2 + np.maximum(0, 1 - s * (x @ v)).sum()
+    q, a = (x * s[:, None]) @ (x * s[:, None]).T, np.zeros(40)  # the dual by projected gradients
+    for _ in range(20000):
+        a = np.clip(a - (q @ a - 1) / np.linalg.norm(q, 2), 0, 1)
+    best = value((a * s) @ x)
+    assert np.isclose(value(np.append(w, bias)), best, rtol=1e-4)
+
+
+def test_indicators_equal_sets_of_n_grams():
+    get, text = quality_nbsvm.Indicators(), b"abcabcd"
+    grams = {text[i : i + n] for n in range(1, 5) for i in range(len(text) - n + 1)}
+    assert len(get(text)) == len(grams) and set(get(b"abc")) < set(get(text)) and len(get(b"")) == 0
+
+
+def test_neighbours_of_equal_vectors_go_by_id(spark):
+    rng = np.random.default_rng(6)
+    other = rng.normal(size=(300, 16))
+    rows = [(i, [1.0] * 16) for i in range(0, 1001)] + [(2001 + i, (0.2 * v).tolist()) for i, v in enumerate(other)]
+    got = sorted((r.rank, r.vec_id) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect())
+    assert got == [(i, i) for i in range(1, 21)]
+
+
+def test_neighbours_of_twenty_thousand_vectors(spark):
+    """Recall at a size where lists are many and most are not probed, on spread and on clustered vectors."""
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centres = unit(rng.normal(size=(300, 32)))
+    x = np.concatenate([unit(rng.normal(size=(6000, 32))), unit(centres[rng.integers(0, 300, 14000)] + 0.05 * rng.normal(size=(14000, 32)))])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    found = {}
+    for r in ann.search(vectors, F.col("vec_id") % 40 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = []
+    for q in range(0, 20000, 40):
+        score = x @ x[q]
+        score[q] = -9
+        recall.append(len(found[q] & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.95 and np.mean(recall[:150]) >= 0.9
+    index = ann.Index(x[rng.choice(20000, 5000, replace=False)], lists=141)
+    assert index.probes < 141

@@ -1,19 +1,25 @@
 """Nearest neighbours by inner product: inverted file, product quantisation, exact reranking.
 
-Coarse centroids and the codebooks of residuals' sub-vectors are fitted on about
-SAMPLE distinct vectors chosen by a hash; every distinct vector is then indexed once:
-its list is that of the nearest centroid, its code names the nearest codeword of each
-sub-vector of its residual, and the length of what the code leaves over is kept. A
-query probes the PROBES lists with the largest inner products to their centroids. In
-these, inner products are estimated from the query's table of sub-vectors against
-codewords (the query itself is not quantised). The SHORT best of each chunk, computed
-exactly in double precision, give a score that k vectors reach; every vector whose
-estimate plus the largest possible error (the query's length times that left over)
-reaches it is computed exactly too, so within the probed lists nothing is lost, copies
-and near copies included. The k best of all are returned. A vector brings its k + 1
-smallest vec_ids (the query's own is left out), of which no more are needed. Cells of
-lists are cut into chunks of bounded size, queries too, so a list with a third of all
-vectors is spread.
+Coarse centroids (about as many as the root of the number of distinct vectors,
+MOST_LISTS at most) and the codebooks of residuals' sub-vectors are fitted on about
+SAMPLE distinct vectors chosen by a hash, or PER_LIST for each list if that is more.
+Every distinct vector is then indexed once: its list is that of the nearest centroid,
+its code names the nearest codeword of each sub-vector of its residual, and the length
+of what the code leaves over is kept. How many lists a query probes, those with the
+largest inner products to their centroids, is measured: as many as find RECALL of the
+nearest of sampled vectors among the sample; vectors that cluster need few, vectors
+spread evenly many.
+
+Queries go only to the lists they probe. A first round over the nearest few lists
+gives each query a score that k vectors reach; the second round, over the others, need
+return only what reaches it. In a list, inner products are estimated from the query's
+table of sub-vectors against codewords (the query itself is not quantised). Every
+vector whose estimate plus the largest possible error (the query's length times that
+left over) reaches the score of k vectors is computed exactly in double precision, so
+within the probed lists nothing is lost, copies and near copies included. A vector
+brings its k + 1 smallest vec_ids (the query's own is left out), of which no more are
+needed. Lists are cut into chunks of bounded size, and the queries of a list too, so a
+list with a third of all vectors is spread.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor
 do those of another length than the most frequent. Ties go to the smaller vec_id; of
@@ -32,11 +38,13 @@ from pyspark.sql import functions as F
 from .storage import stored
 from .vectors import packed, unpacked, usable
 
-SAMPLE, LISTS, PROBES = 20_000, 128, 96
+SAMPLE, PER_LIST, MOST_LISTS = 20_000, 40, 4096
+RECALL, TRIED = 0.97, 300
 SUB, WORDS = 16, 256
-SHORT = 60
-#: Lists are put in so many cells; a cell is cut into chunks of vectors, and its queries into chunks.
-CELLS, CHUNK, QUERIES = 16, 8192, 4096
+#: Best estimates that are computed exactly for a first threshold, as a multiple of k; lists of the first round, as a part.
+SHORT, FIRST = 3, 16
+#: Vectors and queries of a list that meet in one group.
+CHUNK, QUERIES = 8192, 4096
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -45,38 +53,58 @@ def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
         return x.copy()
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = (x @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1)
+        near = nearest(x, c)
         n = np.bincount(near, minlength=k)
         sums = np.stack([np.bincount(near, x[:, j], k) for j in range(x.shape[1])], axis=1)
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
     return c
 
 
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The number of the centroid nearest to each row."""
+    half = 0.5 * (c * c).sum(axis=1)
+    return np.concatenate([np.zeros(0, np.int64), *((x[i : i + 4096] @ c.T - half).argmax(axis=1) for i in range(0, len(x), 4096))])
+
+
 class Index:
     """Centroids and codebooks; sub-vectors are stretches of about dim / SUB components."""
 
-    def __init__(self, x: np.ndarray, seed: int = 0):
+    def __init__(self, x: np.ndarray, lists: int = 128, k: int = 20, seed: int = 0):
         rng = np.random.default_rng(seed)
         self.dim = x.shape[1]
         self.cuts = np.linspace(0, self.dim, min(SUB, self.dim) + 1).astype(int)
-        self.centroids = k_means(x, LISTS, 10, rng)
-        rest = x - self.centroids[self.lists(x)]
+        self.centroids = k_means(x, lists, 10, rng)
+        own = self.lists(x)
+        rest = x - self.centroids[own]
         self.books = [k_means(rest[:, a:b], WORDS, 8, rng) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
+        self.probes = self._measured(x, own, k, rng)
+
+    def _measured(self, x: np.ndarray, own: np.ndarray, k: int, rng: np.random.Generator) -> int:
+        """Fewest lists that hold RECALL of the k nearest of TRIED vectors among x, on average."""
+        tried = rng.choice(len(x), min(TRIED, len(x)), replace=False)
+        score = x[tried] @ x.T
+        score[np.arange(len(tried)), tried] = -np.inf
+        near = own[np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(x) - 1)]]
+        order = np.argsort(-(x[tried] @ self.centroids.T), axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+        needed = np.sort(np.take_along_axis(place, near, 1).ravel())
+        return int(needed[min(len(needed) - 1, int(RECALL * len(needed)))]) + 1 if len(needed) else 1
 
     def lists(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.centroids.T - 0.5 * (self.centroids**2).sum(axis=1)).argmax(axis=1)
+        return nearest(x, self.centroids)
 
     def codes(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         rest = x - self.centroids[lists]
         return np.stack([(rest[:, a:b] @ w.T - 0.5 * (w * w).sum(axis=1)).argmax(axis=1) for a, b, w in zip(self.cuts, self.cuts[1:], self.books, strict=False)], axis=1).astype(np.uint8)
 
-    def probed(self, q: np.ndarray) -> np.ndarray:
-        """True where a query probes a list."""
-        score = q @ self.centroids.T
-        n = min(PROBES, score.shape[1])
-        out = np.zeros(score.shape, bool)
-        np.put_along_axis(out, np.argsort(-score, axis=1, kind="stable")[:, :n], True, axis=1)
-        return out
+    def probed(self, q: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists in order of nearness for each query, how many it probes in both rounds, and in the first. Probed lists hold
+        more than k vectors if there are so many."""
+        order = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")
+        enough = np.minimum((np.cumsum(sizes[order], axis=1) <= k).sum(axis=1) + 1, order.shape[1])
+        every = np.maximum(self.probes, enough)
+        return order, every, np.maximum(-(-every // FIRST), enough)
 
     def left_over(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """The distance of each vector to what its list and code stand for."""
@@ -97,11 +125,13 @@ class Index:
         return out
 
 
-def fit(vectors: DataFrame, dim: int, n: int, sample: int = SAMPLE) -> Index | None:
-    """vectors: packed, with vec_id."""
+def fit(vectors: DataFrame, dim: int, n: int, k: int = 20) -> Index | None:
+    """vectors: n packed distinct ones."""
+    lists = min(MOST_LISTS, max(1, round(n**0.5)))
     u = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) / float(1 << 30)
-    rows = sorted(bytes(r["v"]) for r in vectors.where(u < min(1.0, sample / max(1, n))).select("v").collect())
-    return Index(unpacked(pa.array(rows, pa.binary()), dim)) if rows else None
+    share = min(1.0, max(SAMPLE, PER_LIST * lists) / max(1, n))
+    rows = sorted(bytes(r["v"]) for r in vectors.where(u < share).select("v").collect())
+    return Index(unpacked(pa.array(rows, pa.binary()), dim), lists, k) if rows else None
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
@@ -119,9 +149,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     rows = good.groupBy("v", F.coalesce("vec_id", F.lit(-(1 << 63))).alias("id")).agg(F.least(F.count("*"), F.lit(k)).alias("times"))
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= k + 1)
     distinct = stored(rows.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "times"))).alias("x")).select("v", "x.id", "x.times"), "distinct")
-    index = fit(distinct, dim, distinct.count())
-    if index is None:  # too few rows for a sample by hash: all of them
-        index = fit(distinct, dim, 1)
+    n_distinct = distinct.count()
+    index = fit(distinct, dim, n_distinct, k)
 
     def assign(batches):
         for b in batches:
@@ -133,45 +162,71 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("v", "id", "times")), *more], names=["v", "id", "times", "list", "code", "over"])
 
     indexed = stored(distinct.mapInArrow(assign, "v binary, id array<long>, times array<long>, list int, code binary, over double"), "indexed")
-    cell_sizes = {r["c"]: r["n"] for r in indexed.groupBy((F.col("list") % CELLS).alias("c")).agg(F.count("*").alias("n")).collect()}  # CELLS rows
+    list_rows = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # MOST_LISTS rows
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for i, n in list_rows.items():
+        sizes[i] = n
     queries = good.where(is_query & F.col("vec_id").isNotNull()).select("vec_id", "v").groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_query_chunks = max(1, -(-queries.count() // QUERIES))
-    chunks = F.element_at(F.create_map(*(F.lit(x) for c, n in sorted(cell_sizes.items()) for x in (c, -(-n // CHUNK)))), F.col("_cell"))
-    cells = F.array(*(F.lit(c) for c in sorted(cell_sizes)))
-    left = queries.withColumn("_q", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_chunks))).withColumn("_cell", F.explode(cells))
-    left = left.withColumn("_chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    right = indexed.withColumn("_cell", F.col("list") % CELLS).withColumn("_chunk", F.pmod(F.xxhash64("v"), chunks).cast("int"))
-    right = right.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query_chunks - 1).cast("long"))))
+    queries = stored(queries.withColumn("tau", F.lit(float("-inf"))), "queries")
+
+    def probe_counts(batches):
+        n = np.zeros((2, len(sizes)), np.int64)
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                order, every, first = index.probed(unpacked(b.column("v").slice(i, 256), dim), sizes, k)
+                at = np.arange(order.shape[1])
+                for r, use in enumerate((at < first[:, None], (at >= first[:, None]) & (at < every[:, None]))):
+                    n[r] += np.bincount(order[use], minlength=len(sizes))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sizes)), pa.int32()), pa.array(n[0]), pa.array(n[1])], names=["list", "first", "other"])
+
+    def probes(of_first: bool):
+        def run(batches):
+            for b in batches:
+                for i in range(0, b.num_rows, 256):
+                    part = b.slice(i, 256)
+                    order, every, first = index.probed(unpacked(part.column("v"), dim), sizes, k)
+                    at = np.arange(order.shape[1])
+                    who, place = np.nonzero(at < first[:, None] if of_first else (at >= first[:, None]) & (at < every[:, None]))
+                    for lo in range(0, len(who), 10_000):
+                        w, p = who[lo : lo + 10_000], place[lo : lo + 10_000]
+                        yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(w)) for c in ("vec_id", "v", "tau")), pa.array(order[w, p], pa.int32())], names=["vec_id", "v", "tau", "list"])
+
+        return run
+
+    asked = {r["list"]: (r["a"], r["b"]) for r in queries.mapInArrow(probe_counts, "list int, first long, other long").groupBy("list").agg(F.sum("first").alias("a"), F.sum("other").alias("b")).collect()}
+    cuts = [(i, -(-n // CHUNK), *(-(-x // QUERIES) for x in asked.get(i, (0, 0)))) for i, n in sorted(list_rows.items())]
+    cuts = F.broadcast(spark.createDataFrame(cuts, "list int, _chunks int, _first int, _other int").coalesce(1))  # a row for each list
     rounding = index.rounding()
 
     def run(qs: pa.Table, xs: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
         if qs.num_rows and xs.num_rows:
-            q_id = qs.column("vec_id").to_numpy()
+            q_id, tau = qs.column("vec_id").to_numpy(), qs.column("tau").to_numpy()
             ids, times = xs.column("id").combine_chunks(), xs.column("times").combine_chunks()
             n_ids = ids.value_lengths().to_numpy()
             begin = np.cumsum(n_ids) - n_ids
             ids, times = ids.flatten().to_numpy(), times.flatten().to_numpy()
             only = np.where(n_ids == 1, ids[begin], 0)
             q, x = unpacked(qs.column("v"), dim), unpacked(xs.column("v"), dim)
-            lists, over = xs.column("list").to_numpy(), xs.column("over").to_numpy()
+            lists, over = np.full(len(x), xs.column("list")[0].as_py()), xs.column("over").to_numpy()
             codes = np.frombuffer(b"".join(xs.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
             longest = np.sqrt((x * x).sum(axis=1).max())
             for lo in range(0, len(q), 256):
                 some, own = q[lo : lo + 256], q_id[lo : lo + 256]
                 size = np.sqrt((some * some).sum(axis=1))[:, None]
-                may = index.probed(some)[:, lists] & ((n_ids != 1) | (own[:, None] != only))
+                may = (n_ids != 1) | (own[:, None] != only)
                 near = index.estimates(some, codes, lists)
-                short = np.argpartition(-np.where(may, near, -np.inf), min(SHORT, len(x)) - 1, axis=1)[:, :SHORT]
+                few = min(SHORT * k, len(x))
+                short = np.argpartition(-np.where(may, near, -np.inf), few - 1, axis=1)[:, :few]
                 exact = np.where(np.take_along_axis(may, short, 1), np.einsum("qd,qsd->qs", some, x[short]), -np.inf)
                 slack = 1e-12 * size * longest
-                reached = (np.sort(exact, axis=1)[:, -k, None] if exact.shape[1] >= k else -np.inf) - slack
+                reached = np.maximum(tau[lo : lo + 256, None], np.sort(exact, axis=1)[:, -k, None] if exact.shape[1] >= k else -np.inf) - slack
                 may &= ~(near + size * (over + rounding) < reached)  # what is not a number stays
                 at = np.flatnonzero(may.any(axis=0))
                 if not len(at):
                     continue
                 score = np.where(may[:, at], some @ x[at].T, -np.inf)
-                reached = (np.partition(score, -k, axis=1)[:, -k, None] if len(at) >= k else -np.inf) - slack
+                reached = np.maximum(tau[lo : lo + 256, None], np.partition(score, -k, axis=1)[:, -k, None] if len(at) >= k else -np.inf) - slack
                 best = may[:, at] & ~(score < reached)
                 for i in range(len(some)):
                     c = at[best[i]]
@@ -189,9 +244,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                     out["score"].append(e[first])
         return pa.table({c: pa.array(np.concatenate([np.zeros(0), *v]) if c == "score" else np.concatenate([np.zeros(0, np.int64), *v]), t) for (c, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
-    keys = ("_cell", "_chunk", "_q")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+    keys = ("list", "_chunk", "_part")
+
+    def found_in(of_first: bool, queries: DataFrame) -> DataFrame:
+        parts = F.col("_first" if of_first else "_other")
+        left = queries.mapInArrow(probes(of_first), "vec_id long, v binary, tau double, list int").join(cuts, "list")
+        left = left.withColumn("_part", F.pmod(F.xxhash64("vec_id"), parts).cast("int")).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+        right = indexed.join(cuts, "list").where(parts > 0).withColumn("_chunk", F.pmod(F.xxhash64("v"), F.col("_chunks")).cast("int"))
+        right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        left, right = left.select(*keys, "vec_id", "v", "tau"), right.select(*keys, "v", "id", "times", "code", "over")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    first = stored(found_in(True, queries), "first")
+    reached = first.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("_tau"))
+    queries = queries.join(reached, "vec_id", "left").select("vec_id", "v", F.coalesce("_tau", "tau").alias("tau"))
+    found = first.unionByName(found_in(False, queries))
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     vec_id = F.when(F.col("vec_id") == -(1 << 63), None).otherwise(F.col("vec_id"))
     return best.select("query_id", "rank", vec_id.alias("vec_id"), "score")
