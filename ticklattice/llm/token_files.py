@@ -9,7 +9,8 @@ payload are kept, so that decoding can start there; payload and ids have checksu
 Parts ascend by doc_id, blocks by number within a part, documents within a block.
 Null text counts as empty and gives the end id alone; a null doc_id sorts first;
 rows with equal doc_id stay separate; an empty table gives no blocks; other columns
-are ignored. Long texts span blocks.
+are ignored. Long texts span blocks. Rows with one doc_id, or none, are dealt by a
+hash of their text too, so many of them spread over parts.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = (
-        docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+        docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
         .select(F.spark_partition_id().alias("part"), "doc_id", "text")
     )
 
@@ -302,13 +303,20 @@ def document_digests(spark: SparkSession, files: TokenFiles) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = blocks.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row for each part
 
-    @F.udf("long")
-    def joined(pieces):
-        return crc32_joined([(p.crc, p.n * 4) for p in pieces])
+    def joined(batches):
+        """Texts in one block have their checksum already; others' are put together from their pieces'."""
+        for b in batches:
+            parts = b.column("pieces")
+            begin, n, crc = (x.to_numpy(zero_copy_only=False) for x in (parts.offsets, parts.flatten().field("n"), parts.flatten().field("crc")))
+            begin = begin - begin[0]
+            out = crc[begin[:-1]]
+            for i in np.flatnonzero(np.diff(begin) > 1):
+                out[i] = crc32_joined([(int(c), int(m) * 4) for c, m in zip(crc[begin[i] : begin[i + 1]], n[begin[i] : begin[i + 1]], strict=True)])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("part", "doc_id", "begin", "n_tokens")), pa.array(out, pa.int64())], names=["part", "doc_id", "begin", "n_tokens", "ids_crc32"])
 
     pieces = read_token_files(spark, files, digests=True)
     docs = pieces.groupBy("part", "ordinal").agg(F.max("doc_id").alias("doc_id"), F.min("begin").alias("begin"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("block", "n", "crc"))).alias("pieces"))
-    one = docs.withColumn("ids_crc32", F.when(F.size("pieces") == 1, F.col("pieces")[0]["crc"]).otherwise(joined("pieces")))
+    one = docs.drop("ordinal").mapInArrow(joined, "part int, doc_id long, begin long, n_tokens long, ids_crc32 long")
     return one.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
 
 
