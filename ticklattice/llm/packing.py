@@ -33,7 +33,7 @@ from .token_files import encoder
 
 CAPACITY = 2048
 #: Numbers of groups that are tried; the plan with the fewest sequences is taken.
-GROUPS = (24, 64)
+GROUPS = (24, 64, 128)
 #: Pieces in a chunk that one task numbers.
 CHUNK = 20_000
 
@@ -65,11 +65,12 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Configurations (how many of each size) and how often each is used whole, of the optimum of the linear programme."""
+    """Configurations (how many of each size) and how often each is used whole, of the optimum of the linear programme:
+    columns are added until none has a price above that of a sequence."""
     k = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
     smallest = int(sizes.min())
-    for _ in range(60 * k):
+    while True:
         price = np.linalg.solve(basis.T, np.ones(k))
         value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
         for lo in range(smallest, capacity + 1, smallest):  # what a stretch needs lies in earlier stretches
@@ -84,6 +85,8 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
         while choice[c] >= 0:
             column[choice[c]] += 1
             c -= sizes[choice[c]]
+        if (basis == column[:, None]).all(axis=0).any():
+            break  # its price is above 1 by rounding alone
         used, move = np.linalg.solve(basis, demand), np.linalg.solve(basis, column)
         ratio = np.where(move > 1e-9, used / np.where(move > 1e-9, move, 1), np.inf)
         basis[:, int(ratio.argmin())] = column
@@ -182,7 +185,7 @@ def best_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[int,
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, length and any others); pieces should be a stored table."""
+    """Adds sequence_id and offset to pieces (doc_id, piece, length, ids_crc32 and any others); pieces should be a stored table."""
     histogram = {int(r.length): int(r.n) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     _, runs = best_plan(histogram, capacity)
     runs.sort()
@@ -190,11 +193,11 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shift = 44
     keys = (length << shift) + rank
     chunks = max(1, -(-sum(histogram.values()) // CHUNK))
-    dealt = pieces.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)))
+    dealt = pieces.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(chunks)))
     counts = dealt.groupBy("length", "_chunk").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("length", "_chunk").orderBy("doc_id", "piece")
+    own = Window.partitionBy("length", "_chunk").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("_own", F.row_number().over(own)).join(counts, ["length", "_chunk"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_own") - 1).select(*pieces.columns, "_rank")
 
