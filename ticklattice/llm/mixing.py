@@ -7,10 +7,11 @@ often as the target holds the source's size whole, then once more in that order
 until the source's exact budget (the target without its fraction) is reached: the
 last document is taken in part.
 
-The order is made in buckets of the hash: words are summed by bucket before the
-shuffle, prefix sums of buckets come from a window over one row per bucket, and only
-documents of one bucket are sorted together, so a source with a third of all rows is
-spread like the others. Null text has size 0, the null source is a source of its
+The order is made in buckets of the hash (of doc_id and size, so that rows without
+an id or with one id spread too): words are summed by bucket before the shuffle,
+prefix sums of buckets come from a window over one row per bucket, and only documents
+of one bucket are sorted together, so a source with a third of all rows is spread
+like the others. Null text has size 0, the null source is a source of its
 own, equal doc_ids are ordered by size, and an empty table gives no rows. Other
 columns are ignored by mix() and kept by mixed_documents().
 """
@@ -52,8 +53,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def _measured(docs: DataFrame, seed: int, *more: str) -> DataFrame:
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return docs.select("doc_id", "source", words(F.col("text")).alias("size"), key.alias("_key"), *more).withColumn("_bucket", F.substring("_key", 1, DIGITS))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string")))
+    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), *more)
+    return rows.select("doc_id", "source", "size", key.alias("_key"), *more).withColumn("_bucket", F.substring("_key", 1, DIGITS))
 
 
 def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, *more: str) -> DataFrame:
@@ -76,7 +78,8 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, shar
 
 def mixed_documents(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
     """The mix itself, in the columns of docs: a document stands in it as often as it is taken; where it is taken in part,
-    its text ends after the words taken. A text without words is kept once."""
+    its text ends after the last word taken (the white space before it stays as it was), and n_chars, if docs has it, is that
+    text's length. A text without words is kept once."""
     columns = docs.columns
     kept = docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), "doc_id", "source", "text")
     rows = mix(kept, seed, weights, share, most, "_row")
@@ -84,17 +87,21 @@ def mixed_documents(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = W
     copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).where((times > 0))
     part = F.col("taken") - (F.col("_copy") - 1) * F.col("size")
     text = F.col("_row")["text"]
-    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), 1, F.greatest(part, F.lit(0)).cast("int")), " ")
-    cut = F.when((F.col("size") > 0) & (part < F.col("size")), first).otherwise(text)
-    return copies.select(*[(cut if c == "text" else F.col("_row")[c]).alias(c) for c in columns])
+    pieces = F.regexp_extract_all(text, F.lit(rf"([\x20\x09-\x0D]*{WORD})"))
+    first = F.array_join(F.slice(pieces, 1, F.greatest(part, F.lit(0)).cast("int")), "")
+    partly = (F.col("size") > 0) & (part < F.col("size"))
+    own = {"text": F.when(partly, first).otherwise(text)}
+    if "n_chars" in columns:
+        own["n_chars"] = F.when(partly, F.length(first)).otherwise(F.col("_row")["n_chars"]).cast(dict(docs.dtypes)["n_chars"])
+    return copies.select(*[own.get(c, F.col("_row")[c]).alias(c) for c in columns])
 
 
 #: The same rows in DuckDB's SQL, over a view named documents.
 SQL = """
-with d as (
-  select doc_id, source, cast(coalesce(length(regexp_replace(regexp_replace(text, '[^\\x20\\x09-\\x0D]+', 'w', 'g'), '[\\x20\\x09-\\x0D]+', '', 'g')), 0) as bigint) as size,
-         md5('0:' || coalesce(cast(doc_id as varchar), '')) as k
+with z as (
+  select doc_id, source, cast(coalesce(length(regexp_replace(regexp_replace(text, '[^\\x20\\x09-\\x0D]+', 'w', 'g'), '[\\x20\\x09-\\x0D]+', '', 'g')), 0) as bigint) as size
   from documents),
+d as (select *, md5('0:' || coalesce(cast(doc_id as varchar), '') || ':' || cast(size as varchar)) as k from z),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 w as (select *, cast(case (row_number() over (order by source asc nulls last) - 1) % 3 when 0 then 3 when 1 then 1 else 2 end as double) as weight,
              cast(source_size * 2 as double) as lim from s),
