@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ticklattice.llm import language_crf, minhash, mixing, packing, storage, substring_dedup
 
-#: A text whose language gets a smaller mean posterior is in no language known here.
-LEAST_SCORE = 0.4
+#: A text whose words' own best labels get a smaller mean posterior is in no language known here.
+LEAST_CERTAINTY = 0.4
 _WHITE = r"^[\x20\x09-\x0D]*$"
 _OWN = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,13 +28,14 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and those whose predicted language scores below LEAST_SCORE; the column lang stays as it is."""
+    """Drops texts without letters and those whose words are labelled with less than LEAST_CERTAINTY on average (a text of
+    several known languages stays); the column lang stays as it is."""
     columns, docs = docs.columns, _plain(docs)
     model = language_crf.fit(docs)
     if not model.labels:
         return docs.toDF(*columns)  # nothing to learn from: nothing is rejected
     found = language_crf.identify(docs, model, *docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns).toDF(*columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("certainty") >= LEAST_CERTAINTY)).select(*docs.columns).toDF(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
