@@ -47,3 +47,21 @@ def nearest_rank(values: Column, q: float) -> Column:
     """Element int(n * q) of the sorted values."""
     at = F.least(F.floor(F.size(values) * F.lit(q)), F.size(values) - 1)
     return F.element_at(F.array_sort(values), (at + 1).cast("int"))
+
+
+def business_date(ts_ms: Column, zone: str = "UTC", rollover_hours: int = 0) -> Column:
+    """The date in a time zone of days that begin rollover_hours after midnight, as yyyy-MM-dd."""
+    local = F.from_utc_timestamp(F.timestamp_millis(ts_ms - rollover_hours * 3_600_000), zone)
+    return F.date_format(local, "yyyy-MM-dd")
+
+
+def nearest_rank_of(values, value: str, q: float, *keys: str):
+    """keys and the element int(n * q) of their sorted values, from counts of equal values: no list of a key's values."""
+    from pyspark.sql import Window
+
+    by = values.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys)
+    up = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    s = by.withColumn("_to", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(w))
+    at = F.least(F.floor(F.col("_all") * F.lit(q)), F.col("_all") - 1)
+    return s.where(F.col("_to") > at).groupBy(*keys).agg(F.min(value).alias(value))

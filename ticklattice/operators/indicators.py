@@ -1,78 +1,303 @@
-"""Order-flow indicators as windows over each symbol's rows."""
+"""Order-flow indicators over each symbol's rows, in chunks of time or blocks of rows."""
+
+from __future__ import annotations
+
+import math
+from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import clip, rounded
+from ..functions import clip
+from .chunks import numbered, over_range, over_rows, running, with_previous
+from .folds import ordered_fold
 
-def by_symbol():
-    """Each symbol's rows in order of time."""
-    return Window.partitionBy("symbol").orderBy("ts_ms", "seq")
+DAY_MS = 86_400_000
 
 
 def order_flow(book: DataFrame, weights: tuple[float, ...] = (0.4, 0.25)) -> DataFrame:
     """ofi: weighted changes of bid less ask quantities by level (the first row against zeros), and session_id: sessions end
     after a gap of more than 2 s or with the UTC day."""
-    total = sum(weights)
-    parts = [F.lit(w / total) * ((F.col(f"bid{i}_q") - F.coalesce(F.lag(f"bid{i}_q").over(by_symbol()), F.lit(0.0))) - (F.col(f"ask{i}_q") - F.coalesce(F.lag(f"ask{i}_q").over(by_symbol()), F.lit(0.0)))) for i, w in enumerate(weights, 1)]
-    ofi = parts[0]
-    for p in parts[1:]:
-        ofi = ofi + p
-    before = F.lag("ts_ms").over(by_symbol())
-    new = before.isNull() | (F.col("ts_ms") - before > 2000) | (F.expr("ts_ms div 86400000") != F.lag(F.expr("ts_ms div 86400000")).over(by_symbol()))
-    out = book.withColumn("ofi", ofi).withColumn("_new", new.cast("int"))
-    return out.withColumn("session_id", F.sum("_new").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    names = [f"{side}{i}_q" for i in range(1, len(weights) + 1) for side in ("bid", "ask")]
+    rows = with_previous(book, ["ts_ms", *names])
+    ofi, total = F.lit(0.0), sum(weights)
+    was = lambda c: F.coalesce(F.col(f"_prev.{c}"), F.lit(0.0))
+    for i, w in enumerate(weights, 1):
+        ofi = ofi + F.lit(w / total) * ((F.col(f"bid{i}_q") - was(f"bid{i}_q")) - (F.col(f"ask{i}_q") - was(f"ask{i}_q")))
+    before = F.col("_prev.ts_ms")
+    new = before.isNull() | (F.col("ts_ms") - before > 2000) | (F.expr(f"ts_ms div {DAY_MS}") != F.expr(f"_prev.ts_ms div {DAY_MS}"))
+    return running(rows.withColumn("ofi", ofi).withColumn("_new", new.cast("int")).drop("_prev"), {"session_id": F.col("_new")}).drop("_new")
+
+
+def price_jumps(book: DataFrame) -> DataFrame:
+    """Running counts of rises and falls of the best bid and their summed sizes (bps)."""
+    rows = with_previous(book, ["best_bid"])
+    step = (F.col("best_bid") - F.col("_prev.best_bid")) / F.col("_prev.best_bid") * 1e4
+    up, down = F.coalesce(step > 0, F.lit(False)), F.coalesce(step < 0, F.lit(False))
+    return running(rows.withColumn("_step", F.abs(step)), {"ups": up.cast("int"), "downs": down.cast("int"), "impact_bps": F.coalesce("_step", F.lit(0.0))}).drop("_prev", "_step")
 
 
 def prior_z(rows: DataFrame, value: str, window: int, least: int, population: bool = False, floor: float = 1e-4) -> DataFrame:
     """z of value against the mean and deviation of the `window` rows before; null until `least` of them."""
-    w = by_symbol().rowsBetween(-window, -1)
-    sd = (F.stddev_pop if population else F.stddev_samp)(value).over(w)
-    n, mean = F.count(value).over(w), F.avg(value).over(w)
-    z = F.when(sd <= 1e-9, 0.0).otherwise((F.col(value) - mean) / sd) if population else (F.col(value) - mean) / F.greatest(sd, F.lit(floor))
-    return rows.withColumn("z", F.when(n >= least, z))
+    w = lambda f: lambda o: f(value).over(o.rowsBetween(-window, -1))
+    out = over_rows(rows, window, 0, {"_n1": w(F.count), "_m": w(F.avg), "_s": w(F.stddev_pop if population else F.stddev_samp)})
+    z = F.when(F.col("_s") <= 1e-9, 0.0).otherwise((F.col(value) - F.col("_m")) / F.col("_s")) if population else (F.col(value) - F.col("_m")) / F.greatest("_s", F.lit(floor))
+    return out.withColumn("z", F.when(F.col("_n1") >= least, z)).drop("_n1", "_m", "_s")
+
+
+def tail_counts(rows: DataFrame, z: str, limit: float = 3.0) -> DataFrame:
+    """z clipped, and running counts of |z| above 2 and 3 and of all z."""
+    far = lambda x: F.coalesce((F.abs(z) > x).cast("int"), F.lit(0))
+    out = running(rows, {"over_2": far(2), "over_3": far(3), "n_z": F.col(z).isNotNull().cast("int")})
+    return out.withColumn(z, clip(F.col(z), limit))
 
 
 def signed_volume(trades: DataFrame) -> DataFrame:
     """cvd: running sum of quantities, bought less sold; a missing side follows the price's direction."""
-    side = F.coalesce(F.col("side"), F.when(F.col("price") >= F.lag("price").over(by_symbol()), "buy").otherwise("sell"))
-    out = trades.where("qty > 0").withColumn("side", side)
-    delta = F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
-    return out.withColumn("delta", delta).withColumn("cvd", F.sum("delta").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)))
+    rows = with_previous(trades.where("qty > 0"), ["price"])
+    rows = rows.withColumn("side", F.coalesce("side", F.when(F.col("price") >= F.col("_prev.price"), "buy").otherwise("sell"))).drop("_prev")
+    rows = rows.withColumn("delta", F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty")))
+    return running(rows, {"cvd": F.col("delta")})
+
+
+def tick_rule(trades: DataFrame, most: int = 5, age_ms: int = 2000) -> DataFrame:
+    """Fills a missing side: up buys, down sells; an equal price takes the last side, `most` times in a row and age_ms after
+    the last price change at most, else stays null. A fold: whether a row has a side depends on the ones before."""
+
+    def start():
+        state = {"price": None, "side": None, "n": 0, "at": None}
+
+        def step(ts, price, side):
+            last = state["price"]
+            if side is None and last is not None and price is not None:
+                if price != last:
+                    side = "buy" if price > last else "sell"
+                elif state["side"] is not None and state["n"] < most and ts - state["at"] <= age_ms:
+                    side = state["side"]
+                    state["n"] += 1
+            if price is not None and price != last:
+                state.update(n=0, at=ts)
+            if side is not None:
+                state["side"] = side
+            state["price"] = last if price is None else price
+            return (side,)
+
+        return step
+
+    return ordered_fold(trades, ["symbol"], ["ts_ms", "seq"], ["ts_ms", "price", "side"], start, "tick_side string")
 
 
 def rolling_rates(rows: DataFrame, span_ms: int = 60_000) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy("ts_ms").rangeBetween(-span_ms, 0)
-    return rows.withColumn("n_60s", F.count("*").over(w)).withColumn("usd_60s", F.sum(F.col("price") * F.col("qty")).over(w))
+    return over_range(rows, span_ms, {"n_60s": lambda w: F.count("*").over(w), "usd_60s": lambda w: F.sum(F.col("price") * F.col("qty")).over(w)})
+
+
+def trade_rate(rows: DataFrame, span_ms: int = 60_000) -> DataFrame:
+    """tps: trades of the last span_ms a second, the span counted as 60 s at least."""
+    return over_range(rows, span_ms, {"tps": lambda w: F.count("*").over(w) / F.greatest(F.lit(60.0), (F.col("ts_ms") - F.min("ts_ms").over(w)) / 1000)})
+
+
+def activity_rate(rows: DataFrame, last: int = 100) -> DataFrame:
+    """activity: (n - 1) / span in seconds over the last rows, null where they have one time."""
+    w = lambda f: lambda o: f.over(o.rowsBetween(-(last - 1), 0))
+    out = over_rows(rows, last - 1, 0, {"_k": w(F.count("*")), "_t": w(F.min("ts_ms"))})
+    span = (F.col("ts_ms") - F.col("_t")) / 1000
+    return out.withColumn("activity", F.when(span > 0, (F.col("_k") - 1) / span)).drop("_k", "_t")
+
+
+def log_returns(rows: DataFrame) -> DataFrame:
+    return with_previous(rows, ["price"]).withColumn("r", F.log(F.col("price") / F.col("_prev.price"))).drop("_prev")
 
 
 def realised_vol(rows: DataFrame, last: int = 600) -> DataFrame:
-    out = rows.withColumn("_r", F.log(F.col("price") / F.lag("price").over(by_symbol())))
-    return out.withColumn("vol_bps", F.stddev_pop("_r").over(by_symbol().rowsBetween(-(last - 1), 0)) * 1e4).drop("_r")
+    """Population deviation of the last log returns in bps, from running sums of them and their squares `last` rows apart."""
+    r = F.coalesce("r", F.lit(0.0))
+    has = F.col("r").isNotNull().cast("int")
+    sums = running(log_returns(rows), {"_n0": has, "_s": r, "_q": r * r})
+    back = lambda c: lambda o: F.col(c) - F.coalesce(F.lag(c, last).over(o), F.lit(0))
+    out = over_rows(sums, last, 0, {"_a": back("_n0"), "_b": back("_s"), "_c": back("_q")})
+    var = F.col("_c") / F.col("_a") - (F.col("_b") / F.col("_a")) ** 2
+    return out.withColumn("vol_bps", F.when(F.col("_a") > 0, F.sqrt(F.greatest(var, F.lit(0.0))) * 1e4)).drop("r", "_n0", "_s", "_q", "_a", "_b", "_c")
+
+
+def ema(rows: DataFrame, value: str, alpha: float, *resets: str) -> DataFrame:
+    """Exponentially weighted mean of each row and those before it, seeded by the symbol's first value (and anew where one of
+    the columns `resets` changes). A fold without an end: no restarts by time."""
+
+    def start():
+        state = [None, None]
+
+        def step(v, *key):
+            if v is not None:
+                state[0] = v if state[0] is None or key != state[1] else alpha * v + (1 - alpha) * state[0]
+                state[1] = key
+            return (state[0],)
+
+        return step
+
+    return ordered_fold(rows, ["symbol"], ["ts_ms", "seq"], [value, *resets], start, "ema double")
+
+
+def decayed_means(rows: DataFrame, value: str, halves_ms: tuple[int, ...] = (60_000, 600_000)) -> DataFrame:
+    """Means of |value| that decay with time: a row weighs 1 - 2^(-dt / half), dt 1 ms at least; seeded by the first."""
+
+    def start():
+        state = {"at": None, "m": [0.0] * len(halves_ms)}
+
+        def step(ts, v):
+            x = abs(v)
+            if state["at"] is None:
+                state["m"] = [x] * len(halves_ms)
+            else:
+                dt = max(1, ts - state["at"])
+                state["m"] = [m + (1 - 2 ** (-dt / h)) * (x - m) for m, h in zip(state["m"], halves_ms, strict=True)]
+            state["at"] = ts
+            return tuple(state["m"])
 
+        return step
 
-def ema(rows: DataFrame, value: str, alpha: float, *keys: str) -> DataFrame:
-    """The last exponentially weighted mean of each key's rows in order of (ts_ms, seq), seeded by the first value: a fold."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "seq", F.col(value).alias("v")))), lambda x: x["v"])
-    fold = F.aggregate(F.slice(F.col("v"), 2, F.greatest(F.size("v") - 1, F.lit(0))), F.element_at("v", 1), lambda a, x: x * alpha + a * (1 - alpha))
-    return rows.groupBy(*keys).agg(ordered.alias("v")).select(*keys, F.size("v").cast("long").alias("n"), rounded(fold).alias("ema"))
+    return ordered_fold(rows, ["symbol"], ["ts_ms", "seq"], ["ts_ms", value], start, ", ".join(f"decayed_{h // 1000}s double" for h in halves_ms))
 
 
-def throttled(rows: DataFrame, gap_ms: int, *keys: str) -> DataFrame:
-    """How many rows of each key are kept if a row must be gap_ms after the last kept one: a fold."""
-    start = F.struct(F.lit(-(1 << 60)).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-    step = lambda a, t: F.when(t - a["last"] >= gap_ms, F.struct(t.alias("last"), (a["n"] + 1).alias("n"))).otherwise(a)
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list("ts_ms")).alias("t")).select(*keys, F.aggregate("t", start, step)["n"].alias("kept"))
+def rolling_mad(rows: DataFrame, value: str, window: int = 200, least: int = 50, multiplier: float = 1.0) -> DataFrame:
+    """mad: 1.4826 x multiplier x the median distance from the median (middle) of the last values; null with fewer than `least`."""
+    out = over_rows(rows, window - 1, 0, {"_l": lambda o: F.collect_list(value).over(o.rowsBetween(-(window - 1), 0))})
+    middle = lambda a: (F.element_at(a, ((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, (F.size(a) / 2 + 1).cast("int"))) / 2
+    out = out.withColumn("_l", F.array_sort("_l")).withColumn("middle", middle(F.col("_l")))
+    out = out.withColumn("_d", F.array_sort(F.transform("_l", lambda x: F.abs(x - F.col("middle")))))
+    return out.withColumn("mad", F.when(F.size("_l") >= least, middle(F.col("_d")) * (1.4826 * multiplier))).drop("_l", "_d")
+
+
+def after_gaps(rows: DataFrame) -> DataFrame:
+    """frozen: the row comes more than 5 s after the one before, or is one of the next two; or more than 4 s, or the next one."""
+    r = with_previous(rows, ["ts_ms"]).withColumn("_gap", F.col("ts_ms") - F.col("_prev.ts_ms")).drop("_prev")
+    w = lambda n: lambda o: F.max("_gap").over(o.rowsBetween(-n, 0))
+    out = over_rows(r, 2, 0, {"_g2": w(2), "_g1": w(1)})
+    return out.withColumn("frozen", F.coalesce(F.col("_g2") > 5000, F.lit(False)) | F.coalesce(F.col("_g1") > 4000, F.lit(False))).drop("_gap", "_g1", "_g2")
+
+
+#: winsor limit and MAD multiplier by the symbol's currency (fixed values); others get the last pair.
+CVD_LIMITS = {"BTC": (1.9, 1.75), "ETH": (2.3, 1.70), "": (2.0, 1.70)}
+
+
+def cvd_delta_z(trades: DataFrame, freeze_min: int = 20, window: int = 200, floor: float = 0.1, frozen_rows: bool = True) -> DataFrame:
+    """z of each signed trade: delta over a scale that mixes the decayed means by the trade rate and is the MAD and the floor at
+    least; winsorised; null for a symbol's first trades and after gaps. mode: ACTIVE above 2 trades a second, else QUIET.
+    Without frozen_rows, gaps leave no nulls (the estimate between updates)."""
+    rows = decayed_means(signed_volume(trades), "delta")
+    rows = after_gaps(trade_rate(rolling_mad(rows, "delta", window, max(50, window // 5)).withColumnRenamed("mad", "_mad").drop("middle")))
+    rows = numbered(rows, "_n")
+    limit, times = F.lit(CVD_LIMITS[""][0]), F.lit(CVD_LIMITS[""][1])
+    for name in ("BTC", "ETH"):
+        own = F.upper("symbol").startswith(name)
+        limit, times = F.when(own, CVD_LIMITS[name][0]).otherwise(limit), F.when(own, CVD_LIMITS[name][1]).otherwise(times)
+    fast = 0.5 * F.least(F.lit(1.0), F.col("tps") / 1.5)
+    mixed = fast * F.col("decayed_60s") + (1 - fast) * F.col("decayed_600s")
+    low = floor * F.pow(1.5 / F.greatest("tps", F.lit(0.2)), F.lit(0.7))
+    rows = rows.withColumn("scale", F.greatest(mixed, low, F.coalesce(F.col("_mad") * times, F.lit(0.0))))
+    z = clip_to(F.col("delta") / F.col("scale"), limit)
+    live = F.col("_n") > freeze_min
+    rows = rows.withColumn("z_cvd", F.when(live & ~F.col("frozen") if frozen_rows else live, z))
+    return rows.withColumn("mode", F.when(F.col("tps") > 2, "ACTIVE").otherwise("QUIET")).drop("_n", "_mad")
+
+
+def clip_to(x: Column, limit: Column) -> Column:
+    return F.greatest(-limit, F.least(limit, x))
+
+
+def winsorised_history_z(rows: DataFrame, value: str, window: int = 80, least: int = 16, k: float = 0.9) -> DataFrame:
+    """z of value against earlier values that were themselves drawn in to k x MAD around their median (from 11 on) before they
+    entered the history: recursive, so a fold."""
+
+    def start():
+        past: deque[float] = deque(maxlen=window)
+
+        def step(v):
+            if v is None:
+                return (None, None)
+            kept = v
+            if len(past) > 10:
+                s = sorted(past)
+                middle = _median(s)
+                mad = _median(sorted(abs(x - middle) for x in s))
+                if mad > 0:
+                    kept = min(max(v, middle - k * mad), middle + k * mad)
+            z = None
+            if len(past) >= least:
+                mean = sum(past) / len(past)
+                sd = math.sqrt(sum((x - mean) ** 2 for x in past) / (len(past) - 1))
+                z = (v - mean) / max(sd, 1e-4)
+            past.append(kept)
+            return (kept, z)
+
+        return step
+
+    return ordered_fold(rows, ["symbol"], ["ts_ms", "seq"], [value], start, "kept double, z double")
+
+
+def _median(s: list[float]) -> float:
+    n = len(s)
+    return (s[(n - 1) // 2] + s[n // 2]) / 2
+
+
+def timed_z(rows: DataFrame, value: str, span_ms: int = 300_000, least: int = 5) -> DataFrame:
+    """z of value against mean and population deviation of the last span_ms (itself included); the deviation is 1e-9 at least."""
+    out = over_range(rows, span_ms, {"_c": lambda w: F.count(value).over(w), "_m": lambda w: F.avg(value).over(w), "_s": lambda w: F.stddev_pop(value).over(w)})
+    return out.withColumn("z", F.when(F.col("_c") >= least, (F.col(value) - F.col("_m")) / F.greatest("_s", F.lit(1e-9)))).drop("_c", "_m", "_s")
+
+
+def robust_z(rows: DataFrame, value: str, window: int = 4096, least: int = 20) -> DataFrame:
+    """(value - median) / (1.4826 MAD) over the last rows, the scale 1e-9 at least."""
+    out = rolling_mad(rows, value, window, least)
+    return out.withColumn("z", (F.col(value) - F.col("middle")) / F.greatest("mad", F.lit(1e-9))).drop("middle", "mad")
+
+
+def throttled(rows: DataFrame, gap_ms: int, *keys: str, order: tuple[str, ...] = ("ts_ms", "seq")) -> DataFrame:
+    """The rows of each key that come gap_ms or more after the last row kept; the first is kept. A fold."""
+
+    def start():
+        last = [None]
+
+        def step(ts):
+            if last[0] is not None and ts - last[0] < gap_ms:
+                return None
+            last[0] = ts
+            return (True,)
+
+        return step
+
+    return ordered_fold(rows, list(keys), list(order), [order[0]], start, "_kept boolean").drop("_kept")
 
 
 def pivots(rows: DataFrame, value: str, reach: int) -> DataFrame:
     """Rows whose value is at least (high) or at most (low) all values of `reach` rows on either side."""
-    before, after = by_symbol().rowsBetween(-reach, -1), by_symbol().rowsBetween(1, reach)
+    over = lambda f, a, b: lambda o: f.over(o.rowsBetween(a, b))
+    add = {}
+    for name, a, b in (("b", -reach, -1), ("a", 1, reach)):
+        add |= {f"_c{name}": over(F.count("*"), a, b), f"_x{name}": over(F.max(value), a, b), f"_m{name}": over(F.min(value), a, b)}
+    out = over_rows(rows, reach, reach, add)
     v = F.col(value)
-    full = (F.count("*").over(before) == reach) & (F.count("*").over(after) == reach)
-    high = (v >= F.max(value).over(before)) & (v >= F.max(value).over(after))
-    low = (v <= F.min(value).over(before)) & (v <= F.min(value).over(after))
-    return rows.withColumn("kind", F.when(full & high, "high").when(full & low, "low")).where("kind is not null")
+    full = (F.col("_cb") == reach) & (F.col("_ca") == reach)
+    high, low = (v >= F.col("_xb")) & (v >= F.col("_xa")), (v <= F.col("_mb")) & (v <= F.col("_ma"))
+    return out.withColumn("kind", F.when(full & high, "high").when(full & low, "low")).where("kind is not null").select(*rows.columns, "kind")
+
+
+def divergences(rows: DataFrame, price: str, indicator: str, reach: int = 3, apart: int = 6) -> DataFrame:
+    """Pairs of a symbol's successive pivots of one kind, at least `apart` rows apart, whose price and indicator disagree:
+    bull_div (lower low, higher indicator), hidden_bull, bear_div (higher high, lower indicator), hidden_bear; with a score
+    of 0 to 100 from the size of both moves and the distance."""
+    n = numbered(rows, "at_row")
+    p = pivots(n, price, reach).withColumn("ts_ms", F.col("ts_ms"))
+    w = Window.partitionBy("symbol", "kind").orderBy("at_row")  # pivots are few: one a dozen rows, or fewer
+    p = p.withColumn("_was", F.lag(F.struct("at_row", F.col(price).alias("p"), F.col(indicator).alias("i"))).over(w))
+    p = p.where(F.col("at_row") - F.col("_was.at_row") >= apart)
+    dp, di = F.col(price) - F.col("_was.p"), F.col(indicator) - F.col("_was.i")
+    low = F.col("kind") == "low"
+    kind = F.when(low & (dp < 0) & (di > 0), "bull_div").when(low & (dp > 0) & (di < 0), "hidden_bull").when(~low & (dp > 0) & (di < 0), "bear_div").when(~low & (dp < 0) & (di > 0), "hidden_bear")
+    size = F.least(F.lit(1.0), F.abs(di) / 100)
+    valid = F.least(F.lit(1.0), F.abs(dp) / F.col("_was.p") * 10)
+    bonus = F.when(F.col("at_row") - F.col("_was.at_row") <= 20, 1.0).otherwise(0.0)
+    score = 100 * (0.35 * size + 0.25 * valid + 0.25 + 0.15 * bonus)
+    return p.withColumn("divergence", kind).where("divergence is not null").withColumn("score", score).drop("_was")
 
 
 def fusion(rows: DataFrame, w_ofi: float = 0.6, w_cvd: float = 0.4, limit: float = 4.0) -> Column:

@@ -1,9 +1,18 @@
-"""Fills, lots, daily results and the reports over them."""
+"""Fills, costs, lots, daily results and the figures over them."""
 
-from pyspark.sql import DataFrame, Window
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rounded
+from ..functions import business_date, rounded
+
+#: Quantities are counted in these units while lots are matched.
+UNIT = 100_000_000
+#: Units of cumulative quantity in a chunk of lots: 50,000 whole ones.
+CHUNK = 50_000 * UNIT
 
 
 def costs(fills: DataFrame) -> DataFrame:
@@ -13,23 +22,85 @@ def costs(fills: DataFrame) -> DataFrame:
     return out.withColumn("fee", F.col("notional") * F.col("fee_bps") / 1e4)
 
 
-def fifo_lots(fills: DataFrame) -> DataFrame:
-    """Buys and sells of a symbol and month matched in time order: the n-th unit bought goes with the n-th sold.
+def slippage_bps(model: str, base: float, spread: Column, vol: Column, scenario: Column, factors: dict[str, float] | None = None) -> Column:
+    """static: base; linear: the larger of base and .5 spread + .3 vol; piecewise: base times the scenario's factor."""
+    if model == "static":
+        return F.lit(base)
+    if model == "linear":
+        return F.greatest(F.lit(base), 0.5 * spread + 0.3 * vol)
+    if model == "piecewise":
+        return base * _pick(scenario, factors or {"A_H": 2.0, "A_L": 1.5, "Q_H": 1.2, "Q_L": 1.0}, 1.0)
+    raise ValueError(f"no slippage model {model}")
+
+
+def fee_bps(model: str, notional: Column, maker: Column, taker_bps: float = 5.0, maker_bps: float = 2.0, tiers: tuple[tuple[float, float], ...] = ((0.0, 5.0), (20_000.0, 4.0), (50_000.0, 3.0))) -> Column:
+    """taker_static: taker_bps; tiered: that of the highest tier whose floor the notional reaches; maker_taker: the mean by the
+    probability `maker`."""
+    if model == "taker_static":
+        return F.lit(taker_bps)
+    if model == "tiered":
+        out = F.lit(tiers[0][1])
+        for floor, bps in tiers[1:]:
+            out = F.when(notional >= floor, bps).otherwise(out)
+        return out
+    if model == "maker_taker":
+        return maker * maker_bps + (1 - maker) * taker_bps
+    raise ValueError(f"no fee model {model}")
+
+
+def maker_probability(scenario: Column, spread: Column, side: Column) -> Column:
+    """A scenario's probability, less where the spread is tight, with a bias by side, from 0 to 1."""
+    base = _pick(scenario, {"Q_L": 0.8, "Q_H": 0.6, "A_L": 0.5, "A_H": 0.3}, 0.5)
+    near = F.when(spread < 1, 0.8).when(spread > 5, 1.2).otherwise(1.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), base * near * F.when(side == "buy", 1.05).otherwise(0.95)))
+
+
+def _pick(key: Column, values: dict[str, float], other: float) -> Column:
+    out = F.lit(other)
+    for k, v in values.items():
+        out = F.when(key == k, v).otherwise(out)
+    return out
 
-    A leg is where the cumulative quantities of a buy and a sell overlap. Both sides are cut at every boundary of the other
-    by one union and two windows, so no pair is tried that does not match."""
-    keys = ["symbol", "month"]
-    f = fills.withColumn("month", F.expr("ts_ms div 2592000000")).select(*keys, "ts_ms", "fill_id", "side", "px", F.col("qty").cast("long").alias("q"))
-    own = Window.partitionBy(*keys, "side").orderBy("ts_ms", "fill_id").rowsBetween(Window.unboundedPreceding, 0)
-    f = f.withColumn("end", F.sum("q").over(own)).withColumn("start", F.col("end") - F.col("q"))
-    # one row for each start; the other side's fill that is open there is the last one that started
-    cuts = f.groupBy(*keys, "start").agg(*(F.max(F.when(F.col("side") == s, F.struct("px", "end", "fill_id"))).alias(s) for s in ("buy", "sell")))
-    w = Window.partitionBy(*keys).orderBy("start")
+
+def fifo_lots(fills: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Closed legs of lots matched oldest first: the n-th unit bought of a symbol goes with the n-th sold, whichever came first.
+
+    A row for each leg: symbol, q, buy_px, sell_px, pnl (before fees), fee (both fills' shares by quantity), open_ms, close_ms,
+    way (long if bought first). fills: fill_id, symbol, ts_ms, side, px, qty, fee; a quantity that is null or not above 0 is
+    left out. A leg is where the cumulative quantities of a buy and a sell overlap. Cumulative quantities come from totals of
+    hours and then sums within them; legs are cut in chunks of cumulative quantity, into which the fill that is open at the
+    chunk's edge is carried, so a symbol spreads over tasks and no pair is tried that does not match."""
+    f = fills.where("qty > 0 and side in ('buy', 'sell')").select("symbol", "ts_ms", "fill_id", "side", "px", "fee", "qty", F.round(F.col("qty") * UNIT).cast("decimal(38,0)").alias("_q"))
+    hour = F.expr("ts_ms div 3600000")
+    f = f.withColumn("_hour", hour)
+    totals = f.groupBy("symbol", "side", "_hour").agg(F.sum("_q").alias("_t"))
+    before = Window.partitionBy("symbol", "side").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("symbol", "side", "_hour", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_b"))
+    own = Window.partitionBy("symbol", "side", "_hour").orderBy("ts_ms", "fill_id").rowsBetween(Window.unboundedPreceding, 0)
+    f = f.withColumn("_e", F.sum("_q").over(own)).join(totals, ["symbol", "side", "_hour"])
+    f = f.withColumn("end", (F.col("_b") + F.col("_e")).cast("decimal(38,0)")).withColumn("start", (F.col("end") - F.col("_q")).cast("decimal(38,0)"))
+    row = F.struct("end", "px", "qty", "fee", "ts_ms", "fill_id")
+    # a row for each start; the other side's fill that is open there is the last one that started
+    at = F.col("start").cast("decimal(38,0)")
+    sides = ("buy", "sell")
+    cuts = f.groupBy("symbol", at.alias("start")).agg(*(F.max(F.when(F.col("side") == s, row)).alias(s) for s in sides))
+    cuts = cuts.withColumn("_chunk", F.floor(F.col("start") / F.lit(chunk)).cast("long"))
+    ends = cuts.groupBy("symbol", "_chunk").agg(*(F.max_by(s, F.when(F.col(s).isNotNull(), F.col("start"))).alias(f"_{s}") for s in sides), F.min("start").alias("_first"))
+    w = Window.partitionBy("symbol").orderBy("_chunk")
+    carried = ends.select("symbol", "_chunk", *(F.last(f"_{s}", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_{s}") for s in sides), F.lead("_first").over(w).alias("_after"))
+    w = Window.partitionBy("symbol", "_chunk").orderBy("start")
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    legs = cuts.select(*keys, "start", *(F.last(s, True).over(back).alias(s) for s in ("buy", "sell")), F.lead("start").over(w).alias("_next"))
-    end = F.least(F.col("buy.end"), F.col("sell.end"), F.coalesce("_next", F.least("buy.end", "sell.end")))
-    legs = legs.withColumn("q", end - F.col("start")).where("buy is not null and sell is not null and q > 0")
-    return legs.withColumn("pnl", (F.col("sell.px") - F.col("buy.px")) * F.col("q"))
+    legs = cuts.select("symbol", "_chunk", "start", *(F.last(s, True).over(back).alias(s) for s in sides), F.lead("start").over(w).alias("_next"))
+    legs = legs.join(carried, ["symbol", "_chunk"]).select("symbol", "start", *(F.coalesce(s, f"_{s}").alias(s) for s in sides), F.coalesce("_next", "_after").alias("_next"))
+    both = F.least(F.col("buy.end"), F.col("sell.end"))
+    legs = legs.withColumn("_q", F.least(both, F.coalesce("_next", both)) - F.col("start")).where("buy is not null and sell is not null and _q > 0")
+    q = (F.col("_q") / UNIT).cast("double")
+    share = lambda s: F.coalesce(F.col(f"{s}.fee"), F.lit(0.0)) * q / F.col(f"{s}.qty")
+    first = (F.col("buy.ts_ms") < F.col("sell.ts_ms")) | ((F.col("buy.ts_ms") == F.col("sell.ts_ms")) & (F.col("buy.fill_id") <= F.col("sell.fill_id")))
+    return legs.select(
+        "symbol", q.alias("q"), F.col("buy.px").alias("buy_px"), F.col("sell.px").alias("sell_px"), ((F.col("sell.px") - F.col("buy.px")) * q).alias("pnl"), (share("buy") + share("sell")).alias("fee"),
+        F.least("buy.ts_ms", "sell.ts_ms").alias("open_ms"), F.greatest("buy.ts_ms", "sell.ts_ms").alias("close_ms"), F.when(first, "long").otherwise("short").alias("way"), F.col("buy.fill_id").alias("buy_id"), F.col("sell.fill_id").alias("sell_id"),
+    )
 
 
 def daily(fills: DataFrame) -> DataFrame:
@@ -39,28 +110,64 @@ def daily(fills: DataFrame) -> DataFrame:
     return c.groupBy(F.expr("ts_ms div 86400000").alias("day"), "symbol").agg(F.sum(cash - F.col("fee")).alias("net"), F.sum("fee").alias("fee"), F.sum("notional").alias("turnover"), F.count("*").alias("trades"))
 
 
+def daily_legs(legs: DataFrame, zone: str = "UTC", rollover_hours: int = 0) -> DataFrame:
+    """Realised results of each business date (of the close, in a time zone, days beginning rollover_hours after midnight) and
+    symbol: gross, fee, net, turnover, legs, wins, losses, win_rate, rr (mean win over mean loss; null without both), hold_s."""
+    net = F.col("pnl") - F.col("fee")
+    d = legs.withColumn("net", net).withColumn("day", business_date(F.col("close_ms"), zone, rollover_hours))
+    win, loss = F.avg(F.when(F.col("net") > 0, F.col("net"))), F.avg(F.when(F.col("net") < 0, -F.col("net")))
+    return d.groupBy("day", "symbol").agg(
+        F.sum("pnl").alias("gross"), F.sum("fee").alias("fee"), F.sum("net").alias("net"), F.sum(F.col("q") * (F.col("buy_px") + F.col("sell_px"))).alias("turnover"), F.count("*").alias("legs"),
+        F.count_if(F.col("net") > 0).alias("wins"), F.count_if(F.col("net") < 0).alias("losses"), F.avg((F.col("net") > 0).cast("int")).alias("win_rate"), (win / loss).alias("rr"), F.avg((F.col("close_ms") - F.col("open_ms")) / 1000).alias("hold_s"),
+    )
+
+
 def performance(days: DataFrame) -> DataFrame:
-    """A row for each symbol: Sharpe, Sortino (252 days), largest drawdown, share of winning days. Null where undefined."""
-    by_day = Window.partitionBy("symbol").orderBy("day")
+    """A row for each symbol of days (day, symbol, net): total, Sharpe, Sortino (252 days), largest drawdown, MAR (mean daily
+    result x 252 over the drawdown), share of winning days. Null where undefined."""
+    by_day = Window.partitionBy("symbol").orderBy("day")  # a row for each day
     run = by_day.rowsBetween(Window.unboundedPreceding, 0)
     d = days.withColumn("equity", F.sum("net").over(run)).withColumn("peak", F.max("equity").over(run))
     loss = F.stddev_samp(F.when(F.col("net") < 0, F.col("net")))
     year = F.sqrt(F.lit(252.0))
+    drawdown = F.max(F.col("peak") - F.col("equity"))
     return d.groupBy("symbol").agg(
-        rounded(F.try_divide(F.avg("net"), F.stddev_samp("net")) * year).alias("sharpe"), rounded(F.try_divide(F.avg("net"), loss) * year).alias("sortino"),
-        F.round(F.max(F.col("peak") - F.col("equity")), 2).alias("drawdown"), rounded(F.avg((F.col("net") > 0).cast("int"))).alias("win_rate"), F.count("*").alias("days"),
+        F.round(F.sum("net"), 2).alias("total"), rounded(F.try_divide(F.avg("net"), F.stddev_samp("net")) * year).alias("sharpe"), rounded(F.try_divide(F.avg("net"), loss) * year).alias("sortino"),
+        F.round(drawdown, 2).alias("drawdown"), rounded(F.try_divide(F.avg("net") * 252, drawdown)).alias("mar"), rounded(F.avg((F.col("net") > 0).cast("int"))).alias("win_rate"), F.count("*").alias("days"),
     )
 
 
+def equity_curve(days: DataFrame) -> DataFrame:
+    """day, net of all symbols, equity so far and the drawdown from its peak."""
+    d = days.groupBy("day").agg(F.sum("net").alias("net"))
+    run = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # over days, one row each
+    d = d.withColumn("equity", F.sum("net").over(run))
+    return d.withColumn("drawdown", F.max("equity").over(run) - F.col("equity"))
+
+
 def pareto(rows: DataFrame, up: list[str], down: list[str], key: str) -> DataFrame:
-    """Rows that no other row equals or betters in every objective and betters in one. For tables of trials, which are small
-    by nature: every row is held against all others."""
-    other = rows.select(*(F.col(c).alias(f"_{c}") for c in (*up, *down)))
-    ge = [F.col(f"_{c}") >= F.col(c) for c in up] + [F.col(f"_{c}") <= F.col(c) for c in down]
-    gt = [F.col(f"_{c}") > F.col(c) for c in up] + [F.col(f"_{c}") < F.col(c) for c in down]
-    every, some = ge[0], gt[0]
-    for x in ge[1:]:
-        every = every & x
-    for x in gt[1:]:
-        some = some | x
-    return rows.join(other, every & some, "left_anti")
+    """Rows that no other row equals or betters in every objective and betters in one. Nulls are no objectives: such rows go.
+
+    With two objectives: sorted by the first, a row stays if its second is better than that of all rows with a better first
+    and the best of those with an equal one; rows are summed up by their first objective, and then by ranges of it, before a
+    window runs. With more, tables are those of trials: every distinct point is held against the others."""
+    goals = [F.col(c).cast("double").alias(c) for c in up] + [(-F.col(c).cast("double")).alias(c) for c in down]
+    names = [*up, *down]
+    points = rows.select(*goals).dropna().distinct()
+    if len(names) == 2:
+        x, y = names
+        best = points.groupBy(x).agg(F.max(y).alias(y))
+        best = best.withColumn("_range", F.floor(F.log2(F.abs(x) + 1) * 8) * F.signum(x))  # in the order of x
+        tops = best.groupBy("_range").agg(F.max(y).alias("_top"))
+        above = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # some thousand ranges at most
+        tops = tops.select("_range", F.max("_top").over(above).alias("_above"))
+        inside = Window.partitionBy("_range").orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1)
+        best = best.withColumn("_in", F.max(y).over(inside)).join(tops, "_range")
+        front = best.where((F.col(y) > F.coalesce(F.greatest("_in", "_above"), F.lit(float("-inf"))))).select(*names)
+    else:
+        other = points.toDF(*(f"_{c}" for c in names))
+        ge = reduce(lambda a, b: a & b, (F.col(f"_{c}") >= F.col(c) for c in names))
+        gt = reduce(lambda a, b: a | b, (F.col(f"_{c}") > F.col(c) for c in names))
+        front = points.join(other, ge & gt, "left_anti")
+    same = [(F.col(c).cast("double") * (1 if c in up else -1)) == F.col(f"_f{i}") for i, c in enumerate(names)]
+    return rows.join(front.toDF(*(f"_f{i}" for i in range(len(names)))), reduce(lambda a, b: a & b, same), "left_semi")

@@ -6,67 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import sources as S
-from ..functions import nearest_rank, return_bps, rounded, session_label, spread_bps, squash
+from ..functions import nearest_rank_of, return_bps, rounded, session_label, spread_bps, squash
 from ..operators import alignment as A
 from ..operators import decisions as D
 from ..operators import indicators as I
 from ..operators import ledger as L
+from ..operators.chunks import numbered, with_previous
+from .base import ORACLE, QUERIES, _i, query
 
-_VIEWS = """
-with tape as (
-  select event_id as seq, 'S' || cast(user_id % 8 as varchar) as symbol,
-         1704067200000 + (epoch_us(ts) // 1000 - 1704067200000) // 100 as ts_ms,
-         case when event_type in ('view', 'click') then 'book' else 'trade' end as src,
-         100.0::double + value / 10.0::double as price, cast(json_extract_string(props, '$.k') as bigint) as k,
-         cast(cast(json_extract_string(props, '$.k') as bigint) + 1 as double) as qty,
-         case event_type when 'purchase' then 'buy' when 'error' then 'sell' end as side
-  from events),
-trades as (select * from tape where src = 'trade'),
-book as (
-  select seq, symbol, ts_ms, price - (k % 7 + 1) * 0.01::double as best_bid, price + (k % 5 + 1) * 0.01::double as best_ask,
-         cast(k % 11 + 1 as double) as bid1_q, cast(k % 13 + 1 as double) as ask1_q, cast(k % 3 + 1 as double) as bid2_q, cast(k % 4 + 1 as double) as ask2_q
-  from tape where src = 'book' qualify row_number() over (partition by symbol, ts_ms order by seq desc) = 1),
-fills as (
-  select md5(concat_ws('|', l_orderkey::varchar, l_linenumber::varchar, l_partkey::varchar, l_suppkey::varchar,
-             cast(floor(l_extendedprice * 100 + 0.5) as bigint)::varchar, (epoch_us(l_shipdate::timestamp) // 1000)::varchar)) as fill_id,
-         'P' || cast(l_suppkey % 5 as varchar) as symbol, epoch_us(l_shipdate::timestamp) // 1000 + (l_orderkey * 10 + l_linenumber) % 86400000 as ts_ms,
-         case when l_returnflag = 'R' then 'sell' when l_returnflag = 'A' then 'buy' when l_linenumber % 2 = 0 then 'buy' else 'sell' end as side,
-         l_extendedprice / l_quantity as px, l_quantity::double as qty, l_tax * 100.0::double as fee_bps, l_discount * 100.0::double as slippage_bps
-  from lineitem),
-costs as (
-  select *, px * (1 + case when side = 'buy' then 1 else -1 end * slippage_bps / 1e4::double) as exec_px, px * qty as notional, px * qty * fee_bps / 1e4::double as fee from fills),
-signals as (
-  select o_orderkey as seq, 'C' || cast(o_custkey % 6 as varchar) as symbol, epoch_us(o_orderdate::timestamp) // 1000 + (o_orderkey % 86400) * 1000 as ts_ms,
-         ((o_orderkey * 37) % 200 - 100) / 50.0::double as score, ((o_orderkey * 53) % 600 - 300) / 100.0::double as z_ofi, ((o_orderkey * 71) % 500 - 250) / 100.0::double as z_cvd,
-         cast((o_orderkey * 13) % 30 as double) as spread_bps, ((o_orderkey * 17) % 50) / 10.0::double as lag_sec, o_orderkey % 50 = 0 as warmup
-  from orders),
-scored as (
-  select *, case when least(abs(z_ofi), abs(z_cvd)) < 1e-9 or sign(z_ofi) <> sign(z_cvd) then 0.0::double
-                 else least(abs(z_ofi), abs(z_cvd)) / greatest(abs(z_ofi), abs(z_cvd)) end as consistency from signals),
-judged as (
-  select *, list_filter([case when warmup then 'warmup' end, case when spread_bps > 20 then 'spread_bps_exceeded' end, case when lag_sec > 3 then 'lag_sec_exceeded' end,
-                         case when consistency < 0.1 then 'low_consistency' end, case when abs(score) < 0.5 then 'weak_signal' end], lambda x: x is not null) as reasons from scored),
-days as (
-  select ts_ms // 86400000 as day, symbol, sum(case when side = 'sell' then notional else -notional end - fee) as net, sum(fee) as fee, sum(notional) as turnover, count(*) as trades
-  from costs group by 1, 2)
-"""
-
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = _VIEWS + sql
-        return f
-
-    return add
-
-
-def _i(c: str):
-    return F.col(c).cast("long").alias(c)
-
+__all__ = ["ORACLE", "QUERIES"]
 
 @query("""select reason, symbol, count(*) as n from (
   select symbol, unnest(case when len(r) = 0 then ['pass'] else r end) as reason from (
@@ -100,9 +48,9 @@ def nearest_quotes(spark, sf_dir):
 @query("""select symbol, second, round(price, 6) as price, round((price - lag(price) over w) / lag(price) over w * 1e4, 6) as ret_bps, coalesce(second - lag(second) over w > 1, false) as gap
   from (select symbol, ts_ms // 1000 as second, last(price order by ts_ms, seq) as price from trades group by 1, 2) window w as (partition by symbol order by second)""")
 def second_returns(spark, sf_dir):
-    w = Window.partitionBy("symbol").orderBy("second")
-    s = A.per_second(S.trades(spark, sf_dir), ["price"])
-    return s.select("symbol", "second", rounded(F.col("price")).alias("price"), rounded(return_bps(F.col("price"), F.lag("price").over(w))).alias("ret_bps"), F.coalesce(F.col("second") - F.lag("second").over(w) > 1, F.lit(False)).alias("gap"))
+    s = A.per_second(S.trades(spark, sf_dir), ["price"]).withColumn("ts_ms", F.col("second") * 1000)
+    s = with_previous(s, ["second", "price"], order=())
+    return s.select("symbol", "second", rounded(F.col("price")).alias("price"), rounded(return_bps(F.col("price"), F.col("_prev.price"))).alias("ret_bps"), F.coalesce(F.col("second") - F.col("_prev.second") > 1, F.lit(False)).alias("gap"))
 
 
 @query("""select symbol, second, round(price, 6) as price, round(bid, 6) as bid from (
@@ -151,17 +99,21 @@ def realised_vol(spark, sf_dir):
     return I.realised_vol(S.trades(spark, sf_dir)).select("seq", "symbol", F.round("vol_bps", 4).alias("vol_bps"))
 
 
-@query("""select symbol, hour, cast(len(v) as bigint) as n, round(list_reduce(v, lambda a, x: x * 0.3::double + a * 0.7::double), 6) as ema from (
-  select symbol, ts_ms // 3600000 as hour, list(price order by ts_ms, seq) as v from trades group by 1, 2)""")
+NUMBERED = """, t as (select *, row_number() over (partition by symbol order by ts_ms, seq) as n from trades)
+"""
+
+
+@query(NUMBERED + """, e as (select symbol, n, seq, price as ema from t where n = 1 union all
+  select t.symbol, t.n, t.seq, 0.3::double * t.price + 0.7::double * e.ema from e join t on t.symbol = e.symbol and t.n = e.n + 1) select seq, symbol, round(ema, 6) as ema from e""")
 def price_ema(spark, sf_dir):
-    t = S.trades(spark, sf_dir).withColumn("hour", F.expr("ts_ms div 3600000"))
-    return I.ema(t, "price", 0.3, "symbol", "hour")
+    return I.ema(S.trades(spark, sf_dir), "price", 0.3).select("seq", "symbol", rounded(F.col("ema")).alias("ema"))
 
 
-@query()
+@query(NUMBERED + """, e as (select symbol, n, seq, ts_ms as last, true as kept from t where n = 1 union all
+  select t.symbol, t.n, t.seq, case when t.ts_ms - e.last >= 30000 then t.ts_ms else e.last end, t.ts_ms - e.last >= 30000 from e join t on t.symbol = e.symbol and t.n = e.n + 1)
+  select seq, symbol from e where kept""")
 def throttled_trades(spark, sf_dir):
-    t = S.trades(spark, sf_dir).withColumn("hour", F.expr("ts_ms div 3600000"))
-    return I.throttled(t, 30_000, "symbol", "hour")
+    return I.throttled(S.trades(spark, sf_dir), 30_000, "symbol").select("seq", "symbol")
 
 
 @query("""select seq, symbol, kind from (select *, case when n1 = 3 and n2 = 3 and price >= a and price >= b then 'high' when n1 = 3 and n2 = 3 and price <= c and price <= d then 'low' end as kind from (
@@ -218,7 +170,7 @@ def strongest_signals(spark, sf_dir):
 @query("""select symbol, max(gap) as max_gap_ms, round(sum(least(gap, 5000)) / sum(gap), 6) as coverage, max(gap) <= 5000 as ok from (
   select symbol, lead(ts_ms) over (partition by symbol order by ts_ms, seq) - ts_ms as gap from tape) group by 1""")
 def gap_analysis(spark, sf_dir):
-    t = S.tape(spark, sf_dir).select("symbol", (F.lead("ts_ms").over(I.by_symbol()) - F.col("ts_ms")).alias("gap"))
+    t = with_previous(S.tape(spark, sf_dir), ["ts_ms"]).select("symbol", (F.col("ts_ms") - F.col("_prev.ts_ms")).alias("gap"))
     return t.groupBy("symbol").agg(F.max("gap").alias("max_gap_ms"), rounded(F.sum(F.least("gap", F.lit(5000))) / F.sum("gap")).alias("coverage"), (F.max("gap") <= 5000).alias("ok"))
 
 
@@ -241,7 +193,8 @@ def first_per_second(spark, sf_dir):
 
 @query("select symbol, l[cast(floor(len(l) * 0.5) as bigint) + 1] as p50, l[cast(floor(len(l) * 0.95) as bigint) + 1] as p95 from (select symbol, list(lag_sec order by lag_sec) as l from signals group by 1)")
 def lag_percentiles(spark, sf_dir):
-    return S.signals(spark, sf_dir).groupBy("symbol").agg(F.collect_list("lag_sec").alias("l")).select("symbol", nearest_rank(F.col("l"), 0.5).alias("p50"), nearest_rank(F.col("l"), 0.95).alias("p95"))
+    p = lambda q, to: nearest_rank_of(S.signals(spark, sf_dir), "lag_sec", q, "symbol").withColumnRenamed("lag_sec", to)
+    return p(0.5, "p50").join(p(0.95, "p95"), "symbol")
 
 
 @query("select symbol, side, count(*) as n, round(sum(notional), 2) as notional, round(sum(fee), 2) as fee, round(avg(exec_px), 6) as exec_px from costs group by 1, 2")
@@ -254,23 +207,52 @@ def net_position(spark, sf_dir):
     return S.fills(spark, sf_dir).groupBy("symbol").agg(F.sum(F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))).alias("position"))
 
 
-@query(""", f as (select *, ts_ms // 2592000000 as month, cast(qty as bigint) as q from fills),
-  c as (select *, cast(sum(q) over (partition by symbol, month, side order by ts_ms, fill_id) as bigint) as e from f)
-  select b.symbol, b.month, count(*) as legs, cast(sum(least(b.e, s.e) - greatest(b.e - b.q, s.e - s.q)) as bigint) as qty, cast(sum(cast(floor((s.px - b.px) * (least(b.e, s.e) - greatest(b.e - b.q, s.e - s.q)) * 10000 + 0.5::double) as bigint)) as bigint) as pnl_e4
-  from c b join c s on b.symbol = s.symbol and b.month = s.month and b.side = 'buy' and s.side = 'sell' and b.e - b.q < s.e and s.e - s.q < b.e group by 1, 2""")
+#: Legs of lots: stretches of cumulative quantity between the starts of fills, each with the buy and the sell open there.
+LEGS = """, c as materialized (select *, sum(u) over (partition by symbol, side order by ts_ms, fill_id)::bigint as e from (select *, cast(round(qty * 100000000) as bigint) as u from costs where qty > 0)),
+  cuts as (select *, lead(st) over (partition by symbol order by st) as nx from (select distinct symbol, e - u as st from c)),
+  open_lots as (select k.symbol, k.st, k.nx, b.fill_id as buy_id, s.fill_id as sell_id, b.e as be, s.e as se, b.px as buy_px, s.px as sell_px, b.fee as buy_fee, s.fee as sell_fee, b.qty as buy_qty, s.qty as sell_qty, b.ts_ms as bt, s.ts_ms as stime
+    from cuts k asof join (select *, e - u as s0 from c where side = 'buy') b on k.symbol = b.symbol and k.st >= b.s0 asof join (select *, e - u as s0 from c where side = 'sell') s on k.symbol = s.symbol and k.st >= s.s0),
+  legs as materialized (select *, (sell_px - buy_px) * q as pnl, buy_fee * q / buy_qty + sell_fee * q / sell_qty as fee, least(bt, stime) as open_ms, greatest(bt, stime) as close_ms, case when bt < stime or (bt = stime and buy_id <= sell_id) then 'long' else 'short' end as way
+    from (select *, (least(be, se, coalesce(nx, least(be, se))) - st)::double / 1e8::double as q from open_lots) where q > 0),
+  leg_days as (select strftime(make_timestamp((close_ms + 9 * 3600000 - 6 * 3600000) * 1000), '%Y-%m-%d') as day, symbol, sum(pnl) as gross, sum(fee) as fee, sum(pnl - fee) as net, sum(q * (buy_px + sell_px)) as turnover,
+    count(*) as legs, count(*) filter (pnl - fee > 0) as wins, count(*) filter (pnl - fee < 0) as losses, avg(case when pnl - fee > 0 then 1 else 0 end) as win_rate,
+    avg(case when pnl - fee > 0 then pnl - fee end) / avg(case when pnl - fee < 0 then fee - pnl end) as rr, avg((close_ms - open_ms) / 1000) as hold_s from legs group by 1, 2)
+"""
+
+
+def legs_of(spark, sf_dir):
+    return L.fifo_lots(L.costs(S.fills(spark, sf_dir)))
+
+
+def leg_days(spark, sf_dir):
+    return L.daily_legs(legs_of(spark, sf_dir), "Asia/Tokyo", 6)
+
+
+@query(LEGS + """select symbol, buy_id, sell_id, round(q, 8) as q, round(pnl, 8) as pnl, round(fee, 10) as fee, open_ms, close_ms, way from legs""")
 def fifo_lots(spark, sf_dir):
-    return L.fifo_lots(S.fills(spark, sf_dir)).groupBy("symbol", "month").agg(F.count("*").alias("legs"), F.sum("q").cast("long").alias("qty"), F.sum(F.floor(F.col("pnl") * 10000 + 0.5).cast("long")).alias("pnl_e4"))
+    return legs_of(spark, sf_dir).select("symbol", "buy_id", "sell_id", F.round("q", 8).alias("q"), F.round("pnl", 8).alias("pnl"), F.round("fee", 10).alias("fee"), "open_ms", "close_ms", "way")
 
 
-@query("select day, symbol, round(net, 2) as net, round(fee, 2) as fee, round(turnover, 2) as turnover, trades from days")
+@query(LEGS + "select day, symbol, round(gross, 9) as gross, round(fee, 9) as fee, round(net, 9) as net, round(turnover, 9) as turnover, legs, wins, losses, round(win_rate, 9) as win_rate, round(rr, 9) as rr, round(hold_s, 9) as hold_s from leg_days")
 def daily_results(spark, sf_dir):
-    return L.daily(S.fills(spark, sf_dir)).select("day", "symbol", *(F.round(c, 2).alias(c) for c in ("net", "fee", "turnover")), "trades")
+    d = leg_days(spark, sf_dir)
+    return d.select("day", "symbol", "legs", "wins", "losses", *(F.round(c, 9).alias(c) for c in ("gross", "fee", "net", "turnover", "win_rate", "rr", "hold_s")))
 
 
-@query("""select symbol, round(avg(net) / stddev_samp(net) * sqrt(252), 6) as sharpe, round(avg(net) / stddev_samp(case when net < 0 then net end) * sqrt(252), 6) as sortino, round(max(peak - equity), 2) as drawdown,
-  round(avg(cast(net > 0 as integer)), 6) as win_rate, count(*) as days from (select *, max(equity) over (partition by symbol order by day) as peak from (select *, sum(net) over (partition by symbol order by day) as equity from days)) group by 1""")
+@query(LEGS + """select symbol, round(sum(net), 2) as total, round(avg(net) / stddev_samp(net) * sqrt(252), 6) as sharpe, round(avg(net) / stddev_samp(case when net < 0 then net end) * sqrt(252), 6) as sortino, round(max(peak - equity), 2) as drawdown,
+  round(avg(net) * 252 / max(peak - equity), 6) as mar, round(avg(cast(net > 0 as integer)), 6) as win_rate, count(*) as days from (select *, max(equity) over (partition by symbol order by day) as peak from (select *, sum(net) over (partition by symbol order by day) as equity from leg_days)) group by 1""")
 def performance(spark, sf_dir):
-    return L.performance(L.daily(S.fills(spark, sf_dir)))
+    return L.performance(leg_days(spark, sf_dir))
+
+
+@query(LEGS + """select day, round(net, 4) as net, round(equity, 4) as equity, round(max(equity) over (order by day) - equity, 4) as drawdown from (select day, net, sum(net) over (order by day) as equity from (select day, sum(net) as net from leg_days group by 1))""")
+def equity_curve(spark, sf_dir):
+    return L.equity_curve(leg_days(spark, sf_dir)).select("day", *(F.round(c, 4).alias(c) for c in ("net", "equity", "drawdown")))
+
+
+@query("select day, symbol, round(net, 2) as net, round(fee, 2) as fee, round(turnover, 2) as turnover, trades from days")
+def daily_cash(spark, sf_dir):
+    return L.daily(S.fills(spark, sf_dir)).select("day", "symbol", *(F.round(c, 2).alias(c) for c in ("net", "fee", "turnover")), "trades")
 
 
 @query("""select h.hour, count(c.fill_id) as n, round(coalesce(sum(c.fee), 0), 2) as fee, round(coalesce(sum(c.notional), 0), 2) as notional from (select range as hour from range(24)) h
@@ -319,6 +301,6 @@ def reconciled_minutes(spark, sf_dir):
 
 @query("""select symbol, seq, 'run-' || symbol || '-' || ts_ms || '-' || (row_number() over (partition by symbol order by ts_ms, seq) - 1) as signal_id, left(sha256(symbol || '|' || printf('%.8f', score)), 32) as order_key from signals""")
 def stable_ids(spark, sf_dir):
-    n = (F.row_number().over(I.by_symbol()) - 1).cast("string")
+    n = (F.col("_n") - 1).cast("string")
     order = F.substring(F.sha2(F.concat_ws("|", "symbol", F.format_string("%.8f", "score")), 256), 1, 32)
-    return S.signals(spark, sf_dir).select("symbol", "seq", F.concat_ws("-", F.lit("run"), "symbol", F.col("ts_ms").cast("string"), n).alias("signal_id"), order.alias("order_key"))
+    return numbered(S.signals(spark, sf_dir)).select("symbol", "seq", F.concat_ws("-", F.lit("run"), "symbol", F.col("ts_ms").cast("string"), n).alias("signal_id"), order.alias("order_key"))
