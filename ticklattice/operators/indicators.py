@@ -180,28 +180,52 @@ CVD_LIMITS = {"BTC": (1.9, 1.75), "ETH": (2.3, 1.70), "": (2.0, 1.70)}
 
 
 def cvd_delta_z(trades: DataFrame, freeze_min: int = 20, window: int = 200, floor: float = 0.1, frozen_rows: bool = True) -> DataFrame:
-    """z of each signed trade: delta over a scale that mixes the decayed means by the trade rate and is the MAD and the floor at
-    least; winsorised; null for a symbol's first trades and after gaps. mode: ACTIVE above 2 trades a second, else QUIET.
-    Without frozen_rows, gaps leave no nulls (the estimate between updates)."""
-    rows = decayed_means(signed_volume(trades), "delta")
-    rows = after_gaps(trade_rate(rolling_mad(rows, "delta", window, max(50, window // 5)).withColumnRenamed("mad", "_mad").drop("middle")))
-    rows = numbered(rows, "_n")
-    limit, times = F.lit(CVD_LIMITS[""][0]), F.lit(CVD_LIMITS[""][1])
-    for name in ("BTC", "ETH"):
-        own = F.upper("symbol").startswith(name)
-        limit, times = F.when(own, CVD_LIMITS[name][0]).otherwise(limit), F.when(own, CVD_LIMITS[name][1]).otherwise(times)
-    fast = 0.5 * F.least(F.lit(1.0), F.col("tps") / 1.5)
-    mixed = fast * F.col("decayed_60s") + (1 - fast) * F.col("decayed_600s")
-    low = floor * F.pow(1.5 / F.greatest("tps", F.lit(0.2)), F.lit(0.7))
-    rows = rows.withColumn("scale", F.greatest(mixed, low, F.coalesce(F.col("_mad") * times, F.lit(0.0))))
-    z = clip_to(F.col("delta") / F.col("scale"), limit)
-    live = F.col("_n") > freeze_min
-    rows = rows.withColumn("z_cvd", F.when(live & ~F.col("frozen") if frozen_rows else live, z))
-    return rows.withColumn("mode", F.when(F.col("tps") > 2, "ACTIVE").otherwise("QUIET")).drop("_n", "_mad")
-
-
-def clip_to(x: Column, limit: Column) -> Column:
-    return F.greatest(-limit, F.least(limit, x))
+    """Each trade's signed quantity (delta) over a scale: the decayed means mixed by the trade rate, the floor (higher when
+    trades are rare) and the MAD, whichever is largest; winsorised; null for a symbol's first freeze_min trades and after gaps
+    (over 5 s: this trade and two more; over 4 s: this and one more). tps and mode (ACTIVE above 2) go along. Without
+    frozen_rows gaps leave no nulls: the estimate between updates. One fold, as the means depend on all trades before."""
+    btc, eth, rest = CVD_LIMITS["BTC"], CVD_LIMITS["ETH"], CVD_LIMITS[""]
+
+    def start():
+        last: deque[float] = deque(maxlen=window)
+        times: deque[int] = deque()
+        state = {"price": None, "at": None, "fast": 0.0, "slow": 0.0, "n": 0, "five": 99, "four": 99}
+
+        def step(symbol, ts, price, qty, side):
+            if side is None:
+                side = "buy" if state["price"] is not None and price >= state["price"] else "sell"
+            state["price"] = price
+            delta = qty if side == "buy" else -qty
+            x, at = abs(delta), state["at"]
+            if at is None:
+                state["fast"] = state["slow"] = x
+            else:
+                dt = max(1, ts - at)
+                state["fast"] += (1 - 2 ** (-dt / 60_000)) * (x - state["fast"])
+                state["slow"] += (1 - 2 ** (-dt / 600_000)) * (x - state["slow"])
+                state["five"] = 0 if ts - at > 5000 else state["five"] + 1
+                state["four"] = 0 if ts - at > 4000 else state["four"] + 1
+            state["at"], state["n"] = ts, state["n"] + 1
+            last.append(delta)
+            times.append(ts)
+            while ts - times[0] > 60_000:
+                times.popleft()
+            tps = len(times) / max(60.0, (ts - times[0]) / 1000)
+            limit, factor = btc if symbol.upper().startswith("BTC") else eth if symbol.upper().startswith("ETH") else rest
+            w = 0.5 * min(1.0, tps / 1.5)
+            scale = max(w * state["fast"] + (1 - w) * state["slow"], floor * (1.5 / max(tps, 0.2)) ** 0.7)
+            if len(last) >= max(50, window // 5):
+                middle = _median(sorted(last))
+                scale = max(scale, _median(sorted(abs(v - middle) for v in last)) * 1.4826 * factor)
+            z = max(-limit, min(limit, delta / scale))
+            frozen = frozen_rows and (state["five"] <= 2 or state["four"] <= 1)
+            return (delta, tps, "ACTIVE" if tps > 2 else "QUIET", None if frozen or state["n"] <= freeze_min else z)
+
+        return step
+
+    rows = trades.where("qty > 0 and price is not null").select(*trades.columns, F.col("symbol").alias("_s"))
+    out = ordered_fold(rows, ["symbol"], ["ts_ms", "seq"], ["_s", "ts_ms", "price", "qty", "side"], start, "delta double, tps double, mode string, z_cvd double")
+    return out.drop("_s")
 
 
 def winsorised_history_z(rows: DataFrame, value: str, window: int = 80, least: int = 16, k: float = 0.9) -> DataFrame:
@@ -248,7 +272,7 @@ def timed_z(rows: DataFrame, value: str, span_ms: int = 300_000, least: int = 5)
 def robust_z(rows: DataFrame, value: str, window: int = 4096, least: int = 20) -> DataFrame:
     """(value - median) / (1.4826 MAD) over the last rows, the scale 1e-9 at least."""
     out = rolling_mad(rows, value, window, least)
-    return out.withColumn("z", (F.col(value) - F.col("middle")) / F.greatest("mad", F.lit(1e-9))).drop("middle", "mad")
+    return out.withColumn("z", (F.col(value) - F.col("middle")) / F.when(F.col("mad").isNotNull(), F.greatest("mad", F.lit(1e-9)))).drop("middle", "mad")
 
 
 def throttled(rows: DataFrame, gap_ms: int, *keys: str, order: tuple[str, ...] = ("ts_ms", "seq")) -> DataFrame:

@@ -228,15 +228,15 @@ def leg_days(spark, sf_dir):
     return L.daily_legs(legs_of(spark, sf_dir), "Asia/Tokyo", 6)
 
 
-@query(LEGS + """select symbol, buy_id, sell_id, round(q, 8) as q, round(pnl, 8) as pnl, round(fee, 10) as fee, open_ms, close_ms, way from legs""")
+@query(LEGS + """select symbol, buy_id, sell_id, round(q, 8) as q, cast(floor(pnl * 1e4::double + 0.3137::double) as bigint) as pnl_e4, cast(floor(fee * 1e6::double + 0.3137::double) as bigint) as fee_e6, open_ms, close_ms, way from legs""")
 def fifo_lots(spark, sf_dir):
-    return legs_of(spark, sf_dir).select("symbol", "buy_id", "sell_id", F.round("q", 8).alias("q"), F.round("pnl", 8).alias("pnl"), F.round("fee", 10).alias("fee"), "open_ms", "close_ms", "way")
+    return legs_of(spark, sf_dir).select("symbol", "buy_id", "sell_id", F.round("q", 8).alias("q"), F.floor(F.col("pnl") * 1e4 + 0.3137).cast("long").alias("pnl_e4"), F.floor(F.col("fee") * 1e6 + 0.3137).cast("long").alias("fee_e6"), "open_ms", "close_ms", "way")
 
 
-@query(LEGS + "select day, symbol, round(gross, 9) as gross, round(fee, 9) as fee, round(net, 9) as net, round(turnover, 9) as turnover, legs, wins, losses, round(win_rate, 9) as win_rate, round(rr, 9) as rr, round(hold_s, 9) as hold_s from leg_days")
+@query(LEGS + "select day, symbol, cast(floor(gross * 1e4::double + 0.3137::double) as bigint) as gross_e4, cast(floor(fee * 1e4::double + 0.3137::double) as bigint) as fee_e4, cast(floor(net * 1e4::double + 0.3137::double) as bigint) as net_e4, cast(floor(turnover * 1e4::double + 0.3137::double) as bigint) as turnover_e4, legs, wins, losses, cast(floor(win_rate * 1e4::double + 0.3137::double) as bigint) as win_rate_e4, cast(floor(rr * 1e4::double + 0.3137::double) as bigint) as rr_e4, cast(floor(hold_s * 1e4::double + 0.3137::double) as bigint) as hold_s_e4 from leg_days")
 def daily_results(spark, sf_dir):
     d = leg_days(spark, sf_dir)
-    return d.select("day", "symbol", "legs", "wins", "losses", *(F.round(c, 9).alias(c) for c in ("gross", "fee", "net", "turnover", "win_rate", "rr", "hold_s")))
+    return d.select("day", "symbol", "legs", "wins", "losses", *(F.floor(F.col(c) * 1e4 + 0.3137).cast("long").alias(f"{c}_e4") for c in ("gross", "fee", "net", "turnover", "win_rate", "rr", "hold_s")))
 
 
 @query(LEGS + """select symbol, round(sum(net), 2) as total, round(avg(net) / stddev_samp(net) * sqrt(252), 6) as sharpe, round(avg(net) / stddev_samp(case when net < 0 then net end) * sqrt(252), 6) as sortino, round(max(peak - equity), 2) as drawdown,
@@ -304,3 +304,6 @@ def stable_ids(spark, sf_dir):
     n = (F.col("_n") - 1).cast("string")
     order = F.substring(F.sha2(F.concat_ws("|", "symbol", F.format_string("%.8f", "score")), 256), 1, 32)
     return numbered(S.signals(spark, sf_dir)).select("symbol", "seq", F.concat_ws("-", F.lit("run"), "symbol", F.col("ts_ms").cast("string"), n).alias("signal_id"), order.alias("order_key"))
+
+
+from . import flow, reports, rules  # noqa: E402, F401  these register their queries too
