@@ -1,9 +1,14 @@
-"""Signal decisions with their reasons."""
+"""Signal decisions with their reasons, from scores to orders."""
+
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import consistency
+from ..functions.rules import aligned_qty, any_of, decided_side
+from .folds import ordered_fold
+from .states import streaks
 
 
 def reasons(*rules: tuple[Column, str]) -> Column:
@@ -16,9 +21,61 @@ def confirmed(signals: DataFrame, spread: float = 20.0, lag: float = 3.0, weak:
     s = signals.withColumn("consistency", consistency(F.col("z_ofi"), F.col("z_cvd")))
     why = reasons((F.col("warmup"), "warmup"), (F.col("spread_bps") > spread, "spread_bps_exceeded"), (F.col("lag_sec") > lag, "lag_sec_exceeded"), (F.col("consistency") < floor, "low_consistency"), (F.abs("score") < weak, "weak_signal"))
     s = s.withColumn("reasons", why).withColumn("confirm", (F.size("reasons") == 0) & (F.col("score") != 0))
-    side = F.when(F.col("score") > 0, "buy").otherwise("sell")
-    kind = F.when(F.col("score") == 0, "neutral").when(~F.col("confirm"), "pending").when(F.abs("score") >= 1.5, F.concat(F.lit("strong_"), side)).otherwise(side)
-    return s.withColumn("signal_type", kind)
+    return s.withColumn("signal_type", signal_type(F.col("score"), F.col("confirm")))
+
+
+def signal_type(score: Column, confirm: Column, strong: float = 1.5) -> Column:
+    side = F.when(score > 0, "buy").otherwise("sell")
+    return F.when(score == 0, "neutral").when(~confirm, "pending").when(F.abs(score) >= strong, F.concat(F.lit("strong_"), side)).otherwise(side)
+
+
+#: What a scenario adds to the thresholds: (weak, consistency, streak).
+OVERRIDES = {"A_H": (0.2, 0.05, 1), "Q_L": (-0.1, 0.0, 0)}
+
+
+def decided(signals: DataFrame, spread: float = 20.0, lag: float = 3.0, weak: float = 0.5, least: float = 0.1, strong: float = 1.5, streak: int = 1, overrides: dict[str, tuple[float, float, int]] | None = None, tiers: bool = False) -> DataFrame:
+    """The whole decision on signals (symbol, ts_ms, seq, score, z_ofi, z_cvd, spread_bps, lag_sec, warmup, scenario, and if
+    there, cooling and div_type): consistency (raised to 0.10 from a score of 0.4 on, or to 0.12 at a divergence, if it is 0),
+    quality_tier, reasons, confirm, streak (of confirmed rows with one direction), signal_type.
+
+    Scenarios shift the thresholds. Without tiers a row is confirmed if it has a direction and no reason. With tiers hard
+    reasons block always; a strong score passes soft ones, a normal one does not, a weak one never is confirmed. A confirmed
+    row whose direction has lasted fewer rows than asked for is not confirmed after all (reason short_streak)."""
+    has = lambda c: F.col(c) if c in signals.columns else F.lit(None)
+    table = OVERRIDES if overrides is None else overrides
+    shift = lambda i, base: _shifted(F.col("scenario"), {k: base + v[i] for k, v in table.items()}, base)
+    raw, size = consistency(F.col("z_ofi"), F.col("z_cvd")), F.abs("score")
+    raised = F.when((raw <= 0) & (size >= 0.4), 0.10).when((raw <= 0) & has("div_type").isNotNull(), 0.12).otherwise(raw)
+    s = signals.withColumn("consistency", raised)
+    low, soft = F.col("consistency") < shift(1, least), size < shift(0, weak)
+    why = reasons((has("cooling").cast("boolean"), "cooldown_after_exit"), (F.col("warmup"), "warmup"), (F.col("spread_bps") > spread, "spread_bps_exceeded"), (F.col("lag_sec") > lag, "lag_sec_exceeded"), (low, "low_consistency"), (soft, "weak_signal"))
+    s = s.withColumn("quality_tier", F.when(size >= strong, "strong").when(~soft, "normal").otherwise("weak")).withColumn("reasons", why)
+    hard = F.size(F.array_except("reasons", any_of("low_consistency", "weak_signal"))) > 0
+    free = F.size("reasons") == 0
+    go = ~hard & ((F.col("quality_tier") == "strong") | ((F.col("quality_tier") == "normal") & free)) if tiers else free
+    s = s.withColumn("_go", go & (F.col("score") != 0))
+    runs = streaks(s.where("_go").select("symbol", "ts_ms", "seq", "score"), F.col("score")).select("symbol", "seq", "streak")
+    s = s.join(runs, ["symbol", "seq"], "left").withColumn("streak", F.coalesce("streak", F.lit(0)).cast("long"))
+    short = F.col("_go") & (F.col("streak") < shift(2, streak))
+    s = s.withColumn("reasons", F.when(short, F.array_append("reasons", "short_streak")).otherwise(F.col("reasons"))).withColumn("confirm", F.col("_go") & ~short).drop("_go")
+    return s.withColumn("signal_type", signal_type(F.col("score"), F.col("confirm"), strong))
+
+
+def _shifted(key: Column, values: dict, other) -> Column:
+    out = F.lit(other)
+    for k, v in values.items():
+        out = F.when(key == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def regime_of(z_ofi: Column, z_cvd: Column, quiet: float = 0.5) -> Column:
+    """quiet if both are small, trend if they point the same way (0 counts as down), else revert."""
+    return F.when((F.abs(z_ofi) < quiet) & (F.abs(z_cvd) < quiet), "quiet").when((z_ofi > 0) == (z_cvd > 0), "trend").otherwise("revert")
+
+
+def imputed_activity(tps: Column, trade_rate: Column, quote_rate: Column, volume_usd: Column) -> Column:
+    """Trades a second: given, else from the trades a minute, else a tenth of the quotes a minute, else from the volume, else 0."""
+    return F.coalesce(tps, trade_rate / 60, quote_rate / 600, volume_usd / 1e6, F.lit(0.0))
 
 
 def decision_code(regime: Column) -> Column:
@@ -28,9 +85,87 @@ def decision_code(regime: Column) -> Column:
     return F.when(~gate, "FAIL_GATING").when(regime == "quiet", "BAD_REGIME").when(F.abs("score") < least, "LOW_SCORE").otherwise("OK")
 
 
+def decisions(signals: DataFrame, now_ms: Column, expiry_ms: int, cooldown_ms: int = 30_000) -> DataFrame:
+    """code of signals with a regime (active, normal, quiet) and, if there, div_type: EXPIRE if older than expiry_ms, COOLDOWN
+    within cooldown_ms of the last OK of the symbol and side, then decision_code (a divergence passes the gate). Only OK
+    starts a cooldown, so this is a fold."""
+    div = F.col("div_type").isin("bull", "bear") if "div_type" in signals.columns else F.lit(False)
+    plain = decision_code(F.col("regime"))
+    least = F.when(F.col("regime") == "active", 1.8).otherwise(2.2)
+    passed = F.when(F.col("regime") == "quiet", "BAD_REGIME").when(F.abs("score") < least, "LOW_SCORE").otherwise("OK")
+    s = signals.withColumn("_plain", F.when(F.coalesce(div, F.lit(False)), passed).otherwise(plain)).withColumn("_old", now_ms - F.col("ts_ms") > expiry_ms)
+    s = s.withColumn("_side", F.when(F.col("score") > 0, "buy").otherwise("sell"))
+
+    def start():
+        until = [None]
+
+        def step(ts, plain, old):
+            if old:
+                return ("EXPIRE",)
+            if until[0] is not None and ts < until[0]:
+                return ("COOLDOWN",)
+            if plain == "OK":
+                until[0] = ts + cooldown_ms
+            return (plain,)
+
+        return step
+
+    return ordered_fold(s, ["symbol", "_side"], ["ts_ms", "seq"], ["ts_ms", "_plain", "_old"], start, "code string").drop("_plain", "_old", "_side")
+
+
+def orders(signals: DataFrame, usd: float, mid: Column, step: str = "0.001") -> DataFrame:
+    """One order for each confirmed signal without a gate: side, qty (usd at the mid, in steps) and a client id of up to 36 letters."""
+    s = signals.where(F.col("confirm"))
+    side = decided_side(F.col("signal_type"), F.lit(None).cast("string"), F.col("score"))
+    client = F.substring(F.concat_ws("-", F.lit("c"), "symbol", F.col("ts_ms").cast("string"), F.col("seq").cast("string")), 1, 36)
+    return s.withColumn("side", side).withColumn("qty", aligned_qty(F.lit(usd) / mid, step)).withColumn("client_id", client)
+
+
+def requested(score: Column, long: float = 1.0, short: float = -1.0) -> Column:
+    return F.when(score >= long, "long").when(score <= short, "short").otherwise("skip")
+
+
+def prechecked(warmup: Column, critical: Column, same: Column, weak: Column) -> Column:
+    """The executor's first objection: warmup, critical_reason, inconsistent (below .15), throttled (below .20), weak; else pass."""
+    return F.when(warmup, "warmup").when(critical, "critical_reason").when(same < 0.15, "inconsistent").when(same < 0.20, "throttled").when(weak, "weak").otherwise("pass")
+
+
+def order_faults(orders: DataFrame, sides: tuple[str, ...] = ("buy", "sell")) -> DataFrame:
+    """faults of orders (symbol, side, qty, price, ts_ms): what a broker would refuse."""
+    c = F.col
+    return orders.withColumn("faults", reasons((c("symbol").isNull() | (c("symbol") == ""), "symbol"), (~F.coalesce(c("side").isin(*sides), F.lit(False)), "side"), (~F.coalesce(c("qty") > 0, F.lit(False)), "qty"), (~F.coalesce(c("price") > 0, F.lit(False)), "price"), (~F.coalesce(c("ts_ms") > 0, F.lit(False)), "ts_ms")))
+
+
+def risk_faults(orders: DataFrame, positions: DataFrame, least_notional: float, symbol_limit: float) -> DataFrame:
+    """faults of orders with spread_bps, lag_sec, tpm, price and qty: guards (8 bps, 1.5 s, 10 trades a minute), notional, and
+    the symbol's position (symbol, position) with the order against symbol_limit."""
+    o = orders.join(positions.select("symbol", "position"), "symbol", "left")
+    after = F.coalesce("position", F.lit(0.0)) + F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
+    why = reasons((F.col("spread_bps") > 8, "spread_bps"), (F.col("lag_sec") > 1.5, "lag_sec"), (F.col("tpm") > 10, "tpm"), (F.col("price") * F.col("qty") < least_notional, "notional"), (F.abs(after) > symbol_limit, "position"))
+    return o.withColumn("faults", why).drop("position")
+
+
+def adaptive_limit(rows: DataFrame, base: float, most: float = 20.0) -> DataFrame:
+    """limit: starts at base, x .8 after a refused row and x 1.1 after one let through (up to `most`, 1 at least); for the row
+    itself halved in quiet and x 1.2 in active regimes. rows: refused, regime. A fold."""
+
+    def start():
+        limit = [base]
+
+        def step(refused, regime):
+            now = limit[0] * (0.5 if regime == "quiet" else 1.2 if regime == "active" else 1.0)
+            limit[0] = max(1.0, limit[0] * 0.8) if refused else min(most, limit[0] * 1.1)
+            return (now,)
+
+        return step
+
+    return ordered_fold(rows, ["symbol"], ["ts_ms", "seq"], ["refused", "regime"], start, "limit double")
+
+
 def funnel(signals: DataFrame) -> DataFrame:
     c = confirmed(signals)
-    return c.groupBy("symbol").agg(
+    counts = c.groupBy("symbol").agg(
         F.count("*").alias("signals"), F.count_if(~F.array_contains("reasons", "weak_signal")).alias("not_weak"),
-        F.count_if(F.size(F.array_intersect("reasons", F.array(F.lit("weak_signal"), F.lit("low_consistency")))) == 0).alias("consistent"), F.count_if("confirm").alias("confirmed"),
+        F.count_if(F.size(F.array_intersect("reasons", any_of("weak_signal", "low_consistency"))) == 0).alias("consistent"), F.count_if("confirm").alias("confirmed"),
     )
+    return counts.withColumn("confirm_rate", F.col("confirmed") / F.col("signals"))
