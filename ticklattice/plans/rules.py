@@ -176,11 +176,11 @@ def risk_faults(spark, sf_dir):
     return D.risk_faults(_orders(spark, sf_dir), pos, 150.0, 30.0).select(F.explode("faults").alias("fault")).groupBy("fault").agg(F.count("*").alias("n"))
 
 
-@query("""select fill_id, floor(px::decimal(28,8) * 20 + 0.5)::bigint as price_ticks, floor(px::decimal(28,8) * 20)::bigint as down_ticks, greatest(1, floor((qty / 3)::decimal(28,8) * 4)::bigint) as qty_steps, round(px * (1 + case when side = 'buy' then 1 else -1 end * 5 / 1e4::double), 6) as cap from fills""")
+@query("""select fill_id, floor(px::decimal(28,8) * 20 + 0.5)::bigint as price_ticks, floor(px::decimal(28,8) * 20)::bigint as down_ticks, greatest(1, floor((qty / 3)::decimal(28,8) * 4)::bigint) as qty_steps, cast(floor(px * (1 + case when side = 'buy' then 1 else -1 end * 5 / 1e4::double) * 1e4::double + 0.3137::double) as bigint) as cap_e4 from fills""")
 def aligned_orders(spark, sf_dir):
     f = S.fills(spark, sf_dir)
     ticks = lambda x, t: F.round(x / t).cast("long")
-    return f.select("fill_id", ticks(R.aligned_price(F.col("px"), "0.05"), 0.05).alias("price_ticks"), ticks(R.aligned_price(F.col("px"), "0.05", True), 0.05).alias("down_ticks"), ticks(R.aligned_qty(F.col("qty") / 3, "0.25"), 0.25).alias("qty_steps"), rounded(R.price_cap(F.col("px"), F.col("side"), 5.0)).alias("cap"))
+    return f.select("fill_id", ticks(R.aligned_price(F.col("px"), "0.05"), 0.05).alias("price_ticks"), ticks(R.aligned_price(F.col("px"), "0.05", True), 0.05).alias("down_ticks"), ticks(R.aligned_qty(F.col("qty") / 3, "0.25"), 0.25).alias("qty_steps"), F.floor(R.price_cap(F.col("px"), F.col("side"), 5.0) * 1e4 + 0.3137).cast("long").alias("cap_e4"))
 
 
 @query("""select fill_id, case when px * qty < 30000 then ceil((30000 / px)::decimal(28,8) / 0.5)::bigint end as half_units from fills""")

@@ -13,12 +13,12 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
 
 
-def read_range(df: DataFrame, start_ms: int | None = None, end_ms: int | None = None, symbols: list[str] | None = None) -> DataFrame:
-    """Rows with start_ms <= ts_ms < end_ms of the symbols asked for."""
+def read_range(df: DataFrame, start_ms: int | None = None, end_ms: int | None = None, symbols: list[str] | None = None, inclusive: bool = True) -> DataFrame:
+    """Rows from start_ms to end_ms (which is in the range unless inclusive is false) of the symbols asked for."""
     if start_ms is not None:
         df = df.where(F.col("ts_ms") >= start_ms)
     if end_ms is not None:
-        df = df.where(F.col("ts_ms") < end_ms)
+        df = df.where(F.col("ts_ms") <= end_ms if inclusive else F.col("ts_ms") < end_ms)
     return df.where(F.col("symbol").isin(symbols)) if symbols else df
 
 
