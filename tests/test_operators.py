@@ -24,7 +24,8 @@ def test_empty_tables_give_no_rows(spark):
     book = spark.createDataFrame([], "symbol string, ts_ms long, seq long, bid1_q double, ask1_q double, bid2_q double, ask2_q double")
     assert indicators.order_flow(book).count() == 0
     fills = spark.createDataFrame([], "fill_id string, symbol string, ts_ms long, side string, px double, qty double, fee_bps double, slippage_bps double")
-    assert ledger.fifo_lots(fills).count() == 0 and ledger.performance(ledger.daily(fills)).count() == 0
+    legs = ledger.fifo_lots(ledger.costs(fills))
+    assert legs.count() == 0 and ledger.performance(ledger.daily_legs(legs)).count() == 0
 
 
 def test_sessions_end_after_more_than_two_seconds_and_with_the_day(spark):
@@ -40,11 +41,70 @@ def test_missing_side_follows_the_tick_and_empty_quantities_go(spark):
     assert [(r.side, r.cvd) for r in indicators.signed_volume(t).orderBy("seq").collect()] == [("sell", -2.0), ("buy", 1.0), ("sell", 0.0)]
 
 
+FILLS = "fill_id string, symbol string, ts_ms long, side string, px double, qty double, fee double"
+
+
 def test_fifo_matches_unit_by_unit(spark):
-    rows = [("a", "P", 1, "buy", 10.0, 5.0), ("b", "P", 2, "buy", 11.0, 5.0), ("c", "P", 3, "sell", 12.0, 7.0), ("d", "P", 4, "sell", 9.0, 1.0)]
-    f = spark.createDataFrame(rows, "fill_id string, symbol string, ts_ms long, side string, px double, qty double")
-    legs = ledger.fifo_lots(f).orderBy("start").select("q", "pnl").collect()
-    assert [tuple(x) for x in legs] == [(5, 10.0), (2, 2.0), (1, -2.0)]
+    rows = [("a", "P", 1, "buy", 10.0, 5.0, 1.0), ("b", "P", 2, "buy", 11.0, 5.0, 0.0), ("c", "P", 3, "sell", 12.0, 7.0, 0.7), ("d", "P", 4, "sell", 9.0, 1.0, 0.0), ("e", "P", 5, "buy", 9.0, 0.0, 0.0), ("f", "P", 6, None, 9.0, 1.0, 0.0)]
+    legs = ledger.fifo_lots(spark.createDataFrame(rows, FILLS)).orderBy("close_ms", "open_ms").select("q", "pnl", F.round("fee", 9), "open_ms", "close_ms", "way").collect()
+    assert [tuple(x) for x in legs] == [(5, 10.0, 1.5, 1, 3, "long"), (2, 2.0, 0.2, 2, 3, "long"), (1, -2.0, 0.0, 2, 4, "long")]
+
+
+def test_fifo_of_fractions_over_months_and_chunks(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"{i:04}", "P", i * 40_000_000, rng.choice(["buy", "sell"]), 100 + rng.random(), rng.choice([0.5, 0.25, 1.75, 3.0]), 0.1) for i in range(400)]
+    queue = {"buy": [], "sell": []}
+    want = []
+    for _, _, t, side, px, qty, _ in rows:
+        other = queue["sell" if side == "buy" else "buy"]
+        while qty and other:
+            q = min(qty, other[0][1])
+            buy, sell = (px, other[0][0]) if side == "buy" else (other[0][0], px)
+            want.append((q, round((sell - buy) * q, 9), other[0][2], t))
+            qty -= q
+            other[0][1] -= q
+            if not other[0][1]:
+                other.pop(0)
+        if qty:
+            queue[side].append([px, qty, t])
+    for chunk in (ledger.CHUNK, 3 * ledger.UNIT):
+        got = ledger.fifo_lots(spark.createDataFrame(rows, FILLS), chunk).select("q", F.round("pnl", 9), "open_ms", "close_ms").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_windows_in_small_chunks_equal_plain_windows(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    from ticklattice.operators import chunks
+
+    rng = random.Random(4)
+    rows = [(rng.choice("AB"), t, i, rng.random()) for i, t in enumerate(sorted(rng.randrange(200_000) for _ in range(300)))]
+    df = spark.createDataFrame(rows, "symbol string, ts_ms long, seq long, v double")
+    plain = Window.partitionBy("symbol").orderBy("ts_ms", "seq")
+    want = df.select("seq", F.lag("v").over(plain).alias("a"), F.round(F.sum("v").over(plain), 9).alias("b"), F.count("*").over(Window.partitionBy("symbol").orderBy("ts_ms").rangeBetween(-5000, 0)).alias("c"), F.round(F.avg("v").over(plain.rowsBetween(-4, 3)), 9).alias("d"))
+    got = chunks.with_previous(df, ["v"], width=1000).select("*", F.col("_prev.v").alias("a")).drop("_prev")
+    got = chunks.over_range(chunks.running(got, {"b": F.col("v")}, width=7000), 5000, {"c": lambda w: F.count("*").over(w)}, width=3000)
+    got = chunks.over_rows(got, 4, 3, {"d": lambda w: F.avg("v").over(w.rowsBetween(-4, 3))}, block=10)
+    assert sorted(map(tuple, got.select("seq", "a", F.round("b", 9), "c", F.round("d", 9)).collect())) == sorted(map(tuple, want.collect()))
+    near = alignment.nearest(df, df.select("symbol", (F.col("ts_ms") + 7).alias("ts_ms"), "seq", "v").dropDuplicates(["symbol", "ts_ms"]), "v")
+    assert near.count() == 300
+
+
+def test_denoised_signals_wait_and_turn_at_once(spark):
+    from ticklattice.operators import states
+
+    rows = [("A", i * 1000, i, s, c) for i, (s, c) in enumerate([(1.2, 0.5), (1.2, 0.5), (1.2, 0.5), (0.7, 0.5), (-1.5, 0.9), (-1.5, 0.2), (1.1, 0.5), (1.1, 0.5), (None, 0.5)])]
+    t = spark.createDataFrame(rows, "symbol string, ts_ms long, seq long, fusion double, consistency double")
+    assert [r.signal for r in states.denoised(t).orderBy("seq").collect()] == [0, 1, 0, 0, -1, 0, 0, 1, 0]
+
+
+def test_fee_and_slippage_models(spark):
+    r = spark.range(1).select(*(ledger.slippage_bps(m, 1.0, F.lit(4.0), F.lit(10.0), F.lit("A_H")).alias(m) for m in ("static", "linear", "piecewise")), *(ledger.fee_bps(m, F.lit(25_000.0), F.lit(0.5)).alias("f" + m) for m in ("taker_static", "tiered", "maker_taker"))).first()
+    assert tuple(r) == (1.0, 5.0, 2.0, 5.0, 4.0, 3.5)
 
 
 def test_reasons_keep_their_order_and_leave_out_nulls(spark):

@@ -31,20 +31,33 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
     assert plain([tuple(r) for r in got.collect()], got.columns) == plain(want.fetchall(), [d[0] for d in want.description])
 
 
-def test_throttle_moves_its_anchor_only_when_it_keeps(spark):
-    from ticklattice import sources
-    from pyspark.sql import functions as F
-
-    rows = sources.trades(spark, SF).select("symbol", F.expr("ts_ms div 3600000").alias("hour"), "ts_ms").collect()
+def fold_rows(spark, rows, order):
     by = {}
-    for r in rows:
-        by.setdefault((r.symbol, r.hour), []).append(r.ts_ms)
-    want = {}
-    for key, times in by.items():
-        last, n = -(1 << 60), 0
-        for t in sorted(times):
-            if t - last >= 30_000:
-                last, n = t, n + 1
-        want[key] = n
-    got = QUERIES["throttled_trades"](spark, SF).collect()
-    assert {(r.symbol, r.hour): r.kept for r in got} == want
+    for r in sorted(rows.collect(), key=lambda r: tuple(r[c] for c in ("symbol", *order))):
+        by.setdefault(r.symbol, []).append(r)
+    return by
+
+
+def test_winsorised_history_equals_a_loop(spark):
+    from statistics import mean, median, stdev
+
+    from ticklattice.operators import indicators
+    from ticklattice.plans.flow import _ofi
+
+    got = {r.seq: r.z for r in indicators.winsorised_history_z(_ofi(spark, SF), "ofi", 30, 12).collect()}
+    for rows in fold_rows(spark, _ofi(spark, SF), ("ts_ms", "seq")).values():
+        past = []
+        for r in rows:
+            last = past[-30:]
+            want = (r.ofi - mean(last)) / max(stdev(last), 1e-4) if len(last) >= 12 else None
+            assert (got[r.seq] is None) == (want is None) and (want is None or math.isclose(got[r.seq], want, rel_tol=1e-9, abs_tol=1e-9))
+            x = r.ofi
+            if len(last) > 10:
+                m = median(last)
+                mad = median(abs(v - m) for v in last)
+                x = min(max(x, m - 0.9 * mad), m + 0.9 * mad) if mad > 0 else x
+            past.append(x)
+
+
+def test_every_query_has_sql_or_is_a_fold():
+    assert sorted(set(QUERIES) - set(ORACLE)) == ["fusion_signals", "winsorised_ofi_z"]
