@@ -44,7 +44,7 @@ SUB, WORDS = 16, 256
 #: Best estimates that are computed exactly for a first threshold, as a multiple of k; lists of the first round, as a part.
 SHORT, FIRST = 3, 16
 #: Vectors and queries of a list that meet in one group.
-CHUNK, QUERIES = 8192, 4096
+CHUNK, QUERIES = 1024, 1024
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
