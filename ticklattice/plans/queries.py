@@ -143,9 +143,9 @@ def gate_breakdown(spark, sf_dir):
 
 
 @query("""select symbol, count(*) as signals, count(*) filter (not list_contains(reasons, 'weak_signal')) as not_weak,
-  count(*) filter (not list_contains(reasons, 'weak_signal') and not list_contains(reasons, 'low_consistency')) as consistent, count(*) filter (len(reasons) = 0 and score <> 0) as confirmed from judged group by 1""")
+  count(*) filter (not list_contains(reasons, 'weak_signal') and not list_contains(reasons, 'low_consistency')) as consistent, count(*) filter (len(reasons) = 0 and score <> 0) as confirmed, round(count(*) filter (len(reasons) = 0 and score <> 0) / count(*), 6) as confirm_rate from judged group by 1""")
 def confirm_funnel(spark, sf_dir):
-    return D.funnel(S.signals(spark, sf_dir))
+    return D.funnel(S.signals(spark, sf_dir)).withColumn("confirm_rate", rounded(F.col("confirm_rate")))
 
 
 @query("""select code, count(*) as n from (select case when not (abs(z_ofi) >= 1.5 and abs(z_cvd) >= 1.2) then 'FAIL_GATING' when lag_sec < 1 then 'BAD_REGIME'
