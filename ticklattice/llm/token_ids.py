@@ -4,15 +4,19 @@ Both vocabularies split a text before a lone space that stands between two
 characters, so a text's ids are its chunks' ids in a row. Texts for which that is
 not certain (runs of spaces, control characters, characters past Latin Extended-B,
 the special tokens' own strings) go to the library whole; the ids are the same.
-New chunks go to the library many at a time, as one text from which their ids can be
-told apart: by the space that each starts with, or by a control character as a word
-of its own between them.
+A new chunk of letters and punctuation after them is put together from the ids of the
+two, which are chunks themselves: both vocabularies split there too. One of letters
+alone is a single word to the vocabulary and goes to the library's model. All others go
+to the library many at a time, as one text from which their ids can be told apart: by
+the space that each starts with, or by a control character as a word of its own between
+them.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import string
 
 import numpy as np
 
@@ -23,6 +27,14 @@ _MOST_CHUNKS = 800_000
 _MARK = "\x01"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, the others for
+    those from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 def _goes_whole(text: str) -> bool:
     return "  " in text or "<|" in text or bool(_ODD.search(text))
 
@@ -59,6 +71,8 @@ class TextEncoder:
             self.starts[[i for x, i in names.items() if x.startswith("Ġ")]] = True
         else:
             (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.letters[ord("\n")] = "\n"  # parts words here
         self.index = _Index()
         self.flat = np.zeros(0, np.uint32)
         self.begin = np.zeros(0, np.int64)
@@ -73,7 +87,7 @@ class TextEncoder:
         index.update((chunks[k], i) for i, k in enumerate(kept.tolist()))
         length = self.length[kept]
         begin = np.cumsum(length) - length
-        self.flat = self.flat[np.repeat(self.begin[kept] - begin, length) + np.arange(int(length.sum()))]
+        self.flat = self._gathered(self.begin[kept], length)
         self.index, self.begin, self.length, self.hits = index, begin, length, self.hits[kept] // 2
 
     def _library(self, texts: list[str]) -> list[list[int]]:
@@ -100,17 +114,55 @@ class TextEncoder:
         begin[odd] = len(ids) + np.cumsum(length[odd]) - length[odd]
         return np.concatenate([ids, np.array([i for x in more for i in x], np.uint32)]), begin, length
 
-    def _learn(self, chunks: list[str]) -> None:
-        size = len(self.flat)
-        flat, begin, length = [self.flat], [self.begin], [self.length]
-        for k in range(0, len(chunks), 1000):
-            f, b, n = self._ids_of(chunks[k : k + 1000])
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters only, and how many each has."""
+        space = self.letters[ord(" ")] if self.keeps_spaces else ""
+        ids, length = [], []
+        for word in "\n".join(words).encode().decode("latin-1").translate(self.letters).split("\n"):
+            got = [x.id for x in self.model.tokenize(space + word)]
+            ids += got
+            length.append(len(got))
+        return np.array(ids, np.uint32), np.array(length, np.int64)
+
+    def _learn(self) -> None:
+        new, number, tail_mark = self.index.new, self.index.__getitem__, _MARK if self.keeps_spaces else ""
+        known, words, others, joined = len(self.begin), [], [], []
+        for i, x in enumerate(new):  # grows by the words and the punctuation that are looked up
+            if x.isalpha():
+                words.append(i)
+            elif (word := x.rstrip(string.punctuation)).isalpha():
+                joined.append((i, number(word), number(tail_mark + x[len(word) :])))
+            else:
+                others.append(i)
+        begin, length = (np.append(x, np.zeros(len(new), np.int64)) for x in (self.begin, self.length))
+        size, flat = len(self.flat), [self.flat]
+        for k in range(0, len(others), 1000):
+            at = others[k : k + 1000]
+            f, b, n = self._ids_of([new[i] for i in at])
+            begin[known:][at], length[known:][at] = b + size, n
+            flat.append(f)
+            size += len(f)
+        if words:
+            f, n = self._words([new[i] for i in words])
+            begin[known:][words], length[known:][words] = size + np.cumsum(n) - n, n
             flat.append(f)
-            begin.append(b + size)
-            length.append(n)
             size += len(f)
-        self.flat, self.begin, self.length = (np.concatenate(x) for x in (flat, begin, length))
-        self.hits = np.append(self.hits, np.zeros(len(chunks), np.int64))
+        self.flat = np.concatenate(flat)
+        if joined:
+            at, parts = np.array(joined)[:, 0], np.array(joined)[:, 1:]
+            n = length[parts.ravel()]
+            f = self._gathered(begin[parts.ravel()], n)
+            length[known:][at] = both = n.reshape(-1, 2).sum(axis=1)
+            begin[known:][at] = size + np.cumsum(both) - both
+            self.flat = np.concatenate([self.flat, f])
+        self.begin, self.length = begin, length
+        self.hits = np.append(self.hits, np.zeros(len(new), np.int64))
+        self.index.new = []
+
+    def _gathered(self, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The ids that lie at these places of flat, in a row."""
+        ends = np.cumsum(length)
+        return self.flat[np.repeat(begin - ends + length, length) + np.arange(int(length.sum()))]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         whole = [i for i, x in enumerate(texts) if x and _goes_whole(x)]
@@ -132,13 +184,12 @@ class TextEncoder:
             places.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
             per_text[i] = len(chunks)
         if self.index.new:
-            self._learn(self.index.new)
-            self.index.new = []
+            self._learn()
         place = np.concatenate(places) if places else np.zeros(0, np.int64)
         self.hits += np.bincount(place, minlength=len(self.hits))
         length = self.length[place]
         total = np.concatenate([[0], np.cumsum(length)])
-        ids = self.flat[np.repeat(self.begin[place] - total[:-1], length) + np.arange(total[-1])]
+        ids = self._gathered(self.begin[place], length)
         ends = np.cumsum(per_text)
         counts = total[ends] - total[ends - per_text]
         if odd:
