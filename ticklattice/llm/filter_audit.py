@@ -62,9 +62,9 @@ def refine(rows: DataFrame) -> DataFrame:
     state = rows.where("doc_id is not null").select("doc_id", F.col("length").cast("long").alias("key"), "blocks")
     at, before, done = 0, [], None
     while True:
-        classes = state.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
-        left = stored(state.join(classes, "key", "left_semi"), "classes")
-        before.append(left)
+        classes = stored(state.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"), "class_keys")
+        left = stored(state.join(classes, "key", "left_semi"), "classes")  # of two tables, so that Spark can split a large class
+        before += [left, classes]
         ended = left.where(F.size("blocks") <= at).select("key").distinct()
         done = ended if done is None else done.unionByName(ended)
         state = left.where(F.size("blocks") > at).select("doc_id", F.xxhash64("key", F.col("blocks")[at]).alias("key"), "blocks")
