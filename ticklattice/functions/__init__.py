@@ -18,7 +18,8 @@ def return_bps(now: Column, before: Column) -> Column:
 
 
 def clip(x: Column, limit: float) -> Column:
-    return F.greatest(F.lit(-limit), F.least(F.lit(limit), x))
+    """x between -limit and limit; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), x)))
 
 
 def squash(x: Column) -> Column:

@@ -58,10 +58,26 @@ def guard_reason(reason: Column) -> Column:
     return out
 
 
+# What reasons of the fusion are called as gates.
+FUSION_REASONS = {"low_consistency_throttle": "low_consistency", "lag_exceeded": "lag_sec_exceeded", "warmup": "component_warmup", "degraded_ofi_only": "degraded_ofi_only", "degraded_cvd_only": "degraded_cvd_only"}
+
+
 def gate_reason(reason: Column) -> Column:
-    """`name>limit` becomes name_exceeded, `reason:name` the name; brackets and what follows go."""
-    r = F.regexp_replace(F.lower(F.trim(reason)), r"\(.*$", "")
-    return F.when(r.contains(">"), F.concat(F.split(r, ">")[0], F.lit("_exceeded"))).when(r.startswith("reason:"), F.substring(r, 8, 1000)).otherwise(r)
+    """One name for a reason of a gate: limits of spread and lag become *_exceeded, `reason:code` the code's name as a gate or
+    reason_code, all reverse cooldowns one; others stay. No reason is unknown."""
+    r = F.trim(F.coalesce(reason, F.lit("")))
+    code = F.trim(F.regexp_replace(r, "reason:", ""))
+    named = F.concat(F.lit("reason_"), code)
+    for k, v in FUSION_REASONS.items():
+        named = F.when(code == k, v).otherwise(named)
+    exceeded = F.when(r.startswith("spread_bps>"), "spread_bps_exceeded").when(r.startswith("lag_sec>"), "lag_sec_exceeded")
+    return exceeded.when(r.startswith("reason:"), named).when(r.startswith("reverse_cooldown"), "reverse_cooldown").when(r == "", "unknown").otherwise(r)
+
+
+def gate_reasons(listed: Column) -> Column:
+    """The names of a comma-separated list; of an empty one, unknown."""
+    parts = F.filter(F.transform(F.split(F.coalesce(listed, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(parts) == 0, any_of("unknown")).otherwise(F.transform(parts, gate_reason))
 
 
 def reason_key(reason: Column) -> Column:
@@ -108,8 +124,10 @@ def suggested_qty(price: Column, qty: Column, least_notional: float, step: str)
     return F.when(price * qty < least_notional, need.cast("double"))
 
 
-def price_cap(price: Column, side: Column, bps: float) -> Column:
-    return price * (1 + F.when(side == "buy", 1).otherwise(-1) * bps / 1e4)
+def price_cap(price: Column, side: Column, bps: float, tick: float | None = None) -> Column:
+    """The worst price for a slippage of bps; with a tick its nearest multiple (halves to the even one)."""
+    cap = price * (1 + F.when(side == "buy", 1).otherwise(-1) * bps / 1e4)
+    return F.bround(cap / tick, 0) * tick if tick else cap
 
 
 def uniform(key: Column) -> Column:
@@ -117,17 +135,45 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-#: What an error's text or status means (fixed values), first match.
-ERRORS = (("429|418|too many|rate", "rate_limited"), ("timeout|timed out|-1007|504", "timeout"), ("insufficient|balance", "insufficient_funds"), ("filter|lot_size|min_notional|-1013", "filter_failed"), ("5[0-9][0-9]", "server"), ("4[0-9][0-9]", "client"))
+# Error codes by HTTP status, by the venue's code, and by words of the message (the first that is found).
+HTTP_ERRORS = {
+    "E_PARAMS": (400, 404), "E_BROKER_REJECT": (401, 403), "E_RATE_LIMIT": (418, 429), "E_NETWORK": (500, 502, 503, 504),
+}
+VENUE_ERRORS = {
+    "E_PARAMS": (-1100, -1101, -1102, -1103, -1104, -1105, -1106, -1111, -1112, -1114, -1121, -1125, -1130),
+    "E_BROKER_REJECT": (-2010, -2011, -2013, -2014, -2015, -2019, -2021), "E_RATE_LIMIT": (-1003, -1006, -1007),
+    "E_STATE_CONFLICT": (-2012, -2022), "E_NETWORK": (-1021, -1022),
+}
+MESSAGE_ERRORS = (
+    ("E_NETWORK", ("timeout", "timed out", "connection")), ("E_RATE_LIMIT", ("rate limit", "too many requests", "429", "418")),
+    ("E_BROKER_REJECT", ("insufficient", "balance", "margin")), ("E_PARAMS", ("invalid", "bad request", "400")), ("E_PARAMS", ("not found", "404")),
+    ("E_STATE_CONFLICT", ("conflict", "already exists", "duplicate")),
+)
+
+
+def _coded(code: Column, table: dict) -> Column:
+    out = F.lit(None).cast("string")
+    for name, codes in table.items():
+        out = F.when(code.isin(*codes), name).otherwise(out)
+    return out
 
 
-def error_class(text: Column) -> Column:
-    out = F.lit("unknown")
-    for pattern, name in reversed(ERRORS):
-        out = F.when(F.lower(text).rlike(pattern), name).otherwise(out)
+def message_error(text: Column) -> Column:
+    t, out = F.lower(F.coalesce(text, F.lit(""))), F.lit("E_UNKNOWN")
+    for name, words in reversed(MESSAGE_ERRORS):
+        found = F.lit(False)
+        for w in words:
+            found = found | t.contains(w)
+        out = F.when(found, name).otherwise(out)
     return out
 
 
+def error_code(text: Column, status: Column | None = None, venue: Column | None = None) -> Column:
+    """The code of a failed request: by its HTTP status, else by the venue's code, else by words of its message, else E_UNKNOWN."""
+    known = [_coded(c, t) for c, t in ((status, HTTP_ERRORS), (venue, VENUE_ERRORS)) if c is not None]
+    return F.coalesce(*known, message_error(text))
+
+
 def order_state(status: Column) -> Column:
     s = F.upper(status)
     return F.when(s.isin("NEW", "ACK", "ACCEPTED"), "open").when(s == "PARTIALLY_FILLED", "partial").when(s == "FILLED", "filled").when(s.isin("CANCELED", "EXPIRED", "PENDING_CANCEL"), "canceled").when(s == "REJECTED", "rejected").otherwise("unknown")

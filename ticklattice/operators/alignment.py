@@ -13,7 +13,7 @@ def as_of(left: DataFrame, right: DataFrame, take: list[str], tolerance_ms: int
     if tolerance_ms is None:
         out = latest(left, right, row, "_q")
         return out.select(*left.columns, F.col("_q.ts_ms").alias(f"{prefix}ts"), *(F.col(f"_q.{c}").alias(f"{prefix}{c}") for c in take))
-    both = left.select("symbol", "ts_ms", F.struct(*left.columns).alias("_l")).unionByName(right.select("symbol", "ts_ms", row.alias("_r")), allowMissingColumns=True)
+    both = left.select("symbol", "ts_ms", F.struct(*left.columns).alias("_l")).unionByName(right.where("ts_ms is not null").select("symbol", "ts_ms", row.alias("_r")), allowMissingColumns=True)
     # the window takes in equal times, so a row of right at the same time counts
     out = over_range(both, tolerance_ms, {"_q": lambda w: F.max("_r").over(w)}).where("_l is not null")
     return out.select("_l.*", F.col("_q.ts_ms").alias(f"{prefix}ts"), *(F.col(f"_q.{c}").alias(f"{prefix}{c}") for c in take))

@@ -4,10 +4,14 @@ A symbol's rows are cut into chunks of time, or into blocks of rows, and a windo
 inside a chunk. What it needs from before is brought along: rows near the edge are
 repeated in the next chunk, or the last row or the total of earlier chunks is carried
 over by a window over the table of chunks, which has a row for each symbol and chunk.
+
+Rows without a symbol are those of one more symbol; rows without a time are a chunk of
+their own, before all others. Both stay.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +21,19 @@ CHUNK_MS = 3_600_000
 BLOCK = 65_536
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """rows, computed once and kept in the folder that spark.checkpoint.dir names (shared by all executors; on a single machine
+    without that setting a folder of its own). For tables that later steps read several times: windows that carry totals read
+    their input twice, scans three times, and steps on top of each other would multiply that."""
+    spark = rows.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="ticklattice-"))
+    return rows.checkpoint()
+
+
 def chunk_of(at: str = "ts_ms", width: int = CHUNK_MS) -> Column:
     return F.expr(f"{at} div {width}")
 
@@ -30,10 +47,29 @@ def over_range(rows: DataFrame, before_ms: int, add: dict[str, Callable], width:
     """Adds columns that look back before_ms at most: add has name -> function of a range window; with `order`, of the window
     of all rows so far in order of (ts_ms, *order), which may reach back further. One shuffle."""
     parts = F.sequence(chunk_of(width=width), F.expr(f"(ts_ms + {before_ms}) div {width}"))
-    dealt = rows.withColumn("_chunk", F.explode(parts))
+    dealt = rows.select("*", F.explode_outer(parts).alias("_chunk"))
     w = own_order(*order).rowsBetween(Window.unboundedPreceding, 0) if order else own_order().rangeBetween(-before_ms, 0)
     out = dealt.select("*", *(f(w).alias(c) for c, f in add.items()))
-    return out.where(F.col("_chunk") == chunk_of(width=width)).drop("_chunk")
+    return out.where(F.col("_chunk").eqNullSafe(chunk_of(width=width))).drop("_chunk")
+
+
+def by_chunk(inside: DataFrame, carried: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with what is carried into their chunk: a join by symbol and chunk in which null equals null."""
+    c = carried.withColumnsRenamed({"symbol": "_of", "_chunk": "_at"})
+    j = inside.join(c, inside["symbol"].eqNullSafe(c["_of"]) & inside["_chunk"].eqNullSafe(c["_at"]), how)
+    return j.drop("_of", "_at")
+
+
+def last_known(rows: DataFrame, values: dict[str, Column], order: tuple[str, ...] = ("seq",), width: int = CHUNK_MS) -> DataFrame:
+    """Adds, for each name -> value, the symbol's last value so far that is not null, the row's own included."""
+    dealt = rows.select("*", *(v.alias(f"_x_{c}") for c, v in values.items()), chunk_of(width=width).alias("_chunk"))
+    at = F.struct("ts_ms", *order)
+    last = dealt.groupBy("symbol", "_chunk").agg(*(F.max_by(f"_x_{c}", F.when(F.col(f"_x_{c}").isNotNull(), at)).alias(f"_l_{c}") for c in values))
+    before = Window.partitionBy("symbol").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("symbol", "_chunk", *(F.last(f"_l_{c}", True).over(before).alias(f"_b_{c}") for c in values))
+    here = own_order(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = dealt.select("*", *(F.last(f"_x_{c}", True).over(here).alias(f"_i_{c}") for c in values))
+    return by_chunk(inside, carried).select(*rows.columns, *(F.coalesce(f"_i_{c}", f"_b_{c}").alias(c) for c in values))
 
 
 def with_previous(rows: DataFrame, columns: list[str], to: str = "_prev", order: tuple[str, ...] = ("seq",), width: int = CHUNK_MS) -> DataFrame:
@@ -43,7 +79,7 @@ def with_previous(rows: DataFrame, columns: list[str], to: str = "_prev", order:
     last = dealt.groupBy("symbol", "_chunk").agg(F.max_by(value, F.struct("ts_ms", *order)).alias("_v"))
     carried = last.select("symbol", "_chunk", F.lag("_v").over(Window.partitionBy("symbol").orderBy("_chunk")).alias("_carried"))
     inside = dealt.withColumn(to, F.lag(value).over(own_order(*order)))
-    return inside.join(carried, ["symbol", "_chunk"]).withColumn(to, F.coalesce(to, "_carried")).drop("_carried", "_chunk").select(*rows.columns, to)
+    return by_chunk(inside, carried).withColumn(to, F.coalesce(to, "_carried")).drop("_carried", "_chunk").select(*rows.columns, to)
 
 
 def running(rows: DataFrame, sums: dict[str, Column], order: tuple[str, ...] = ("seq",), width: int = CHUNK_MS) -> DataFrame:
@@ -54,7 +90,7 @@ def running(rows: DataFrame, sums: dict[str, Column], order: tuple[str, ...] = (
     totals = totals.select("symbol", "_chunk", *(F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums))
     here = own_order(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = dealt.select("*", *(F.sum(f"_x_{c}").over(here).alias(f"_i_{c}") for c in sums))
-    return inside.join(totals, ["symbol", "_chunk"]).select(*rows.columns, *((F.col(f"_b_{c}") + F.col(f"_i_{c}")).alias(c) for c in sums))
+    return by_chunk(inside, totals).select(*rows.columns, *((F.col(f"_b_{c}") + F.col(f"_i_{c}")).alias(c) for c in sums))
 
 
 def numbered(rows: DataFrame, to: str = "_n", order: tuple[str, ...] = ("seq",), width: int = CHUNK_MS) -> DataFrame:
@@ -62,10 +98,11 @@ def numbered(rows: DataFrame, to: str = "_n", order: tuple[str, ...] = ("seq",),
     return running(rows, {to: F.lit(1)}, order, width).withColumn(to, F.col(to).cast("long"))
 
 
-def over_rows(rows: DataFrame, before: int, after: int, add: dict[str, Callable], order: tuple[str, ...] = ("seq",), block: int = BLOCK) -> DataFrame:
+def over_rows(rows: DataFrame, before: int, after: int, add: dict[str, Callable], order: tuple[str, ...] = ("seq",), block: int = BLOCK, number: str | None = None) -> DataFrame:
     """Adds columns that look at `before` rows back and `after` rows ahead at most: add has name -> function of the symbol's
-    ordered window, which sets its own frame. Two shuffles: one to number rows, one by blocks of them."""
-    n = numbered(rows, "_n", order)
+    ordered window, which sets its own frame. `number` names a column that numbers a symbol's rows already; else that is a
+    shuffle more, and a second read of rows."""
+    n = rows.withColumn("_n", F.col(number)) if number else numbered(rows, "_n", order)
     dealt = n.withColumn("_chunk", F.explode(F.sequence(F.expr(f"greatest(0, _n - {after}) div {block}"), F.expr(f"(_n + {before}) div {block}"))))
     w = Window.partitionBy("symbol", "_chunk").orderBy("_n")
     out = dealt.select("*", *(f(w).alias(c) for c, f in add.items()))
@@ -74,8 +111,9 @@ def over_rows(rows: DataFrame, before: int, after: int, add: dict[str, Callable]
 
 def latest(left: DataFrame, right: DataFrame, value: Column, to: str, ahead: bool = False, width: int = CHUNK_MS) -> DataFrame:
     """Adds `to`: value of the symbol's latest row of right at or before each row of left, or with `ahead` the first after
-    it. right has one row for each (symbol, ts_ms). A chunk gets the last (first) row of the chunks before (after) it as well."""
-    r = right.select("symbol", "ts_ms", chunk_of(width=width).alias("_chunk"), F.lit(0).alias("_s"), value.alias("_r"))
+    it. right has one row for each (symbol, ts_ms); those without a time are never found. A chunk gets the last (first) row of
+    the chunks before (after) it as well."""
+    r = right.where("ts_ms is not null").select("symbol", "ts_ms", chunk_of(width=width).alias("_chunk"), F.lit(0).alias("_s"), value.alias("_r"))
     end = F.min_by("_r", "ts_ms") if ahead else F.max_by("_r", "ts_ms")
     touched = left.select("symbol", chunk_of(width=width).alias("_chunk")).distinct().withColumn("_v", F.lit(None).cast(r.schema["_r"].dataType))
     ends = r.groupBy("symbol", "_chunk").agg(end.alias("_v")).unionByName(touched).groupBy("symbol", "_chunk").agg(F.first("_v", True).alias("_v"))
@@ -90,5 +128,5 @@ def latest(left: DataFrame, right: DataFrame, value: Column, to: str, ahead: boo
         found = F.first("_r", True).over(w)
     else:
         found = F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("_q", found).where("_l is not null").join(carried, ["symbol", "_chunk"], "left")
+    out = by_chunk(both.withColumn("_q", found).where("_l is not null"), carried, "left")
     return out.select("_l.*", F.coalesce("_q", "_carried").alias(to))

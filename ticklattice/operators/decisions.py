@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import consistency
 from ..functions.rules import aligned_qty, any_of, decided_side
-from .folds import ordered_fold
+from .chunks import numbered, over_range
+from .scans import Bounded, Cooldown, scan
 from .states import streaks
 
 
@@ -88,29 +89,16 @@ def decision_code(regime: Column) -> Column:
 def decisions(signals: DataFrame, now_ms: Column, expiry_ms: int, cooldown_ms: int = 30_000) -> DataFrame:
     """code of signals with a regime (active, normal, quiet) and, if there, div_type: EXPIRE if older than expiry_ms, COOLDOWN
     within cooldown_ms of the last OK of the symbol and side, then decision_code (a divergence passes the gate). Only OK
-    starts a cooldown, so this is a fold."""
+    starts a cooldown."""
     div = F.col("div_type").isin("bull", "bear") if "div_type" in signals.columns else F.lit(False)
     plain = decision_code(F.col("regime"))
     least = F.when(F.col("regime") == "active", 1.8).otherwise(2.2)
     passed = F.when(F.col("regime") == "quiet", "BAD_REGIME").when(F.abs("score") < least, "LOW_SCORE").otherwise("OK")
-    s = signals.withColumn("_plain", F.when(F.coalesce(div, F.lit(False)), passed).otherwise(plain)).withColumn("_old", now_ms - F.col("ts_ms") > expiry_ms)
-    s = s.withColumn("_side", F.when(F.col("score") > 0, "buy").otherwise("sell"))
-
-    def start():
-        until = [None]
-
-        def step(ts, plain, old):
-            if old:
-                return ("EXPIRE",)
-            if until[0] is not None and ts < until[0]:
-                return ("COOLDOWN",)
-            if plain == "OK":
-                until[0] = ts + cooldown_ms
-            return (plain,)
-
-        return step
-
-    return ordered_fold(s, ["symbol", "_side"], ["ts_ms", "seq"], ["ts_ms", "_plain", "_old"], start, "code string").drop("_plain", "_old", "_side")
+    s = signals.withColumn("_plain", F.when(F.coalesce(div, F.lit(False)), passed).otherwise(plain)).withColumn("_old", F.coalesce(now_ms - F.col("ts_ms") > expiry_ms, F.lit(False)))
+    s = s.withColumn("_side", F.when(F.col("score") > 0, "buy").otherwise("sell")).withColumn("_free", ((F.col("_plain") == "OK") & ~F.col("_old")).cast("double"))
+    s = scan(s, ["symbol", "_side"], ["ts_ms", "seq"], ["ts_ms", "_free"], Cooldown(cooldown_ms), "_wait long")
+    code = F.when(F.col("_old"), "EXPIRE").when(F.col("_wait") == 1, "COOLDOWN").otherwise(F.col("_plain"))
+    return s.withColumn("code", code).drop("_plain", "_old", "_side", "_free", "_wait")
 
 
 def orders(signals: DataFrame, usd: float, mid: Column, step: str = "0.001") -> DataFrame:
@@ -145,21 +133,25 @@ def risk_faults(orders: DataFrame, positions: DataFrame, least_notional: float,
     return o.withColumn("faults", why).drop("position")
 
 
-def adaptive_limit(rows: DataFrame, base: float, most: float = 20.0) -> DataFrame:
-    """limit: starts at base, x .8 after a refused row and x 1.1 after one let through (up to `most`, 1 at least); for the row
-    itself halved in quiet and x 1.2 in active regimes. rows: refused, regime. A fold."""
-
-    def start():
-        limit = [base]
-
-        def step(refused, regime):
-            now = limit[0] * (0.5 if regime == "quiet" else 1.2 if regime == "active" else 1.0)
-            limit[0] = max(1.0, limit[0] * 0.8) if refused else min(most, limit[0] * 1.1)
-            return (now,)
-
-        return step
-
-    return ordered_fold(rows, ["symbol"], ["ts_ms", "seq"], ["refused", "regime"], start, "limit double")
+def adaptive_limit(rows: DataFrame, base: float = 10.0, least: float = 1.0, most: float = 100.0, span_ms: int = 60_000) -> DataFrame:
+    """limit (orders a second) and throttled of rows with denied (refusals so far reported with the request, null: none) and
+    regime. Each row moves the limit first: x .8 (`least` at least) where refusals are more than half of them and the requests
+    of the span_ms before, x 1.1 (`most` at most) where they are less than a tenth; then x .5 in quiet, x 1.2 in active regimes,
+    between the same bounds. throttled: the requests of the span before reach limit x span. All requests before count, throttled
+    ones too. Each row's moves are one bounded linear step, and such steps compose."""
+    r = over_range(numbered(rows), span_ms, {"_first": lambda w: F.min("_n").over(w)}).withColumn("_count", (F.col("_n") - F.col("_first")).cast("double"))
+    denied = F.coalesce(F.col("denied").cast("double"), F.lit(0.0))
+    rate = F.when(denied > 0, denied / (F.col("_count") + denied))
+    big = 1e300
+    a = F.when(rate > 0.5, 0.8).when(rate < 0.1, 1.1).otherwise(1.0)
+    lo, hi = F.when(rate > 0.5, least).otherwise(-big), F.when(rate < 0.1, most).otherwise(big)
+    b = F.when(F.col("regime") == "quiet", 0.5).when(F.col("regime") == "active", 1.2).otherwise(1.0)
+    lo2, hi2 = F.when(F.col("regime") == "quiet", least).otherwise(-big), F.when(F.col("regime") == "active", most).otherwise(big)
+    held = lambda x: F.least(hi2, F.greatest(lo2, b * x))
+    r = r.withColumns({"_a": a * b, "_b": F.lit(0.0), "_lo": held(lo), "_hi": held(hi)})
+    r = scan(r, ["symbol"], ["ts_ms", "seq"], ["_a", "_b", "_lo", "_hi"], Bounded(base), "limit double")
+    now = F.least("_hi", F.greatest("_lo", F.col("_a") * F.col("limit")))
+    return r.withColumn("limit", now).withColumn("throttled", F.col("_count") >= F.col("limit") * (span_ms / 1000)).select(*rows.columns, "limit", "throttled")
 
 
 def funnel(signals: DataFrame) -> DataFrame:

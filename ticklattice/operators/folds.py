@@ -1,8 +1,9 @@
 """Folds in order of time for rules whose state depends on what they decided before.
 
 Rows are dealt by key and sorted by Spark; a task goes over them once, batch by batch,
-and holds no more than a key's state, however many rows a key has. Such rules can't be
-cut inside a key: keys run side by side, a key's rows one after the other.
+and holds no more than a key's state, however many rows a key has. Keys run side by
+side, a key's rows one after the other: rules whose steps compose go through scans.py
+instead, which cuts a key's rows.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+ARROW = {"double": pa.float64(), "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+
 
 def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], take: list[str], start: Callable, out: str) -> DataFrame:
     """The columns of rows and those of the schema `out`. start() gives a step for each key: step(*values of take) returns
@@ -38,6 +41,5 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], take: list[
             arrays = [pa.array(list(x), t) for x, t in zip(more, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*kept.columns, *arrays], names=[*rows_names, *names])
 
-    arrow = {"double": pa.float64(), "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
-    types, rows_names = [arrow[x.split()[1]] for x in out.split(",")], rows.columns
+    types, rows_names = [ARROW[x.split()[1]] for x in out.split(",")], rows.columns
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

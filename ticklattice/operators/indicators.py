@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import clip
 from .chunks import numbered, over_range, over_rows, running, with_previous
 from .folds import ordered_fold
+from .scans import Cooldown, Decay, DeltaScale, Ema, scan
+from .sliding import sliding
 
 DAY_MS = 86_400_000
 
@@ -61,25 +63,28 @@ def signed_volume(trades: DataFrame) -> DataFrame:
 
 
 def tick_rule(trades: DataFrame, most: int = 5, age_ms: int = 2000) -> DataFrame:
-    """Fills a missing side: up buys, down sells; an equal price takes the last side, `most` times in a row and age_ms after
-    the last price change at most, else stays null. A fold: whether a row has a side depends on the ones before."""
+    """tick_side fills a missing side: up buys, down sells; an equal price takes the last side, `most` times in a row (a move
+    starts the count again) and age_ms after the trade before at most, else none, which starts the count again too. Trades
+    that get no side leave no trace: the price, side and time before are those of the last trade with one. A fold."""
 
     def start():
         state = {"price": None, "side": None, "n": 0, "at": None}
 
         def step(ts, price, side):
             last = state["price"]
-            if side is None and last is not None and price is not None:
-                if price != last:
-                    side = "buy" if price > last else "sell"
-                elif state["side"] is not None and state["n"] < most and ts - state["at"] <= age_ms:
-                    side = state["side"]
+            if side is None and price is not None:
+                if last is None:
+                    state["n"] = 0
+                elif price != last:
+                    side, state["n"] = "buy" if price > last else "sell", 0
+                else:
                     state["n"] += 1
-            if price is not None and price != last:
-                state.update(n=0, at=ts)
+                    if state["n"] <= most and (ts is None or state["at"] is None or ts - state["at"] <= age_ms):
+                        side = state["side"]
+                    else:
+                        state["n"] = 0
             if side is not None:
-                state["side"] = side
-            state["price"] = last if price is None else price
+                state.update(side=side, at=state["at"] if ts is None else ts, price=last if price is None else price)
             return (side,)
 
         return step
@@ -119,52 +124,24 @@ def realised_vol(rows: DataFrame, last: int = 600) -> DataFrame:
     return out.withColumn("vol_bps", F.when(F.col("_a") > 0, F.sqrt(F.greatest(var, F.lit(0.0))) * 1e4)).drop("r", "_n0", "_s", "_q", "_a", "_b", "_c")
 
 
-def ema(rows: DataFrame, value: str, alpha: float, *resets: str) -> DataFrame:
-    """Exponentially weighted mean of each row and those before it, seeded by the symbol's first value (and anew where one of
-    the columns `resets` changes). A fold without an end: no restarts by time."""
-
-    def start():
-        state = [None, None]
-
-        def step(v, *key):
-            if v is not None:
-                state[0] = v if state[0] is None or key != state[1] else alpha * v + (1 - alpha) * state[0]
-                state[1] = key
-            return (state[0],)
-
-        return step
-
-    return ordered_fold(rows, ["symbol"], ["ts_ms", "seq"], [value, *resets], start, "ema double")
+def ema(rows: DataFrame, value: str, alpha: float, reset: str | None = None) -> DataFrame:
+    """ema: exponentially weighted mean of each row's value and those before it, seeded by the symbol's first value (and anew
+    where the number in `reset` changes); a null value leaves it as it is."""
+    r = rows.withColumn("_reset", F.col(reset).cast("double") if reset else F.lit(0.0))
+    return scan(r, ["symbol"], ["ts_ms", "seq"], [value, "_reset"], Ema(alpha), "ema double").drop("_reset")
 
 
 def decayed_means(rows: DataFrame, value: str, halves_ms: tuple[int, ...] = (60_000, 600_000)) -> DataFrame:
-    """Means of |value| that decay with time: a row weighs 1 - 2^(-dt / half), dt 1 ms at least; seeded by the first."""
-
-    def start():
-        state = {"at": None, "m": [0.0] * len(halves_ms)}
-
-        def step(ts, v):
-            x = abs(v)
-            if state["at"] is None:
-                state["m"] = [x] * len(halves_ms)
-            else:
-                dt = max(1, ts - state["at"])
-                state["m"] = [m + (1 - 2 ** (-dt / h)) * (x - m) for m, h in zip(state["m"], halves_ms, strict=True)]
-            state["at"] = ts
-            return tuple(state["m"])
-
-        return step
-
-    return ordered_fold(rows, ["symbol"], ["ts_ms", "seq"], ["ts_ms", value], start, ", ".join(f"decayed_{h // 1000}s double" for h in halves_ms))
+    """Means of |value| that decay with time: a row weighs 1 - 2^(-dt / half), dt 1 ms at least; seeded by the first. A null
+    value or time leaves them as they are."""
+    names = ", ".join(f"decayed_{h // 1000}s double" for h in halves_ms)
+    return scan(rows.withColumn("_size", F.abs(value)), ["symbol"], ["ts_ms", "seq"], ["ts_ms", "_size"], Decay(halves_ms), names).drop("_size")
 
 
 def rolling_mad(rows: DataFrame, value: str, window: int = 200, least: int = 50, multiplier: float = 1.0) -> DataFrame:
     """mad: 1.4826 x multiplier x the median distance from the median (middle) of the last values; null with fewer than `least`."""
-    out = over_rows(rows, window - 1, 0, {"_l": lambda o: F.collect_list(value).over(o.rowsBetween(-(window - 1), 0))})
-    middle = lambda a: (F.element_at(a, ((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, (F.size(a) / 2 + 1).cast("int"))) / 2
-    out = out.withColumn("_l", F.array_sort("_l")).withColumn("middle", middle(F.col("_l")))
-    out = out.withColumn("_d", F.array_sort(F.transform("_l", lambda x: F.abs(x - F.col("middle")))))
-    return out.withColumn("mad", F.when(F.size("_l") >= least, middle(F.col("_d")) * (1.4826 * multiplier))).drop("_l", "_d")
+    out = sliding(rows, value, {"middle": "middle", "mad": "mad", "_n1": "count"}, last=window)
+    return out.withColumn("mad", F.when(F.col("_n1") >= least, F.col("mad") * (1.4826 * multiplier))).drop("_n1")
 
 
 def after_gaps(rows: DataFrame) -> DataFrame:
@@ -179,53 +156,20 @@ def after_gaps(rows: DataFrame) -> DataFrame:
 CVD_LIMITS = {"BTC": (1.9, 1.75), "ETH": (2.3, 1.70), "": (2.0, 1.70)}
 
 
-def cvd_delta_z(trades: DataFrame, freeze_min: int = 20, window: int = 200, floor: float = 0.1, frozen_rows: bool = True) -> DataFrame:
-    """Each trade's signed quantity (delta) over a scale: the decayed means mixed by the trade rate, the floor (higher when
-    trades are rare) and the MAD, whichever is largest; winsorised; null for a symbol's first freeze_min trades and after gaps
-    (over 5 s: this trade and two more; over 4 s: this and one more). tps and mode (ACTIVE above 2) go along. Without
-    frozen_rows gaps leave no nulls: the estimate between updates. One fold, as the means depend on all trades before."""
-    btc, eth, rest = CVD_LIMITS["BTC"], CVD_LIMITS["ETH"], CVD_LIMITS[""]
-
-    def start():
-        last: deque[float] = deque(maxlen=window)
-        times: deque[int] = deque()
-        state = {"price": None, "at": None, "fast": 0.0, "slow": 0.0, "n": 0, "five": 99, "four": 99}
-
-        def step(symbol, ts, price, qty, side):
-            if side is None:
-                side = "buy" if state["price"] is not None and price >= state["price"] else "sell"
-            state["price"] = price
-            delta = qty if side == "buy" else -qty
-            x, at = abs(delta), state["at"]
-            if at is None:
-                state["fast"] = state["slow"] = x
-            else:
-                dt = max(1, ts - at)
-                state["fast"] += (1 - 2 ** (-dt / 60_000)) * (x - state["fast"])
-                state["slow"] += (1 - 2 ** (-dt / 600_000)) * (x - state["slow"])
-                state["five"] = 0 if ts - at > 5000 else state["five"] + 1
-                state["four"] = 0 if ts - at > 4000 else state["four"] + 1
-            state["at"], state["n"] = ts, state["n"] + 1
-            last.append(delta)
-            times.append(ts)
-            while ts - times[0] > 60_000:
-                times.popleft()
-            tps = len(times) / max(60.0, (ts - times[0]) / 1000)
-            limit, factor = btc if symbol.upper().startswith("BTC") else eth if symbol.upper().startswith("ETH") else rest
-            w = 0.5 * min(1.0, tps / 1.5)
-            scale = max(w * state["fast"] + (1 - w) * state["slow"], floor * (1.5 / max(tps, 0.2)) ** 0.7)
-            if len(last) >= max(50, window // 5):
-                middle = _median(sorted(last))
-                scale = max(scale, _median(sorted(abs(v - middle) for v in last)) * 1.4826 * factor)
-            z = max(-limit, min(limit, delta / scale))
-            frozen = frozen_rows and (state["five"] <= 2 or state["four"] <= 1)
-            return (delta, tps, "ACTIVE" if tps > 2 else "QUIET", None if frozen or state["n"] <= freeze_min else z)
-
-        return step
-
-    rows = trades.where("qty > 0 and price is not null").select(*trades.columns, F.col("symbol").alias("_s"))
-    out = ordered_fold(rows, ["symbol"], ["ts_ms", "seq"], ["_s", "ts_ms", "price", "qty", "side"], start, "delta double, tps double, mode string, z_cvd double")
-    return out.drop("_s")
+def cvd_delta_z(trades: DataFrame, freeze_min: int = 20, window: int = 200, fast_weight: float = 0.3, frozen_rows: bool = True) -> DataFrame:
+    """Each trade's signed quantity (delta) over a scale: the decayed means of quantities mixed by the trade rate (the fast one
+    weighs fast_weight, less when trades are rare), or the floor if that is larger: MAD of the last `window` deltas x 1.4826 x
+    the symbol's multiplier, raised when trades are rare; winsorised. Null for a symbol's trades before the freeze_min-th and
+    after gaps (over 5 s: this trade and two more; over 4 s: this and one more). tps and mode (ACTIVE above 2) go along.
+    Without frozen_rows gaps leave no nulls: the estimate between updates. Trades without a price, a time or a quantity above
+    0 go."""
+    name = F.upper(F.coalesce("symbol", F.lit("")))
+    by = lambda i: F.when(name.startswith("BTC"), CVD_LIMITS["BTC"][i]).when(name.startswith("ETH"), CVD_LIMITS["ETH"][i]).otherwise(CVD_LIMITS[""][i])
+    rows = trades.where("qty > 0 and price is not null and ts_ms is not null")
+    rows = rows.withColumns({"_side": F.when(F.col("side") == "buy", 1.0).when(F.col("side") == "sell", -1.0), "_limit": by(0), "_factor": by(1)})
+    rule = DeltaScale(fast_weight, freeze_min, window, 4000, 5000, 2.0, frozen_rows)
+    out = scan(rows, ["symbol"], ["ts_ms", "seq"], ["ts_ms", "price", "qty", "_side", "_limit", "_factor"], rule, "delta double, tps double, _busy double, z_cvd double")
+    return out.withColumn("mode", F.when(F.col("_busy") > 0, "ACTIVE").otherwise("QUIET")).drop("_side", "_limit", "_factor", "_busy")
 
 
 def winsorised_history_z(rows: DataFrame, value: str, window: int = 80, least: int = 16, k: float = 0.9) -> DataFrame:
@@ -263,65 +207,81 @@ def _median(s: list[float]) -> float:
     return (s[(n - 1) // 2] + s[n // 2]) / 2
 
 
-def timed_z(rows: DataFrame, value: str, span_ms: int = 300_000, least: int = 5) -> DataFrame:
-    """z of value against mean and population deviation of the last span_ms (itself included); the deviation is 1e-9 at least."""
-    out = over_range(rows, span_ms, {"_c": lambda w: F.count(value).over(w), "_m": lambda w: F.avg(value).over(w), "_s": lambda w: F.stddev_pop(value).over(w)})
-    return out.withColumn("z", F.when(F.col("_c") >= least, (F.col(value) - F.col("_m")) / F.greatest("_s", F.lit(1e-9)))).drop("_c", "_m", "_s")
+def timed_z(rows: DataFrame, value: str, span_ms: int = 300_000, least: int = 10, floor: float = 0.3, limit: float = 2.5, most: int = 4096) -> DataFrame:
+    """z of value against mean and population deviation of the last span_ms (and `most` rows), itself included; the deviation is
+    at least floor x the robust scale (1.4826 x MAD, 1 if that is 0); clipped. With fewer than `least` values a hundredth of it."""
+    out = sliding(rows, value, {"_c": "count", "_m": "mean", "_s": "deviation", "_d": "mad"}, last=most, span_ms=span_ms)
+    robust = F.when(F.col("_d") > 0, F.col("_d") * 1.4826).otherwise(1.0)
+    z = clip((F.col(value) - F.col("_m")) / F.greatest("_s", robust * floor), limit)
+    return out.withColumn("z", F.when(F.col("_c") >= least, z).otherwise(F.col(value) / 100)).drop("_c", "_m", "_s", "_d")
 
 
-def robust_z(rows: DataFrame, value: str, window: int = 4096, least: int = 20) -> DataFrame:
-    """(value - median) / (1.4826 MAD) over the last rows, the scale 1e-9 at least."""
-    out = rolling_mad(rows, value, window, least)
-    return out.withColumn("z", (F.col(value) - F.col("middle")) / F.when(F.col("mad").isNotNull(), F.greatest("mad", F.lit(1e-9)))).drop("middle", "mad")
+def robust_z(rows: DataFrame, value: str, window: int = 4096, least: int = 10) -> DataFrame:
+    """(value - median) / (1.4826 MAD) over the last rows, the scale 1 if the MAD is 0; a thousandth of the value with fewer than
+    `least` values."""
+    out = sliding(rows, value, {"_m": "middle", "_d": "mad", "_c": "count"}, last=window)
+    z = (F.col(value) - F.col("_m")) / F.when(F.col("_d") > 0, F.greatest(F.col("_d") * 1.4826, F.lit(1e-9))).otherwise(1.0)
+    return out.withColumn("z", F.when(F.col("_c") >= least, z).otherwise(F.col(value) / 1000)).drop("_m", "_d", "_c")
 
 
 def throttled(rows: DataFrame, gap_ms: int, *keys: str, order: tuple[str, ...] = ("ts_ms", "seq")) -> DataFrame:
-    """The rows of each key that come gap_ms or more after the last row kept; the first is kept. A fold."""
-
-    def start():
-        last = [None]
-
-        def step(ts):
-            if last[0] is not None and ts - last[0] < gap_ms:
-                return None
-            last[0] = ts
-            return (True,)
-
-        return step
-
-    return ordered_fold(rows, list(keys), list(order), [order[0]], start, "_kept boolean").drop("_kept")
+    """The rows of each key that come gap_ms or more after the last row kept; the first is kept. Rows without a time go."""
+    r = rows.withColumn("_one", F.lit(1.0))
+    return scan(r, list(keys), list(order), [order[0], "_one"], Cooldown(gap_ms, only=True), "_kept long").drop("_one", "_kept")
 
 
-def pivots(rows: DataFrame, value: str, reach: int) -> DataFrame:
-    """Rows whose value is at least (high) or at most (low) all values of `reach` rows on either side."""
+def pivots(rows: DataFrame, value: str, reach: int, ahead: tuple[str, ...] = (), number: str | None = None) -> DataFrame:
+    """Rows whose value is at least (kind high) or at most (low) all values of `reach` rows on either side; a row that is both
+    stands there twice. Of a symbol's pivots of one kind and time the first counts. The columns `ahead` are those of the row
+    `reach` rows on, at which the pivot is known."""
     over = lambda f, a, b: lambda o: f.over(o.rowsBetween(a, b))
     add = {}
     for name, a, b in (("b", -reach, -1), ("a", 1, reach)):
         add |= {f"_c{name}": over(F.count("*"), a, b), f"_x{name}": over(F.max(value), a, b), f"_m{name}": over(F.min(value), a, b)}
-    out = over_rows(rows, reach, reach, add)
+    add |= {f"known_{c}": (lambda o, c=c: F.lead(c, reach).over(o)) for c in ahead}
+    out = over_rows(rows, reach, reach, add, number=number)
     v = F.col(value)
     full = (F.col("_cb") == reach) & (F.col("_ca") == reach)
     high, low = (v >= F.col("_xb")) & (v >= F.col("_xa")), (v <= F.col("_mb")) & (v <= F.col("_ma"))
-    return out.withColumn("kind", F.when(full & high, "high").when(full & low, "low")).where("kind is not null").select(*rows.columns, "kind")
-
-
-def divergences(rows: DataFrame, price: str, indicator: str, reach: int = 3, apart: int = 6) -> DataFrame:
-    """Pairs of a symbol's successive pivots of one kind, at least `apart` rows apart, whose price and indicator disagree:
-    bull_div (lower low, higher indicator), hidden_bull, bear_div (higher high, lower indicator), hidden_bear; with a score
-    of 0 to 100 from the size of both moves and the distance."""
-    n = numbered(rows, "at_row")
-    p = pivots(n, price, reach).withColumn("ts_ms", F.col("ts_ms"))
-    w = Window.partitionBy("symbol", "kind").orderBy("at_row")  # pivots are few: one a dozen rows, or fewer
-    p = p.withColumn("_was", F.lag(F.struct("at_row", F.col(price).alias("p"), F.col(indicator).alias("i"))).over(w))
-    p = p.where(F.col("at_row") - F.col("_was.at_row") >= apart)
-    dp, di = F.col(price) - F.col("_was.p"), F.col(indicator) - F.col("_was.i")
-    low = F.col("kind") == "low"
-    kind = F.when(low & (dp < 0) & (di > 0), "bull_div").when(low & (dp > 0) & (di < 0), "hidden_bull").when(~low & (dp > 0) & (di < 0), "bear_div").when(~low & (dp < 0) & (di > 0), "hidden_bear")
-    size = F.least(F.lit(1.0), F.abs(di) / 100)
-    valid = F.least(F.lit(1.0), F.abs(dp) / F.col("_was.p") * 10)
-    bonus = F.when(F.col("at_row") - F.col("_was.at_row") <= 20, 1.0).otherwise(0.0)
-    score = 100 * (0.35 * size + 0.25 * valid + 0.25 + 0.15 * bonus)
-    return p.withColumn("divergence", kind).where("divergence is not null").withColumn("score", score).drop("_was")
+    kinds = F.array_compact(F.array(F.when(full & high, F.lit("high")), F.when(full & low, F.lit("low"))))
+    out = out.select(*rows.columns, *(f"known_{c}" for c in ahead), F.explode(kinds).alias("kind"))
+    same = Window.partitionBy("symbol", "kind", "ts_ms").orderBy("seq")  # rows of one time
+    return out.withColumn("_r", F.row_number().over(same)).where("_r = 1").drop("_r")
+
+
+def divergence_score(before: Column, now: Column, was: Column, indicator: Column, apart: Column, reach: int, consistency: Column | None = None) -> Column:
+    """0 to 100 for two pivots, from prices before and now, indicators was and now, and the rows between: .35 for the larger
+    |indicator| (1 from 1.5 on, .7 from .7 on, else .3), .25 for distance (up to 2 reach) and size of the moves, .25, and .15 for
+    consistency (from 0.3 on: .05 to .15)."""
+    top = F.greatest(F.abs(was), F.abs(indicator))
+    size = F.when(top >= 1.5, 1.0).when(top >= 0.7, 0.7).otherwise(0.3)
+    moves = F.least(F.lit(1.0), (F.abs(now - before) / before + F.abs(indicator - was)) / 2)
+    valid = (F.least(F.lit(1.0), apart / (2.0 * reach)) + moves) / 2
+    c = F.lit(None).cast("double") if consistency is None else consistency
+    bonus = F.when(c >= 0.3, 0.05 + (c - 0.3) / 0.7 * 0.10).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (0.35 * size + 0.25 * valid + 0.25 + 0.15 * bonus)))
+
+
+def divergence_kind(low: Column, price: Column, indicator: Column) -> Column:
+    """The name of a pair of pivots by the changes of price and indicator; null if they agree."""
+    return F.when(low & (price < 0) & (indicator > 0), "bull_div").when(low & (price > 0) & (indicator < 0), "hidden_bull").when(~low & (price > 0) & (indicator < 0), "bear_div").when(~low & (price < 0) & (indicator > 0), "hidden_bear")
+
+
+def divergences(rows: DataFrame, price: str, indicator: str, reach: int = 3, apart: int = 6, consistency: str | None = None) -> DataFrame:
+    """Pairs of a symbol's successive price pivots of one kind, at least `apart` rows apart, whose price and indicator disagree:
+    bull_div (lower low, higher indicator), hidden_bull, bear_div (higher high, lower indicator), hidden_bear; with
+    divergence_score, and known_ms, known_seq of the row at which the pair is known. at_row numbers a symbol's rows; rows may
+    have it already."""
+    n = rows if "at_row" in rows.columns else numbered(rows, "at_row")
+    ahead = ("ts_ms", "seq", *([consistency] if consistency else []))
+    p = pivots(n, price, reach, ahead, "at_row").withColumnRenamed("known_ts_ms", "known_ms")
+    p = p.withColumn("_now", F.struct("at_row", F.col(price).cast("double").alias("p"), F.col(indicator).cast("double").alias("i")))
+    p = with_previous(p.withColumn("_own", F.col("symbol")).withColumn("symbol", F.concat_ws("\x00", "kind", "symbol")), ["_now"]).withColumn("symbol", F.col("_own"))
+    p = p.where(F.col("at_row") - F.col("_prev._now.at_row") >= apart)
+    a, b = F.col("_prev._now"), F.col("_now")
+    score = divergence_score(a["p"], b["p"], a["i"], b["i"], b["at_row"] - a["at_row"], reach, F.col(f"known_{consistency}") if consistency else None)
+    out = p.withColumn("divergence", divergence_kind(F.col("kind") == "low", b["p"] - a["p"], b["i"] - a["i"])).withColumn("score", score)
+    return out.where("divergence is not null").drop("_prev", "_now", "_own", *([f"known_{consistency}"] if consistency else []))
 
 
 def fusion(rows: DataFrame, w_ofi: float = 0.6, w_cvd: float = 0.4, limit: float = 4.0) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Kinds of events that linked() takes; each is a copy of the signals.
+KINDS = 64
+
 
 def paired(trades: DataFrame, entry: Column) -> DataFrame:
     """Each exit with the last entry of its symbol and side that no exit before it took: entry_ms, hold_s. trades: symbol, side
@@ -62,14 +65,18 @@ def looked_up(rows: DataFrame, table: DataFrame, key: list[str], defaults: dict[
 
 def linked(events: DataFrame, signals: DataFrame, after_ms: int) -> DataFrame:
     """For each event kind: signals that come within after_ms after an event of their symbol (or with it), the confirmed ones
-    of all, and the confirm rate inside and outside. Events: symbol, ts_ms, kind; signals: symbol, ts_ms, seq, confirm."""
+    of all, and the confirm rate inside and outside. Events: symbol, ts_ms, kind (KINDS at most: names of rules); signals:
+    symbol, ts_ms, seq, confirm. No events, no rows."""
     from .alignment import as_of
 
-    out = None
-    kinds = [r["kind"] for r in events.select("kind").distinct().collect()]  # kinds are few: names of rules
-    for kind in sorted(kinds):
-        e = events.where(F.col("kind") == kind).select("symbol", "ts_ms").distinct()
-        j = as_of(signals, e, [], after_ms, "_e_").withColumn("inside", F.col("_e_ts").isNotNull())
-        one = j.groupBy(F.lit(kind).alias("kind"), "inside").agg(F.count("*").alias("signals"), F.count_if("confirm").alias("confirmed"), F.avg(F.col("confirm").cast("int")).alias("rate"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    none = signals.sparkSession.createDataFrame([], "kind string, inside boolean, signals long, confirmed long, rate double")
+    kinds = [r["kind"] for r in events.select("kind").distinct().orderBy("kind").limit(KINDS + 1).collect()]
+    if len(kinds) > KINDS:
+        raise ValueError(f"more than {KINDS} kinds of events")
+    if not kinds:
+        return none
+    # one as-of for all kinds: each signal stands there once a kind, and the kind is a part of the key
+    name = F.concat_ws("\x00", F.col("kind"), F.coalesce("symbol", F.lit("")))
+    each = signals.withColumn("kind", F.explode(F.array(*map(F.lit, kinds)))).withColumn("symbol", name)
+    j = as_of(each, events.withColumn("symbol", name).select("symbol", "ts_ms").distinct(), [], after_ms, "_e_").withColumn("inside", F.col("_e_ts").isNotNull())
+    return j.groupBy("kind", "inside").agg(F.count("*").alias("signals"), F.count_if("confirm").alias("confirmed"), F.avg(F.col("confirm").cast("int")).alias("rate"))

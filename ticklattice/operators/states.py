@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clip, consistency
-from .chunks import numbered, over_range, over_rows, running, with_previous
+from .chunks import last_known, numbered, over_range, over_rows, running, settled, with_previous
 from .folds import ordered_fold
+from .indicators import divergences, throttled
+from .scans import Cooldown, scan
+from .sliding import sliding
 
 
 def fused(rows: DataFrame, w_ofi: float = 0.6, w_cvd: float = 0.4, limit: float = 4.0, most_lag: float = 0.25, warm_up: int = 10) -> DataFrame:
@@ -58,14 +61,51 @@ def denoised(rows: DataFrame, least: float = 1.0, drop_to: float = 0.6, streak:
 
 def conflicts(rows: DataFrame, z: float = 1.5, cooldown_ms: int = 60_000) -> DataFrame:
     """Rows where z_ofi and z_cvd are both beyond z and point apart (ofi_up or ofi_down), each kind once in cooldown_ms at
-    most: the wait starts with a row that is kept, so this is a fold."""
+    most: the wait starts with a row that is kept."""
     found = rows.where((F.abs("z_ofi") >= z) & (F.abs("z_cvd") >= z) & (F.signum("z_ofi") != F.signum("z_cvd")))
     found = found.withColumn("conflict", F.when(F.col("z_ofi") > 0, "ofi_up").otherwise("ofi_down"))
-    from .indicators import throttled
-
     return throttled(found, cooldown_ms, "symbol", "conflict")
 
 
+def flow_events(rows: DataFrame, reach: int = 12, apart: int = 6, cooldown_ms: int = 1000, warm_up: int = 100, most_lag: float = 0.3, z_hi: float = 1.5, z_mid: float = 0.7) -> DataFrame:
+    """Divergence and conflict events of rows with price, z_ofi, z_cvd (clipped to 5), fusion, consistency, warmup and lag_sec: event,
+    channel, score, with_conflict, confidence.
+
+    At each row the pairs of price pivots that have just become known are held against the three channels; the best score is
+    the row's event (ties: ofi, cvd, fusion, lows first), or none if an event of its type and channel was less than cooldown_ms
+    ago. A row with |z_ofi| >= z_hi and |z_cvd| >= z_mid of opposite signs is a conflict: it adds 10 to the row's event, or is
+    an event itself (score 60), unless a conflict was an event less than cooldown_ms ago. Rows of a warm-up (so marked, or the
+    first warm_up - 1) have confidence 0.3, late ones (lag_sec above most_lag) 0.5: their divergences' scores are multiplied by it.
+    Rows without a price, a time or one of both z go."""
+    five = lambda c: clip(F.col(c), 5.0)
+    r = rows.where("price > 0 and z_ofi is not null and z_cvd is not null and ts_ms is not null").withColumns({c: five(c) for c in ("z_ofi", "z_cvd", "fusion")})
+    r = settled(numbered(r, "at_row"))
+    found = None
+    for i, (channel, column) in enumerate((("ofi", "z_ofi"), ("cvd", "z_cvd"), ("fusion", "fusion"))):
+        has = r if channel != "fusion" else r.where("fusion is not null").drop("at_row")  # numbered among themselves
+        d = divergences(has, "price", column, reach, apart, "consistency" if channel == "fusion" else None)
+        d = d.where("known_ms is not null").select("symbol", F.col("known_seq").alias("seq"), F.struct(F.col("score"), F.lit(-i).alias("r"), (F.col("kind") == "low").alias("l"), F.col("divergence").alias("event"), F.lit(channel).alias("channel")).alias("_d"))
+        found = d if found is None else found.unionByName(d)
+    best = found.groupBy("symbol", "seq").agg(F.max("_d").alias("_d")).withColumnsRenamed({"symbol": "_s", "seq": "_q"})
+    n = settled(r.join(best, r["symbol"].eqNullSafe(best["_s"]) & (r["seq"] == best["_q"]), "left").drop("_s", "_q"))
+    own = n.where("_d is not null").withColumns({"_event": F.col("_d.event"), "_channel": F.col("_d.channel"), "_one": F.lit(1.0)})
+    own = scan(own, ["symbol", "_event", "_channel"], ["ts_ms", "seq"], ["ts_ms", "_one"], Cooldown(cooldown_ms), "_first long")
+    kept = F.col("_first") == 2
+    own = own.withColumns({"_event": F.when(kept, F.col("_event")), "_channel": F.when(kept, F.col("_channel"))}).drop("_first", "_one")
+    apart_ = (F.abs("z_ofi") >= z_hi) & (F.abs("z_cvd") >= z_mid) & (F.signum("z_ofi") * F.signum("z_cvd") < 0)
+    none = F.lit(None).cast("string")
+    both = n.where("_d is null").withColumns({"_event": none, "_channel": none}).unionByName(own)
+    both = settled(both.where(F.col("_event").isNotNull() | apart_).withColumns({"_alone": (apart_ & F.col("_event").isNull()).cast("double"), "_apart": apart_}))
+    both = scan(both, ["symbol"], ["ts_ms", "seq"], ["ts_ms", "_alone"], Cooldown(cooldown_ms), "_wait long")
+    both = both.where(F.col("_event").isNotNull() | (F.col("_wait") == 2))
+    with_ = F.col("_event").isNotNull() & F.col("_apart") & (F.col("_wait") == 0)
+    trust = F.when(F.coalesce(F.col("warmup"), F.lit(False)) | (F.col("at_row") < warm_up), 0.3).when(F.col("lag_sec") > most_lag, 0.5).otherwise(1.0)
+    alone = F.col("_event").isNull()
+    score = F.when(alone, 60.0).otherwise(F.least(F.lit(100.0), F.col("_d.score") + F.when(with_, 10.0).otherwise(0.0)) * trust)
+    out = both.withColumn("event", F.coalesce("_event", F.lit("ofi_cvd_conflict"))).withColumn("channel", F.col("_channel")).withColumn("score", score).withColumn("with_conflict", with_)
+    return out.withColumn("confidence", F.when(alone, 1.0).otherwise(trust)).select(*rows.columns, "event", "channel", "score", "with_conflict", "confidence")
+
+
 def observation_gaps(seconds: DataFrame, limit: int = 2) -> DataFrame:
     """For each symbol of per-second rows: mean and largest gap to the second before, and the share above limit."""
     r = with_previous(seconds.withColumn("ts_ms", F.col("second") * 1000), ["second"], order=())
@@ -73,16 +113,19 @@ def observation_gaps(seconds: DataFrame, limit: int = 2) -> DataFrame:
     return r.groupBy("symbol").agg(F.avg(gap).alias("mean_gap"), F.max(gap).alias("max_gap"), F.avg((gap > limit).cast("int")).alias("bad_rate"), F.count_if(gap > limit).alias("bad"))
 
 
-def tape_scenarios(rows: DataFrame, span_ms: int = 300_000) -> DataFrame:
-    """scenario of each trade: A or Q by the trade rate of the last span_ms against 0.05 or 0.3 x its mean over the last ten
-    rows, whichever is larger; H or L by the size of the price move against the mean move of the last ten."""
-    r = with_previous(rows, ["price"]).withColumn("_move", F.abs(F.col("price") - F.col("_prev.price")) / F.col("_prev.price")).drop("_prev")
-    r = over_range(r, span_ms, {"tps": lambda w: F.count("*").over(w) / (span_ms / 1000)})
-    ten = lambda c: lambda o: F.avg(c).over(o.rowsBetween(-9, 0))
-    r = over_rows(r, 9, 0, {"_t": ten("tps"), "_m": ten("_move")})
-    active = F.col("tps") > F.greatest(F.lit(0.05), 0.3 * F.col("_t"))
-    high = F.coalesce(F.col("_move") >= F.col("_m"), F.lit(False))
-    return r.withColumn("scenario", F.concat(F.when(active, "A").otherwise("Q"), F.lit("_"), F.when(high, "H").otherwise("L"))).drop("_t", "_m", "_move")
+def tape_scenarios(rows: DataFrame, span_ms: int = 300_000, most: int = 300, first_limit: float = 0.1, split: float = 0.5) -> DataFrame:
+    """scenario of each trade, over the trades of the last span_ms (and `most`, itself included). A or Q: their number a second
+    against the larger of 0.05 and 0.3 x the mean of that rate at the ten trades before (first_limit for the first). H or L:
+    the mean of their relative price moves against 0.6 x the moves' quantile `split`, L below ten prices."""
+    r = with_previous(rows.where("price is not null and ts_ms is not null"), ["price", "ts_ms"])
+    r = r.withColumn("_move", F.abs(F.col("price") - F.col("_prev.price")) / F.col("_prev.price")).withColumn("_from", F.col("_prev.ts_ms")).drop("_prev")
+    # a move belongs to the window while the trade before it does
+    r = sliding(r, "_move", {"_k": "count", "_m": "mean", "_p": (split,)}, last=most - 1, span_ms=span_ms, at="_from", now="ts_ms")
+    r = r.withColumn("_tps", (F.coalesce("_k", F.lit(0.0)) + 1) / (span_ms / 1000))
+    r = over_rows(r, 10, 0, {"_t": lambda o: F.avg("_tps").over(o.rowsBetween(-10, -1))})
+    active = F.col("_tps") >= F.coalesce(F.greatest(F.lit(0.05), 0.3 * F.col("_t")), F.lit(first_limit))
+    high = F.coalesce((F.col("_k") >= 9) & (F.col("_m") >= 0.6 * F.col("_p")), F.lit(False))
+    return r.withColumn("scenario", F.concat(F.when(active, "A").otherwise("Q"), F.lit("_"), F.when(high, "H").otherwise("L"))).drop("_t", "_m", "_p", "_k", "_tps", "_move", "_from")
 
 
 def events(rows: DataFrame) -> DataFrame:
@@ -107,24 +150,12 @@ def streaks(rows: DataFrame, sign: Column, to: str = "streak") -> DataFrame:
 
 
 def latched(rows: DataFrame, active: Column, on: int, off: int) -> DataFrame:
-    """mode: ACTIVE from the `on`-th active row in a row until the `off`-th inactive one in a row; QUIET before. A fold."""
-
-    def start():
-        state = {"mode": "QUIET", "way": None, "n": 0}
-
-        def step(x):
-            x = bool(x)
-            state["n"] = state["n"] + 1 if x == state["way"] else 1
-            state["way"] = x
-            if x and state["n"] >= on:
-                state["mode"] = "ACTIVE"
-            elif not x and state["n"] >= off:
-                state["mode"] = "QUIET"
-            return (state["mode"],)
-
-        return step
-
-    return ordered_fold(rows.withColumn("_active", active), ["symbol"], ["ts_ms", "seq"], ["_active"], start, "mode string").drop("_active")
+    """mode: ACTIVE from the `on`-th active row in a row until the `off`-th inactive one in a row; QUIET before. A null counts as
+    inactive. The last run that was long enough decides, so runs are counted and the last such row is carried on."""
+    way = F.coalesce(active.cast("boolean"), F.lit(False))
+    r = streaks(rows.withColumn("_active", way), F.when(F.col("_active"), 1).otherwise(-1), "_run")
+    turn = F.when(F.col("_active") & (F.col("_run") >= on), "ACTIVE").when(~F.col("_active") & (F.col("_run") >= off), "QUIET")
+    return last_known(r, {"mode": turn}).withColumn("mode", F.coalesce("mode", F.lit("QUIET"))).drop("_active", "_run")
 
 
 def mode_times(rows: DataFrame) -> DataFrame:

@@ -306,4 +306,4 @@ def stable_ids(spark, sf_dir):
     return numbered(S.signals(spark, sf_dir)).select("symbol", "seq", F.concat_ws("-", F.lit("run"), "symbol", F.col("ts_ms").cast("string"), n).alias("signal_id"), order.alias("order_key"))
 
 
-from . import flow, reports, rules  # noqa: E402, F401  these register their queries too
+from . import flow, reports, rules, settings  # noqa: E402, F401  these register their queries too

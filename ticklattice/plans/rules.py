@@ -26,7 +26,7 @@ _S = """, sg as (select *, ['A_H', 'A_L', 'Q_H', 'Q_L', 'x'][seq % 5 + 1] as sce
 
 
 @query(_S + """select reason, count(*) as n, case lower(reason) when 'weak_signal_x' then 'weak_signal' when 'spread_bps>8' then 'spread' when 'component_warmup' then 'warmup' when 'lagging' then 'lag' when 'lag_sec>1.5(2.1)' then 'lag' else lower(reason) end as guard,
-  case when reason like '%>%' then split_part(lower(reason), '>', 1) || '_exceeded' when reason like 'reason:%' then lower(substr(reason, 8)) else lower(reason) end as gate, trim(regexp_replace(lower(reason), '[^a-z0-9]+', '_', 'g'), '_') as key from sg group by reason""")
+  case when reason like 'spread_bps>%' then 'spread_bps_exceeded' when reason like 'lag_sec>%' then 'lag_sec_exceeded' when reason like 'reason:%' then 'reason_' || substr(reason, 8) else reason end as gate, trim(regexp_replace(lower(reason), '[^a-z0-9]+', '_', 'g'), '_') as key from sg group by reason""")
 def reason_names(spark, sf_dir):
     g = _signals(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"))
     return g.select("reason", "n", R.guard_reason(F.col("reason")).alias("guard"), R.gate_reason(F.col("reason")).alias("gate"), R.reason_key(F.col("reason")).alias("key"))
@@ -176,11 +176,11 @@ def risk_faults(spark, sf_dir):
     return D.risk_faults(_orders(spark, sf_dir), pos, 150.0, 30.0).select(F.explode("faults").alias("fault")).groupBy("fault").agg(F.count("*").alias("n"))
 
 
-@query("""select fill_id, floor(px::decimal(28,8) * 20 + 0.5)::bigint as price_ticks, floor(px::decimal(28,8) * 20)::bigint as down_ticks, greatest(1, floor((qty / 3)::decimal(28,8) * 4)::bigint) as qty_steps, cast(floor(px * (1 + case when side = 'buy' then 1 else -1 end * 5 / 1e4::double) * 1e4::double + 0.3137::double) as bigint) as cap_e4 from fills""")
+@query("""select fill_id, floor(px::decimal(28,8) * 20 + 0.5)::bigint as price_ticks, floor(px::decimal(28,8) * 20)::bigint as down_ticks, greatest(1, floor((qty / 3)::decimal(28,8) * 4)::bigint) as qty_steps, cast(round_even(px * (1 + case when side = 'buy' then 1 else -1 end * 5 / 1e4::double) / 0.05::double, 0) as bigint) as cap_ticks from fills""")
 def aligned_orders(spark, sf_dir):
     f = S.fills(spark, sf_dir)
     ticks = lambda x, t: F.round(x / t).cast("long")
-    return f.select("fill_id", ticks(R.aligned_price(F.col("px"), "0.05"), 0.05).alias("price_ticks"), ticks(R.aligned_price(F.col("px"), "0.05", True), 0.05).alias("down_ticks"), ticks(R.aligned_qty(F.col("qty") / 3, "0.25"), 0.25).alias("qty_steps"), F.floor(R.price_cap(F.col("px"), F.col("side"), 5.0) * 1e4 + 0.3137).cast("long").alias("cap_e4"))
+    return f.select("fill_id", ticks(R.aligned_price(F.col("px"), "0.05"), 0.05).alias("price_ticks"), ticks(R.aligned_price(F.col("px"), "0.05", True), 0.05).alias("down_ticks"), ticks(R.aligned_qty(F.col("qty") / 3, "0.25"), 0.25).alias("qty_steps"), ticks(R.price_cap(F.col("px"), F.col("side"), 5.0, 0.05), 0.05).alias("cap_ticks"))
 
 
 @query("""select fill_id, case when px * qty < 30000 then ceil((30000 / px)::decimal(28,8) / 0.5)::bigint end as half_units from fills""")
@@ -214,11 +214,35 @@ def sampled_confirmations(spark, sf_dir):
     return s.where(F.col("signal_type").startswith("strong") | (R.uniform(F.col("seq").cast("string")) < 0.2)).select("seq")
 
 
-@query("""select text, count(*) as n, case text when 'HTTP 429 Too Many Requests' then 'rate_limited' when 'read timed out' then 'timeout' when 'Account has insufficient balance' then 'insufficient_funds' when 'Filter failure: LOT_SIZE' then 'filter_failed' when '502 bad gateway' then 'server' when '404' then 'client' else 'unknown' end as kind
-  from (select ['HTTP 429 Too Many Requests', 'read timed out', 'Account has insufficient balance', 'Filter failure: LOT_SIZE', '502 bad gateway', '404', 'hm'][seq % 7 + 1] as text from signals) group by text""")
+_GATES = """, lists as (select *, case when lag_sec >= 3 then 'active' when lag_sec >= 1 then 'normal' else 'quiet' end as regime, concat_ws(',', case when spread_bps > 20 then 'spread_bps>' || round(spread_bps)::int end, case when lag_sec > 3 then 'lag_sec>3.0' end, case when seq % 5 = 0 then ' reason:low_consistency_throttle' end,
+    case when seq % 7 = 0 then 'reason:code' || seq % 3 end, case when seq % 9 = 0 then 'reverse_cooldown_' || seq % 4 end, case when warmup then 'warmup' end, case when seq % 13 = 0 then ' ' end) as gates from signals)
+"""
+
+
+@query(_GATES + """select regime, ts_ms // 60000 % 1440 // 360 as part, gate, count(*) as n from (select *, case when trim(gates, ', ') = '' then 'unknown' when g like 'spread_bps>%' then 'spread_bps_exceeded' when g like 'lag_sec>%' then 'lag_sec_exceeded' when g = 'reason:low_consistency_throttle' then 'low_consistency' when g like 'reason:%' then 'reason_' || substr(g, 8)
+    when g like 'reverse_cooldown%' then 'reverse_cooldown' else g end as gate from (select *, trim(unnest(string_split(gates, ','))) as g from lists) where g <> '' or trim(gates, ', ') = '') group by all""")
+def gate_breakdown(spark, sf_dir):
+    k, s = F.col("seq"), S.signals(spark, sf_dir)
+    text = lambda *x: F.concat(*x)
+    gates = F.concat_ws(
+        ",", F.when(F.col("spread_bps") > 20, text(F.lit("spread_bps>"), F.round("spread_bps").cast("int").cast("string"))), F.when(F.col("lag_sec") > 3, "lag_sec>3.0"), F.when(k % 5 == 0, " reason:low_consistency_throttle"),
+        F.when(k % 7 == 0, text(F.lit("reason:code"), (k % 3).cast("string"))), F.when(k % 9 == 0, text(F.lit("reverse_cooldown_"), (k % 4).cast("string"))), F.when(F.col("warmup"), "warmup"), F.when(k % 13 == 0, " "),
+    )
+    s = s.select(regime(F.col("lag_sec")).alias("regime"), F.expr("ts_ms div 60000 % 1440 div 360").alias("part"), F.explode(R.gate_reasons(gates)).alias("gate"))
+    return s.groupBy("regime", "part", "gate").agg(F.count("*").alias("n"))
+
+
+@query("""select code, count(*) as n from (select case when status in (400, 404) then 'E_PARAMS' when status in (401, 403) then 'E_BROKER_REJECT' when status in (418, 429) then 'E_RATE_LIMIT' when status in (500, 502, 503, 504) then 'E_NETWORK' when venue between -1106 and -1100 or venue in (-1111, -1112, -1114, -1121, -1125, -1130) then 'E_PARAMS'
+    when venue in (-2010, -2011, -2013, -2014, -2015, -2019, -2021) then 'E_BROKER_REJECT' when venue in (-1003, -1006, -1007) then 'E_RATE_LIMIT' when venue in (-2012, -2022) then 'E_STATE_CONFLICT' when venue in (-1021, -1022) then 'E_NETWORK' when regexp_matches(t, 'timeout|timed out|connection') then 'E_NETWORK'
+    when regexp_matches(t, 'rate limit|too many requests|429|418') then 'E_RATE_LIMIT' when regexp_matches(t, 'insufficient|balance|margin') then 'E_BROKER_REJECT' when regexp_matches(t, 'invalid|bad request|400|not found|404') then 'E_PARAMS' when regexp_matches(t, 'conflict|already exists|duplicate') then 'E_STATE_CONFLICT' else 'E_UNKNOWN' end as code
+  from (select case when seq % 3 = 0 then 398 + seq % 110 end as status, case when seq % 4 = 0 then -1000 - seq % 140 when seq % 4 = 1 then -2008 - seq % 17 end as venue, lower(case seq % 6 when 0 then 'Order ' || seq || ' rejected: price too low' when 1 then 'symbol ' || seq || ' Not Found' when 2 then 'Margin is insufficient for ' || seq when 3 then 'order ' || seq || ' already exists' when 4 then 'read timed out after ' || seq end) as t from signals)) group by 1""")
 def error_kinds(spark, sf_dir):
-    text = F.element_at(F.array(*map(F.lit, ("HTTP 429 Too Many Requests", "read timed out", "Account has insufficient balance", "Filter failure: LOT_SIZE", "502 bad gateway", "404", "hm"))), (F.col("seq") % 7 + 1).cast("int"))
-    return S.signals(spark, sf_dir).groupBy(text.alias("text")).agg(F.count("*").alias("n")).withColumn("kind", R.error_class(F.col("text")))
+    k = F.col("seq")
+    t = k.cast("string")
+    text = F.when(k % 6 == 0, F.concat(F.lit("Order "), t, F.lit(" rejected: price too low"))).when(k % 6 == 1, F.concat(F.lit("symbol "), t, F.lit(" Not Found"))).when(k % 6 == 2, F.concat(F.lit("Margin is insufficient for "), t))
+    text = text.when(k % 6 == 3, F.concat(F.lit("order "), t, F.lit(" already exists"))).when(k % 6 == 4, F.concat(F.lit("read timed out after "), t))
+    venue = F.when(k % 4 == 0, -1000 - k % 140).when(k % 4 == 1, -2008 - k % 17)
+    return S.signals(spark, sf_dir).groupBy(R.error_code(text, F.when(k % 3 == 0, 398 + k % 110), venue).alias("code")).agg(F.count("*").alias("n"))
 
 
 @query("""select state, count(*) as n, max(day) as last from (select case o_orderstatus when 'F' then 'filled' when 'O' then 'open' else 'partial' end as state, cast(o_orderdate as varchar)[:10] as day from orders) group by 1""")
