@@ -64,11 +64,12 @@ def weights(log: DataFrame) -> DataFrame:
 
 def regime_consistency(rows: DataFrame, by_regime: dict[str, tuple[float, float]]) -> DataFrame:
     """min_consistency and strong_min_consistency of rows with a regime and from_ms (the version they found): a regime named in
-    by_regime sets both when a row enters it, and what it set goes on until the next such row or a later version."""
+    by_regime sets both when a row enters it, and what it set goes on until the next such row or a later version. Rows without a
+    time set nothing."""
     pair = F.lit(None).cast("struct<a: double, b: double>")
     for name, (a, b) in by_regime.items():
         pair = F.when(F.col("regime") == name, F.struct(F.lit(a).cast("double").alias("a"), F.lit(b).cast("double").alias("b"))).otherwise(pair)
-    r = last_known(rows, {"_set": F.when(pair.isNotNull(), F.struct(F.col("ts_ms").alias("t"), pair.alias("v")))})
+    r = last_known(rows, {"_set": F.when(pair.isNotNull() & F.col("ts_ms").isNotNull(), F.struct(F.col("ts_ms").alias("t"), pair.alias("v")))})
     later = F.col("_set").isNotNull() & (F.col("from_ms").isNull() | (F.col("_set.t") >= F.col("from_ms")))
     own = {"min_consistency": "a", "strong_min_consistency": "b"}
     return r.withColumns({c: F.when(later, F.col(f"_set.v.{x}")).otherwise(F.col(c)) for c, x in own.items()}).drop("_set")

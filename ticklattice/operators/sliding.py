@@ -78,6 +78,13 @@ class Sorted:
             while self.queue and now - self.queue[0][0] > self.span:
                 self._leave()
 
+    def deviation(self) -> float:
+        n = len(self.values)
+        mean, squares = self.total / n, self.squares / n
+        if squares - mean * mean > 1e-6 * squares:
+            return (squares - mean * mean) ** 0.5
+        return (sum((v - mean) ** 2 for v in self.values) / n) ** 0.5  # next to nothing is left of the difference: sum anew
+
     def _leave(self) -> None:
         _, x = self.queue.popleft()
         del self.values[bisect_left(self.values, x)]
@@ -91,7 +98,7 @@ class Sorted:
 #: What can be asked of a window (deviation: of the population).
 STATISTICS = {
     "count": lambda w: len(w.values), "middle": lambda w: median(w.values), "mad": lambda w: mad(w.values), "mean": lambda w: w.total / len(w.values),
-    "deviation": lambda w: max(0.0, w.squares / len(w.values) - (w.total / len(w.values)) ** 2) ** 0.5,
+    "deviation": lambda w: w.deviation(),
 }
 
 
