@@ -77,20 +77,17 @@ def test_sinks_for_signals_results_and_reports(spark, tmp_path):
     m = sinks.write_backtest(f"{tmp_path}/run", s, s, s.limit(0), {"a": 1})
     assert (m["signals"], m["trades"], m["pnl_daily"]) == (2, 2, 0) and len(m["config_hash"]) == 12
     assert "| A | 1 |" in sinks.write_report(f"{tmp_path}/rep", {"s": s.select("symbol", "ts_ms")})
-    first = sinks.upsert(ticks(spark), f"{tmp_path}/up", ["row_id"])
-    first.write.parquet(f"{tmp_path}/up/current")
-    more = ticks(spark).where("seq = 1").withColumn("seq", F.lit(500).cast("long"))
-    got = sinks.upsert(more, f"{tmp_path}/up", ["row_id"])
-    assert got.count() == first.count() and got.where("row_id = 'r1'").first().seq == 500
     assert sinks.logged(ticks(spark), F.col("side") == "buy", F.col("seq").cast("string"), 0.0).count() == 5
     sinks.write_trace(s, s.select("symbol", "ts_ms", F.lit("why").alias("reason")), f"{tmp_path}/trace")
     assert spark.read.option("header", True).csv(f"{tmp_path}/trace").count() == 2
 
 
 def streamed(spark, rows, path, name, make, mode="append"):
-    rows.coalesce(1).write.parquet(str(path))
-    q = make(spark.readStream.schema(rows.schema).parquet(str(path))).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{path}-state").start()
+    for part in range(3):  # three micro-batches, in order of time
+        rows.where(F.expr(f"seq div 5 = {part}") if part < 2 else F.expr("seq div 5 > 1")).coalesce(1).write.mode("append").parquet(str(path))
+    q = make(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(path))).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{path}-state").start()
     q.processAllAvailable()
+    assert sum(p["numInputRows"] > 0 for p in q.recentProgress) == 3
     q.stop()
     return sorted(map(tuple, spark.table(name).collect()))
 

@@ -17,18 +17,28 @@ from .sliding import sliding
 DAY_MS = 86_400_000
 
 
+def flow_change(was, weights: tuple[float, ...] = (0.4, 0.25)) -> Column:
+    """Weighted changes of bid less ask quantities by level; was gives the column of the row before (null: none, zeros)."""
+    ofi, total = F.lit(0.0), sum(weights)
+    old = lambda c: F.coalesce(was(c), F.lit(0.0))
+    for i, w in enumerate(weights, 1):
+        ofi = ofi + F.lit(w / total) * ((F.col(f"bid{i}_q") - old(f"bid{i}_q")) - (F.col(f"ask{i}_q") - old(f"ask{i}_q")))
+    return ofi
+
+
+#: A session ends with a gap of more than this, or with the UTC day.
+SESSION_GAP_MS = 2000
+
+
 def order_flow(book: DataFrame, weights: tuple[float, ...] = (0.4, 0.25)) -> DataFrame:
     """ofi: weighted changes of bid less ask quantities by level (the first row against zeros), and session_id: sessions end
     after a gap of more than 2 s or with the UTC day."""
     names = [f"{side}{i}_q" for i in range(1, len(weights) + 1) for side in ("bid", "ask")]
     rows = with_previous(book, ["ts_ms", *names])
-    ofi, total = F.lit(0.0), sum(weights)
-    was = lambda c: F.coalesce(F.col(f"_prev.{c}"), F.lit(0.0))
-    for i, w in enumerate(weights, 1):
-        ofi = ofi + F.lit(w / total) * ((F.col(f"bid{i}_q") - was(f"bid{i}_q")) - (F.col(f"ask{i}_q") - was(f"ask{i}_q")))
     before = F.col("_prev.ts_ms")
-    new = before.isNull() | (F.col("ts_ms") - before > 2000) | (F.expr(f"ts_ms div {DAY_MS}") != F.expr(f"_prev.ts_ms div {DAY_MS}"))
-    return running(rows.withColumn("ofi", ofi).withColumn("_new", new.cast("int")).drop("_prev"), {"session_id": F.col("_new")}).drop("_new")
+    new = before.isNull() | (F.col("ts_ms") - before > SESSION_GAP_MS) | (F.expr(f"ts_ms div {DAY_MS}") != F.expr(f"_prev.ts_ms div {DAY_MS}"))
+    rows = rows.withColumn("ofi", flow_change(lambda c: F.col(f"_prev.{c}"), weights)).withColumn("_new", new.cast("int")).drop("_prev")
+    return running(rows, {"session_id": F.col("_new")}).drop("_new")
 
 
 def price_jumps(book: DataFrame) -> DataFrame:

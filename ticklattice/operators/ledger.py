@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .trials import skyline
+
 from ..functions import business_date, rounded
 
 #: Quantities are counted in these units while lots are matched.
@@ -150,7 +152,7 @@ def pareto(rows: DataFrame, up: list[str], down: list[str], key: str) -> DataFra
 
     With two objectives: sorted by the first, a row stays if its second is better than that of all rows with a better first
     and the best of those with an equal one; rows are summed up by their first objective, and then by ranges of it, before a
-    window runs. With more, tables are those of trials: every distinct point is held against the others."""
+    window runs. With more, skylines of tasks are merged in rounds (trials.skyline)."""
     goals = [F.col(c).cast("double").alias(c) for c in up] + [(-F.col(c).cast("double")).alias(c) for c in down]
     names = [*up, *down]
     points = rows.select(*goals).dropna().distinct()
@@ -165,9 +167,6 @@ def pareto(rows: DataFrame, up: list[str], down: list[str], key: str) -> DataFra
         best = best.withColumn("_in", F.max(y).over(inside)).join(tops, "_range")
         front = best.where((F.col(y) > F.coalesce(F.greatest("_in", "_above"), F.lit(float("-inf"))))).select(*names)
     else:
-        other = points.toDF(*(f"_{c}" for c in names))
-        ge = reduce(lambda a, b: a & b, (F.col(f"_{c}") >= F.col(c) for c in names))
-        gt = reduce(lambda a, b: a | b, (F.col(f"_{c}") > F.col(c) for c in names))
-        front = points.join(other, ge & gt, "left_anti")
+        front = skyline(points, names)
     same = [(F.col(c).cast("double") * (1 if c in up else -1)) == F.col(f"_f{i}") for i, c in enumerate(names)]
     return rows.join(front.toDF(*(f"_f{i}" for i in range(len(names)))), reduce(lambda a, b: a & b, same), "left_semi")

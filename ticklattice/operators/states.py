@@ -13,22 +13,57 @@ from .scans import Cooldown, scan
 from .sliding import sliding
 
 
-def fused(rows: DataFrame, w_ofi: float = 0.6, w_cvd: float = 0.4, limit: float = 4.0, most_lag: float = 0.25, warm_up: int = 10) -> DataFrame:
-    """fusion and consistency of z_ofi and z_cvd: weights are normalised, the sum is clipped. With a lag above most_lag one
-    factor counts (the larger) and consistency is 1. A symbol's first warm_up rows with both z score 0. fusion_label: five
-    ways, by strict thresholds and consistency."""
+def fusion_parts(w_ofi: float = 0.6, w_cvd: float = 0.4, limit: float = 4.0, most_lag: float = 0.25) -> tuple[Column, Column]:
+    """Score and consistency of z_ofi and z_cvd: weights are normalised, the sum is clipped. With a lag above most_lag one factor
+    counts (the larger) and consistency is 1."""
     total = w_ofi + w_cvd
     a, b = F.col("z_ofi"), F.col("z_cvd")
     late = F.coalesce(F.col("lag_sec") > most_lag, F.lit(False))
     both = a * (w_ofi / total) + b * (w_cvd / total)
     single = F.when(F.abs(a) >= F.abs(b), a).otherwise(b)
-    out = numbered(rows.where(a.isNotNull() & b.isNotNull()))
-    score = F.when(F.col("_n") <= warm_up, 0.0).otherwise(clip(F.when(late, single).otherwise(both), limit))
-    out = out.withColumn("consistency", F.when(late, 1.0).otherwise(consistency(a, b))).withColumn("fusion", score).drop("_n")
+    return clip(F.when(late, single).otherwise(both), limit), F.when(late, 1.0).otherwise(consistency(a, b))
+
+
+def fusion_label() -> Column:
+    """Five ways from fusion and consistency, by strict thresholds."""
     s, c = F.col("fusion"), F.col("consistency")
     side = F.when(s > 0, "buy").otherwise("sell")
-    strong = (F.abs(s) > 2.0) & (c > 0.5)
-    return out.withColumn("fusion_label", F.when(strong, F.concat(F.lit("strong_"), side)).when((F.abs(s) > 1.0) & (c > 0.2), side).otherwise("neutral"))
+    return F.when((F.abs(s) > 2.0) & (c > 0.5), F.concat(F.lit("strong_"), side)).when((F.abs(s) > 1.0) & (c > 0.2), side).otherwise("neutral")
+
+
+def fused(rows: DataFrame, w_ofi: float = 0.6, w_cvd: float = 0.4, limit: float = 4.0, most_lag: float = 0.25, warm_up: int = 10) -> DataFrame:
+    """fusion and consistency of rows with both z (fusion_parts); a symbol's first warm_up rows score 0. And fusion_label."""
+    score, same = fusion_parts(w_ofi, w_cvd, limit, most_lag)
+    out = numbered(rows.where(F.col("z_ofi").isNotNull() & F.col("z_cvd").isNotNull())).withColumn("consistency", same)
+    out = out.withColumn("fusion", F.when(F.col("_n") <= warm_up, 0.0).otherwise(score)).drop("_n")
+    return out.withColumn("fusion_label", fusion_label())
+
+
+class Denoiser:
+    """The state machine of denoised(): step(ts, score, consistency) gives -1, 0 or 1; state is (way, run, at, last)."""
+
+    def __init__(self, least: float, drop_to: float, streak: int, cooldown_ms: int, boost: float, throttle: float, state: tuple = (0, 0, None, 0)):
+        self.least, self.drop_to, self.streak, self.cooldown_ms, self.boost, self.throttle = least, drop_to, streak, cooldown_ms, boost, throttle
+        self.way, self.run, self.at, self.last = state
+
+    @property
+    def state(self) -> tuple:
+        return self.way, self.run, self.at, self.last
+
+    def step(self, ts, score, same) -> int:
+        score, same = score or 0.0, same or 0.0
+        way = (score > 0) - (score < 0)
+        if abs(score) < (self.drop_to if way == self.way else self.least):
+            way = 0
+        self.run = self.run + 1 if way and way == self.way else int(way != 0)
+        self.way = way
+        wait = self.cooldown_ms / 2 if same > self.boost else self.cooldown_ms
+        if not way or same < self.throttle or self.run < (self.streak - 1 if same > self.boost else self.streak):
+            return 0
+        if self.at is not None and way == self.last and ts - self.at < wait:
+            return 0
+        self.at, self.last = ts, way
+        return way
 
 
 def denoised(rows: DataFrame, least: float = 1.0, drop_to: float = 0.6, streak: int = 2, cooldown_ms: int = 3000, boost: float = 0.7, throttle: float = 0.3) -> DataFrame:
@@ -37,24 +72,8 @@ def denoised(rows: DataFrame, least: float = 1.0, drop_to: float = 0.6, streak:
     direction waits cooldown_ms, half of it above `boost`, while the other direction may follow at once. A fold."""
 
     def start():
-        state = {"way": 0, "run": 0, "at": None, "last": 0}
-
-        def step(ts, score, same):
-            score, same = score or 0.0, same or 0.0
-            way = (score > 0) - (score < 0)
-            if abs(score) < (drop_to if way == state["way"] else least):
-                way = 0
-            state["run"] = state["run"] + 1 if way and way == state["way"] else int(way != 0)
-            state["way"] = way
-            wait = cooldown_ms / 2 if same > boost else cooldown_ms
-            if not way or same < throttle or state["run"] < (streak - 1 if same > boost else streak):
-                return (0,)
-            if state["at"] is not None and way == state["last"] and ts - state["at"] < wait:
-                return (0,)
-            state.update(at=ts, last=way)
-            return (way,)
-
-        return step
+        machine = Denoiser(least, drop_to, streak, cooldown_ms, boost, throttle)
+        return lambda *row: (machine.step(*row),)
 
     return ordered_fold(rows, ["symbol"], ["ts_ms", "seq"], ["ts_ms", "fusion", "consistency"], start, "signal int")
 

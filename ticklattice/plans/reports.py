@@ -10,6 +10,7 @@ from ..functions import rules as R
 from ..operators import decisions as D
 from ..operators import ledger as L
 from ..operators import matching as M
+from ..operators import trials as T
 from ..operators import reports as P
 from .base import query
 
@@ -188,6 +189,28 @@ def halved_trials(spark, sf_dir):
     return P.halved(_trials(spark, sf_dir), F.col("pnl"), 3).select("trial")
 
 
+_STEPS = _TRIALS + """, steps as (select symbol || '-' || (day // 90) as trial, day % 90 as step, net, fee, trades, abs(net) as worst from days),
+  l1 as (select trial, 1 as level, 10 as budget, sum(net) as net, sum(fee * trades) / sum(trades) as fee, max(worst) as worst, sum(trades) as trades from steps where step < 10 group by 1),
+  a1 as (select t.trial, 1 as level, 10 as budget, l.net, l.fee, l.worst, l.trades, round(l.net - l.fee, 2) as score from (select distinct trial from steps) t left join l1 l using (trial)),
+  k1 as (select trial from (select trial, row_number() over (order by coalesce(score, '-infinity'::double) desc, trial) as r, count(*) over () as n from a1) where r <= greatest(1, n // 3)),
+  a2 as (select trial, 2 as level, 30 as budget, sum(net) as net, sum(fee * trades) / sum(trades) as fee, max(worst) as worst, sum(trades) as trades, round(sum(net) - sum(fee * trades) / sum(trades), 2) as score from steps where step < 30 and trial in (from k1) group by 1),
+  k2 as (select trial from (select trial, row_number() over (order by coalesce(score, '-infinity'::double) desc, trial) as r, count(*) over () as n from a2) where r <= greatest(1, n // 3)),
+  a3 as (select trial, 3 as level, 90 as budget, sum(net) as net, sum(fee * trades) / sum(trades) as fee, max(worst) as worst, sum(trades) as trades, round(sum(net) - sum(fee * trades) / sum(trades), 2) as score from steps where trial in (from k2) group by 1)
+"""
+
+
+@query(_STEPS + "select trial, level, budget, score, cast(trades as bigint) as trades, round(worst, 2) as worst from (from a1 union all by name from a2 union all by name from a3)")
+def halving_levels(spark, sf_dir):
+    steps = L.daily(S.fills(spark, sf_dir)).select(F.concat_ws("-", "symbol", F.expr("day div 90").cast("string")).alias("trial"), F.expr("day % 90").alias("step"), "net", "fee", F.col("trades").cast("long").alias("trades"), F.abs("net").alias("worst"))
+    h = T.successive_halving(steps, F.round(F.col("net") - F.col("fee"), 2), ["net"], ["fee"], ["worst"], 10, 90, 3)
+    return h.select("trial", "level", "budget", "score", F.col("trades").cast("long").alias("trades"), F.round("worst", 2).alias("worst"))
+
+
+@query(_TRIALS + """select trial from trials a where not exists (select 1 from trials b where b.pnl >= a.pnl and b.fee <= a.fee and b.trades >= a.trades and b.worst <= a.worst and (b.pnl > a.pnl or b.fee < a.fee or b.trades > a.trades or b.worst < a.worst))""")
+def four_goal_front(spark, sf_dir):
+    return T.front(_trials(spark, sf_dir), ["pnl", "trades"], ["fee", "worst"]).select("trial")
+
+
 @query(_TRIALS + "select count(*) as trials, cast(sum(('0x' || left(sha256(trial || '|' || trades), 15))::hugeint) as varchar) as fingerprint from trials")
 def trial_manifest(spark, sf_dir):
     from ..operators.quality import fingerprint

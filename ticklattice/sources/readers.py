@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clip
@@ -23,10 +25,11 @@ def read_tree(spark: SparkSession, root: str, kinds: list[str] | None = None, sy
 
 def read_layouts(spark: SparkSession, roots: list[str], key: list[str], start_ms: int | None = None, end_ms: int | None = None, minutes: int | None = None, **pruned) -> DataFrame:
     """Several trees in order of priority (ready before preview) as one: of rows with equal key the first tree's stays. Times
-    from start_ms to end_ms, or `minutes` from start_ms on."""
+    from start_ms to end_ms, or `minutes` from start_ms on (of each tree's own rows)."""
     if minutes is not None and start_ms is not None:
         end_ms = start_ms + minutes * 60_000
-    return read_range(with_priority([read_tree(spark, r, **pruned) for r in roots], key), start_ms, end_ms)
+    # times are those of the rows, so what is outside is left out of each tree before rows are ranked, in the scan itself
+    return with_priority([read_range(read_tree(spark, r, **pruned), start_ms, end_ms) for r in roots], key)
 
 
 def read_features(spark: SparkSession, path: str, columns: list[str] | None = None, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
@@ -50,7 +53,11 @@ def read_signals(spark: SparkSession, uri: str, schema: str, symbols: list[str]
     if after_ms is not None:
         s = s.where(F.col("ts_ms") > after_ms)
     s = s.where(F.col("symbol").isin(symbols)) if symbols else s
-    return s.dropDuplicates([c for c in ("ts_ms", "symbol", "signal_type", "score") if c in s.columns])
+    same = [c for c in ("ts_ms", "symbol", "signal_type", "score") if c in s.columns]
+    if scheme == "jsonl":  # of equal rows the first by file and line stays
+        s = s.withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
+        return s.withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy("_file", "_at"))).where("_n = 1").drop("_file", "_at", "_n")
+    return s.dropDuplicates(same)
 
 
 def read_prices(spark: SparkSession, path: str, layout: str = "preview") -> DataFrame:
@@ -143,3 +150,23 @@ def changed_parameters(old: DataFrame, new: DataFrame, allowed: list[str], most:
     """The first `most` parameters (name, value) in both tables, by name, that are allowed and differ."""
     j = old.select("name", F.col("value").alias("old")).join(new.select("name", F.col("value").alias("new")), "name")
     return j.where(F.col("name").isin(allowed) & ~F.col("old").eqNullSafe(F.col("new"))).orderBy("name").limit(most)
+
+
+def counted(rows: DataFrame, name: str, fields: list[str], symbols: list[str] | None = None, start_ms: int | None = None, end_ms: int | None = None) -> tuple[DataFrame, Observation]:
+    """The rows of the symbols and times asked for (end included), and what is seen on the way, in the same pass: total, kept,
+    expected (kept ones with all fields), missing_<field>, first_ms, last_ms of kept rows. The numbers are there once an action
+    has read the rows: observation.get."""
+    keep = F.lit(True)
+    if symbols:
+        keep = keep & F.col("symbol").isin(symbols)
+    if start_ms is not None:
+        keep = keep & (F.col("ts_ms") >= start_ms)
+    if end_ms is not None:
+        keep = keep & (F.col("ts_ms") <= end_ms)
+    keep = F.coalesce(keep, F.lit(False))
+    has = lambda c: F.col(c).isNotNull() if c in rows.columns else F.lit(False)
+    whole = reduce(lambda a, b: a & b, map(has, fields), F.lit(True))
+    seen = Observation(name)
+    at = F.when(keep, F.col("ts_ms"))
+    out = rows.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(keep).alias("kept"), F.count_if(keep & whole).alias("expected"), *(F.count_if(keep & ~has(c)).alias(f"missing_{c}") for c in fields), F.min(at).alias("first_ms"), F.max(at).alias("last_ms"))
+    return out.where(keep), seen

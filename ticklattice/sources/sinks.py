@@ -7,8 +7,10 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.chunks import settled
 from ..operators.quality import cleaned, gate, keep_last
 from ..operators.reports import markdown
+from . import files
 
 
 def partitioned(rows: DataFrame, kind: str) -> DataFrame:
@@ -19,13 +21,19 @@ def partitioned(rows: DataFrame, kind: str) -> DataFrame:
 
 def write_checked(rows: DataFrame, path: str, kind: str, required: list[str], rules: list[tuple[Column, str]], numbers: list[str], row_id: str = "row_id", most_rows: int = 50_000) -> DataFrame:
     """Keeps the last row of each id, cleans numbers, writes good rows under path/ready and bad ones (with reasons) under
-    path/deadletter, both by date, hour, symbol and kind. Gives the manifest of what was written: file, rows, first and last ts_ms."""
-    ok, bad, _ = gate(cleaned(keep_last(rows, [row_id]), numbers), required, [row_id], ["seq"], rules)
+    path/deadletter, both by date, hour, symbol and kind; rows are computed once for both. Gives the manifest of this write's
+    files: file, rows, first and last ts_ms."""
+    spark = rows.sparkSession
+    ok, bad, _ = gate(cleaned(keep_last(settled(rows), [row_id]), numbers), required, [row_id], ["seq"], rules)
     folders = ("date", "hour", "symbol", "kind")
-    partitioned(ok, kind).write.partitionBy(*folders).option("maxRecordsPerFile", most_rows).mode("append").parquet(f"{path}/ready")
+    ready = f"{path}/ready"
+    before = set(spark.read.parquet(ready).inputFiles()) if any(not n.startswith("_") for n in files.names(spark, ready)) else set()
+    partitioned(ok, kind).write.partitionBy(*folders).option("maxRecordsPerFile", most_rows).mode("append").parquet(ready)
     partitioned(bad, kind).write.partitionBy(*folders).mode("append").json(f"{path}/deadletter")
-    written = rows.sparkSession.read.parquet(f"{path}/ready")
-    return written.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
+    written = spark.read.schema(partitioned(ok, kind).schema).option("basePath", ready)
+    own = [f for f in spark.read.parquet(ready).inputFiles() if f not in before] if any(not n.startswith("_") for n in files.names(spark, ready)) else []
+    table = written.parquet(*own) if own else written.parquet(ready).limit(0)
+    return table.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
 
 
 def write_signals(signals: DataFrame, path: str, mode: str = "append") -> None:
@@ -43,19 +51,6 @@ def fan_out(rows: DataFrame, *sinks) -> None:
         kept.unpersist()
 
 
-def upsert(rows: DataFrame, path: str, key: list[str], order: str = "seq") -> DataFrame:
-    """A new table under path that has the rows of the table at path/current with those of rows put in: the last by `order` of
-    each key stays. Written beside the old one and named by the caller, so a reader never sees half of it."""
-    spark = rows.sparkSession
-    try:
-        old = spark.read.parquet(f"{path}/current")
-        rows = old.unionByName(rows, allowMissingColumns=True)
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    return keep_last(rows, key, order)
-
-
 def write_confirmed(signals: DataFrame, path: str) -> None:
     """Confirmed signals only, by symbol."""
     signals.where("confirm").write.partitionBy("symbol").mode("overwrite").json(path)
