@@ -241,5 +241,5 @@ def first_seen(rows: DataFrame, column: str = "trade_id", ttl: str = "2 hours")
     all pass. Such a stream wakes without data, so a run over what is there (availableNow) ends only with
     spark.sql.streaming.noDataMicroBatches.enabled off."""
     ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
-    schema = _schema(", ".join(f"`{c}` {t}" for c, t in rows.dtypes))
-    return rows.groupBy("symbol").transformWithStateInPandas(FirstSeen(column, ms), schema, "Append", "ProcessingTime")
+    named = rows.withColumn("id_as_text", F.col(column).cast("string"))  # as text, whatever pandas makes of numbers among nulls
+    return named.groupBy("symbol").transformWithStateInPandas(FirstSeen("id_as_text", ms), _schema(_columns(named)), "Append", "ProcessingTime").drop("id_as_text")
