@@ -181,7 +181,7 @@ _EVENTS = """, bs as (select seq, symbol, ts_ms, 100 + spread_bps + score as pri
   nb as (select bs.*, ev, channel, sc, row_number() over (partition by bs.symbol, ev, channel order by ts_ms, bs.seq) as k from bs left join best using (symbol, seq)),
   cd as (select symbol, ev as e1, channel as c1, k as k1, seq, ts_ms as last, true as kept from nb where ev is not null and k = 1 union all select n.symbol, n.ev, n.channel, n.k, n.seq, case when n.ts_ms - c.last >= 259200000 then n.ts_ms else c.last end, n.ts_ms - c.last >= 259200000
     from cd c join nb n on n.symbol = c.symbol and n.ev = c.e1 and n.channel = c.c1 and n.k = c.k1 + 1),
-  bt as (select nb.* replace (case when kept then ev end as ev), abs(zo) >= 1.5 and abs(zc) >= 0.7 and sign(zo) * sign(zc) < 0 as apart from nb left join cd using (symbol, seq)),
+  bt as (select nb.* replace (case when kept then ev end as ev, case when kept then channel end as channel), abs(zo) >= 1.5 and abs(zc) >= 0.7 and sign(zo) * sign(zc) < 0 as apart from nb left join cd using (symbol, seq)),
   bn as (select *, row_number() over (partition by symbol order by ts_ms, seq) as j from bt where ev is not null or apart),
   cf as (select symbol, j as j1, seq, ev is null as alone_kept, false as waits, case when ev is null then ts_ms end as last from bn where j = 1 union all
     select b.symbol, b.j, b.seq, b.ev is null and not coalesce(b.ts_ms - c.last < 259200000, false), coalesce(b.ts_ms - c.last < 259200000, false), case when b.ev is null and not coalesce(b.ts_ms - c.last < 259200000, false) then b.ts_ms else c.last end from cf c join bn b on b.symbol = c.symbol and b.j = c.j1 + 1)
