@@ -109,6 +109,26 @@ def orders(signals: DataFrame, usd: float, mid: Column, step: str = "0.001") ->
     return s.withColumn("side", side).withColumn("qty", aligned_qty(F.lit(usd) / mid, step)).withColumn("client_id", client)
 
 
+def upgraded(signals: DataFrame, expiry_ms: int = 60_000) -> DataFrame:
+    """Signals of the first schema as those of the second: columns that are missing, or null in a row, get their defaults, from
+    the row where they follow from it (signal_id, side_hint by the score's sign, gating and decision_code by confirm)."""
+    have = signals.columns
+    has = lambda c, kind="string": F.col(c) if c in have else F.lit(None).cast(kind)
+    text = lambda c, other: F.coalesce(has(c).cast("string"), F.lit(other))
+    score, confirm = F.coalesce(has("score", "double"), F.lit(0.0)), F.coalesce(has("confirm", "boolean"), F.lit(False))
+    made = F.concat_ws("-", text("run_id", "unknown"), text("symbol", "UNKNOWN"), text("ts_ms", "0"), text("seq", "0"))
+    s = signals.withColumns({
+        "schema_version": text("schema_version", "signal/v2"), "signal_id": F.coalesce(has("signal_id"), made),
+        "side_hint": F.coalesce(has("side_hint"), F.when(score > 0, "buy").when(score < 0, "sell").otherwise("flat")), "regime": text("regime", "unknown"),
+        "gating": F.coalesce(has("gating", "int"), confirm.cast("int")), "cooldown_ms": F.coalesce(has("cooldown_ms", "long"), F.lit(0).cast("long")),
+        "expiry_ms": F.coalesce(has("expiry_ms", "long"), F.lit(expiry_ms).cast("long")), "config_hash": text("config_hash", "unknown"), "meta": text("meta", "{}"),
+    })
+    none, ok, shut = has("decision_code").isNull(), confirm & (F.col("gating") == 1), F.col("gating") == 0
+    why = F.when(ok, "score>=entry").when(shut, text("gate_reason", "gating failed")).otherwise("score<entry")
+    code = F.when(ok, "OK").when(shut, "FAIL_GATING").otherwise("LOW_SCORE")
+    return s.withColumn("decision_reason", F.when(none, why).otherwise(has("decision_reason"))).withColumn("decision_code", F.when(none, code).otherwise(has("decision_code")))
+
+
 def requested(score: Column, long: float = 1.0, short: float = -1.0) -> Column:
     return F.when(score >= long, "long").when(score <= short, "short").otherwise("skip")
 

@@ -106,6 +106,32 @@ def rolling_rates(rows: DataFrame, span_ms: int = 60_000) -> DataFrame:
     return over_range(rows, span_ms, {"n_60s": lambda w: F.count("*").over(w), "usd_60s": lambda w: F.sum(F.col("price") * F.col("qty")).over(w)})
 
 
+def activity_rates(events: DataFrame, trade: Column, quote: Column, span_ms: int = 60_000, most_trades: int = 3000, most_quotes: int = 6000) -> DataFrame:
+    """trade_rate (trades a minute) and quote_rate (quotes a second) of each event: those of the last span_ms so far, up to the
+    latest most_trades and most_quotes; a rate that the event has itself stays. Counts so far come from running sums, and what
+    they were before the span from one window of it. Events without a time get no rate of their own."""
+    has = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("double")
+    flag = lambda x: F.coalesce(x.cast("int"), F.lit(0))
+    r = running(events.withColumn("_t", flag(trade)).withColumn("_q", flag(quote)), {"_nt": F.col("_t"), "_nq": F.col("_q")})
+    r = over_range(r, span_ms, {"_bt": lambda w: F.min(F.col("_nt") - F.col("_t")).over(w), "_bq": lambda w: F.min(F.col("_nq") - F.col("_q")).over(w)})
+    trades, quotes = F.least(F.lit(most_trades), F.col("_nt") - F.col("_bt")), F.least(F.lit(most_quotes), F.col("_nq") - F.col("_bq"))
+    known = F.col("ts_ms").isNotNull()
+    rates = {"trade_rate": F.coalesce(has("trade_rate"), F.when(known, trades.cast("double"))), "quote_rate": F.coalesce(has("quote_rate"), F.when(known, quotes / (span_ms / 1000)))}
+    return r.withColumns(rates).drop("_t", "_q", "_nt", "_nq", "_bt", "_bq")
+
+
+def filled_forward(seconds: DataFrame, price: str, most: int = 3600) -> DataFrame:
+    """Per-second rows (symbol, second and others) and, between two of a symbol, the seconds without one: these have the price
+    of the last row and filled true, null in other columns; of a gap of more than `most` seconds the last `most`. return_bps
+    from the second before, and gap_second: a row after a gap of more than 1.5 s. Rows whose price is not above 0 go."""
+    r = with_previous(seconds.where(F.col(price) > 0).withColumn("ts_ms", F.col("second") * 1000), ["second", price], order=())
+    gap = F.col("second") - F.col("_prev.second")
+    own = r.withColumn("filled", F.lit(False)).withColumn("gap_second", F.coalesce(gap > 1.5, F.lit(False))).withColumn("return_bps", (F.col(price) - F.col(f"_prev.{price}")) / F.col(f"_prev.{price}") * 1e4)
+    missing = r.where(gap > 1).select("symbol", F.explode(F.sequence(F.greatest(F.col("_prev.second") + 1, F.col("second") - most), F.col("second") - 1)).alias("second"), F.col(f"_prev.{price}").alias(price))
+    missing = missing.withColumns({"filled": F.lit(True), "gap_second": F.lit(False), "return_bps": F.lit(0.0)})
+    return own.drop("_prev", "ts_ms").unionByName(missing, allowMissingColumns=True)
+
+
 def trade_rate(rows: DataFrame, span_ms: int = 60_000) -> DataFrame:
     """tps: trades of the last span_ms a second, the span counted as 60 s at least."""
     return over_range(rows, span_ms, {"tps": lambda w: F.count("*").over(w) / F.greatest(F.lit(60.0), (F.col("ts_ms") - F.min("ts_ms").over(w)) / 1000)})

@@ -37,16 +37,30 @@ def win_matrix(trades: DataFrame, hour: Column, scenario: Column, scenarios: tup
 
 
 def maker_shares(fills: DataFrame, maker: Column, entry: Column) -> DataFrame:
-    """Share of maker fills in all, entries and exits; expected maker and taker turnover by the probability p; median and 95th
-    percentile of effective spreads."""
+    """For each symbol the share of maker fills in all, entries and exits; turnover of both kinds, and expected by the probability
+    p; median and 95th percentile of effective spreads (with linear interpolation)."""
     m = maker.cast("int")
     return fills.groupBy("symbol").agg(
         F.avg(m).alias("maker"), F.avg(F.when(entry, m)).alias("maker_entry"), F.avg(F.when(~entry, m)).alias("maker_exit"),
         F.sum(F.col("notional") * F.col("p")).alias("maker_turnover"), F.sum(F.col("notional") * (1 - F.col("p"))).alias("taker_turnover"),
-        F.percentile("slippage_bps", F.lit(0.5)).alias("spread_p50"),
+        F.sum(F.when(maker, F.col("notional")).otherwise(0.0)).alias("by_makers"), F.sum(F.when(maker, 0.0).otherwise(F.col("notional"))).alias("by_takers"),
+        F.percentile("slippage_bps", F.lit(0.5)).alias("spread_p50"), F.percentile("slippage_bps", F.lit(0.95)).alias("spread_p95"),
     )
 
 
+def by_tier(fills: DataFrame, tier: Column, scenario: Column, scenarios: tuple[str, ...]) -> DataFrame:
+    """For each tier: fills, turnover and its share, fees, cost in bps of the turnover (fees and slippage; of 1e-9 at least), and
+    the shares of fills whose scenario is none of `scenarios` and whose fee is null or below 0."""
+    rows = fills.withColumn("tier", tier)
+    total = rows.agg(F.sum("notional").alias("_all"))
+    wrong = lambda x: F.avg((~F.coalesce(x, F.lit(False))).cast("int"))
+    g = rows.groupBy("tier").agg(
+        F.count("*").alias("n"), F.sum("notional").alias("turnover"), F.sum("fee").alias("fee"), (F.sum(F.coalesce("fee", F.lit(0.0)) + F.col("notional") * F.col("slippage_bps") / 1e4) / F.greatest(F.sum("notional"), F.lit(1e-9)) * 1e4).alias("cost_bps"),
+        wrong(scenario.isin(*scenarios)).alias("bad_scenario"), wrong(F.col("fee") >= 0).alias("bad_fee"),
+    )
+    return g.join(F.broadcast(total)).withColumn("share", F.col("turnover") / F.greatest("_all", F.lit(1e-9))).drop("_all")  # one row
+
+
 def tally(rows: DataFrame, *keys: str, share_of: str | None = None) -> DataFrame:
     """Counts by keys, most common first by rank, and the share among rows with equal share_of (of all without it)."""
     n = rows.groupBy(*keys).agg(F.count("*").alias("n"))

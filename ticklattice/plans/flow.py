@@ -288,3 +288,19 @@ def alert_spells(spark, sf_dir):
 def exit_cooldown(spark, sf_dir):
     s = S.signals(spark, sf_dir)
     return ST.in_cooldown(s, s.where("abs(score) >= 1.9"), 3_600_000).select("seq", "symbol", "cooling")
+
+
+@query("""select seq, symbol, case when seq % 5 = 0 then 7.5::double else least(3000, nt - bt)::double end as trade_rate, round(least(6000, nq - bq) / 60.0::double, 6) as quote_rate from (select *, min(nt - t) over w as bt, min(nq - q) over w as bq from (
+  select *, sum(t) over v as nt, sum(q) over v as nq from (select *, (src = 'trade')::int as t, (src = 'book')::int as q from tape) window v as (partition by symbol order by ts_ms, seq rows between unbounded preceding and current row)) window w as (partition by symbol order by ts_ms range between 60000 preceding and current row))""")
+def activity_fields(spark, sf_dir):
+    t = S.tape(spark, sf_dir).withColumn("trade_rate", F.when(F.col("seq") % 5 == 0, 7.5))
+    return I.activity_rates(t, F.col("src") == "trade", F.col("src") == "book").select("seq", "symbol", "trade_rate", rounded(F.col("quote_rate")).alias("quote_rate"))
+
+
+@query("""select symbol, second, round(price, 6) as price, filled, gap_second, round(ret, 6) + 0.0::double as return_bps from (with s as (select symbol, ts_ms // 1000 as second, last(price order by ts_ms, seq) as price from trades group by 1, 2),
+  p as (select *, lag(second) over w as ps, lag(price) over w as pp from s window w as (partition by symbol order by second))
+  select symbol, second, price, false as filled, coalesce(second - ps > 1.5, false) as gap_second, (price - pp) / pp * 1e4 as ret from p union all
+  select symbol, unnest(range(greatest(ps + 1, second - 60), second)), pp, true, false, 0 from p where second - ps > 1)""")
+def filled_returns(spark, sf_dir):
+    f = I.filled_forward(A.per_second(_trades(spark, sf_dir), ["price"]), "price", 60)
+    return f.select("symbol", "second", rounded(F.col("price")).alias("price"), "filled", "gap_second", (rounded(F.col("return_bps")) + 0.0).alias("return_bps"))

@@ -76,11 +76,22 @@ def gross_backed_out(spark, sf_dir):
 
 
 @query(_TR + """, m as (select *, case scenario when 'Q_L' then 0.8::double when 'Q_H' then 0.6::double when 'A_L' then 0.5::double else 0.3::double end as p from tr)
-  select symbol, round(avg((p > 0.55)::int), 6) as maker, round(avg((p > 0.55)::int) filter (side = 'buy'), 6) as maker_entry, round(avg((p > 0.55)::int) filter (side <> 'buy'), 6) as maker_exit, round(sum(notional * p), 2) as maker_turnover, round(sum(notional * (1 - p)), 2) as taker_turnover, round(quantile_cont(slippage_bps, 0.5), 6) as spread_p50 from m group by 1""")
+  select symbol, round(avg((p > 0.55)::int), 6) as maker, round(avg((p > 0.55)::int) filter (side = 'buy'), 6) as maker_entry, round(avg((p > 0.55)::int) filter (side <> 'buy'), 6) as maker_exit, round(sum(notional * p), 2) as maker_turnover, round(sum(notional * (1 - p)), 2) as taker_turnover, round(quantile_cont(slippage_bps, 0.5), 6) as spread_p50, round(quantile_cont(slippage_bps, 0.95), 6) as spread_p95,
+    round(sum(case when p > 0.55 then notional else 0 end), 2) as by_makers, round(sum(case when p > 0.55 then 0 else notional end), 2) as by_takers from m group by 1""")
 def maker_shares(spark, sf_dir):
     p = L._pick(F.col("scenario"), {"Q_L": 0.8, "Q_H": 0.6, "A_L": 0.5}, 0.3)
     m = P.maker_shares(trades(spark, sf_dir).withColumn("p", p), F.col("p") > 0.55, F.col("side") == "buy")
-    return m.select("symbol", *(rounded(F.col(c)).alias(c) for c in ("maker", "maker_entry", "maker_exit", "spread_p50")), *(F.round(c, 2).alias(c) for c in ("maker_turnover", "taker_turnover")))
+    return m.select("symbol", *(rounded(F.col(c)).alias(c) for c in ("maker", "maker_entry", "maker_exit", "spread_p50", "spread_p95")), *(F.round(c, 2).alias(c) for c in ("maker_turnover", "taker_turnover", "by_makers", "by_takers")))
+
+
+@query(_TR + """select tier, n, turnover, fee, cost_bps, bad_scenario, bad_fee, round(raw / sum(raw) over (), 6) as share from (select case when notional >= 50000 then 'large' when notional >= 20000 then 'middle' else 'small' end as tier, count(*) as n, sum(notional) as raw, round(sum(notional), 2) as turnover, round(sum(f), 2) as fee,
+    round(sum(coalesce(f, 0) + notional * slippage_bps / 1e4::double) / greatest(sum(notional), 1e-9) * 1e4, 6) as cost_bps, round(avg(case when scenario in ('A_H', 'A_L', 'Q_H') then 0 else 1 end), 6) as bad_scenario, round(avg(case when f >= 0 then 0 else 1 end), 6) as bad_fee
+  from (select *, case when fee_bps = 3 then null when fee_bps = 5 then -fee else fee end as f from tr) group by 1)""")
+def tier_costs(spark, sf_dir):
+    t = trades(spark, sf_dir).withColumn("fee", F.when(F.col("fee_bps") == 5, -F.col("fee")).when(F.col("fee_bps") == 3, None).otherwise(F.col("fee")))
+    tier = F.when(F.col("notional") >= 50_000, "large").when(F.col("notional") >= 20_000, "middle").otherwise("small")
+    g = P.by_tier(t, tier, F.col("scenario"), ("A_H", "A_L", "Q_H"))
+    return g.select("tier", "n", F.round("turnover", 2).alias("turnover"), F.round("fee", 2).alias("fee"), *(rounded(F.col(c)).alias(c) for c in ("cost_bps", "bad_scenario", "bad_fee", "share")))
 
 
 @query("select symbol, reason, count(*) as n, round(count(*) / any_value(all_), 6) as share from (select symbol, unnest(reasons) as reason, 1 as one from judged) join (select symbol, sum(len(reasons)) as all_ from judged group by 1) using (symbol) group by 1, 2")

@@ -319,3 +319,13 @@ def robustness_guard(spark, sf_dir):
 @query("""select symbol, cast(sum(('0x' || left(sha256(seq || '|' || symbol || '|' || ts_ms), 15))::hugeint) as varchar) as fingerprint, count(*) as n from signals group by 1""")
 def run_fingerprint(spark, sf_dir):
     return Q.fingerprint(S.signals(spark, sf_dir), ["seq", "symbol", "ts_ms"], "symbol")
+
+
+@query("""select seq, 'signal/v2' as schema_version, coalesce(case when seq % 6 = 0 then 'own-' || seq end, 'unknown-' || symbol || '-' || ts_ms || '-' || seq) as signal_id, case when score > 0 then 'buy' when score < 0 then 'sell' else 'flat' end as side_hint, gating, 60000::bigint as expiry_ms,
+    coalesce(code, case when confirm and gating = 1 then 'OK' when gating = 0 then 'FAIL_GATING' else 'LOW_SCORE' end) as decision_code, case when code is not null then 'given' when confirm and gating = 1 then 'score>=entry' when gating = 0 then coalesce(why, 'gating failed') else 'score<entry' end as decision_reason
+  from (select *, coalesce(case when seq % 4 = 0 then 1 end, confirm::int) as gating, case when seq % 9 = 0 then 'EXPIRE' end as code, case when seq % 5 < 3 then 'lag' end as why from (select *, abs(score) >= 1 and lag_sec < 3 as confirm from signals))""")
+def upgraded_signals(spark, sf_dir):
+    k = F.col("seq")
+    s = S.signals(spark, sf_dir).withColumn("confirm", (F.abs("score") >= 1) & (F.col("lag_sec") < 3)).withColumn("gating", F.when(k % 4 == 0, 1)).withColumn("gate_reason", F.when(k % 5 < 3, "lag"))
+    s = s.withColumn("signal_id", F.when(k % 6 == 0, F.concat(F.lit("own-"), k.cast("string")))).withColumn("decision_code", F.when(k % 9 == 0, "EXPIRE")).withColumn("decision_reason", F.when(k % 9 == 0, "given"))
+    return D.upgraded(s).select("seq", "schema_version", "signal_id", "side_hint", "gating", "expiry_ms", "decision_code", "decision_reason")
