@@ -55,9 +55,9 @@ def over_range(rows: DataFrame, before_ms: int, add: dict[str, Callable], width:
 
 def by_chunk(inside: DataFrame, carried: DataFrame, how: str = "inner") -> DataFrame:
     """Rows with what is carried into their chunk: a join by symbol and chunk in which null equals null."""
-    c = carried.withColumnsRenamed({"symbol": "_of", "_chunk": "_at"})
-    j = inside.join(c, inside["symbol"].eqNullSafe(c["_of"]) & inside["_chunk"].eqNullSafe(c["_at"]), how)
-    return j.drop("_of", "_at")
+    c = carried.withColumnsRenamed({"symbol": "_symbol_carried", "_chunk": "_chunk_carried"})
+    j = inside.join(c, inside["symbol"].eqNullSafe(c["_symbol_carried"]) & inside["_chunk"].eqNullSafe(c["_chunk_carried"]), how)
+    return j.drop("_symbol_carried", "_chunk_carried")
 
 
 def last_known(rows: DataFrame, values: dict[str, Column], order: tuple[str, ...] = ("seq",), width: int = CHUNK_MS) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import BLOCK, numbered, with_previous
+
 #: Kinds of events that linked() takes; each is a copy of the signals.
 KINDS = 64
 
@@ -12,11 +14,10 @@ KINDS = 64
 def paired(trades: DataFrame, entry: Column) -> DataFrame:
     """Each exit with the last entry of its symbol and side that no exit before it took: entry_ms, hold_s. trades: symbol, side
     (of the position), ts_ms, seq. An entry is open until the next entry or exit of the symbol and side."""
-    w = Window.partitionBy("symbol", "side").orderBy("ts_ms", "seq")
-    t = trades.withColumn("_entry", entry)
-    was = F.lag(F.struct(F.col("_entry").alias("e"), F.col("ts_ms").alias("t"))).over(w)
-    t = t.withColumn("_was", was).where(~F.col("_entry") & F.col("_was.e"))
-    return t.withColumn("entry_ms", F.col("_was.t")).withColumn("hold_s", (F.col("ts_ms") - F.col("_was.t")) / 1000).drop("_entry", "_was")
+    key = F.concat_ws("\x00", F.coalesce("side", F.lit("")), "symbol")
+    t = trades.withColumn("_entry", entry).withColumn("_of", F.col("symbol")).withColumn("symbol", key)
+    t = with_previous(t, ["_entry", "ts_ms"]).withColumn("symbol", F.col("_of")).where(~F.col("_entry") & F.col("_prev._entry"))
+    return t.withColumn("entry_ms", F.col("_prev.ts_ms")).withColumn("hold_s", (F.col("ts_ms") - F.col("_prev.ts_ms")) / 1000).select(*trades.columns, "entry_ms", "hold_s")
 
 
 def reconciled(left: DataFrame, right: DataFrame, key: list[str], compare: list[str]) -> DataFrame:
@@ -44,9 +45,9 @@ def not_yet_done(requests: DataFrame, done: DataFrame, key: list[str]) -> DataFr
 
 def compared_fills(left: DataFrame, right: DataFrame, order: list[str], values: list[str], eps: float) -> DataFrame:
     """The i-th fill of each symbol in both lists, in that order: missing (left, right or null) and the largest difference, and
-    whether it is at most eps."""
-    w = Window.partitionBy("symbol").orderBy(*order)
-    a, b = (x.select("symbol", F.row_number().over(w).alias("i"), F.struct(*values).alias(n)) for x, n in ((left, "_a"), (right, "_b")))
+    whether it is at most eps. The first column of the order is a whole number (a time, a sequence)."""
+    at = lambda x: numbered(x.withColumn("ts_ms", F.col(order[0]).cast("long")), "i", tuple(order[1:]), BLOCK)
+    a, b = (at(x).select("symbol", "i", F.struct(*values).alias(n)) for x, n in ((left, "_a"), (right, "_b")))
     j = a.join(b, ["symbol", "i"], "full_outer")
     diff = F.greatest(*(F.abs(F.col(f"_a.{c}") - F.col(f"_b.{c}")) for c in values), F.lit(0.0))
     missing = F.when(F.col("_a").isNull(), "left").when(F.col("_b").isNull(), "right")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import over_range, with_previous
+from .chunks import BLOCK, with_previous
 from .decisions import reasons
 
 
@@ -34,10 +34,13 @@ def keep_first(rows: DataFrame, key: list[str], *order: str) -> DataFrame:
 
 
 def within_window(rows: DataFrame, row_id: str, window_ms: int = 1000) -> DataFrame:
-    """Leaves out rows whose (symbol, ts_ms) an earlier row has, or whose row_id one of the last window_ms has."""
+    """Leaves out rows whose (symbol, ts_ms) an earlier row has, or whose row_id one of the last window_ms has. Rows without an
+    id are told apart by their time alone."""
     first = keep_first(rows, ["symbol", "ts_ms"])
-    r = over_range(first, window_ms, {"_ids": lambda w: F.collect_list(row_id).over(w)})  # ids of one second
-    return r.where(F.size(F.filter("_ids", lambda x: x == F.col(row_id))) <= 1).drop("_ids")
+    own = F.concat_ws("\x00", F.col(row_id).cast("string"), "symbol")  # the row before with that id
+    r = with_previous(first.withColumn("_of", F.col("symbol")).withColumn("symbol", own), ["ts_ms"]).withColumn("symbol", F.col("_of"))
+    again = F.col(row_id).isNotNull() & (F.col("ts_ms") - F.col("_prev.ts_ms") <= window_ms)
+    return r.where(~F.coalesce(again, F.lit(False))).select(*rows.columns)
 
 
 def cleaned(rows: DataFrame, numbers: list[str], ids: list[str] = [], flags: list[str] = []) -> DataFrame:  # noqa: B006
@@ -53,13 +56,14 @@ def cleaned(rows: DataFrame, numbers: list[str], ids: list[str] = [], flags: lis
 
 
 def order_faults(rows: DataFrame, order: str = "seq") -> DataFrame:
-    """For each symbol: rows, rows without ts_ms, rows whose ts_ms is before that of the row before in `order`, and the first
-    three of these."""
-    w = Window.partitionBy("symbol").orderBy(order)
-    r = rows.withColumn("_bad", F.coalesce(F.col("ts_ms") < F.lag("ts_ms").over(w), F.lit(False)))
-    nth = F.row_number().over(Window.partitionBy("symbol", "_bad").orderBy(order))
-    r = r.withColumn("_s", F.when(F.col("_bad") & (nth <= 3), F.col(order)))
-    return r.groupBy("symbol").agg(F.count("*").alias("rows"), F.count_if(F.col("ts_ms").isNull()).alias("missing"), F.count_if("_bad").alias("backward"), F.array_join(F.array_sort(F.collect_list("_s")), ",").alias("first_three"))
+    """For each symbol: rows, rows without ts_ms, rows whose ts_ms is before that of the row before in `order` (a whole number),
+    and the first three of these. A symbol's rows are cut by `order`, and summed up by those parts first."""
+    r = rows.select("symbol", F.col("ts_ms").alias("_t"), F.col(order).cast("long").alias("ts_ms"))
+    r = with_previous(r, ["_t"], order=(), width=BLOCK)
+    bad = F.coalesce(F.col("_t") < F.col("_prev._t"), F.lit(False))
+    three = lambda x: F.slice(F.array_sort(x), 1, 3)
+    part = r.groupBy("symbol", F.expr(f"ts_ms div {BLOCK}").alias("_part")).agg(F.count("*").alias("rows"), F.count_if(F.col("_t").isNull()).alias("missing"), F.count_if(bad).alias("backward"), three(F.collect_list(F.when(bad, F.col("ts_ms")))).alias("_s"))
+    return part.groupBy("symbol").agg(*(F.sum(c).alias(c) for c in ("rows", "missing", "backward")), F.array_join(three(F.flatten(F.collect_list("_s"))), ",").alias("first_three"))
 
 
 def audit(rows: DataFrame, values: list[str]) -> DataFrame:

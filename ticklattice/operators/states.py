@@ -210,17 +210,15 @@ def stale(rows: DataFrame, now_ms: Column, limits_ms: dict[str, int]) -> DataFra
 def alert_spells(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Spells in which a rule holds, row by row: symbol, alert, triggered_ms, recovered_ms (the first row at which it no longer
     holds; null if it still does) and rows."""
-    out = None
-    for name, test in rules.items():
-        r = rows.select("symbol", "ts_ms", "seq", F.coalesce(test, F.lit(False)).alias("_on"))
-        r = with_previous(r, ["_on"]).withColumn("_edge", (F.coalesce(F.col("_prev._on"), F.lit(False)) != F.col("_on")).cast("int")).drop("_prev")
-        r = running(r, {"_spell": F.col("_edge")})
-        # odd numbers are spells; the even one after it begins where the spell ends
-        s = r.groupBy("symbol", F.expr("(_spell + 1) div 2").alias("_pair")).agg(F.min(F.when(F.col("_on"), F.col("ts_ms"))).alias("triggered_ms"), F.count_if("_on").alias("rows"))
-        e = r.where(~F.col("_on") & (F.col("_edge") == 1)).select("symbol", F.expr("_spell div 2").alias("_pair"), F.col("ts_ms").alias("recovered_ms"))
-        s = s.where("rows > 0").join(e, ["symbol", "_pair"], "left").select("symbol", F.lit(name).alias("alert"), "triggered_ms", "recovered_ms", "rows")
-        out = s if out is None else out.unionByName(s)
-    return out
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("alert"), F.coalesce(test, F.lit(False)).alias("_on")) for name, test in rules.items())))
+    r = rows.select("symbol", "ts_ms", "seq", each.alias("_x")).select("symbol", "ts_ms", "seq", "_x.*")
+    r = r.withColumn("_of", F.col("symbol")).withColumn("symbol", F.concat_ws("\x00", "alert", "symbol"))  # all rules in one pass
+    r = with_previous(r, ["_on"]).withColumn("_edge", (F.coalesce(F.col("_prev._on"), F.lit(False)) != F.col("_on")).cast("int")).drop("_prev")
+    r = running(r, {"_spell": F.col("_edge")})
+    # odd numbers are spells; the even one after it begins where the spell ends
+    pair = F.expr("(_spell + cast(_on as int)) div 2")
+    s = r.groupBy("symbol", pair.alias("_pair")).agg(F.first("_of").alias("_of"), F.first("alert").alias("alert"), F.min(F.when(F.col("_on"), F.col("ts_ms"))).alias("triggered_ms"), F.min(F.when(~F.col("_on"), F.col("ts_ms"))).alias("recovered_ms"), F.count_if("_on").alias("rows"))
+    return s.where("rows > 0").select(F.col("_of").alias("symbol"), "alert", "triggered_ms", "recovered_ms", "rows")
 
 
 def in_cooldown(rows: DataFrame, exits: DataFrame, cooldown_ms: int) -> DataFrame:
