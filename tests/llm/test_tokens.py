@@ -107,3 +107,32 @@ def test_empty_tables(spark, no_rows):
     assert packing.op_query(spark, no_rows, WORD).count() == 0
     assert wordpiece_counts.op_query(spark, no_rows, WORD).count() == 0
     assert len(EDGES) == 15
+
+
+def test_plans_are_never_worse_than_best_fit(monkeypatch):
+    import random
+
+    monkeypatch.setattr(packing, "GROUPS", (24,))  # each plan solves a linear programme
+    rng = random.Random(2)
+    for i in range(12):
+        kind = i % 3
+        lengths = [2048 if rng.random() < 0.02 else (rng.randrange(1, 2048) if kind == 0 else min(2047, 1 + int(rng.expovariate(1 / 500))) if kind == 1 else rng.choice([700, 690, 680, 650, 340, 1030, 1100])) for _ in range(rng.randrange(600, 4000))]
+        h = {x: lengths.count(x) for x in set(lengths)}
+        plain = packing.plan_packing(h, 2048, 10**9)[0]  # no groups: best fit by decreasing length
+        n, runs = packing.best_plan(h)
+        assert -(-sum(lengths) // 2048) <= n <= plain
+        used, placed = {}, {}
+        for x, first_rank, count, first, offset in runs:
+            placed[x] = placed.get(x, 0) + count
+            for k in range(count):
+                used.setdefault(first + k, []).append((offset, x))
+        assert placed == h and len(used) == n
+        for parts in used.values():
+            at = 0
+            for offset, x in sorted(parts):
+                assert offset == at
+                at += x
+            assert at <= 2048
+    m = 40  # where best fit by decreasing length needs 11 sequences for 9
+    h = {1032: 6 * m, 528: 6 * m, 520: 6 * m, 496: 12 * m}
+    assert packing.plan_packing(h, 2048, 10**9)[0] == 11 * m and packing.best_plan(h)[0] == 9 * m

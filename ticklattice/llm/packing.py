@@ -32,8 +32,11 @@ from .storage import slices, stored
 from .token_files import encoder
 
 CAPACITY = 2048
-#: Numbers of groups that are tried; the plan with the fewest sequences is taken.
+#: Numbers of groups, and shares of the capacity above which a length is large, that are tried; the plan with the fewest
+#: sequences is taken. Above a half, each large piece opens a sequence however it is grouped, and so the plan is at least as
+#: good as best fit by decreasing length; smaller shares leave the linear programme more to choose.
 GROUPS = (24, 64, 128)
+SHARES = (2, 3, 6)
 #: Pieces in a chunk that one task numbers.
 CHUNK = 20_000
 
@@ -94,7 +97,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     return [(basis[:, j].astype(np.int64), int(used[j])) for j in range(k) if used[j] > 0]
 
 
-def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 64) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 64, share: int = 2) -> tuple[int, list[tuple[int, int, int, int, int]]]:
     """Number of sequences, and runs (length, first rank, count, first sequence, offset): the piece of that length with rank
     first + i lies in sequence first + i at that offset."""
     runs, sequences = [], 0
@@ -109,7 +112,7 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, groups: in
             room[r].append((first, count))
             free |= 1 << r
 
-    large = sorted((x for x in histogram if capacity // 6 < x < capacity), reverse=True)
+    large = sorted((x for x in histogram if capacity // share < x < capacity), reverse=True)
     total = sum(histogram[x] for x in large)
     if total > 4 * groups:
         queues, bounds, g = [deque() for _ in range(groups)], [total * (i + 1) // groups for i in range(groups)], 0
@@ -176,11 +179,12 @@ def best_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[int,
     """The plan with the fewest sequences of those tried; no more are tried once the total of lengths allows no fewer."""
     least = -(-sum(x * n for x, n in histogram.items()) // capacity)
     best = None
-    for groups in GROUPS:
-        plan = plan_packing(histogram, capacity, groups)
-        best = plan if best is None or plan[0] < best[0] else best
-        if best[0] == least:
-            break
+    for share in SHARES:
+        for groups in GROUPS[: 1 if share == 2 else None]:
+            plan = plan_packing(histogram, capacity, groups, share)
+            best = plan if best is None or plan[0] < best[0] else best
+            if best[0] == least:
+                return best
     return best
 
 
