@@ -124,7 +124,7 @@ def suggested_qty(price: Column, qty: Column, least_notional: float, step: str)
     return F.when(price * qty < least_notional, need.cast("double"))
 
 
-def price_cap(price: Column, side: Column, bps: float, tick: float | None = None) -> Column:
+def price_cap(price: Column, side: Column, bps: float | Column, tick: float | None = None) -> Column:
     """The worst price for a slippage of bps; with a tick its nearest multiple (halves to the even one)."""
     cap = price * (1 + F.when(side == "buy", 1).otherwise(-1) * bps / 1e4)
     return F.bround(cap / tick, 0) * tick if tick else cap

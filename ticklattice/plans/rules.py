@@ -9,6 +9,7 @@ from ..functions import business_date, regime, rounded
 from ..functions import rules as R
 from ..operators import decisions as D
 from ..operators import ledger as L
+from ..operators import pretrade as PT
 from ..operators import quality as Q
 from .base import query
 
@@ -329,3 +330,31 @@ def upgraded_signals(spark, sf_dir):
     s = S.signals(spark, sf_dir).withColumn("confirm", (F.abs("score") >= 1) & (F.col("lag_sec") < 3)).withColumn("gating", F.when(k % 4 == 0, 1)).withColumn("gate_reason", F.when(k % 5 < 3, "lag"))
     s = s.withColumn("signal_id", F.when(k % 6 == 0, F.concat(F.lit("own-"), k.cast("string")))).withColumn("decision_code", F.when(k % 9 == 0, "EXPIRE")).withColumn("decision_reason", F.when(k % 9 == 0, "given"))
     return D.upgraded(s).select("seq", "schema_version", "signal_id", "side_hint", "gating", "expiry_ms", "decision_code", "decision_reason")
+
+
+_CHECKED = """, o as (select seq, case when seq % 17 > 0 then symbol end as symbol, case seq % 23 when 0 then 'hold' when 1 then '' else case when seq % 2 = 0 then 'buy' else 'sell' end end as side, case when seq % 3 = 0 then 'market' else 'limit' end as order_type, case when seq % 19 = 0 then -1.0::double else round(50 * abs(score) + 0.123, 3) end as qty,
+    case when seq % 13 > 0 then round(100 + spread_bps + z_ofi, 2) end as price, case when seq % 29 = 0 then 'odd' end as account_mode, 5.0::double as slip, spread_bps / 3 as spread, case when seq % 31 > 0 then lag_sec / 2 else -1 end as lag, seq % 60 as tpm from signals),
+  r as (select symbol, case when symbol <> 'C3' then 2000.0::double end as min_notional, case when symbol <> 'C4' then 0.5::double end as step, case when symbol <> 'C5' then 0.25::double end as tick, case when symbol = 'C1' then 60.0::double end as most from (select distinct symbol from signals)),
+  j as (select o.*, min_notional, step, tick, most, round_even(qty / step, 0) * step as aq, round_even(price / tick, 0) * tick as ap from o left join r using (symbol)),
+  w as (select *, case when symbol is null then ['missing_required_field', 'symbol'] else list_concat(case when e = [] then [] else ['invalid_schema'] end, e) end as wrong from (select *, list_concat(case when side = '' then ['missing_required_field', 'side'] else [] end, case when qty <= 0 then ['invalid_field_type', 'qty'] else [] end,
+    case when side not in ('buy', 'sell') then ['invalid_enum_value', 'side=' || side] else [] end, case when account_mode is not null then ['invalid_enum_value', 'account_mode=odd'] else [] end, case when order_type = 'limit' and price is null then ['missing_required_field', 'price (required for limit orders)'] else [] end, case when lag < 0 then ['invalid_field_type', 'guards.event_lag_sec'] else [] end) as e from j)),
+  y as (select *, len(wrong) = 0 as fine, coalesce(qty * price < min_notional, false) as small, coalesce(price is not null and abs(qty - aq) > 1e-10, false) as offs, coalesce(abs(price - ap) > 1e-10, false) as offt, coalesce(qty * price > 20000, false) as large, coalesce(price is not null and qty > most, false) as over_ from w)
+"""
+
+
+@query(_CHECKED + """select seq, array_to_string(case when fine then list_filter([case when spread > 8 then 'spread_too_wide' end, case when lag > 1.5 then 'lag_exceeds_cap' end, case when tpm < 10 then 'market_inactive' end, case when small then 'notional_below_min' end, case when offs then 'qty_not_aligned_to_step_size' end,
+    case when offt then 'price_not_aligned_to_tick_size' end, case when large then 'notional_exceeds_limit' end, case when over_ then 'symbol_qty_exceeds_limit' end], lambda x: x is not null) else wrong end, ',') as reasons, round(case when fine and small then min_notional / price end, 6) as min_qty, round(case when fine then mq end, 6) as max_qty,
+    round(case when fine and offs then case when mq is not null then least(aq, mq) else aq end end, 6) as final_qty, round(case when fine and order_type = 'limit' and price is not null then case when not offt then cap when side = 'buy' then least(cap, ap) else greatest(cap, ap) end end, 6) as price_cap
+  from (select *, case when large and over_ then least(20000 / price, most) when large then 20000 / price when over_ then most end as mq, round_even(price * (1 + case when side = 'buy' then 1 else -1 end * slip / 1e4::double) / 0.01::double, 0) * 0.01::double as cap from y)""")
+def checked_orders(spark, sf_dir):
+    k, s = F.col("seq"), S.signals(spark, sf_dir)
+    side = F.when(k % 23 == 0, "hold").when(k % 23 == 1, "").otherwise(F.when(k % 2 == 0, "buy").otherwise("sell"))
+    o = s.select(
+        "seq", F.when(k % 17 > 0, F.col("symbol")).alias("symbol"), side.alias("side"), F.when(k % 3 == 0, "market").otherwise("limit").alias("order_type"), F.when(k % 19 == 0, -1.0).otherwise(F.round(50 * F.abs("score") + 0.123, 3)).alias("qty"),
+        F.when(k % 13 > 0, F.round(100 + F.col("spread_bps") + F.col("z_ofi"), 2)).alias("price"), F.when(k % 29 == 0, "odd").alias("account_mode"), F.lit(5.0).alias("max_slippage_bps"),
+        (F.col("spread_bps") / 3).alias("spread_bps"), F.when(k % 31 > 0, F.col("lag_sec") / 2).otherwise(-1.0).alias("event_lag_sec"), (k % 60).cast("double").alias("activity_tpm"),
+    )
+    is_not = lambda x, v: F.when(F.col("symbol") != x, v)
+    rules = s.select("symbol").distinct().select("symbol", is_not("C3", 2000.0).alias("min_notional"), is_not("C4", 0.5).alias("step_size"), is_not("C5", 0.25).alias("tick_size"), F.when(F.col("symbol") == "C1", 60.0).alias("max_qty"))
+    c = PT.checked_orders(o, rules, tick=0.01)
+    return c.select("seq", F.array_join("reasons", ",").alias("reasons"), *(rounded(F.col(x)).alias(x) for x in ("min_qty", "max_qty", "final_qty", "price_cap")))
