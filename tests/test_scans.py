@@ -254,3 +254,10 @@ def test_latch_counts_runs(spark):
     df = spark.createDataFrame([("A", i * 4_000_000, i, a) for i, a in enumerate(acts)], "symbol string, ts_ms long, seq long, a boolean")
     got = [r.mode for r in states.latched(df, F.col("a"), 3, 2).orderBy("seq").collect()]
     assert got == ["QUIET"] * 5 + ["ACTIVE"] * 4 + ["QUIET"] * 2
+
+
+def test_nearest_rows_on_both_sides(spark):
+    left = spark.createDataFrame([("A", t, i) for i, t in enumerate((0, 10, 14, 15, 16, 7_200_000, 20_000_000, None))] + [(None, 12, 100), ("B", 5, 101)], "symbol string, ts_ms long, seq long")
+    right = spark.createDataFrame([("A", 10, 1.0), ("A", 20, 2.0), ("A", 10_000_000, 3.0), (None, 40, 4.0), ("A", None, 9.0)], "symbol string, ts_ms long, v double")
+    got = {r.seq: r.v for r in alignment.nearest(left, right, "v").collect()}
+    assert got == {0: 1.0, 1: 1.0, 2: 1.0, 3: 1.0, 4: 2.0, 5: 3.0, 6: 3.0, 7: None, 100: 4.0, 101: None}  # 15 is as far from 10 as from 20

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import latest, over_range
+from .chunks import around, latest, over_range
 
 
 def as_of(left: DataFrame, right: DataFrame, take: list[str], tolerance_ms: int | None = None, prefix: str = "") -> DataFrame:
@@ -29,7 +29,7 @@ def as_of_or_newest(left: DataFrame, right: DataFrame, take: list[str], toleranc
 def nearest(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
     """The row of right nearest in time to each row of left, by symbol; ties go to the earlier one."""
     row = F.struct(F.col("ts_ms").alias("t"), F.col(value).cast("double").alias("v"))
-    out = latest(latest(left.select("seq", "symbol", "ts_ms"), right, row, "_b"), right, row, "_f", ahead=True)
+    out = around(left.select("seq", "symbol", "ts_ms"), right, row, "_b", "_f")
     early = F.col("_f").isNull() | (F.col("ts_ms") - F.col("_b.t") <= F.col("_f.t") - F.col("ts_ms"))
     return out.select("seq", "symbol", "ts_ms", F.when(early, F.col("_b.v")).otherwise(F.col("_f.v")).alias(value))
 

@@ -109,24 +109,37 @@ def over_rows(rows: DataFrame, before: int, after: int, add: dict[str, Callable]
     return out.where(F.col("_chunk") == F.expr(f"_n div {block}")).drop("_chunk", "_n")
 
 
-def latest(left: DataFrame, right: DataFrame, value: Column, to: str, ahead: bool = False, width: int = CHUNK_MS) -> DataFrame:
-    """Adds `to`: value of the symbol's latest row of right at or before each row of left, or with `ahead` the first after
-    it. right has one row for each (symbol, ts_ms); those without a time are never found. A chunk gets the last (first) row of
-    the chunks before (after) it as well."""
+def latest(left: DataFrame, right: DataFrame, value: Column, to: str, width: int = CHUNK_MS) -> DataFrame:
+    """Adds `to`: value of the symbol's latest row of right at or before each row of left. right has one row for each (symbol,
+    ts_ms); those without a time are never found. A chunk gets the last row of the chunks before it as well."""
     r = right.where("ts_ms is not null").select("symbol", "ts_ms", chunk_of(width=width).alias("_chunk"), F.lit(0).alias("_s"), value.alias("_r"))
-    end = F.min_by("_r", "ts_ms") if ahead else F.max_by("_r", "ts_ms")
     touched = left.select("symbol", chunk_of(width=width).alias("_chunk")).distinct().withColumn("_v", F.lit(None).cast(r.schema["_r"].dataType))
-    ends = r.groupBy("symbol", "_chunk").agg(end.alias("_v")).unionByName(touched).groupBy("symbol", "_chunk").agg(F.first("_v", True).alias("_v"))
-    order = Window.partitionBy("symbol").orderBy(F.desc("_chunk") if ahead else F.col("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = r.groupBy("symbol", "_chunk").agg(F.max_by("_r", "ts_ms").alias("_v")).unionByName(touched).groupBy("symbol", "_chunk").agg(F.first("_v", True).alias("_v"))
+    order = Window.partitionBy("symbol").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("symbol", "_chunk", F.last("_v", True).over(order).alias("_carried"))
-    both = left.select("symbol", "ts_ms", chunk_of(width=width).alias("_chunk"), F.lit(-1 if ahead else 1).alias("_s"), F.struct(*left.columns).alias("_l"))
-    both = both.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy("symbol", "_chunk").orderBy("ts_ms", "_s")
-    # equal times: a row of right at the same time is "at or before", never "after"
-    if ahead:
-        w = Window.partitionBy("symbol", "_chunk").orderBy("ts_ms", F.desc("_s")).rowsBetween(0, Window.unboundedFollowing)
-        found = F.first("_r", True).over(w)
-    else:
-        found = F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = by_chunk(both.withColumn("_q", found).where("_l is not null"), carried, "left")
+    both = left.select("symbol", "ts_ms", chunk_of(width=width).alias("_chunk"), F.lit(1).alias("_s"), F.struct(*left.columns).alias("_l"))
+    # at equal times rows of right come first
+    both = both.unionByName(r, allowMissingColumns=True).withColumn("_q", F.last("_r", True).over(own_order("_s").rowsBetween(Window.unboundedPreceding, 0)))
+    out = by_chunk(both.where("_l is not null"), carried, "left")
     return out.select("_l.*", F.coalesce("_q", "_carried").alias(to))
+
+
+def around(left: DataFrame, right: DataFrame, value: Column, before: str, after: str, width: int = CHUNK_MS) -> DataFrame:
+    """Adds `before` and `after`: value of the symbol's latest row of right at or before each row of left, and of the first after
+    it, in one shuffle of both; as latest() otherwise. Rows of left without a time find nothing."""
+    r = right.where("ts_ms is not null").select("symbol", "ts_ms", chunk_of(width=width).alias("_chunk"), F.lit(0).alias("_s"), value.alias("_r"))
+    none = F.lit(None).cast(r.schema["_r"].dataType)
+    touched = left.select("symbol", chunk_of(width=width).alias("_chunk")).distinct().select("symbol", "_chunk", none.alias("_x"), none.alias("_y"))
+    ends = r.groupBy("symbol", "_chunk").agg(F.max_by("_r", "ts_ms").alias("_x"), F.min_by("_r", "ts_ms").alias("_y"))
+    ends = ends.unionByName(touched).groupBy("symbol", "_chunk").agg(F.first("_x", True).alias("_x"), F.first("_y", True).alias("_y"))
+    order = Window.partitionBy("symbol").orderBy("_chunk")
+    carried = ends.select(
+        "symbol", "_chunk", F.last("_x", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"), F.first("_y", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_to"),
+    )
+    both = left.select("symbol", "ts_ms", chunk_of(width=width).alias("_chunk"), F.lit(1).alias("_s"), F.struct(*left.columns).alias("_l")).unionByName(r, allowMissingColumns=True)
+    # at equal times rows of right come first, so they are before a row of left and never after it
+    w = own_order("_s")
+    both = both.select("*", F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_b"), F.first("_r", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_a"))
+    out = by_chunk(both.where("_l is not null"), carried, "left")
+    timed = lambda x: F.when(F.col("ts_ms").isNotNull(), x)
+    return out.select("_l.*", timed(F.coalesce("_b", "_from")).alias(before), timed(F.coalesce("_a", "_to")).alias(after))
