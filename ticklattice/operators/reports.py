@@ -103,14 +103,18 @@ def merged_windows(metrics: DataFrame, key: str, sums: list[str], by_trades: lis
     return metrics.groupBy(key).agg(n.alias("trades"), *(F.sum(c).alias(c) for c in sums), *((F.sum(F.col(c) * F.col("trades")) / n).alias(c) for c in by_trades), *(F.max(c).alias(c) for c in worst))
 
 
-def walk_forward(days: DataFrame, train: int, test: int, first: int, last: int) -> DataFrame:
-    """Folds of `train` days followed by `test` days, moving on by `test`: mean daily net of both parts for each symbol and fold,
-    and the gap between them."""
-    folds = [(i, a, a + train, a + train + test) for i, a in enumerate(range(first, last - train - test + 1, test))]
-    f = days.sparkSession.createDataFrame(folds, "fold int, _a long, _b long, _c long")
-    j = days.join(F.broadcast(f), (F.col("day") >= F.col("_a")) & (F.col("day") < F.col("_c")))  # folds are few: (last - first) / test
-    g = j.groupBy("fold", "symbol").agg(F.avg(F.when(F.col("day") < F.col("_b"), F.col("net"))).alias("train"), F.avg(F.when(F.col("day") >= F.col("_b"), F.col("net"))).alias("test"))
-    return g.withColumn("gap", F.col("train") - F.col("test"))
+def walk_forward(days: DataFrame, train: int, test: int) -> DataFrame:
+    """Folds of `train` days followed by `test` days, moving on by `test`, from the table's first day to the last whole fold: mean
+    daily net of both parts for each symbol and fold, and the gap between them. A day goes to the folds that hold it."""
+    ends = days.agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
+    j = days.join(F.broadcast(ends))  # one row
+    whole = F.expr(f"(_last - _first + 1 - {train + test}) div {test}")  # the last fold's number; below 0: none
+    low = F.greatest(F.lit(0), F.ceil((F.col("day") - F.col("_first") - (train + test - 1)) / test)).cast("long")
+    high = F.least(F.expr(f"(day - _first) div {test}"), whole)
+    j = j.where(F.expr(f"_last - _first + 1 >= {train + test}") & (low <= high)).withColumn("fold", F.explode(F.sequence(low, high)))
+    tested = F.col("day") >= F.col("_first") + F.col("fold") * test + train
+    g = j.groupBy("fold", "symbol").agg(F.avg(F.when(~tested, F.col("net"))).alias("train"), F.avg(F.when(tested, F.col("net"))).alias("test"))
+    return g.withColumn("fold", F.col("fold").cast("int")).withColumn("gap", F.col("train") - F.col("test"))
 
 
 def grid(spark, values: dict[str, list[float]], most: int | None = None) -> DataFrame:
@@ -161,7 +165,40 @@ def quantiles(rows: DataFrame, value: str, *keys: str, qs: tuple[float, ...] = (
     return rows.groupBy(*keys).agg(*(F.percentile(value, F.lit(q)).alias(f"p{round(q * 100):02d}") for q in qs), F.percentile(F.abs(value), F.lit(0.95)).alias("abs_p95"), F.avg((F.abs(value) >= 2).cast("int")).alias("clip_rate"))
 
 
+#: Rows of a table that is shown to people.
+REPORT_ROWS = 10_000
+
+
 def markdown(rows: DataFrame, title: str) -> str:
-    """A report's table (a few rows) as Markdown."""
+    """A report's table as Markdown; one of more than REPORT_ROWS rows is no report and raises."""
     head = [f"## {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    return "\n".join([*head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.collect())]) + "\n"
+    few = rows.limit(REPORT_ROWS + 1).collect()
+    if len(few) > REPORT_ROWS:
+        raise ValueError(f"{title} has more than {REPORT_ROWS} rows")
+    return "\n".join([*head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in few)]) + "\n"
+
+
+def lag_samples(executions: DataFrame, lag: str, ok: Column, last: int = 100) -> DataFrame:
+    """For each symbol: the mean lag of its last executions that have one, how many these are, and the share that succeeded of
+    all. A symbol's executions are cut by time: only the last `last` of each part meet."""
+    has = F.struct("ts_ms", "seq", F.col(lag).cast("double").alias("v"))
+    tail = lambda x: F.slice(F.sort_array(x, asc=False), 1, last)
+    part = executions.groupBy("symbol", F.expr("ts_ms div 3600000").alias("_part")).agg(tail(F.collect_list(F.when(F.col(lag).isNotNull(), has))).alias("_l"), F.count("*").alias("_n"), F.count_if(ok).alias("_ok"))
+    later = Window.partitionBy("symbol").orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("_done", F.coalesce(F.sum(F.size("_l")).over(later), F.lit(0)))  # samples in later parts
+    of = F.when(F.col("_done") < last, F.slice("_l", 1, F.greatest(F.lit(1), F.lit(last) - F.col("_done")).cast("int"))).otherwise(F.array().cast(part.schema["_l"].dataType))
+    part = part.withColumn("_l", of).withColumn("_sum", F.aggregate("_l", F.lit(0.0), lambda a, x: a + x["v"]))
+    g = part.groupBy("symbol").agg(F.sum("_sum").alias("_s"), F.sum(F.size("_l")).alias("samples"), (F.sum("_ok") / F.sum("_n")).alias("success_rate"))
+    return g.select("symbol", F.try_divide("_s", "samples").alias("mean_lag"), "samples", "success_rate")
+
+
+def executions(rows: DataFrame, meta_schema: str, symbols: list[str] | None = None, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
+    """Executions of the symbols and times asked for (end included) in order of exec_ts_ms, meta_json parsed as meta; null where
+    it is no JSON of that kind. Written as JSON lines they are an export."""
+    if symbols:
+        rows = rows.where(F.col("symbol").isin(symbols))
+    if start_ms is not None:
+        rows = rows.where(F.col("exec_ts_ms") >= start_ms)
+    if end_ms is not None:
+        rows = rows.where(F.col("exec_ts_ms") <= end_ms)
+    return rows.withColumn("meta", F.from_json("meta_json", meta_schema)).orderBy("exec_ts_ms")

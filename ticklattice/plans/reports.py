@@ -184,12 +184,26 @@ def merged_metrics(spark, sf_dir):
     return m.select("symbol", "trades", F.round("pnl", 2).alias("pnl"), F.round("fee", 4).alias("fee"), "worst")
 
 
-@query("""select fold::int as fold, symbol, round(avg(net) filter (day < b), 4) as train, round(avg(net) filter (day >= b), 4) as test from days join (select range as fold, 8400 + range * 100 as a, 8700 + range * 100 as b, 8800 + range * 100 as c from range(12)) on day >= a and day < c group by 1, 2""")
+@query(""", ends as (select min(day) as lo, max(day) as hi from days), folds as (select f as fold, lo + f * 100 as a, lo + f * 100 + 300 as b, lo + f * 100 + 400 as c from ends, (select unnest(range(0, greatest(0, (hi - lo + 1 - 300) // 100))) as f from ends))
+  select fold::int as fold, symbol, round(avg(net) filter (day < b), 4) as train, round(avg(net) filter (day >= b), 4) as test from days join folds on day >= a and day < c group by 1, 2""")
 def walk_forward(spark, sf_dir):
-    w = P.walk_forward(L.daily(S.fills(spark, sf_dir)), 300, 100, 8400, 9900)
+    w = P.walk_forward(L.daily(S.fills(spark, sf_dir)), 300, 100)
     return w.select("fold", "symbol", F.round("train", 4).alias("train"), F.round("test", 4).alias("test"))
 
 
+@query("""select symbol, round(mean_lag, 6) as mean_lag, samples, round(rate, 6) as success_rate from (select symbol, avg(lag) as mean_lag, count(*) as samples from (select symbol, lag_sec as lag from signals where seq % 7 > 0 qualify row_number() over (partition by symbol order by ts_ms desc, seq desc) <= 100) group by 1)
+  join (select symbol, avg(case when abs(score) >= 0.5 then 1 else 0 end) as rate from signals group by 1) using (symbol)""")
+def lag_samples(spark, sf_dir):
+    s = S.signals(spark, sf_dir).withColumn("lag", F.when(F.col("seq") % 7 > 0, F.col("lag_sec")))
+    return P.lag_samples(s, "lag", F.abs("score") >= 0.5).select("symbol", rounded(F.col("mean_lag")).alias("mean_lag"), "samples", rounded(F.col("success_rate")).alias("success_rate"))
+
+
+@query("""select event_id, symbol, exec_ts_ms, k from (select event_id, 'S' || cast(user_id % 8 as varchar) as symbol, epoch_us(ts) // 1000 as exec_ts_ms, cast(json_extract_string(props, '$.k') as bigint) as k from events) where symbol in ('S1', 'S5') and exec_ts_ms >= 1704100000000""")
+def exported_executions(spark, sf_dir):
+    e = S.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("S"), (F.col("user_id") % 8).cast("string")).alias("symbol"), F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("exec_ts_ms"), F.col("props").alias("meta_json"))
+    return P.executions(e, "k long", ["S1", "S5"], 1704100000000).select("event_id", "symbol", "exec_ts_ms", "meta.k")
+
+
 @query("""select w_ofi, w_cvd, weak, row_number() over (order by md5(printf('%.8f|%.8f|%.8f', w_ofi, w_cvd, weak)))::int as trial from (select distinct round(a / (a + b), 9) as w_ofi, round(b / (a + b), 9) as w_cvd, weak from (select unnest([0.2::double, 0.4::double, 0.6::double]) as a), (select unnest([0.4::double, 0.8::double]) as b), (select unnest([0.3::double, 0.5::double]) as weak)) qualify trial <= 8""")
 def parameter_grid(spark, sf_dir):
     return P.grid(spark, {"w_ofi": [0.2, 0.4, 0.6], "w_cvd": [0.4, 0.8], "weak": [0.3, 0.5]}, 8)

@@ -69,12 +69,12 @@ def write_backtest(path: str, signals: DataFrame, trades: DataFrame, days: DataF
 
 
 def write_report(path: str, tables: dict[str, DataFrame]) -> str:
-    """Each table as CSV and JSON under path/<name>; the text of all as Markdown."""
+    """Each table (of a report's size: see markdown) as one CSV and one JSON file under path/<name>; the text of all as Markdown."""
     parts = []
     for name, df in tables.items():
+        parts.append(markdown(df, name))
         df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name}/csv")
         df.coalesce(1).write.mode("overwrite").json(f"{path}/{name}/json")
-        parts.append(markdown(df, name))
     return "\n".join(parts)
 
 
