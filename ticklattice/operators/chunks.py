@@ -132,14 +132,14 @@ def around(left: DataFrame, right: DataFrame, value: Column, before: str, after:
     touched = left.select("symbol", chunk_of(width=width).alias("_chunk")).distinct().select("symbol", "_chunk", none.alias("_x"), none.alias("_y"))
     ends = r.groupBy("symbol", "_chunk").agg(F.max_by("_r", "ts_ms").alias("_x"), F.min_by("_r", "ts_ms").alias("_y"))
     ends = ends.unionByName(touched).groupBy("symbol", "_chunk").agg(F.first("_x", True).alias("_x"), F.first("_y", True).alias("_y"))
-    order = Window.partitionBy("symbol").orderBy("_chunk")
-    carried = ends.select(
-        "symbol", "_chunk", F.last("_x", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"), F.first("_y", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_to"),
-    )
+    # a frame that ends at the row costs a step a row, one that begins there a pass over all that follow: so the way back is a window of its own
+    up, down = (Window.partitionBy("symbol").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_chunk"), F.desc("_chunk")))
+    carried = ends.select("symbol", "_chunk", F.last("_x", True).over(up).alias("_from"), F.last("_y", True).over(down).alias("_to"))
     both = left.select("symbol", "ts_ms", chunk_of(width=width).alias("_chunk"), F.lit(1).alias("_s"), F.struct(*left.columns).alias("_l")).unionByName(r, allowMissingColumns=True)
     # at equal times rows of right come first, so they are before a row of left and never after it
-    w = own_order("_s")
-    both = both.select("*", F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_b"), F.first("_r", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_a"))
+    so_far = own_order("_s").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("symbol", "_chunk").orderBy(F.desc("ts_ms"), F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.select("*", F.last("_r", True).over(so_far).alias("_b"), F.last("_r", True).over(back).alias("_a"))
     out = by_chunk(both.where("_l is not null"), carried, "left")
     timed = lambda x: F.when(F.col("ts_ms").isNotNull(), x)
     return out.select("_l.*", timed(F.coalesce("_b", "_from")).alias(before), timed(F.coalesce("_a", "_to")).alias(after))
