@@ -2,7 +2,9 @@
 
 import random
 
-from ticklattice.operators import alignment
+from pyspark.sql import functions as F
+
+from ticklattice.operators import alignment, matching
 
 
 def plan_of(df):
@@ -21,3 +23,21 @@ def test_nearest_looks_back_along_both_ways(spark):
     assert "unboundedfollowing" not in plan_of(found)  # a pass over all rows that follow, at each row
     want = {i: min((abs(t - u), u) for s2, u in right if s2 == s)[1] if t is not None else None for i, s, t in left}
     assert {r.seq: r.v for r in found.collect()} == want
+
+
+def test_as_of_within_a_tolerance_takes_the_last_row_so_far(spark):
+    left = times(300, 30_000_000, 3)
+    right = sorted({(s, t) for _, s, t in times(200, 30_000_000, 4) if t is not None}, key=str)
+    a, b = spark.createDataFrame(left, "seq long, symbol string, ts_ms long"), spark.createDataFrame(right, "symbol string, ts_ms long")
+    for most in (50_000, 8_000_000):  # shorter and longer than a chunk
+        found = alignment.as_of(a, b, [], most, "q_")
+        assert "rangeframe" not in plan_of(found)  # a pass over all rows of the frame, at each row
+        want = {i: max((u for s2, u in right if t is not None and s2 == s and t - most <= u <= t), default=None) for i, s, t in left}
+        assert {r.seq: r.q_ts for r in found.collect()} == want
+
+
+def test_links_use_no_moving_frame(spark):
+    s = spark.createDataFrame([(1, "A", 5, True, "x")], "seq long, symbol string, ts_ms long, confirm boolean, reason string")
+    found = matching.linked(s.select("symbol", "ts_ms", F.lit("k").alias("kind")), s, 1000)
+    assert "rangeframe" not in plan_of(found)
+    assert [tuple(r) for r in found.collect()] == [("k", True, 1, 1, 1.0)]

@@ -1,21 +1,27 @@
 """Joins in event time."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import around, latest, over_range
+from .chunks import CHUNK_MS, around, chunk_of, latest, over_range, own_order
 
 
 def as_of(left: DataFrame, right: DataFrame, take: list[str], tolerance_ms: int | None = None, prefix: str = "") -> DataFrame:
     """The latest row of right at or before each row of left, by symbol; with a tolerance, else null. right has one row for
-    each (symbol, ts_ms). With a tolerance one shuffle: rows of right near the end of a chunk of time are in the next one too."""
+    each (symbol, ts_ms). With a tolerance one shuffle, in chunks as long as it at least: rows of right near the end of a chunk of
+    time are in the next one too. The last row so far is taken and dropped if it is too old, as Spark goes through all rows of a
+    frame that moves at both ends."""
     row = F.struct("ts_ms", *take)
     if tolerance_ms is None:
         out = latest(left, right, row, "_q")
         return out.select(*left.columns, F.col("_q.ts_ms").alias(f"{prefix}ts"), *(F.col(f"_q.{c}").alias(f"{prefix}{c}") for c in take))
-    both = left.select("symbol", "ts_ms", F.struct(*left.columns).alias("_l")).unionByName(right.where("ts_ms is not null").select("symbol", "ts_ms", row.alias("_r")), allowMissingColumns=True)
-    # the window takes in equal times, so a row of right at the same time counts
-    out = over_range(both, tolerance_ms, {"_q": lambda w: F.max("_r").over(w)}).where("_l is not null")
+    width = max(CHUNK_MS, tolerance_ms)
+    parts = F.sequence(chunk_of(width=width), F.expr(f"(ts_ms + {tolerance_ms}) div {width}"))
+    r = right.where("ts_ms is not null").select("symbol", "ts_ms", F.explode(parts).alias("_chunk"), F.lit(0).alias("_s"), row.alias("_r"))
+    both = left.select("symbol", "ts_ms", chunk_of(width=width).alias("_chunk"), F.lit(1).alias("_s"), F.struct(*left.columns).alias("_l")).unionByName(r, allowMissingColumns=True)
+    # at equal times rows of right come first
+    last = F.last("_r", True).over(own_order("_s", "_r").rowsBetween(Window.unboundedPreceding, 0))
+    out = both.withColumn("_q", last).where("_l is not null").withColumn("_q", F.when(F.col("ts_ms") - F.col("_q.ts_ms") <= tolerance_ms, F.col("_q")))
     return out.select("_l.*", F.col("_q.ts_ms").alias(f"{prefix}ts"), *(F.col(f"_q.{c}").alias(f"{prefix}{c}") for c in take))
 
 

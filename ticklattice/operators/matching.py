@@ -78,6 +78,6 @@ def linked(events: DataFrame, signals: DataFrame, after_ms: int) -> DataFrame:
         return none
     # one as-of for all kinds: each signal stands there once a kind, and the kind is a part of the key
     name = F.concat_ws("\x00", F.col("kind"), F.coalesce("symbol", F.lit("")))
-    each = signals.withColumn("kind", F.explode(F.array(*map(F.lit, kinds)))).withColumn("symbol", name)
+    each = signals.select("symbol", "ts_ms", "confirm", F.explode(F.array(*map(F.lit, kinds))).alias("kind")).withColumn("symbol", name)
     j = as_of(each, events.withColumn("symbol", name).select("symbol", "ts_ms").distinct(), [], after_ms, "_e_").withColumn("inside", F.col("_e_ts").isNotNull())
     return j.groupBy("kind", "inside").agg(F.count("*").alias("signals"), F.count_if("confirm").alias("confirmed"), F.avg(F.col("confirm").cast("int")).alias("rate"))
