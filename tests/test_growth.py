@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ticklattice.operators import alignment, matching
+from ticklattice.operators import alignment, indicators, matching
 
 
 def plan_of(df):
@@ -41,3 +41,17 @@ def test_links_use_no_moving_frame(spark):
     found = matching.linked(s.select("symbol", "ts_ms", F.lit("k").alias("kind")), s, 1000)
     assert "rangeframe" not in plan_of(found)
     assert [tuple(r) for r in found.collect()] == [("k", True, 1, 1, 1.0)]
+
+
+def test_rates_count_by_rows_that_enter_and_leave(spark):
+    rows = [(i, s, t, i % 3 == 0) for i, s, t in times(600, 2_000_000, 5)]
+    rows += [(600 + i, "A", 1_000_000, True) for i in range(20)] + [(700 + i, "A", 1_060_000 + i % 2, False) for i in range(6)]
+    e = spark.createDataFrame(rows, "seq long, symbol string, ts_ms long, trade boolean")
+    for span in (60_000, 3_000_000):  # shorter and longer than a chunk
+        found = indicators.activity_rates(e, F.col("trade"), ~F.col("trade"), span)
+        assert "rangeframe" not in plan_of(found)
+        got = {r.seq: (r.trade_rate, r.quote_rate) for r in found.collect()}
+        assert len(got) == len(rows)
+        for i, s, t, _ in rows:
+            last = [x for j, s2, u, x in rows if t is not None and u is not None and s2 == s and t - span <= u and (u, j) <= (t, i)]
+            assert got[i] == ((None, None) if t is None else (float(sum(last)), (len(last) - sum(last)) / (span / 1000)))

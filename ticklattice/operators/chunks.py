@@ -53,6 +53,26 @@ def over_range(rows: DataFrame, before_ms: int, add: dict[str, Callable], width:
     return out.where(F.col("_chunk").eqNullSafe(chunk_of(width=width))).drop("_chunk")
 
 
+def in_span(rows: DataFrame, counts: dict[str, Column], span_ms: int, order: tuple[str, ...] = ("seq",), width: int = CHUNK_MS // 6) -> DataFrame:
+    """Adds, for each name -> whole number of a row, its sum over the symbol's rows of the last span_ms so far, in order of (ts_ms,
+    *order), the row itself included. Each row enters at its time and leaves with the opposite number once the span is over, so
+    a running sum is enough: a frame that moves at both ends would be gone through at every row. A row that leaves in a later
+    chunk enters there, and in those between, before all others. One shuffle, of whole rows and of marks."""
+    r = rows.select("*", *(v.cast("long").alias(f"_x_{c}") for c, v in counts.items()), F.struct(*rows.columns).alias("_row"))
+    none = F.lit(None).cast(r.schema["_row"].dataType)
+    gone = F.col("ts_ms") + span_ms + 1
+    first, last = F.expr(f"ts_ms div {width}"), F.expr(f"(ts_ms + {span_ms} + 1) div {width}")
+
+    def mark(chunk: Column, at: Column, way: int, row: Column) -> Column:
+        return F.struct(chunk.alias("_chunk"), at.alias("ts_ms"), F.lit(way).alias("_way"), *((F.col(f"_x_{c}") * way).alias(f"_x_{c}") for c in counts), *(F.col(c) for c in order), row.alias("_row"))
+
+    later = F.transform(F.filter(F.sequence(first, last), lambda c: c > first), lambda c: mark(c, F.col("ts_ms"), 1, none))
+    marks = F.when(F.col("ts_ms").isNull(), F.array(mark(first, F.col("ts_ms"), 1, F.col("_row")))).otherwise(F.concat(F.array(mark(first, F.col("ts_ms"), 1, F.col("_row")), mark(last, gone, -1, none)), later))
+    here = own_order("_way", *order).rowsBetween(Window.unboundedPreceding, 0)  # at one time rows leave before others enter
+    out = r.select("symbol", F.inline(marks)).select("_row", *(F.sum(f"_x_{c}").over(here).alias(c) for c in counts)).where("_row is not null")
+    return out.select("_row.*", *counts)
+
+
 def by_chunk(inside: DataFrame, carried: DataFrame, how: str = "inner") -> DataFrame:
     """Rows with what is carried into their chunk: a join by symbol and chunk in which null equals null."""
     c = carried.withColumnsRenamed({"symbol": "_symbol_carried", "_chunk": "_chunk_carried"})

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clip
-from .chunks import numbered, over_range, over_rows, running, with_previous
+from .chunks import in_span, numbered, over_range, over_rows, running, with_previous
 from .folds import ordered_fold
 from .scans import Cooldown, Decay, DeltaScale, Ema, scan
 from .sliding import sliding
@@ -108,16 +108,14 @@ def rolling_rates(rows: DataFrame, span_ms: int = 60_000) -> DataFrame:
 
 def activity_rates(events: DataFrame, trade: Column, quote: Column, span_ms: int = 60_000, most_trades: int = 3000, most_quotes: int = 6000) -> DataFrame:
     """trade_rate (trades a minute) and quote_rate (quotes a second) of each event: those of the last span_ms so far, up to the
-    latest most_trades and most_quotes; a rate that the event has itself stays. Counts so far come from running sums, and what
-    they were before the span from one window of it. Events without a time get no rate of their own."""
+    latest most_trades and most_quotes; a rate that the event has itself stays. Events without a time get no rate of their own."""
     has = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("double")
     flag = lambda x: F.coalesce(x.cast("int"), F.lit(0))
-    r = running(events.withColumn("_t", flag(trade)).withColumn("_q", flag(quote)), {"_nt": F.col("_t"), "_nq": F.col("_q")})
-    r = over_range(r, span_ms, {"_bt": lambda w: F.min(F.col("_nt") - F.col("_t")).over(w), "_bq": lambda w: F.min(F.col("_nq") - F.col("_q")).over(w)})
-    trades, quotes = F.least(F.lit(most_trades), F.col("_nt") - F.col("_bt")), F.least(F.lit(most_quotes), F.col("_nq") - F.col("_bq"))
+    r = in_span(events, {"_nt": flag(trade), "_nq": flag(quote)}, span_ms)
+    trades, quotes = F.least(F.lit(most_trades), F.col("_nt")), F.least(F.lit(most_quotes), F.col("_nq"))
     known = F.col("ts_ms").isNotNull()
     rates = {"trade_rate": F.coalesce(has("trade_rate"), F.when(known, trades.cast("double"))), "quote_rate": F.coalesce(has("quote_rate"), F.when(known, quotes / (span_ms / 1000)))}
-    return r.withColumns(rates).drop("_t", "_q", "_nt", "_nq", "_bt", "_bq")
+    return r.withColumns(rates).drop("_nt", "_nq")
 
 
 def filled_forward(seconds: DataFrame, price: str, most: int = 3600) -> DataFrame:
