@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ticklattice.operators import alignment, indicators, matching
+from ticklattice.operators import alignment, indicators, matching, states
 
 
 def plan_of(df):
@@ -55,3 +55,22 @@ def test_rates_count_by_rows_that_enter_and_leave(spark):
         for i, s, t, _ in rows:
             last = [x for j, s2, u, x in rows if t is not None and u is not None and s2 == s and t - span <= u and (u, j) <= (t, i)]
             assert got[i] == ((None, None) if t is None else (float(sum(last)), (len(last) - sum(last)) / (span / 1000)))
+
+
+def test_market_active_keeps_a_sorted_window(spark):
+    rng = random.Random(6)
+    rows = [(i, s, t, rng.choice([None, 1.0, 2.0, 50.0, float(rng.randrange(9))])) for i, s, t in times(500, 3_000_000, 7)]
+    rows += [(500 + i, "A", 3_599_000 + (i // 40) * 500, float(i * i % 97)) for i in range(200)]  # over the edge of a chunk, 40 at a time
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # rows of one time in several batches
+    try:
+        found = states.market_active(spark.createDataFrame(rows, "seq long, symbol string, ts_ms long, qty double"))
+        assert "collect_list" not in plan_of(found)  # a list of the minute at each row
+        got = {r.seq: r.active for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for i, s, t, _ in rows:
+        v = sorted(q for _, s2, u, q in rows if q is not None and s2 == s and (u is None if t is None else u is not None and t - 60_000 <= u <= t))
+        lo, hi = (v[int((len(v) - 1) * p)] for p in (0.1, 0.9)) if v else (0, 0)
+        w = [min(hi, max(lo, x)) for x in v]
+        assert bool(got[i]) == (len(w) >= 3 and w[(len(w) - 1) // 2] >= 0.5 * sum(w) / len(w))

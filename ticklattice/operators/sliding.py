@@ -8,7 +8,7 @@ the median is found by bisection too: distances grow to both sides of it.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right
 from collections import deque
 
 import numpy as np
@@ -63,12 +63,18 @@ class Sorted:
         self.last, self.span, self.queue, self.values = last, span_ms, deque(), []
         self.total = self.squares = 0.0
         self.left = 0
+        self.below: dict[object, list] = {}  # name -> [i, the sum of the i smallest]
 
     def add(self, at: float, x: float, now: float | None = None) -> None:
         """A value of the time `at`, at the time `now`."""
         if x == x:
             self.queue.append((at, x))
-            insort(self.values, x)
+            place = bisect_right(self.values, x)
+            self.values.insert(place, x)
+            for b in self.below.values():
+                if place < b[0]:
+                    b[0] += 1
+                    b[1] += x
             self.total += x
             self.squares += x * x
             if self.last is not None and len(self.queue) > self.last:
@@ -85,14 +91,39 @@ class Sorted:
             return (squares - mean * mean) ** 0.5
         return (sum((v - mean) ** 2 for v in self.values) / n) ** 0.5  # next to nothing is left of the difference: sum anew
 
+    def smallest(self, i: int, name: object) -> float:
+        """The sum of the i smallest values, from that of the last call by this name: as far as i or the values have moved since."""
+        b = self.below.setdefault(name, [0, 0.0])
+        while b[0] < i:
+            b[1] += self.values[b[0]]
+            b[0] += 1
+        while b[0] > i:
+            b[0] -= 1
+            b[1] -= self.values[b[0]]
+        return b[1]
+
+    def drawn(self, low: float, high: float) -> tuple[float, float]:
+        """Middle (the lower of two) and mean of the values drawn in to those of the ranks floor((n - 1) * low) and ... high."""
+        v, n = self.values, len(self.values)
+        i, j = int((n - 1) * low), int((n - 1) * high)
+        inside = self.smallest(j + 1, "high") - self.smallest(i, "low")
+        return min(v[j], max(v[i], v[(n - 1) // 2])), (i * v[i] + inside + (n - 1 - j) * v[j]) / n
+
     def _leave(self) -> None:
         _, x = self.queue.popleft()
-        del self.values[bisect_left(self.values, x)]
+        place = bisect_left(self.values, x)
+        del self.values[place]
+        for b in self.below.values():
+            if place < b[0]:
+                b[0] -= 1
+                b[1] -= x
         self.total -= x
         self.squares -= x * x
         self.left += 1
         if self.left % 4096 == 0:  # what rounding has left over goes
             self.total, self.squares = sum(self.values), sum(v * v for v in self.values)
+            for b in self.below.values():
+                b[1] = sum(self.values[: b[0]])
 
 
 #: What can be asked of a window (deviation: of the population).
@@ -102,13 +133,22 @@ STATISTICS = {
 }
 
 
-def sliding(rows: DataFrame, value: str, stats: dict[str, object], last: int | None = None, span_ms: int | None = None, at: str = "ts_ms", now: str | None = None, order: tuple[str, ...] = ("seq",), least: int = 1, block: int = BLOCK) -> DataFrame:
-    """Adds the columns of `stats` (to -> a name in STATISTICS, or (quantile's p,)), over each symbol's `last` rows with a value
+def _same(a: float, b: float) -> bool:
+    return a == b or (a != a and b != b)
+
+
+def _whole(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pieces[0] if len(pieces) == 1 else pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
+
+
+def sliding(rows: DataFrame, value: str, stats: dict[str, object], last: int | None = None, span_ms: int | None = None, at: str = "ts_ms", now: str | None = None, order: tuple[str, ...] = ("seq",), least: int = 1, block: int = BLOCK, peers: bool = False) -> DataFrame:
+    """Adds the columns of `stats` (to -> a name in STATISTICS, (quantile's p,) or a function of Sorted), over each symbol's `last` rows with a value
     that is not null, or those whose time `at` is at most span_ms before `now` (else `at`; both: those that meet both), this one included; null with fewer
     than `least` values. Null values are no part of a window, but their rows get its statistics. With `last`, rows are dealt
-    in blocks by the number of values so far; with a span alone, in chunks of time."""
+    in blocks by the number of values so far; with a span alone, in chunks of time. With `peers` rows of one time (ts_ms) are all
+    part of each other's windows, which have one answer."""
     names = list(stats)
-    find = [STATISTICS[s] if isinstance(s, str) else (lambda w, q=s[0]: quantile(w.values, q)) for s in stats.values()]
+    find = [STATISTICS[s] if isinstance(s, str) else s if callable(s) else (lambda w, q=s[0]: quantile(w.values, q)) for s in stats.values()]
     if last is not None:
         n = running(rows, {"_n": F.col(value).isNotNull().cast("int")}, order)
         dealt = n.withColumn("_chunk", F.explode(F.sequence(F.expr(f"_n div {block}"), F.expr(f"(_n + {last}) div {block}")))).withColumn("_own", F.col("_chunk") == F.expr(f"_n div {block}"))
@@ -120,22 +160,44 @@ def sliding(rows: DataFrame, value: str, stats: dict[str, object], last: int | N
     columns = rows.columns
     kinds = dict(rows.dtypes)
 
+    def answered(piece, window):
+        mine = piece.column("_own").to_numpy(zero_copy_only=False)
+        t, u, v, ts = (x.tolist() for x in _columns(piece, [at, now or at, value, "ts_ms"]))
+        out = np.full((len(names), len(t)), np.nan)
+        begin = 0
+        for i, (time, at_row, x, wanted) in enumerate(zip(t, u, v, mine.tolist(), strict=True)):
+            window.add(time, x, at_row)
+            if peers and i + 1 < len(ts) and _same(ts[i], ts[i + 1]):
+                continue
+            if wanted and len(window.values) >= least:
+                for k, f in enumerate(find):
+                    out[k, begin : i + 1] = f(window)
+            begin = i + 1
+        made = [pa.array(c, from_pandas=True) for c in out]
+        return pa.RecordBatch.from_arrays([*(piece.column(c) for c in columns), *made], names=[*columns, *names]).filter(pa.array(mine))
+
     def run(batches):
-        key, window = None, None
+        key, window, held = None, None, []  # held: rows whose time may go on in the next piece
         for b in batches:
             for own, piece in _cut(b, by):
                 if own != key:
-                    key, window = own, Sorted(last, span_ms)
-                mine = piece.column("_own").to_numpy(zero_copy_only=False)
-                t, u, v = (x.tolist() for x in _columns(piece, [at, now or at, value]))
-                out = np.full((len(names), len(t)), np.nan)
-                for i, (time, at_row, x, wanted) in enumerate(zip(t, u, v, mine.tolist(), strict=True)):
-                    window.add(time, x, at_row)
-                    if wanted and len(window.values) >= least:
-                        for k, f in enumerate(find):
-                            out[k, i] = f(window)
-                made = [pa.array(c, from_pandas=True) for c in out]
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in columns), *made], names=[*columns, *names]).filter(pa.array(mine))
+                    if held:
+                        yield answered(_whole(held), window)
+                    key, window, held = own, Sorted(last, span_ms), []
+                if not peers:
+                    yield answered(piece, window)
+                    continue
+                ts = _columns(piece, ["ts_ms"])[0]
+                other = np.flatnonzero((ts != ts[-1]) & ~(np.isnan(ts) & np.isnan(ts[-1])))
+                cut = int(other[-1]) + 1 if len(other) else 0
+                if cut:
+                    held.append(piece.slice(0, cut))
+                if held and (cut or not _same(_columns(held[-1], ["ts_ms"])[0][-1], ts[-1])):
+                    yield answered(_whole(held), window)
+                    held = []
+                held.append(piece.slice(cut))
+        if held:
+            yield answered(_whole(held), window)
 
     dealt = dealt.repartition(*by).sortWithinPartitions(*by, "ts_ms", *order)
     return dealt.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), *(f"`{n}` double" for n in names)]))

@@ -188,14 +188,10 @@ def mode_times(rows: DataFrame) -> DataFrame:
 
 def market_active(rows: DataFrame, span_ms: int = 60_000, least_trades: int = 3, most_spread: float = 8.0, share: float = 0.5) -> DataFrame:
     """active: at least least_trades in the last span_ms (first gate), and their median qty, drawn in to its 10th and 90th
-    percentiles, reaches share of its mean (second gate)."""
-    r = over_range(rows, span_ms, {"_l": lambda w: F.collect_list("qty").over(w)})
-    pick = lambda q: F.element_at("_l", (F.floor((F.size("_l") - 1) * q) + 1).cast("int"))
-    r = r.withColumn("_l", F.array_sort("_l")).withColumn("_lo", pick(0.1)).withColumn("_hi", pick(0.9))
-    r = r.withColumn("_w", F.transform("_l", lambda x: F.greatest("_lo", F.least("_hi", x))))
-    middle = F.element_at("_w", F.expr("int((size(_w) + 1) div 2)"))
-    mean = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x) / F.size("_w")
-    return r.withColumn("active", (F.size("_l") >= least_trades) & (middle >= share * mean)).drop("_l", "_lo", "_hi", "_w")
+    percentiles, reaches share of its mean (second gate). Trades of one time are in each other's span. The window stays sorted,
+    with the sums of what lies below both percentiles."""
+    r = sliding(rows, "qty", {"_k": "count", "_w": lambda w: w.drawn(0.1, 0.9)[0], "_m": lambda w: w.drawn(0.1, 0.9)[1]}, span_ms=span_ms, peers=True)
+    return r.withColumn("active", (F.coalesce("_k", F.lit(0.0)) >= least_trades) & (F.col("_w") >= share * F.col("_m"))).drop("_k", "_w", "_m")
 
 
 def stale(rows: DataFrame, now_ms: Column, limits_ms: dict[str, int]) -> DataFrame:
