@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ticklattice.operators import alignment, indicators, matching, states
+from ticklattice.operators import alignment, indicators, ledger, matching, states
 
 
 def plan_of(df):
@@ -74,3 +74,12 @@ def test_market_active_keeps_a_sorted_window(spark):
         lo, hi = (v[int((len(v) - 1) * p)] for p in (0.1, 0.9)) if v else (0, 0)
         w = [min(hi, max(lo, x)) for x in v]
         assert bool(got[i]) == (len(w) >= 3 and w[(len(w) - 1) // 2] >= 0.5 * sum(w) / len(w))
+
+
+def test_lots_send_fills_through_two_shuffles(spark):
+    rows = [(f"{i:03}", "P", i, "buy" if i % 2 else "sell", 10.0 + i, float(10 ** (i % 7)), 0.1) for i in range(60)] + [("big", "P", 99, "sell", 9.0, 1e12, 0.0), ("end", "P", 100, "buy", 8.0, 3e11, 0.0)]
+    fills = spark.createDataFrame(rows, "fill_id string, symbol string, ts_ms long, side string, px double, qty double, fee double").repartition(3)
+    one, many = (ledger.fifo_lots(fills, c).select("buy_id", "sell_id", "q") for c in (10**18, ledger.UNIT))
+    assert "sortaggregate" not in plan_of(one)
+    # many: a fill of 10^12 reaches into chunks of a MOST-th of all, not of one unit
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))

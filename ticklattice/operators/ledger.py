@@ -15,6 +15,8 @@ from ..functions import business_date, rounded
 UNIT = 100_000_000
 #: Units of cumulative quantity in a chunk of lots: 50,000 whole ones.
 CHUNK = 50_000 * UNIT
+#: Chunks of a symbol's lots, at most.
+MOST = 65_536
 
 
 def costs(fills: DataFrame) -> DataFrame:
@@ -69,33 +71,31 @@ def fifo_lots(fills: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     A row for each leg: symbol, q, buy_px, sell_px, pnl (before fees), fee (both fills' shares by quantity), open_ms, close_ms,
     way (long if bought first). fills: fill_id, symbol, ts_ms, side, px, qty, fee; a quantity that is null or not above 0 is
-    left out. A leg is where the cumulative quantities of a buy and a sell overlap. Cumulative quantities come from totals of
-    hours and then sums within them; legs are cut in chunks of cumulative quantity, into which the fill that is open at the
-    chunk's edge is carried, so a symbol spreads over tasks and no pair is tried that does not match."""
-    f = fills.where("qty > 0 and side in ('buy', 'sell')").select("symbol", "ts_ms", "fill_id", "side", "px", "fee", "qty", F.round(F.col("qty") * UNIT).cast("decimal(38,0)").alias("_q"))
-    hour = F.expr("ts_ms div 3600000")
-    f = f.withColumn("_hour", hour)
-    totals = f.groupBy("symbol", "side", "_hour").agg(F.sum("_q").alias("_t"))
+    left out. A leg is where the cumulative quantities of a buy and a sell overlap; it begins where the later of both does.
+    Cumulative quantities come from totals of hours and then sums within them. Fills then go to chunks of cumulative quantity
+    (of `chunk` units, or a MOST-th of the symbol's quantity if that is more), to all that they reach into, so a symbol
+    spreads over tasks, each start meets what is open there in its own chunk, and fills of a side reach into MOST more chunks at most.
+    Two shuffles of fills; what can be computed after one is not sent through it."""
+    size = F.round(F.col("qty") * UNIT).cast("decimal(38,0)")
+    f = fills.where("qty > 0 and side in ('buy', 'sell')").select("symbol", "side", F.expr("ts_ms div 3600000").alias("_hour"), "ts_ms", "fill_id", "px", "fee", "qty")
+    totals = f.groupBy("symbol", "side", "_hour").agg(F.sum(size).alias("_t"))
     before = Window.partitionBy("symbol", "side").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("symbol", "side", "_hour", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_b"))
+    width = F.greatest(F.lit(chunk).cast("decimal(38,0)"), (F.floor(F.sum("_t").over(Window.partitionBy("symbol")) / MOST) + 1).cast("decimal(38,0)"))
+    totals = totals.select("symbol", "side", "_hour", F.coalesce(F.sum("_t").over(before), F.lit(0)).cast("decimal(38,0)").alias("_b"), width.alias("_width"))
     own = Window.partitionBy("symbol", "side", "_hour").orderBy("ts_ms", "fill_id").rowsBetween(Window.unboundedPreceding, 0)
-    f = f.withColumn("_e", F.sum("_q").over(own)).join(totals, ["symbol", "side", "_hour"])
+    f = f.repartition("symbol", "side", "_hour").withColumn("_q", size).where("_q > 0").withColumn("_e", F.sum("_q").over(own)).join(totals, ["symbol", "side", "_hour"])
     f = f.withColumn("end", (F.col("_b") + F.col("_e")).cast("decimal(38,0)")).withColumn("start", (F.col("end") - F.col("_q")).cast("decimal(38,0)"))
-    row = F.struct("end", "px", "qty", "fee", "ts_ms", "fill_id")
-    # a row for each start; the other side's fill that is open there is the last one that started
-    at = F.col("start").cast("decimal(38,0)")
-    sides = ("buy", "sell")
-    cuts = f.groupBy("symbol", at.alias("start")).agg(*(F.max(F.when(F.col("side") == s, row)).alias(s) for s in sides))
-    cuts = cuts.withColumn("_chunk", F.floor(F.col("start") / F.lit(chunk)).cast("long"))
-    ends = cuts.groupBy("symbol", "_chunk").agg(*(F.max_by(s, F.when(F.col(s).isNotNull(), F.col("start"))).alias(f"_{s}") for s in sides), F.min("start").alias("_first"))
-    w = Window.partitionBy("symbol").orderBy("_chunk")
-    carried = ends.select("symbol", "_chunk", *(F.last(f"_{s}", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_{s}") for s in sides), F.lead("_first").over(w).alias("_after"))
+    part = lambda x: F.floor(x / F.col("_width")).cast("long")
+    f = f.withColumn("_first", part(F.col("start")))
+    row = F.struct("end", "px", "qty", "fee", "ts_ms", "fill_id").alias("_row")
+    f = f.select("symbol", "side", "start", row, "_first", F.explode(F.sequence("_first", part(F.col("end") - 1))).alias("_chunk")).withColumn("_own", F.col("_chunk") == F.col("_first")).drop("_first")
     w = Window.partitionBy("symbol", "_chunk").orderBy("start")
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    legs = cuts.select("symbol", "_chunk", "start", *(F.last(s, True).over(back).alias(s) for s in sides), F.lead("start").over(w).alias("_next"))
-    legs = legs.join(carried, ["symbol", "_chunk"]).select("symbol", "start", *(F.coalesce(s, f"_{s}").alias(s) for s in sides), F.coalesce("_next", "_after").alias("_next"))
-    both = F.least(F.col("buy.end"), F.col("sell.end"))
-    legs = legs.withColumn("_q", F.least(both, F.coalesce("_next", both)) - F.col("start")).where("buy is not null and sell is not null and _q > 0")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    sides = ("buy", "sell")
+    # a buy and a sell may start at one place: the last row there has both
+    legs = f.repartition("symbol", "_chunk").select("symbol", "start", "_own", *(F.last(F.when(F.col("side") == s, F.col("_row")), True).over(so_far).alias(s) for s in sides), F.lead("start").over(w).alias("_next"))
+    legs = legs.where("_own and buy is not null and sell is not null and (_next is null or _next > start)")
+    legs = legs.withColumn("_q", F.least(F.col("buy.end"), F.col("sell.end")) - F.col("start")).where("_q > 0")
     q = (F.col("_q") / UNIT).cast("double")
     share = lambda s: F.coalesce(F.col(f"{s}.fee"), F.lit(0.0)) * q / F.col(f"{s}.qty")
     first = (F.col("buy.ts_ms") < F.col("sell.ts_ms")) | ((F.col("buy.ts_ms") == F.col("sell.ts_ms")) & (F.col("buy.fill_id") <= F.col("sell.fill_id")))
