@@ -83,3 +83,14 @@ def test_lots_send_fills_through_two_shuffles(spark):
     assert "sortaggregate" not in plan_of(one)
     # many: a fill of 10^12 reaches into chunks of a MOST-th of all, not of one unit
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_both_z_share_their_pivots(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("AB"), i * 1000, 100 + rng.random(), rng.uniform(-3, 3), rng.uniform(-3, 3)) for i in range(300)]
+    r = spark.createDataFrame(rows, "seq long, symbol string, ts_ms long, price double, z_ofi double, z_cvd double")
+    pairs = indicators.pivot_pairs(r, "price", ["z_ofi", "z_cvd"], 3, 6)
+    for k, c in enumerate(("z_ofi", "z_cvd")):
+        kind, score = indicators.disagreement(k, 3)
+        got = pairs.select("seq", "kind", kind.alias("d"), score.alias("s")).where("d is not null").collect()
+        assert got and sorted(map(tuple, got)) == sorted(map(tuple, indicators.divergences(r, "price", c, 3, 6).select("seq", "kind", "divergence", "score").collect()))

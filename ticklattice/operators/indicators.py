@@ -306,16 +306,28 @@ def divergences(rows: DataFrame, price: str, indicator: str, reach: int = 3, apa
     bull_div (lower low, higher indicator), hidden_bull, bear_div (higher high, lower indicator), hidden_bear; with
     divergence_score, and known_ms, known_seq of the row at which the pair is known. at_row numbers a symbol's rows; rows may
     have it already."""
+    p = pivot_pairs(rows, price, [indicator], reach, apart, consistency)
+    divergence, score = disagreement(0, reach, consistency)
+    out = p.withColumn("divergence", divergence).withColumn("score", score)
+    return out.where("divergence is not null").drop("_prev", "_now", "_own", *([f"known_{consistency}"] if consistency else []))
+
+
+def pivot_pairs(rows: DataFrame, price: str, indicators: list[str], reach: int, apart: int, consistency: str | None = None) -> DataFrame:
+    """A symbol's price pivots that are at least `apart` rows after the one of their kind before: _prev._now and _now have at_row, the
+    price p and the indicators i0, i1, ... of both; known_ms, known_seq (and known_<consistency>) as in divergences()."""
     n = rows if "at_row" in rows.columns else numbered(rows, "at_row")
     ahead = ("ts_ms", "seq", *([consistency] if consistency else []))
     p = pivots(n, price, reach, ahead, "at_row").withColumnRenamed("known_ts_ms", "known_ms")
-    p = p.withColumn("_now", F.struct("at_row", F.col(price).cast("double").alias("p"), F.col(indicator).cast("double").alias("i")))
+    p = p.withColumn("_now", F.struct("at_row", F.col(price).cast("double").alias("p"), *(F.col(c).cast("double").alias(f"i{k}") for k, c in enumerate(indicators))))
     p = with_previous(p.withColumn("_own", F.col("symbol")).withColumn("symbol", F.concat_ws("\x00", "kind", "symbol")), ["_now"]).withColumn("symbol", F.col("_own"))
-    p = p.where(F.col("at_row") - F.col("_prev._now.at_row") >= apart)
+    return p.where(F.col("at_row") - F.col("_prev._now.at_row") >= apart)
+
+
+def disagreement(k: int, reach: int, consistency: str | None = None) -> tuple[Column, Column]:
+    """divergence_kind and divergence_score of the k-th indicator of pivot_pairs()."""
     a, b = F.col("_prev._now"), F.col("_now")
-    score = divergence_score(a["p"], b["p"], a["i"], b["i"], b["at_row"] - a["at_row"], reach, F.col(f"known_{consistency}") if consistency else None)
-    out = p.withColumn("divergence", divergence_kind(F.col("kind") == "low", b["p"] - a["p"], b["i"] - a["i"])).withColumn("score", score)
-    return out.where("divergence is not null").drop("_prev", "_now", "_own", *([f"known_{consistency}"] if consistency else []))
+    score = divergence_score(a["p"], b["p"], a[f"i{k}"], b[f"i{k}"], b["at_row"] - a["at_row"], reach, F.col(f"known_{consistency}") if consistency else None)
+    return divergence_kind(F.col("kind") == "low", b["p"] - a["p"], b[f"i{k}"] - a[f"i{k}"]), score
 
 
 def fusion(rows: DataFrame, w_ofi: float = 0.6, w_cvd: float = 0.4, limit: float = 4.0) -> Column:

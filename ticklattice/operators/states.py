@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clip, consistency
 from .chunks import last_known, numbered, over_range, over_rows, running, settled, with_previous
 from .folds import ordered_fold
-from .indicators import divergences, throttled
+from .indicators import disagreement, pivot_pairs, throttled
 from .scans import Cooldown, scan
 from .sliding import sliding
 
@@ -99,11 +99,17 @@ def flow_events(rows: DataFrame, reach: int = 12, apart: int = 6, cooldown_ms: i
     five = lambda c: clip(F.col(c), 5.0)
     r = rows.where("price > 0 and z_ofi is not null and z_cvd is not null and ts_ms is not null").withColumns({c: five(c) for c in ("z_ofi", "z_cvd", "fusion")})
     r = settled(numbered(r, "at_row"))
+    # both z have their pivots in the same rows; those of fusion are numbered among themselves
+    apart_rows = pivot_pairs(r, "price", ["z_ofi", "z_cvd"], reach, apart)
+    fusions = pivot_pairs(r.where("fusion is not null").drop("at_row"), "price", ["fusion"], reach, apart, "consistency")
     found = None
-    for i, (channel, column) in enumerate((("ofi", "z_ofi"), ("cvd", "z_cvd"), ("fusion", "fusion"))):
-        has = r if channel != "fusion" else r.where("fusion is not null").drop("at_row")  # numbered among themselves
-        d = divergences(has, "price", column, reach, apart, "consistency" if channel == "fusion" else None)
-        d = d.where("known_ms is not null").select("symbol", F.col("known_seq").alias("seq"), F.struct(F.col("score"), F.lit(-i).alias("r"), (F.col("kind") == "low").alias("l"), F.col("divergence").alias("event"), F.lit(channel).alias("channel")).alias("_d"))
+    for pairs, channels, same in ((apart_rows, ("ofi", "cvd"), None), (fusions, ("fusion",), "consistency")):
+        each = []
+        for k, channel in enumerate(channels):
+            divergence, score = disagreement(k, reach, same)
+            rank = -2 if channel == "fusion" else -k
+            each.append(F.when(divergence.isNotNull(), F.struct(score.alias("score"), F.lit(rank).alias("r"), (F.col("kind") == "low").alias("l"), divergence.alias("event"), F.lit(channel).alias("channel"))))
+        d = pairs.where("known_ms is not null").select("symbol", F.col("known_seq").alias("seq"), (F.greatest(*each) if len(each) > 1 else each[0]).alias("_d")).where("_d is not null")
         found = d if found is None else found.unionByName(d)
     best = found.groupBy("symbol", "seq").agg(F.max("_d").alias("_d")).withColumnsRenamed({"symbol": "_s", "seq": "_q"})
     n = settled(r.join(best, r["symbol"].eqNullSafe(best["_s"]) & (r["seq"] == best["_q"]), "left").drop("_s", "_q"))
